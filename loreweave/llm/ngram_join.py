@@ -5,8 +5,8 @@ and counted, the long ones are probed by binary search for what the merge left,
 overlap which the Jaccard threshold requires are linked.
 
 Blocks are found exactly and without pairs. Two sets that meet the threshold differ in at most d elements, so
-of d + 1 ranges of the hash space one holds the same elements in both: a document's ranges are its signatures,
-and documents that share one fall into the same candidate cluster. d depends on a size class; a set also
+all but d of the ranges of the hash space hold the same elements in both: a document's ranges are its
+signatures, and documents that share one fall into the same candidate cluster. d depends on a size class; a set also
 signs for larger classes which it could still reach. A cluster above block_docs is split into hashed blocks:
 each block holds the cluster's pivot, and documents that the pivot's component leaves out are searched against
 all other blocks, so no link is lost and no group has to fit in one task.
@@ -72,14 +72,19 @@ def _classes(num: int, den: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=256)
-def _cuts(top: int, num: int, den: int) -> np.ndarray:
-    """Ends of the hash ranges for sets of at most top elements: one range more than two such sets can differ in."""
-    k = 2 * top * (den - num) // (den + num) + 1
-    return np.array([(j << 64) // k for j in range(k)], dtype=np.uint64)
+def _cuts(top: int, num: int, den: int) -> tuple[int, np.ndarray]:
+    """For sets of at most top elements: d, the most elements that two linked ones differ in, and the lower ends of
+    d + 3 ranges of the hash space."""
+    d = 2 * top * (den - num) // (den + num)
+    return d, np.array([(j << 64) // (d + 3) for j in range(d + 3)], dtype=np.uint64)
 
 
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """One hash per range and size class; sets linked at num/den share at least one."""
+    """One hash per range and size class; sets linked at num/den share at least one.
+
+    Of d + 3 ranges at least 3 are the same in both sets. If all of those are empty, both sets fill d ranges at
+    most; only such sets sign for their empty ranges.
+    """
     n = len(s)
     if not n:
         return np.empty(0, np.uint64)
@@ -88,10 +93,12 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(s), dtype=np.uint64)])
     out = []
     while c == 0 or ends[c] <= n or den * n >= num * int(ends[c]):
-        cuts = _cuts(int(ends[c + 1]) - 1, num, den)
+        d, cuts = _cuts(int(ends[c + 1]) - 1, num, den)
         at = np.append(np.searchsorted(s, cuts), n)
-        held = sums[at[1:]] - sums[at[:-1]]
-        out.append(_mixed(held + np.arange(len(cuts), dtype=np.uint64) * _MIX + np.array([c + 1], np.uint64) * _ODD))
+        full = np.flatnonzero(at[1:] > at[:-1])
+        kept = full if len(full) > d else np.arange(len(cuts))
+        held = sums[at[kept + 1]] - sums[at[kept]]
+        out.append(_mixed(held + kept.astype(np.uint64) * _MIX + np.array([c + 1], np.uint64) * _ODD))
         c += 1
     return np.concatenate(out)
 
