@@ -1,10 +1,12 @@
 """Line dedup as an exact set-similarity join: later lines that match an earlier one are removed.
 
-A line is the set of its 5-word shingles. Equal sets are collapsed to their first place; the others meet in
-candidate clusters (the hash ranges of ngram_join, built here for whole Arrow batches at once). Inside a block of
-lines the join is PPJoin: tokens ordered by rarity in the block, an inverted index on prefixes, length and
-positional filters, then the Jaccard similarity itself. Clusters above block_lines are split into hashed blocks
-that all hold the cluster's first line; lines still without a match are then searched against the other blocks.
+A line is the set of its 5-word shingles. Equal sets are collapsed to their first place. Shingles are ordered by
+rarity, the sum of their words' rarities: counts over all documents, of which the most frequent words (a bounded
+table) tell words apart and all others count as rarest. Lines that meet the threshold share a shingle of their
+prefixes in that order; lines that share one fall into the same candidate cluster. Inside a block of lines the join
+is PPJoin: tokens ordered by rarity in the block, an inverted index on prefixes, length and positional filters, then
+the Jaccard similarity itself. Clusters above block_lines are split into hashed blocks that all hold the cluster's
+first line; lines still without a match are then searched against the other blocks.
 """
 
 from __future__ import annotations
@@ -14,72 +16,93 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .ngram_join import _MIX, _ODD, _classes, _cuts, _mixed, _word_hashes
-from .scratch import stage
+from .ngram_join import _ODD, _WORDS_KEPT, _mixed, _word_hashes
+from .scratch import slices, stage
 
 SHINGLE = 5
 
 
-def _line_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
-    """All lines of the texts: (line of each distinct shingle, shingle, lines per text, True for lines that take part)."""
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 0, 16 << 20):
+        words = [w for t in batch.column(0).to_pylist() if t for w in t.encode("utf-8", "surrogatepass").lower().split()]
+        word, n = np.unique(np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words)), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
+
+
+def frequent_words(docs: DataFrame, top: int = 65_536) -> dict[int, int]:
+    """Hash -> weight (bits of the count, at most 31) of the top words by count over all documents. Words outside
+    the table weigh 0: the table bounds what is broadcast; it changes the order of shingles, never a result."""
+    counts = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.col("n").desc(), "word").limit(top).toPandas()
+    return {int(w) & 0xFFFFFFFFFFFFFFFF: min(31, int(n).bit_length()) for w, n in zip(rows["word"], rows["n"])}
+
+
+class _Weighted(dict):
+    """Word -> hash with the word's weight in its low five bits; bounded."""
+
+    def __init__(self, weights: dict[int, int]):
+        self.weights = weights
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _WORDS_KEPT:
+            self.clear()
+        found = xxhash.xxh3_64_intdigest(word)
+        self[word] = found = found & ~31 | self.weights.get(found, 0)
+        return found
+
+
+_weighted: list[_Weighted] = []
+
+
+def _hashes(sent: Broadcast) -> _Weighted:
+    """One cache per worker and table."""
+    if not _weighted or _weighted[0].weights != sent.value:
+        _weighted[:] = [_Weighted(sent.value)]
+    return _weighted[0]
+
+
+def _line_grams(lines: list[bytes], hashes: _Weighted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line of each distinct shingle, shingle, True for lines that take part); rarest first in each line."""
     words: list[bytes] = []
-    lengths: list[int] = []
-    lines: list[int] = []
-    for text in texts:
-        own = text.encode("utf-8", "surrogatepass").lower().split(b"\n") if text is not None else []
-        lines.append(len(own))
-        for line in own:
-            found = line.split()
-            lengths.append(len(found))
-            words += found
-    h = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    lengths = np.zeros(len(lines), np.int64)
+    for i, line in enumerate(lines):
+        found = line.split()
+        lengths[i] = len(found)
+        words += found
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     line_of = np.repeat(np.arange(len(lengths)), lengths)
     n = max(0, len(h) - SHINGLE + 1)
-    grams = np.zeros(n, np.uint64)
+    grams, weight = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     for j in range(SHINGLE):
         grams = _mixed(grams + h[j : j + n])
+        weight += h[j : j + n] & np.uint64(31)
     whole = line_of[:n] == line_of[SHINGLE - 1 :] if n else np.zeros(0, bool)
-    grams, line_of = grams[whole], line_of[:n][whole]
-    order = np.lexsort((grams, line_of))
+    grams, weight, line_of = grams[whole], weight[whole], line_of[:n][whole]
+    if len(lines) < 1 << 20:
+        order = np.argsort((line_of.astype(np.uint64) << np.uint64(44)) | (weight << np.uint64(36)) | (grams >> np.uint64(28)))
+    else:
+        order = np.lexsort((grams >> np.uint64(28), weight, line_of))
     grams, line_of = grams[order], line_of[order]
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (line_of[1:] != line_of[:-1])
-    return line_of[new], grams[new], lines, np.array(lengths, np.int64) >= SHINGLE
-
-
-def _signatures(row: np.ndarray, grams: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) pairs; row is 0..len(sizes)-1, in order, with its grams ascending."""
-    ends = _classes(num, den)
-    own = np.searchsorted(ends, sizes, "right") - 1
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    rows_out, signs_out = [], []
-    up = 0
-    live = np.arange(len(sizes))
-    while len(live):
-        c = own[live] + up
-        kinds, inverse = np.unique(c, return_inverse=True)
-        k = np.array([len(_cuts(int(ends[x + 1]) - 1, num, den)) for x in kinds], np.int64)[inverse]
-        base = np.concatenate([[0], np.cumsum(k)])
-        n = sizes[live]
-        at = np.repeat(starts[live] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        g = grams[at]
-        part = ((g >> np.uint64(32)) * np.repeat(k, n).astype(np.uint64)) >> np.uint64(32)
-        slot = np.repeat(base[:-1], n) + part.astype(np.int64)
-        sums = np.zeros(base[-1], np.uint64)
-        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, int)
-        if len(first):
-            sums[slot[first]] = np.add.reduceat(_mixed(g), first)
-        number = (np.arange(base[-1]) - np.repeat(base[:-1], k)).astype(np.uint64)
-        signs_out.append(_mixed(sums + number * _MIX + np.repeat(c + 1, k).astype(np.uint64) * _ODD))
-        rows_out.append(np.repeat(live, k))
-        up += 1
-        c = np.minimum(own[live] + up, len(ends) - 1)
-        live = live[den * sizes[live] >= num * ends[c]]
-    return np.concatenate([*rows_out, np.zeros(0, int)]), np.concatenate([*signs_out, np.zeros(0, np.uint64)])
+    return line_of[new], grams[new], lengths >= SHINGLE
+
+
+def _prefixes(line_of: np.ndarray, n_lines: int, num: int, den: int) -> np.ndarray:
+    """True for the shingles of each line's prefix."""
+    sizes = np.bincount(line_of, minlength=n_lines)
+    place = np.arange(len(line_of)) - np.concatenate([[0], np.cumsum(sizes)[:-1]])[line_of]
+    return place < (sizes + (-num * sizes // den) + 1)[line_of]
+
+
+def _split(text: str | None) -> list[bytes]:
+    return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split(b"\n")
 
 
 _SIGNED = "doc_id long, lines array<long>, node long, signs array<long>, roots array<long>"
@@ -95,13 +118,16 @@ def _line_nodes(line_of: np.ndarray, grams: np.ndarray, n_lines: int) -> np.ndar
     return nodes
 
 
-def _signed(num: int, den: int):
+def _signed(num: int, den: int, sent: Broadcast):
     """(doc_id, text) -> a row a document with its lines' nodes (null where a line takes no part), and a row for
-    each line set that is new in the batch, with its signatures as in ngram_join."""
+    each line set that is new in the batch: the shingles of its prefix which it is first to hold there, and the sets
+    of the batch that hold the others already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            line_of, grams, lines, live = _line_grams(batch.column(1).to_pylist())
+        for batch in slices(batches, 1, 4 << 20):
+            split = [_split(t) for t in batch.column(1).to_pylist()]
+            lines = [len(x) for x in split]
+            line_of, grams, live = _line_grams([x for own in split for x in own], _hashes(sent))
             nodes = _line_nodes(line_of, grams, len(live))
             offsets = pa.array(np.concatenate([[0], np.cumsum(lines)]), pa.int32())
             of_doc = pa.ListArray.from_arrays(offsets, pa.array(nodes.view(np.int64), mask=~live))
@@ -117,11 +143,8 @@ def _signed(num: int, den: int):
                 continue
             place = np.full(len(live), -1)
             place[keep] = np.arange(len(keep))
-            mine = place[line_of] >= 0
-            row, g = place[line_of[mine]], grams[mine]
-            rows, signs = _signatures(row, g, np.bincount(row, minlength=len(keep)), num, den)
-            order = np.argsort(rows, kind="stable")
-            rows, signs = rows[order], signs[order]
+            mine = (place[line_of] >= 0) & _prefixes(line_of, len(live), num, den)
+            rows, signs = place[line_of[mine]], grams[mine]
             _, at, back = np.unique(signs, return_index=True, return_inverse=True)
             holder = rows[at]
             new = np.zeros(len(signs), bool)
@@ -137,23 +160,25 @@ def _signed(num: int, den: int):
     return run
 
 
-def _wanted_sets():
+def _wanted_sets(sent: Broadcast):
     """(doc_id, text, wanted: list of (line_no, node)) -> (node, grams) of the wanted lines."""
+    batch_text = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            line_of, grams, lines, live = _line_grams(batch.column("text").to_pylist())
+        for batch in slices(batches, batch_text, 4 << 20):
+            lines, expected = [], []
+            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+                own = _split(text)
+                for w in wanted:
+                    if w["line_no"] < len(own):
+                        lines.append(own[w["line_no"]])
+                        expected.append(w["node"])
+            line_of, grams, live = _line_grams(lines, _hashes(sent))
             nodes = _line_nodes(line_of, grams, len(live)).view(np.int64)
-            base = np.concatenate([[0], np.cumsum(lines)])
+            same = nodes == np.array(expected, np.int64)  # else another text under the same id
             low, high = np.searchsorted(line_of, np.arange(len(live))), np.searchsorted(line_of, np.arange(len(live)), "right")
-            out_nodes, out_grams = [], []
-            for i, wanted in enumerate(batch.column("wanted").to_pylist()):
-                for w in wanted:
-                    at = base[i] + w["line_no"]
-                    if w["line_no"] < lines[i] and nodes[at] == w["node"]:  # else another text under the same id
-                        out_nodes.append(w["node"])
-                        out_grams.append(grams[low[at] : high[at]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out_nodes, pa.int64()), pa.array(out_grams, pa.binary())], ["node", "grams"])
+            kept = np.flatnonzero(same)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[kept]), pa.array([grams[low[i] : high[i]].tobytes() for i in kept], pa.binary())], ["node", "grams"])
 
     return run
 
@@ -231,7 +256,8 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     them. An empty table gives no rows; other columns are ignored. Shingles and sets are compared by 64-bit hashes.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stage(docs.mapInArrow(_signed(num, den), _SIGNED), "line-signs")
+    sent = documents.sparkSession.sparkContext.broadcast(frequent_words(docs))
+    signed = stage(docs.mapInArrow(_signed(num, den, sent), _SIGNED), "line-signs")
     of_docs, sets = signed.where("node IS NULL"), signed.where("node IS NOT NULL")
     places = of_docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode("lines").alias("line_no", "node")).where("node IS NOT NULL")
     first = stage(places.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n")), "line-places")
@@ -248,7 +274,7 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         "line-members",
     )
     wanted = members.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "node")).alias("wanted"))
-    grams = docs.join(wanted.hint("shuffle_hash"), "doc_id").mapInArrow(_wanted_sets(), "node long, grams binary")
+    grams = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_wanted_sets(sent), "node long, grams binary")
     lines = stage(members.join(grams, "node"), "line-sets")
     zero = F.lit(0).cast("long")
     plain = lines.select("cluster", "block", zero.alias("chunk"), "node", "doc_id", "line_no", "grams", F.lit(False).alias("asks"), "blocks", "is_pivot")
