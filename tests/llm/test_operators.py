@@ -1,0 +1,357 @@
+"""Each operator on nulls, empty and long texts, ties, repeats, empty tables and clashing columns, and against brute force."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from loreweave.llm import fingerprints, language_id, line_dedup, mixing, neighbours, ngram_join, packing, pii, token_rollup, url_filter
+from loreweave.llm.queries import vocabulary
+from loreweave.llm.scratch import new_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, cluster string, signs string, block int, text_redacted string"
+
+
+def docs(spark, rows):
+    """(doc_id, text[, lang, source]) with columns whose names clash with the operators' own."""
+    return spark.createDataFrame([(r[0], r[1], *(r[2:4] if len(r) > 2 else ("en", "a")), 0, "x", "y", 1, "z") for r in rows], DOCS)
+
+
+def words(seed, n, vocabulary=400):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Originals, near copies of several strengths, exact copies, nulls, empties, short and long texts."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(40):
+        base = words(i, rng.choice([3, 8, 30, 80, 200])).split()
+        rows.append((len(rows), " ".join(base)))
+        for edits in (0, 1, 3, 8):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"e{rng.random()}"
+            rows.append((len(rows), (" " if edits % 2 else "\t") .join(copy).upper() if edits == 0 else " ".join(copy)))
+    rows += [(1000, None), (1001, ""), (1002, " \n\t"), (1003, "one"), (1004, "One"), (1005, "two words"), (1006, words(99, 20_000)), (1007, words(99, 20_000) + " tail")]
+    return rows
+
+
+def gram_sets(rows, k):
+    out = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        out.append({b" ".join(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set())
+    return out
+
+
+def brute_components(rows, k, num, den):
+    sets, parent = gram_sets(rows, k), list(range(len(rows)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b:
+                both = len(a & b)
+                if den * both >= num * (len(a) + len(b) - both):
+                    x, y = find(i), find(j)
+                    parent[max(x, y)] = min(x, y)
+    return {rows[i][0]: (len(sets[i]), rows[find(i)][0]) for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("k, num, block", [(3, 90, 2048), (3, 90, 3), (5, 80, 2048), (5, 80, 2)])
+def test_ngram_components_equal_brute_force(spark, corpus, k, num, block):
+    found = ngram_join.ngram_components(docs(spark, corpus), words=k, num=num, block_docs=block).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(corpus, k, num, 100)
+
+
+def test_ngram_components_nulls_repeats_empty(spark):
+    rows = [(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "A B c d"), (3, None)]
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs(spark, rows), words=3).collect())
+    assert found == [(False, 1, 2, 1), (False, 1, 2, 1), (False, 2, 2, 1), (False, 3, 0, 3), (True, 0, 2, None)]
+    assert ngram_join.ngram_components(docs(spark, []).limit(0)).count() == 0
+
+
+def test_signatures_never_miss_a_link():
+    rng = np.random.default_rng(1)
+    for num in (80, 90):
+        for n in [1, 2, 3, 4, 5, 7, 9, 12, 20, 33, 70, 150]:
+            for _ in range(60):
+                a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+                b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.06], rng.integers(0, 2**63, rng.integers(0, 1 + n // 12), dtype=np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                if both and 100 * both >= num * (len(a) + len(b) - both):
+                    assert len(np.intersect1d(ngram_join.signatures(a, num, 100), ngram_join.signatures(b, num, 100)))
+
+
+LANGS = {"en": "the of and that with from have this", "de": "der die und nicht eine auch sich werden", "fr": "le des une pour dans avec plus être"}
+
+
+def lang_rows():
+    rng = random.Random(8)
+    return [(i, " ".join(rng.choice(LANGS[k].split()) for _ in range(rng.randrange(6, 60))), k, "a") for i, k in enumerate(sorted(LANGS) * 60)]
+
+
+def test_language_id_held_out_accuracy_and_rules(spark):
+    rows = lang_rows() + [(900, None, "en", "a"), (901, "123 ... !", "en", "a"), (902, "", None, "a"), (None, "the of and that with", None, "a")]
+    found = language_id.identify(docs(spark, rows)).collect()
+    truth = {r[0]: r[2] for r in lang_rows()}
+    held = [r for r in found if r.held_out and r.doc_id in truth]
+    assert len(held) > 40 and sum(truth[r.doc_id] == r.lang_pred for r in held) / len(held) > 0.95
+    assert all(r.held_out == (zlib.crc32(b"" if r.doc_id is None else str(r.doc_id).encode()) % 3 == 1) for r in found)
+    und = {r.doc_id for r in found if r.lang_pred == "und"}
+    assert und == {900, 901, 902} and all(0 <= r.score <= 1 for r in found)
+    kept = {r.doc_id for r in language_id.accepted(docs(spark, rows)).collect()}
+    assert kept == {r.doc_id for r in found if not r.rejected}
+    assert language_id.identify(docs(spark, []).limit(0)).count() == 0
+    unlabelled = language_id.identify(docs(spark, [(1, "some text", None, "a")])).first()
+    assert unlabelled.lang_pred == "und" and unlabelled.rejected
+
+
+def test_packing_is_an_exact_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(vocabulary())
+    tok.encode_special_tokens = True
+    rng = random.Random(2)
+    rows = [(i, words(i, rng.choice([1, 20, 300, 3000]))) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, "  lead  and\n\n tail \n"), (103, "l'été — 3,5 €\u00a0<|endoftext|>\r\nnaïve"), (None, "no id"), (1, words(1, 20))]
+    found = packing.pack(docs(spark, rows), vocabulary(), windows=3, slack=4).collect()
+    texts = collections.defaultdict(list)
+    for i, t in rows:
+        texts[i].append(np.array(tok.encode(t or "", add_special_tokens=False).ids + [1], dtype="<u4"))
+    pieces = collections.defaultdict(list)
+    for r in found:
+        assert any(r.doc_tokens == len(ids) and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for ids in texts[r.doc_id])
+        pieces[r.doc_id].append((r.start, r.length))
+    assert all(sum(n for _, n in pieces[i]) == sum(map(len, texts[i])) for i in texts)
+    windows = collections.defaultdict(list)
+    for r in found:
+        windows[r.sequence_id].append((r.offset, r.length))
+    for parts in windows.values():
+        end = 0
+        for offset, n in sorted(parts):
+            assert offset == end
+            end += n
+        assert end <= 2048
+    total = sum(sum(map(len, x)) for x in texts.values())
+    assert len(windows) <= -(-total // 2048) * 1.05 + 2
+    assert packing.pack(docs(spark, []).limit(0), vocabulary()).count() == 0
+
+
+def water_fill(sizes, cap=3):
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weights = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
+    target, free, left = {}, set(names), float(sum(sizes.values()))
+    while free:
+        share = left / sum(weights[s] for s in free)
+        over = [s for s in free if weights[s] * share > cap * sizes[s]]
+        if not over:
+            return target | {s: weights[s] * share for s in free}
+        for s in over:
+            target[s] = cap * sizes[s]
+            left -= target[s]
+            free.discard(s)
+    return target
+
+
+def test_mixing_targets_and_takes(spark):
+    rng = random.Random(4)
+    rows = [(i, words(i, rng.randrange(1, 60)), "en", rng.choice(["a", "b", "B", "é", None] + ["hot"] * 8)) for i in range(900)]
+    rows += [(2000, None, "en", "empty"), (2001, "", "en", "a"), (2002, "x", "en", "tiny"), (5, words(5, 7), "en", "a"), (5, words(5, 7), "en", "a"), (None, "w w", "en", "a")]
+    found = mixing.mix(docs(spark, rows)).collect()
+    assert len(found) == len(rows)
+    sizes, taken = collections.Counter(), collections.Counter()
+    for i, t, _, s in rows:
+        sizes[s] += len((t or "").split())
+    target = water_fill(dict(sizes))
+    for r in found:
+        assert r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source] and r.taken in (0, r.size, 2 * r.size, 3 * r.size)
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 60 for s in sizes)
+    assert sorted(map(str, found)) == sorted(map(str, mixing.mix(docs(spark, rows)).collect()))
+    assert mixing.mix(docs(spark, []).limit(0)).count() == 0
+
+
+def plain_spans(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[ -]", "", m.group())
+        if 16 <= len(d) <= 19 and pii.luhn(d):
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= sum(c.isdigit() for c in m.group()) <= 15]
+    return out
+
+
+def test_pii_base_spans_equal_the_patterns():
+    rng = random.Random(6)
+    parts = ["a@b.co", "x.y+z@q-r.example.com", "@", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111111111111112", "+1 (743) 555-3824", "+1", "é", "a@b", " ", ".", "-", "9", "x@y.z@w.v", "12.34", "+49 30 1234567 8"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) + rng.choice(["", " ", "."]) for _ in range(rng.randrange(1, 9)))
+        assert [(pii.KINDS[k], s, e) for k, s, e in pii.base_spans(t)] == plain_spans(t), t
+
+
+def test_pii_query_rules(spark):
+    text = "é mail a.b@c.org, call (212) 555-0147 or +1 (743) 555-3824; host 10.0.0.1, version 4.10.2"
+    rows = [(1, text), (2, None), (3, ""), (None, "1.2.3.4"), (4, "the quick brown fox, 12 apples on 2024-05-01"), (5, "9" * 200_000)]
+    found = {r.doc_id: r for r in pii.find_pii(docs(spark, rows), redacted=True).collect()}
+    assert (found[1].n_email, found[1].n_ip, found[1].n_card, found[1].n_phone) == (1, 1, 0, 1)
+    assert found[1].base_sha256 == hashlib.sha256(",".join("%s:%d:%d" % s for s in plain_spans(text)).encode()).hexdigest()
+    assert "phone:23:37" in found[1].spans and "555" not in found[1].text_redacted and "4.10.2" in found[1].text_redacted
+    assert found[2].text_redacted is None and found[3].spans == "" and found[4].spans == "" and found[None].n_ip == 1
+    assert pii.find_pii(docs(spark, []).limit(0)).count() == 0
+
+
+def line_brute(rows, num=80, den=100):
+    lines = []
+    for i, t in sorted(r for r in rows if r[0] is not None and r[1] is not None):
+        for n, line in enumerate(t.encode().lower().split(b"\n")):
+            w = line.split()
+            if len(w) >= 5:
+                lines.append((i, n, {b" ".join(w[k : k + 5]) for k in range(len(w) - 4)}))
+    gone = collections.defaultdict(list)
+    for x, (i, n, s) in enumerate(lines):
+        if any(den * len(s & o) >= num * len(s | o) for _, _, o in lines[:x]):
+            gone[i].append(n)
+    return dict(gone)
+
+
+@pytest.mark.parametrize("block", [2048, 2])
+def test_line_dedup_equals_brute_force(spark, block):
+    rng = random.Random(9)
+    pool = [words(i, rng.choice([2, 5, 6, 9, 30, 60])) for i in range(25)]
+    rows = []
+    for i in range(60):
+        own = []
+        for _ in range(rng.randrange(1, 8)):
+            w = rng.choice(pool).split()
+            if rng.random() < 0.5:
+                w[rng.choice([0, -1])] = f"z{rng.randrange(5)}"
+            own.append(" ".join(w))
+        rows.append((i, "\n".join(own)))
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, words(1, 20_000))]
+    found = {r.doc_id: list(r.removed) for r in line_dedup.repeated_lines(docs(spark, rows), block_lines=block).collect()}
+    assert {k: v for k, v in found.items() if v} == line_brute(rows)
+    kept = {r.doc_id: r.text for r in line_dedup.without_repeats(docs(spark, rows), block_lines=block).collect()}
+    gone = line_brute(rows)
+    for i, t in rows:
+        left = None if t is None else [x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, [])]
+        assert (i not in kept) if left == [] else kept[i] == (None if left is None else "\n".join(left))
+
+
+def test_line_dedup_null_ids_and_empty_tables(spark):
+    line = "one two three four five six"
+    found = line_dedup.repeated_lines(docs(spark, [(None, line), (1, line), (2, line.upper())])).collect()
+    assert {(r.doc_id, r.n_removed) for r in found} == {(None, 0), (1, 0), (2, 1)}
+    assert line_dedup.repeated_lines(docs(spark, []).limit(0)).count() == 0
+
+
+def test_url_filter_rules_and_model(spark):
+    rows = [
+        (1, "http://a.net/x"), (2, "https://EXAMPLE.net/en/1"), (3, "https://m.example.com/de/9?q#t"), (4, "http://x.org/fr/"), (5, "http://x.org/FR/"), (6, None),
+        (7, "no scheme"), (8, "http://net"), (9, "https://free-casino.example/win/bonus"), (10, "https://docs.example/guide/start.html"), (11, "http://badexample.com/de/x"), (None, "x://y://z/a"),
+    ]
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in rows], "page_id long, url string, host string, rule string")
+    found = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    assert [(found[i].rule, found[i].verdict) for i in (1, 2, 3, 4)] == [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+    assert found[5].rule is None and found[11].rule is None and found[8].rule is None
+    assert (found[3].host, found[3].path, found[6].host, found[7].path, found[2].host) == ("m.example.com", "/de/9", "", "", "example.net")
+    assert (found[None].host, found[None].path) == ("y:", "//z/a")
+    assert found[9].verdict == "block" and found[10].verdict == "allow"
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+def jaccard(a, b):
+    x, y = collections.Counter(a.lower().split()), collections.Counter(b.lower().split())
+    whole = sum((x | y).values())
+    return sum((x & y).values()) / whole if whole else 1.0
+
+
+def test_fingerprints(spark):
+    rows = [(i * 3, words(i // 2, 150 + i)) for i in range(40)] + [(500, ""), (501, None), (502, "é" * 5), (503, "same text here"), (504, "same text here"), (None, "no id")]
+    found = {r.doc_id: r for r in fingerprints.fingerprints(docs(spark, rows)).collect()}
+    order = sorted(r for r in rows if r[0] is not None)
+    gaps = []
+    for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+        t, nxt = t or "", nxt or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + nxt[:half]
+        assert found[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and found[i].n_chars == len(t)
+        gaps += [found[i].near_edited - jaccard(t, edited), found[i].near_next - jaccard(t, nxt)]
+    assert np.mean(np.abs(gaps)) < 0.07 and abs(np.mean(gaps)) < 0.05
+    assert found[503].fingerprint == found[504].fingerprint and found[503].near_next == 1.0 and found[500].fingerprint == ""
+    assert fingerprints.fingerprints(docs(spark, [(7, "only one here")])).first().near_next == 1.0
+    assert fingerprints.fingerprints(docs(spark, []).limit(0)).count() == 0
+
+
+def test_token_rollup_is_idempotent(spark):
+    rollup = token_rollup.TokenRollup(spark, new_path(spark, "test-rollup"))
+    assert rollup.totals().count() == 0
+    old = docs(spark, [(1, "a b c", "en", "s"), (2, None, None, None), (3, "x, y", "de", "s")])
+    new = docs(spark, [(1, "a b", "en", "s")])
+    for _ in range(2):
+        rollup.commit("b1", token_rollup.inserts(old, "words-1"))
+        rollup.commit("b2", token_rollup.revisions(old.where("doc_id = 1"), new, "words-1", "pieces-1"))
+        rollup.commit("b3", token_rollup.deletes(old.where("doc_id = 3"), "words-1"))
+    found = {(r.source, r.lang, r.version): (r.documents, r.tokens) for r in rollup.totals().collect()}
+    assert found == {(None, None, "words-1"): (1, 0), ("s", "en", "pieces-1"): (1, 2)}
+    with pytest.raises(ValueError):
+        rollup.commit("../x", token_rollup.inserts(old, "words-1"))
+
+
+@pytest.mark.parametrize("block", [16_384, 50])
+def test_neighbours_against_brute_force(spark, block):
+    rng = np.random.default_rng(3)
+    data = rng.standard_normal((400, 16)).astype(np.float32)
+    data[200:260] = data[7]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [1.0] * 15 + [None]), (None, [1.0] * 16), (905, [1.0, 2.0])]
+    table = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, block int, rank int")
+    found = collections.defaultdict(list)
+    for r in neighbours.search(table.where("vec_id % 100 = 0"), table, block_rows=block, block_queries=2).collect():
+        found[r.query_id].append((r.rank, r.vec_id, r.score))
+    wide, hits = data.astype(float), 0
+    for q in (0, 100, 200, 300):
+        away = np.sqrt(((wide - wide[q]) ** 2).sum(1))
+        want = [int(i) for i in np.lexsort((np.arange(400), away)) if i != q][:10]
+        got = [i for _, i, _ in sorted(found[q])]
+        hits += len(set(want) & set(got))
+        assert len(got) == 10 and all(abs(s - away[i]) < 1e-12 for _, i, s in found[q])
+        if q == 200:
+            assert got == want  # ties to the smaller id
+    assert hits >= 36 and set(found) == {0, 100, 200, 300}
+    assert neighbours.search(table.limit(0), table.limit(0)).count() == 0
+
+
+def test_pipeline_decisions(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    rows = lang_rows()[:60]
+    rows += [(200 + i, " ".join(rng.choice(LANGS["en"].split()) + str(rng.randrange(50)) for _ in range(80)), "en", "b") for i in range(10)]
+    rows += [(300, rows[-1][1], "en", "b"), (301, None, "en", "a"), (302, "12 34", "en", "a")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_jaccard_join", "mixing", "packing"]
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    known = corpus_pipeline.known_languages(spark, table, str(tmp_path))
+    ids = {r.doc_id for r in known.collect()}
+    assert known.columns == table.columns and 301 not in ids and 302 not in ids
+    lines = corpus_pipeline.unrepeated_lines(spark, known, str(tmp_path))
+    assert 300 not in {r.doc_id for r in lines.collect()} and lines.columns == table.columns
+    single = corpus_pipeline.one_of_each_group(spark, table, str(tmp_path))
+    want = {i for i, (_, c) in brute_components([r[:2] for r in rows], 5, 80, 100).items() if i == c}
+    assert {r.doc_id for r in single.collect()} == want
+    pieces = corpus_pipeline.run(spark, str(tmp_path))
+    assert pieces.count() > 0 and {r.doc_id for r in pieces.select("doc_id").collect()} <= ids
