@@ -26,3 +26,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unstage(df: DataFrame) -> None:
+    """Remove a table that stage() wrote and nothing reads any more, so that scratch space stays small."""
+    jvm = df.sparkSession._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        found = jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(found, True)
