@@ -1,8 +1,7 @@
 """Line dedup as an exact set-similarity join: later lines that match an earlier one are removed.
 
 A line is the set of its 5-word shingles. Equal sets are collapsed to their first place. Shingles are ordered by
-rarity, the sum of their words' rarities: counts over all documents, of which the most frequent words (a bounded
-table) tell words apart and all others count as rarest. Lines that meet the threshold share a shingle of their
+rarity, the sum of their words' rarities: counts over all documents by hash bucket, a table of fixed size. Lines that meet the threshold share a shingle of their
 prefixes in that order; lines that share one fall into the same candidate cluster. Inside a block of lines the join
 is PPJoin: tokens ordered by rarity in the block, an inverted index on prefixes, length and positional filters, then
 the Jaccard similarity itself. Clusters above block_lines are split into hashed blocks that all hold the cluster's
@@ -16,78 +15,68 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .ngram_join import _ODD, _WORDS_KEPT, _mixed, _word_hashes
-from .scratch import slices, stage
+from .ngram_join import _ODD, _mixed, _word_hashes
+from .scratch import slices, stage, unstage
 
 SHINGLE = 5
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 0, 16 << 20):
-        words = [w for t in batch.column(0).to_pylist() if t for w in t.encode("utf-8", "surrogatepass").lower().split()]
-        word, n = np.unique(np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words)), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n, pa.int64())], ["word", "n"])
+BUCKETS = 1 << 16
 
 
-def frequent_words(docs: DataFrame, top: int = 65_536) -> dict[int, int]:
-    """Hash -> weight (bits of the count, at most 31) of the top words by count over all documents. Words outside
-    the table weigh 0: the table bounds what is broadcast; it changes the order of shingles, never a result."""
-    counts = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.col("n").desc(), "word").limit(top).toPandas()
-    return {int(w) & 0xFFFFFFFFFFFFFFFF: min(31, int(n).bit_length()) for w, n in zip(rows["word"], rows["n"])}
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in slices(batches, 0, 4 << 20):
+        texts = [t for t in batch.column(0).cast(pa.binary()).to_pylist() if t]
+        words = b"\n".join(texts).lower().split()
+        total += np.bincount(_hashed(words) & np.uint64(BUCKETS - 1), minlength=BUCKETS)
+    held = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held])], ["bucket", "n"])
 
 
-class _Weighted(dict):
-    """Word -> hash with the word's weight in its low five bits; bounded."""
+def word_rarity(docs: DataFrame) -> np.ndarray:
+    """Weight (bits of the count, at most 31) of each of 65,536 hash buckets of words, counted over all documents.
+    The table is what is broadcast; words that share a bucket only change the order of shingles, never a result."""
+    counts = docs.select("text").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    weights = np.zeros(BUCKETS, np.uint8)
+    weights[counts["bucket"].to_numpy(np.int64)] = np.minimum(31, np.ceil(np.log2(counts["n"].to_numpy(np.float64) + 1)))
+    return weights
 
-    def __init__(self, weights: dict[int, int]):
-        self.weights = weights
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORDS_KEPT:
-            self.clear()
-        found = xxhash.xxh3_64_intdigest(word)
-        self[word] = found = found & ~31 | self.weights.get(found, 0)
-        return found
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
 
 
-_weighted: list[_Weighted] = []
-
-
-def _hashes(sent: Broadcast) -> _Weighted:
-    """One cache per worker and table."""
-    if not _weighted or _weighted[0].weights != sent.value:
-        _weighted[:] = [_Weighted(sent.value)]
-    return _weighted[0]
-
-
-def _line_grams(lines: list[bytes], hashes: _Weighted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line of each distinct shingle, shingle, True for lines that take part); rarest first in each line."""
+def _line_grams(lines: list[bytes], weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line of each distinct shingle, shingle, True for lines that take part); in each line rarest first, or by value
+    where no weights are given."""
     words: list[bytes] = []
     lengths = np.zeros(len(lines), np.int64)
     for i, line in enumerate(lines):
         found = line.split()
         lengths[i] = len(found)
         words += found
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = _hashed(words)
     line_of = np.repeat(np.arange(len(lengths)), lengths)
     n = max(0, len(h) - SHINGLE + 1)
-    grams, weight = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    whole = np.flatnonzero(line_of[:n] == line_of[SHINGLE - 1 :]) if n else np.zeros(0, np.int64)
+    grams = np.zeros(len(whole), np.uint64)
     for j in range(SHINGLE):
-        grams = _mixed(grams + h[j : j + n])
-        weight += h[j : j + n] & np.uint64(31)
-    whole = line_of[:n] == line_of[SHINGLE - 1 :] if n else np.zeros(0, bool)
-    grams, weight, line_of = grams[whole], weight[whole], line_of[:n][whole]
+        grams = _mixed(grams + h[whole + j])
+    line_of = line_of[whole]
+    key = grams >> np.uint64(28)
+    if weights is not None:
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weights[h & np.uint64(BUCKETS - 1)], dtype=np.uint64)])
+        key |= (sums[whole + SHINGLE] - sums[whole]) << np.uint64(36)
     if len(lines) < 1 << 20:
-        order = np.argsort((line_of.astype(np.uint64) << np.uint64(44)) | (weight << np.uint64(36)) | (grams >> np.uint64(28)))
+        order = np.argsort(key | (line_of.astype(np.uint64) << np.uint64(44)))
     else:
-        order = np.lexsort((grams >> np.uint64(28), weight, line_of))
+        order = np.lexsort((key, line_of))
     grams, line_of = grams[order], line_of[order]
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (line_of[1:] != line_of[:-1])
@@ -101,8 +90,8 @@ def _prefixes(line_of: np.ndarray, n_lines: int, num: int, den: int) -> np.ndarr
     return place < (sizes + (-num * sizes // den) + 1)[line_of]
 
 
-def _split(text: str | None) -> list[bytes]:
-    return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split(b"\n")
+def _split(text: bytes | None) -> list[bytes]:
+    return [] if text is None else text.lower().split(b"\n")
 
 
 _SIGNED = "doc_id long, lines array<long>, node long, signs array<long>, roots array<long>"
@@ -125,9 +114,9 @@ def _signed(num: int, den: int, sent: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 4 << 20):
-            split = [_split(t) for t in batch.column(1).to_pylist()]
+            split = [_split(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             lines = [len(x) for x in split]
-            line_of, grams, live = _line_grams([x for own in split for x in own], _hashes(sent))
+            line_of, grams, live = _line_grams([x for own in split for x in own], sent.value)
             nodes = _line_nodes(line_of, grams, len(live))
             offsets = pa.array(np.concatenate([[0], np.cumsum(lines)]), pa.int32())
             of_doc = pa.ListArray.from_arrays(offsets, pa.array(nodes.view(np.int64), mask=~live))
@@ -160,27 +149,27 @@ def _signed(num: int, den: int, sent: Broadcast):
     return run
 
 
-def _wanted_sets(sent: Broadcast):
-    """(doc_id, text, wanted: list of (line_no, node)) -> (node, grams) of the wanted lines."""
-    batch_text = 1
+_SETS = "cluster long, blocks long, block long, is_pivot boolean, doc_id long, line_no int, node long, grams binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, batch_text, 4 << 20):
-            lines, expected = [], []
-            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-                own = _split(text)
-                for w in wanted:
-                    if w["line_no"] < len(own):
-                        lines.append(own[w["line_no"]])
-                        expected.append(w["node"])
-            line_of, grams, live = _line_grams(lines, _hashes(sent))
-            nodes = _line_nodes(line_of, grams, len(live)).view(np.int64)
-            same = nodes == np.array(expected, np.int64)  # else another text under the same id
-            low, high = np.searchsorted(line_of, np.arange(len(live))), np.searchsorted(line_of, np.arange(len(live)), "right")
-            kept = np.flatnonzero(same)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[kept]), pa.array([grams[low[i] : high[i]].tobytes() for i in kept], pa.binary())], ["node", "grams"])
 
-    return run
+def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, wanted: list of lines with their cluster and block) -> the lines' columns and their sets."""
+    for batch in slices(batches, 1, 4 << 20):
+        lines, wanted = [], []
+        for text, asked in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist()):
+            own = _split(text)
+            for w in asked:
+                if w["line_no"] < len(own):
+                    lines.append(own[w["line_no"]])
+                    wanted.append(w)
+        line_of, grams, live = _line_grams(lines, None)
+        nodes = _line_nodes(line_of, grams, len(live)).view(np.int64)
+        ends = np.searchsorted(line_of, np.arange(len(live) + 1))
+        kept = [i for i, w in enumerate(wanted) if nodes[i] == w["node"]]  # else another text under the same id
+        columns = {k: [wanted[i][k] for i in kept] for k in ("cluster", "blocks", "block", "is_pivot", "doc_id", "line_no", "node")}
+        columns["grams"] = [grams[ends[i] : ends[i + 1]].tobytes() for i in kept]
+        kinds = {"is_pivot": pa.bool_(), "line_no": pa.int32(), "grams": pa.binary()}
+        yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in columns.items()], list(columns))
 
 
 def match_block(places: list[tuple], sets: list[np.ndarray], asks: list[bool] | None, num: int, den: int) -> list[bool]:
@@ -256,26 +245,22 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     them. An empty table gives no rows; other columns are ignored. Shingles and sets are compared by 64-bit hashes.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sent = documents.sparkSession.sparkContext.broadcast(frequent_words(docs))
+    sent = documents.sparkSession.sparkContext.broadcast(word_rarity(docs))
     signed = stage(docs.mapInArrow(_signed(num, den, sent), _SIGNED), "line-signs")
-    of_docs, sets = signed.where("node IS NULL"), signed.where("node IS NOT NULL")
+    of_docs, sets = stage(signed.where("node IS NULL").select("doc_id", "lines"), "line-nodes"), signed.where("node IS NOT NULL")
     places = of_docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode("lines").alias("line_no", "node")).where("node IS NOT NULL")
     first = stage(places.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n")), "line-places")
 
     held = sets.select("node", F.explode("signs").alias("sign"))
     edges = held.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("sign")).alias("b"))
     clusters = connected_components(edges.union(sets.select("node", F.explode("roots"))), "line-clusters").withColumnRenamed("component", "cluster")
-    members = clusters.join(first, "node").select("node", "cluster", "at.doc_id", "at.line_no")
+    unstage(signed)
+    members = stage(clusters.join(first, "node").select("node", "cluster", "at.doc_id", "at.line_no"), "line-members")
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / block_lines).alias("blocks"), F.min(F.struct("doc_id", "line_no", "node")).alias("pivot"))
-    members = stage(
-        members.join(sizes, "cluster").select(
-            "node", "cluster", "doc_id", "line_no", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"), (F.col("node") == F.col("pivot.node")).alias("is_pivot")
-        ),
-        "line-members",
-    )
-    wanted = members.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "node")).alias("wanted"))
-    grams = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(_wanted_sets(sent), "node long, grams binary")
-    lines = stage(members.join(grams, "node"), "line-sets")
+    wanted = members.join(sizes, "cluster").withColumns({"block": F.pmod(F.xxhash64("node"), "blocks"), "is_pivot": F.col("node") == F.col("pivot.node")})
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "blocks", "block", "is_pivot", "doc_id", "line_no", "node")).alias("wanted"))
+    texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted")
+    lines = stage(texts.mapInArrow(_wanted_sets, _SETS), "line-sets")
     zero = F.lit(0).cast("long")
     plain = lines.select("cluster", "block", zero.alias("chunk"), "node", "doc_id", "line_no", "grams", F.lit(False).alias("asks"), "blocks", "is_pivot")
     every = F.explode(F.sequence(zero, F.col("blocks") - 1))

@@ -6,9 +6,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 
-from ..staging import new_path, shared_dir, stage
+from ..staging import new_path, shared_dir, stage, unstage
 
-__all__ = ["new_path", "shared_dir", "slices", "stage"]
+__all__ = ["new_path", "shared_dir", "slices", "stage", "unstage"]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
