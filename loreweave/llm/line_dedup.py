@@ -20,38 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .ngram_join import _ODD, _mixed, _word_hashes
+from .ngram_join import _ODD, BUCKETS, _hashed, _mixed, word_rarity
 from .scratch import slices, stage, unstage
 
 SHINGLE = 5
 
 
-BUCKETS = 1 << 16
-
-
-def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in slices(batches, 0, 4 << 20):
-        texts = [t for t in batch.column(0).cast(pa.binary()).to_pylist() if t]
-        words = b"\n".join(texts).lower().split()
-        total += np.bincount(_hashed(words) & np.uint64(BUCKETS - 1), minlength=BUCKETS)
-    held = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held])], ["bucket", "n"])
-
-
-def word_rarity(docs: DataFrame) -> np.ndarray:
-    """Weight (bits of the count, at most 31) of each of 65,536 hash buckets of words, counted over all documents.
-    The table is what is broadcast; words that share a bucket only change the order of shingles, never a result."""
-    counts = docs.select("text").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    weights = np.zeros(BUCKETS, np.uint8)
-    weights[counts["bucket"].to_numpy(np.int64)] = np.minimum(31, np.ceil(np.log2(counts["n"].to_numpy(np.float64) + 1)))
-    return weights
-
-
-def _hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
-
-
 def _line_grams(lines: list[bytes], weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line of each distinct shingle, shingle, True for lines that take part); in each line rarest first, or by value
     where no weights are given."""

@@ -71,9 +71,9 @@ def brute_components(rows, k, num, den):
     return {rows[i][0]: (len(sets[i]), rows[find(i)][0]) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("k, num, block", [(3, 90, 2048), (3, 90, 3), (5, 80, 2048), (5, 80, 2)])
-def test_ngram_components_equal_brute_force(spark, corpus, k, num, block):
-    found = ngram_join.ngram_components(docs(spark, corpus), words=k, num=num, block_docs=block).collect()
+@pytest.mark.parametrize("k, num, block, rare", [(3, 90, 2048, False), (3, 90, 3, True), (5, 80, 2048, True), (5, 80, 2, False)])
+def test_ngram_components_equal_brute_force(spark, corpus, k, num, block, rare):
+    found = ngram_join.ngram_components(docs(spark, corpus), words=k, num=num, block_docs=block, by_rarity=rare).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(corpus, k, num, 100)
 
 
