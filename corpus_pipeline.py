@@ -22,7 +22,7 @@ def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near-duplicate groups (five-word shingles, Jaccard of 0.8 or more): the smallest id of each stays."""
-    groups = ngram_join.ngram_components(docs, words=5, num=80, den=100)
+    groups = ngram_join.ngram_components(docs, words=5, num=80, den=100, by_rarity=True)
     others = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(others.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left_anti")
 
