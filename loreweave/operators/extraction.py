@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -113,3 +113,27 @@ def evidence_score(queries: DataFrame, evidence: DataFrame) -> DataFrame:
     best = rows.withColumn("place", place).where("place <= 3").withColumn("n", F.count("*").over(Window.partitionBy("edge_id")))
     weight = F.when(F.col("n") == 1, 1.0).when(F.col("n") == 2, F.get(F.array(F.lit(0.6), F.lit(0.4)), F.col("place") - 1)).otherwise(F.get(F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2)), F.col("place") - 1))
     return best.groupBy("edge_id").agg(F.round(F.sum(F.col("s") * weight), 6).alias("score"))
+
+
+def clamp_provenance(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between new nodes of one event count as EXTRACTED; reasons under 20 bytes make any edge AMBIGUOUS."""
+    end = lambda c, name: nodes.select(P, F.col("id").alias(c), F.col("event_id").alias(name))
+    rows = edges.join(end("source_node_id", "a"), [P, "source_node_id"], "left").join(end("target_node_id", "b"), [P, "target_node_id"], "left")
+    short = F.octet_length(F.trim("reasoning")) < 20
+    return rows.withColumn("provenance", F.when(short, "AMBIGUOUS").when(F.col("a") == F.col("b"), "EXTRACTED").otherwise(F.col("provenance"))).drop("a", "b")
+
+
+def attribute_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(project_id, batch, ...) edges and new nodes with their event's position -> edges with the position of the earliest
+    event that owns an end, else of the batch's first event with a node; edges of batches without nodes go."""
+    keys = [P, "batch"]
+    end = lambda c, name: nodes.select(*keys, F.col("id").alias(c), F.col("position").alias(name))
+    first = nodes.groupBy(*keys).agg(F.min("position").alias("first"))
+    rows = edges.join(end("source_node_id", "a"), [*keys, "source_node_id"], "left").join(end("target_node_id", "b"), [*keys, "target_node_id"], "left")
+    return rows.join(first, keys).withColumn("position", F.coalesce(F.least("a", "b"), "first")).drop("a", "b", "first")
+
+
+def split_sentences_eval(text: Column, least: int = 6, most: int = 12) -> Column:
+    """The first sentences of six words or more; line feeds count as spaces."""
+    parts = F.transform(F.split(F.regexp_replace(text, "\n", " "), r"(?<=[.!?])\s+"), lambda s: F.trim(s))
+    return F.slice(F.filter(parts, lambda s: F.size(F.split(s, r"\s+")) >= least), 1, most)

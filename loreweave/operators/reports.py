@@ -90,3 +90,10 @@ def answer_sections(trace: DataFrame, nodes: DataFrame, inside: DataFrame, most:
     parts = rows.groupBy(*key, section.alias("section")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
     title = F.element_at(F.array(F.lit("Decisions"), F.lit("Rules"), F.lit("Open items")), F.col("section"))
     return parts.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", F.concat(title, F.lit("\n"), "body").alias("t")))), lambda x: x["t"]), "\n\n").alias("answer"))
+
+
+def export_summary_markdown(nodes: DataFrame, debts: DataFrame) -> DataFrame:
+    """(project_id, section, seq, line): Markdown lines of decisions and risks, to be written ordered by section and seq."""
+    decisions = nodes.where("node_type = 'Decision'").select(P, F.lit("1 Decisions").alias("section"), "seq", F.format_string("- **%s** (%s)", "label", "status").alias("line"))
+    risks = debts.select(P, F.lit("2 Risks").alias("section"), "seq", F.format_string("- [%s] %s", "severity", "label").alias("line"))
+    return decisions.union(risks)

@@ -75,3 +75,17 @@ def hybrid_topk(first: DataFrame, second: DataFrame, n: int = 5, rrf: bool = Fal
     best = rows.groupBy("question_id", P, "id").agg(F.min(F.struct("source", "rank")).alias("o"))
     rank = F.row_number().over(Window.partitionBy("question_id", P).orderBy("o", "id"))
     return best.select("question_id", P, "id", rank.alias("rank")).where(F.col("rank") <= n)
+
+
+def filter_candidate_ids(answers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(project_id, question_id, ids) -> (project_id, question_id, place, id): named nodes that exist; place keeps the order."""
+    each = answers.select(P, "question_id", F.posexplode("ids").alias("place", "id"))
+    return each.join(nodes.select(P, "id"), [P, "id"], "left_semi").select(P, "question_id", "place", "id")
+
+
+def embedding_index_maintain(index: DataFrame, changed: DataFrame, removed: DataFrame) -> DataFrame:
+    """(project_id, id, text) index rows after changed nodes (the last write of an id wins) and removed ids."""
+    text = F.concat_ws(" ", "label", "description", "node_type", "agent_id")
+    fresh = changed.groupBy(P, "id").agg(F.max_by(text, "seq").alias("text"))
+    kept = index.join(fresh, [P, "id"], "left_anti").select(P, "id", "text").union(fresh)
+    return kept.join(removed.select(P, "id"), [P, "id"], "left_anti")

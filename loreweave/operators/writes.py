@@ -64,3 +64,13 @@ def upsert_latest(rows: DataFrame) -> DataFrame:
     """Last write of an id wins."""
     last = F.row_number().over(Window.partitionBy(P, "id").orderBy(F.col("seq").desc()))
     return rows.withColumn("place", last).where("place = 1").drop("place")
+
+
+def apply_resolve(commands: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(project_id, seq, resolver, question, reasoning) -> Resolves edges; commands without both nodes make none."""
+    for end in ("resolver", "question"):
+        commands = commands.join(nodes.select(P, F.col("id").alias(end)), [P, end], "left_semi")
+    return commands.select(
+        P, "seq", F.concat("resolver", F.lit(">"), "question").alias("id"), F.lit("Resolves").alias("edge_type"),
+        F.col("resolver").alias("source_node_id"), F.col("question").alias("target_node_id"), "reasoning",
+    )

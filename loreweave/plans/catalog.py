@@ -16,6 +16,7 @@ from ..operators import graph as gr
 from ..operators import reports as rp
 from ..operators import retrieval as rt
 from ..operators import scans as sc
+from ..operators import studies as st
 from ..operators import writes as wr
 from ..sources import fixtures as fx
 from ..sources import readers as rd
@@ -850,3 +851,100 @@ def windowed_activity(spark: SparkSession, d: str) -> DataFrame:
     ts = fx.table(spark, d, "events").select(F.concat(F.lit("t"), "event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
     rows = streams.windowed_activity(fx.tool_events(spark, d).join(ts, "id"))
     return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "tool_name", "n")
+
+
+# Writes, gates and studies
+
+
+@query("""SELECT concat(a.id, '>', b.id) AS id, a.id AS source_node_id, b.id AS target_node_id FROM fx_nodes a JOIN fx_nodes b ON b.seq = a.seq - 1""")
+def apply_resolve(spark: SparkSession, d: str) -> DataFrame:
+    nodes = fx.nodes(spark, d)
+    commands = nodes.selectExpr("project_id", "seq", "id AS resolver", "concat('c', floor((seq - 1) / 100), '-', (seq - 1) % 100) AS question", "'asked' AS reasoning")
+    return wr.apply_resolve(commands, nodes).select("id", "source_node_id", "target_node_id")
+
+
+@query("SELECT seq AS question_id, CAST(0 AS INTEGER) AS place, id FROM fx_nodes UNION ALL SELECT b.seq, CAST(2 AS INTEGER), a.id FROM fx_nodes a JOIN fx_nodes b ON a.seq = b.seq - 1")
+def filter_candidate_ids(spark: SparkSession, d: str) -> DataFrame:
+    nodes = fx.nodes(spark, d)
+    answers = nodes.selectExpr("project_id", "seq AS question_id", "array(id, 'nothing', concat('c', floor((seq - 1) / 100), '-', (seq - 1) % 100)) AS ids")
+    return rt.filter_candidate_ids(answers, nodes).drop("project_id")
+
+
+@query("""SELECT id, concat_ws(' ', label, description, node_type, agent_id, CASE WHEN seq % 7 = 0 THEN 'v2' END) AS text FROM fx_nodes WHERE seq % 17 <> 0""")
+def embedding_index_maintain(spark: SparkSession, d: str) -> DataFrame:
+    nodes = fx.nodes(spark, d)
+    index = nodes.select("project_id", "id", F.concat_ws(" ", "label", "description", "node_type", "agent_id").alias("text"))
+    changed = nodes.where("seq % 7 = 0").withColumn("agent_id", F.concat_ws(" ", "agent_id", F.lit("v2")))
+    return rt.embedding_index_maintain(index, changed, nodes.where("seq % 17 = 0")).drop("project_id")
+
+
+@query("""SELECT e.id, CASE WHEN e.seq % 2 = 1 THEN 'AMBIGUOUS' WHEN a.session_id = b.session_id THEN 'EXTRACTED' ELSE 'INFERRED' END AS provenance
+FROM fx_edges e JOIN fx_nodes a ON a.id = source_node_id JOIN fx_nodes b ON b.id = target_node_id""")
+def clamp_provenance(spark: SparkSession, d: str) -> DataFrame:
+    edges = fx.edges(spark, d).selectExpr("*", "'INFERRED' AS provenance").withColumn("reasoning", F.expr("CASE WHEN seq % 2 = 1 THEN 'short' ELSE 'because of what was said before' END"))
+    return ex.clamp_provenance(edges, fx.nodes(spark, d).withColumn("event_id", F.col("session_id"))).select("id", "provenance")
+
+
+@query("""f AS (SELECT session_id, min(seq) AS first FROM fx_nodes WHERE seq % 3 <> 0 GROUP BY session_id), m AS (SELECT * FROM fx_nodes WHERE seq % 3 <> 0)
+SELECT e.id, coalesce(least(a.seq, b.seq), f.first) AS position FROM fx_edges e JOIN fx_nodes n ON n.id = source_node_id JOIN f ON f.session_id = n.session_id
+LEFT JOIN m a ON a.id = source_node_id LEFT JOIN m b ON b.id = target_node_id AND b.session_id = n.session_id""")
+def attribute_edges(spark: SparkSession, d: str) -> DataFrame:
+    nodes = fx.nodes(spark, d).selectExpr("project_id", "session_id AS batch", "id", "seq AS position")
+    edges = fx.edges(spark, d).join(nodes.selectExpr("project_id", "batch", "id AS source_node_id"), ["project_id", "source_node_id"])
+    return ex.attribute_edges(edges, nodes.where("position % 3 <> 0")).select("id", "position")
+
+
+@query()
+def split_sentences_eval(spark: SparkSession, d: str) -> DataFrame:
+    return fx.utterances(spark, d).select("id", F.posexplode(ex.split_sentences_eval(F.col("text"))).alias("idx", "sentence"))
+
+
+@query("""SELECT project_id, section, seq, line FROM (
+SELECT 'p0' AS project_id, '1 Decisions' AS section, seq, concat('- **', label, '** (', status, ')') AS line FROM fx_nodes WHERE node_type = 'Decision'
+UNION ALL SELECT 'p0', '2 Risks', seq, concat('- [High] ', label) FROM fx_nodes WHERE node_type = 'OpenItem')""")
+def export_summary_markdown(spark: SparkSession, d: str) -> DataFrame:
+    nodes = fx.nodes(spark, d)
+    return rp.export_summary_markdown(nodes, nodes.where("node_type = 'OpenItem'").withColumn("severity", F.lit("High")))
+
+
+@query("SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN NULL ELSE CASE conv_id % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'lines' END END AS format FROM conversations")
+def sniff_record_format(spark: SparkSession, d: str) -> DataFrame:
+    text = F.expr("CASE WHEN trim(text) = '' THEN '' WHEN conv_id % 3 = 0 THEN to_json(array(text)) WHEN conv_id % 3 = 1 THEN concat('1: a\n\n2: ', conv_id) ELSE concat('x\n1: ', turn) END")
+    return fx.table(spark, d, "conversations").select("conv_id", "turn", st.sniff_record_format(text, r"^\d+: .+").alias("format"))
+
+
+@query("""l AS (SELECT conv_id, lower(text) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS p FROM conversations WHERE role = 'assistant'),
+s AS (SELECT conv_id, bool_or(contains(t, 'er')) AS j, bool_or(contains(t, 'un')) AS l FROM l WHERE p <= 2 GROUP BY conv_id)
+SELECT conv_id AS session_id, CASE WHEN j AND l THEN 'both' WHEN j THEN 'json' WHEN l THEN 'lines' END AS choice FROM s""")
+def stated_choice(spark: SparkSession, d: str) -> DataFrame:
+    turns = fx.table(spark, d, "conversations").withColumnRenamed("conv_id", "session_id")
+    return st.stated_choice(turns, ["er"], ["un"])
+
+
+@query("""o AS (SELECT conv_id * 100 + turn AS pair, CASE (conv_id + turn) % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'lines' END AS f1, CASE turn % 2 WHEN 0 THEN 'json' ELSE 'lines' END AS f2 FROM conversations),
+v AS (SELECT pair, CASE WHEN f1 IS NOT NULL THEN CASE WHEN f1 = f2 THEN 'PASS' ELSE 'FAIL' END WHEN pair % 5 = 0 THEN 'PASS' ELSE 'UNCLEAR' END AS cross_session, CASE WHEN pair % 4 = 0 THEN 'UNCLEAR' WHEN f2 = 'json' THEN 'PASS' ELSE 'FAIL' END AS in_session FROM o)
+SELECT *, cross_session = 'PASS' AND in_session = 'PASS' AS consistent FROM v""")
+def consistency_verdict(spark: SparkSession, d: str) -> DataFrame:
+    seen = fx.table(spark, d, "conversations").selectExpr(
+        "conv_id * 100 + turn AS pair", "CASE (conv_id + turn) % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'lines' END AS format1", "CASE turn % 2 WHEN 0 THEN 'json' ELSE 'lines' END AS format2",
+        "CASE WHEN (conv_id * 100 + turn) % 4 <> 0 THEN 'json' END AS export_format", "CASE WHEN (conv_id * 100 + turn) % 5 = 0 THEN 'json' ELSE 'both' END AS choice1", "'json' AS choice2",
+    )
+    return st.consistency_verdict(seen)
+
+
+def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two versions of a file per turn; the later one is stored in toml where seq % 4 = 1."""
+    rows = fx.nodes(spark, d)
+    text = "concat('# Backend: ', CASE WHEN seq % {0} = 1 THEN 'toml' ELSE 'json' END, ' config = env\n', label, CASE WHEN seq % {1} = 0 THEN '\nimport sqlite3' ELSE '' END) AS text"
+    return rows.selectExpr("project_id", "id AS path", text.format(1000000, 6)), rows.selectExpr("project_id", "id AS path", text.format(4, 3))
+
+
+@query("SELECT id AS path, 'backend' AS key, 'json' AS before, 'toml' AS after FROM fx_nodes WHERE seq % 4 = 1 AND seq % 1000000 <> 1")
+def decision_flips(spark: SparkSession, d: str) -> DataFrame:
+    return st.decision_flips(*_versions(spark, d), ["backend", "config"]).drop("project_id")
+
+
+@query("SELECT id AS path, 'database import' AS rule FROM fx_nodes WHERE seq % 3 = 0 AND seq % 6 <> 0")
+def forbidden_pattern_scan(spark: SparkSession, d: str) -> DataFrame:
+    rules = {"database import": r"(?m)^import sqlite3\b", "timestamp": r"\d{4}-\d\d-\d\dT\d\d:\d\d"}
+    return st.forbidden_pattern_scan(*_versions(spark, d), rules).drop("project_id")
