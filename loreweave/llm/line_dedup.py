@@ -10,7 +10,6 @@ first line; lines still without a match are then searched against the other bloc
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,34 +19,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .ngram_join import _ODD, BUCKETS, _hashed, _mixed, word_rarity
+from .ngram_join import BUCKETS, word_rarity
 from .scratch import slices, stage, unstage
+from .words import ODD, mixed, word_hashes
 
 SHINGLE = 5
+_LINES = 4096
 
 
-def _line_grams(lines: list[bytes], weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line of each distinct shingle, shingle, True for lines that take part); in each line rarest first, or by value
-    where no weights are given."""
-    words: list[bytes] = []
-    lengths = np.zeros(len(lines), np.int64)
-    for i, line in enumerate(lines):
-        found = line.split()
-        lengths[i] = len(found)
-        words += found
-    h = _hashed(words)
-    line_of = np.repeat(np.arange(len(lengths)), lengths)
+def _line_grams(text: bytes, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line of each distinct shingle, shingle, True for lines that take part) of a lower-cased text; in each line
+    rarest first, or by value where no weights are given."""
+    h, starts = word_hashes(text)
+    ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
+    line_of = np.searchsorted(ends, starts)
+    n_lines = len(ends) + 1
+    lengths = np.bincount(line_of, minlength=n_lines)
     n = max(0, len(h) - SHINGLE + 1)
     whole = np.flatnonzero(line_of[:n] == line_of[SHINGLE - 1 :]) if n else np.zeros(0, np.int64)
     grams = np.zeros(len(whole), np.uint64)
     for j in range(SHINGLE):
-        grams = _mixed(grams + h[whole + j])
+        grams = mixed(grams + h[whole + j])
     line_of = line_of[whole]
     key = grams >> np.uint64(28)
     if weights is not None:
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weights[h & np.uint64(BUCKETS - 1)], dtype=np.uint64)])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weights[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], dtype=np.uint64)])
         key |= (sums[whole + SHINGLE] - sums[whole]) << np.uint64(36)
-    if len(lines) < 1 << 20:
+    if n_lines < 1 << 20:
         order = np.argsort(key | (line_of.astype(np.uint64) << np.uint64(44)))
     else:
         order = np.lexsort((key, line_of))
@@ -64,10 +62,6 @@ def _prefixes(line_of: np.ndarray, n_lines: int, num: int, den: int) -> np.ndarr
     return place < (sizes + (-num * sizes // den) + 1)[line_of]
 
 
-def _split(text: bytes | None) -> list[bytes]:
-    return [] if text is None else text.lower().split(b"\n")
-
-
 _SIGNED = "doc_id long, lines array<long>, node long, signs array<long>, roots array<long>"
 _SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("lines", pa.list_(pa.int64())), ("node", pa.int64()), ("signs", pa.list_(pa.int64())), ("roots", pa.list_(pa.int64()))])
 
@@ -77,7 +71,7 @@ def _line_nodes(line_of: np.ndarray, grams: np.ndarray, n_lines: int) -> np.ndar
     nodes = np.zeros(n_lines, np.uint64)
     if len(grams):
         first = np.flatnonzero(np.concatenate([[True], line_of[1:] != line_of[:-1]]))
-        nodes[line_of[first]] = _mixed(np.add.reduceat(_mixed(grams ^ _ODD), first)) | np.uint64(1)
+        nodes[line_of[first]] = mixed(np.add.reduceat(mixed(grams ^ ODD), first)) | np.uint64(1)
     return nodes
 
 
@@ -88,9 +82,10 @@ def _signed(num: int, den: int, sent: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 4 << 20):
-            split = [_split(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            lines = [len(x) for x in split]
-            line_of, grams, live = _line_grams([x for own in split for x in own], sent.value)
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            lines = [0 if t is None else t.count(b"\n") + 1 for t in texts]
+            line_of, grams, live = _line_grams(b"\n".join(t for t in texts if t is not None).lower(), sent.value)
+            live = live[: sum(lines)]
             nodes = _line_nodes(line_of, grams, len(live))
             offsets = pa.array(np.concatenate([[0], np.cumsum(lines)]), pa.int32())
             of_doc = pa.ListArray.from_arrays(offsets, pa.array(nodes.view(np.int64), mask=~live))
@@ -131,12 +126,13 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 1, 4 << 20):
         lines, wanted = [], []
         for text, asked in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist()):
-            own = _split(text)
+            own = [] if text is None else text.split(b"\n")
             for w in asked:
                 if w["line_no"] < len(own):
                     lines.append(own[w["line_no"]])
                     wanted.append(w)
-        line_of, grams, live = _line_grams(lines, None)
+        line_of, grams, live = _line_grams(b"\n".join(lines).lower(), None)
+        live = live[: len(lines)]
         nodes = _line_nodes(line_of, grams, len(live)).view(np.int64)
         ends = np.searchsorted(line_of, np.arange(len(live) + 1))
         kept = [i for i, w in enumerate(wanted) if nodes[i] == w["node"]]  # else another text under the same id
@@ -146,64 +142,129 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in columns.items()], list(columns))
 
 
-def match_block(places: list[tuple], sets: list[np.ndarray], asks: list[bool] | None, num: int, den: int) -> list[bool]:
-    """PPJoin: for each line whether one at a smaller place is as similar as num / den. asks: only those lines, against the rest."""
-    seen: dict[int, int] = {}
-    for s in sets:
-        for x in s.tolist():
-            seen[x] = seen.get(x, 0) + 1
-    ordered = [sorted(s.tolist(), key=lambda x: (seen[x], x)) for s in sets]
-    matched = [False] * len(sets)
-    index: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for x in sorted(range(len(sets)), key=lambda i: (len(ordered[i]), places[i])):
-        own = ordered[x]
-        n = len(own)
-        prefix = n - -(-num * n // den) + 1
-        shared: dict[int, int] = {}
-        for i, token in enumerate(own[:prefix]):
-            for y, j in index[token]:
-                m = len(ordered[y])
-                later = x if places[y] < places[x] else y
-                if den * m < num * n or matched[later] or (asks is not None and (asks[x] == asks[y] or not asks[later])):
-                    continue  # length filter; nothing left to decide
-                need = -(-num * (n + m) // (num + den))
-                count = shared.get(y, 0)
-                if count >= 0:  # positional filter
-                    shared[y] = count + 1 if count + 1 + min(n - i - 1, m - j - 1) >= need else -1
-            index[token].append((x, i))
-        whole = None
-        for y, count in shared.items():
-            later = x if places[y] < places[x] else y
-            if count > 0 and not matched[later]:
-                whole = whole or set(own)
-                both = sum(t in whole for t in ordered[y])
-                matched[later] = (num + den) * both >= num * (n + len(ordered[y]))
+_PROBES = 1 << 20
+
+
+def _runs(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... for each i, counts[i] of them."""
+    ends = np.cumsum(counts)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+def _portions(costs: np.ndarray) -> list[np.ndarray]:
+    """The indexes, in portions of about _PROBES together, one at least."""
+    return np.split(np.arange(len(costs)), np.flatnonzero(np.diff(np.cumsum(costs) // _PROBES)) + 1) if len(costs) else []
+
+
+def match_blocks(group: np.ndarray, places: np.ndarray, sets: list[np.ndarray], asks: np.ndarray, num: int, den: int) -> np.ndarray:
+    """PPJoin over many blocks at once: for each line whether one of its group at a smaller place is as similar as
+    num / den. In a group in which some ask, only those are searched, against the rest.
+
+    The group's first line is compared with all others before; what it matches is decided. places: ranks, all different.
+    """
+    n_rows = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    row = np.repeat(np.arange(n_rows), size)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    asked = np.zeros(int(group.max(initial=0)) + 1, bool)
+    asked[group[asks]] = True
+    seeks = asks | ~asked[group]
+
+    order = np.lexsort((flat, group[row]))
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[order][1:] != flat[order][:-1]) | (np.diff(group[row[order]]) != 0)
+    token = np.empty(len(flat), np.int64)
+    token[order] = np.cumsum(new) - 1  # of its group
+    seen = np.bincount(token)
+    begin = np.cumsum(size) - size
+    held = np.sort(row * np.int64(len(seen)) + token)
+
+    def overlap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int64)
+        for part in _portions(size[x]):
+            probe = y[part].repeat(size[x[part]]) * np.int64(len(seen)) + token[_runs(begin[x[part]], size[x[part]])]
+            at = np.minimum(np.searchsorted(held, probe), len(held) - 1)
+            out[part] = np.bincount(np.repeat(np.arange(len(part)), size[x[part]])[held[at] == probe], minlength=len(part))
+        return out
+
+    def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (num + den) * overlap(x, y) >= num * (size[x] + size[y])
+
+    matched = np.zeros(n_rows, bool)
+    by_place = np.lexsort((places, asks, group))
+    head = by_place[np.concatenate([[True], np.diff(group[by_place]) != 0])] if n_rows else by_place
+    first = np.zeros(len(asked), np.int64)
+    first[group[head]] = head
+    first = first[group]
+    x = np.flatnonzero(seeks & ~asks[first] & (places > places[first]))
+    matched[x] = alike(x, first[x])
+
+    order = np.lexsort((token, seen[token], row))
+    token, place_in = token[order], np.arange(len(row)) - begin[row]
+    prefix = place_in < (size - -(-num * size // den) + 1)[row]
+    p_row, p_token, p_at = row[prefix], token[prefix], place_in[prefix]
+    index = np.argsort(p_token[~asks[p_row]], kind="stable")
+    listed = np.flatnonzero(~asks[p_row])[index]
+    low = np.searchsorted(p_token[listed], p_token)
+    length = np.searchsorted(p_token[listed], p_token, "right") - low
+    probing = np.flatnonzero((seeks & ~matched)[p_row])
+    for part in _portions(length[probing]):
+        mine = probing[part]
+        other = listed[_runs(low[mine], length[mine])]
+        mine = np.repeat(mine, length[mine])
+        x, y = p_row[mine], p_row[other]
+        rest = np.minimum(size[x] - p_at[mine], size[y] - p_at[other]) + np.minimum(p_at[mine], p_at[other])  # positional filter
+        near = (places[y] < places[x]) & (den * np.minimum(size[x], size[y]) >= num * np.maximum(size[x], size[y])) & ~matched[x]
+        near &= (num + den) * rest >= num * (size[x] + size[y])
+        pairs = np.unique(x[near] * np.int64(n_rows) + y[near])
+        x, y = pairs // max(1, n_rows), pairs % max(1, n_rows)
+        matched[x[alike(x, y)]] = True
     return matched
 
 
+_KEYS = ("cluster", "block", "chunk")
+
+
 def _matched(num: int, den: int):
-    def flush(rows: list[dict]) -> pa.RecordBatch:
-        rows = list({r["node"]: r for r in rows}.values())
-        asks = [r["asks"] for r in rows]
-        found = match_block([(r["doc_id"], r["line_no"]) for r in rows], [np.frombuffer(r["grams"], np.uint64) for r in rows], asks if any(asks) else None, num, den)
-        return pa.RecordBatch.from_arrays([pa.array([r["node"] for r in rows], pa.int64()), pa.array(found, pa.bool_())], ["node", "matched"])
+    """Batches sorted by block -> whether each line is matched in its block. Blocks are searched some thousand lines at once."""
+
+    def flush(table: pa.Table) -> pa.RecordBatch:
+        column = lambda k: table.column(k).to_numpy()
+        keys = np.stack([column(k) for k in _KEYS])
+        group = np.cumsum(np.concatenate([[0], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+        places = np.empty(table.num_rows, np.int64)
+        places[np.lexsort((column("line_no"), column("doc_id")))] = np.arange(table.num_rows)
+        order = np.lexsort((places, column("node"), group))  # a line set once in each block
+        node = column("node")[order]
+        keep = np.sort(order[np.concatenate([[True], (np.diff(node) != 0) | (np.diff(group[order]) != 0)])])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams").take(pa.array(keep))]
+        asks = column("asks").astype(bool)[keep]
+        found = match_blocks(group[keep], places[keep], sets, asks, num, den)
+        return pa.RecordBatch.from_arrays([pa.array(column("node")[keep]), pa.array(found)], ["node", "matched"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and any(held[0][k] != row[k] for k in ("cluster", "block", "chunk")):
-                    yield flush(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield flush(held)
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= _LINES:
+                table = pa.Table.from_batches(held)
+                keys = np.stack([table.column(k).to_numpy() for k in _KEYS])
+                ends = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0))
+                if len(ends):  # all but the last block are whole
+                    cut = int(ends[-1]) + 1
+                    yield flush(table.slice(0, cut))
+                    held = table.slice(cut).to_batches()
+                    rows -= cut
+        if rows:
+            yield flush(pa.Table.from_batches(held))
 
     return run
 
 
 def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
-    keys = ["cluster", "block", "chunk"]
+    keys = list(_KEYS)
     found = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_matched(num, den), "node long, matched boolean")
     return found.groupBy("node").agg(F.max("matched").alias("matched"))
 

@@ -27,28 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import slices, stage
-
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_ODD = np.uint64(0xC2B2AE3D27D4EB4F)
-_WORDS_KEPT = 1 << 18
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORDS_KEPT:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_word_hashes = _WordHashes()
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    x = (x ^ (x >> np.uint64(29))) * _ODD
-    return x ^ (x >> np.uint64(32))
-
+from .words import MIX, ODD, mixed, word_hashes
 
 BUCKETS = 1 << 16
 
@@ -57,8 +36,8 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     total = np.zeros(BUCKETS, np.int64)
     for batch in slices(batches, 0, 4 << 20):
         texts = [t for t in batch.column(0).cast(pa.binary()).to_pylist() if t]
-        words = b"\n".join(texts).lower().split()
-        total += np.bincount(_hashed(words) & np.uint64(BUCKETS - 1), minlength=BUCKETS)
+        h, _ = word_hashes(b"\n".join(texts).lower())
+        total += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
     held = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held])], ["bucket", "n"])
 
@@ -72,17 +51,13 @@ def word_rarity(docs: DataFrame) -> np.ndarray:
     return weights
 
 
-def _hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
-
-
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word n-grams; fewer words: the whole sequence as one."""
     return np.unique(_shingles(_text_words(text), words))
 
 
 def _text_words(text: str | None) -> np.ndarray:
-    return _hashed((text or "").encode("utf-8", "surrogatepass").lower().split())
+    return word_hashes((text or "").encode("utf-8", "surrogatepass").lower())[0]
 
 
 def _shingles(h: np.ndarray, words: int) -> np.ndarray:
@@ -92,7 +67,7 @@ def _shingles(h: np.ndarray, words: int) -> np.ndarray:
     k = min(words, n)
     acc = np.full(n - k + 1, k, np.uint64)
     for j in range(k):
-        acc = _mixed(acc + h[j : n - k + 1 + j])
+        acc = mixed(acc + h[j : n - k + 1 + j])
     return acc
 
 
@@ -134,7 +109,7 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     ends = _classes(num, den)
     c = int(np.searchsorted(ends, n, "right")) - 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(s), dtype=np.uint64)])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s), dtype=np.uint64)])
     out = []
     while c == 0 or ends[c] <= n or den * n >= num * int(ends[c]):
         d, cuts = _cuts(int(ends[c + 1]) - 1, num, den)
@@ -142,7 +117,7 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
         full = np.flatnonzero(at[1:] > at[:-1])
         kept = full if len(full) > d else np.arange(len(cuts))
         held = sums[at[kept + 1]] - sums[at[kept]]
-        out.append(_mixed(held + kept.astype(np.uint64) * _MIX + np.array([c + 1], np.uint64) * _ODD))
+        out.append(mixed(held + kept.astype(np.uint64) * MIX + np.array([c + 1], np.uint64) * ODD))
         c += 1
     return np.concatenate(out)
 
