@@ -4,7 +4,8 @@ A line is the set of its 5-word shingles. Equal sets are collapsed to their firs
 rarity, the sum of their words' rarities: counts over all documents by hash bucket, a table of fixed size. Lines that meet the threshold share a shingle of their
 prefixes in that order; lines that share one fall into the same candidate cluster. Inside a block of lines the join
 is PPJoin: tokens ordered by rarity in the block, an inverted index on prefixes, length and positional filters, then
-the Jaccard similarity itself. Clusters above block_lines are split into hashed blocks that all hold the cluster's
+the Jaccard similarity itself. Clusters above block_lines are first split by prefixes in the order of how many of
+their lines hold a shingle; those still above it, into hashed blocks that all hold the cluster's
 first line; lines still without a match are then searched against the other blocks.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .ngram_join import BUCKETS, word_rarity
+from .rarest import split_clusters
 from .scratch import slices, stage, unstage
 from .words import ODD, mixed, word_hashes
 
@@ -269,6 +271,12 @@ def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
     return found.groupBy("node").agg(F.max("matched").alias("matched"))
 
 
+def _in_blocks(lines: DataFrame, block_lines: int) -> DataFrame:
+    """(node, cluster, doc_id, line_no, ...) with the number of the cluster's blocks, the line's block and whether it is the first line."""
+    sizes = lines.groupBy("cluster").agg(F.ceil(F.count("*") / block_lines).alias("blocks"), F.min(F.struct("doc_id", "line_no", "node")).alias("pivot"))
+    return lines.join(sizes, "cluster").withColumns({"block": F.pmod(F.xxhash64("node"), "blocks"), "is_pivot": F.col("node") == F.col("pivot.node")})
+
+
 def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, block_lines: int = 2048) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) of every document; removed holds line numbers from 0, ascending.
 
@@ -291,11 +299,15 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     clusters = connected_components(edges.union(sets.select("node", F.explode("roots"))), "line-clusters").withColumnRenamed("component", "cluster")
     unstage(signed)
     members = stage(clusters.join(first, "node").select("node", "cluster", "at.doc_id", "at.line_no"), "line-members")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / block_lines).alias("blocks"), F.min(F.struct("doc_id", "line_no", "node")).alias("pivot"))
-    wanted = members.join(sizes, "cluster").withColumns({"block": F.pmod(F.xxhash64("node"), "blocks"), "is_pivot": F.col("node") == F.col("pivot.node")})
+    wanted = _in_blocks(members, block_lines)
     wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "blocks", "block", "is_pivot", "doc_id", "line_no", "node")).alias("wanted"))
     texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted")
     lines = stage(texts.mapInArrow(_wanted_sets, _SETS), "line-sets")
+    wide = lines.where("blocks > 1").drop("cluster", "blocks", "block", "is_pivot")
+    if not wide.isEmpty():
+        parts = split_clusters(wide.select(F.col("node").alias("key"), "grams"), num, den)
+        split = _in_blocks(wide.join(parts.withColumnRenamed("key", "node"), "node"), block_lines)
+        lines = lines.where("blocks = 1").union(stage(split.select(*lines.columns), "line-parts"))
     zero = F.lit(0).cast("long")
     plain = lines.select("cluster", "block", zero.alias("chunk"), "node", "doc_id", "line_no", "grams", F.lit(False).alias("asks"), "blocks", "is_pivot")
     every = F.explode(F.sequence(zero, F.col("blocks") - 1))
@@ -311,7 +323,7 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         )
         rest = wide.join(chunks, "cluster").withColumn("chunk", F.explode(F.sequence(zero, F.col("chunks") - 1)))
         columns = [c for c in plain.columns if c not in ("blocks", "is_pivot")]
-        matched = matched.union(_search(asks.select(columns).union(rest.select(columns)), num, den).where("matched"))
+        matched = matched.union(stage(_search(asks.select(columns).union(rest.select(columns)), num, den), "line-matches").where("matched"))
 
     decided = first.join(matched.select("node").distinct().withColumn("near", F.lit(True)), "node", "left").where("n > 1 OR near")
     gone = places.join(decided, "node").where("near OR at <> struct(doc_id, line_no)")
