@@ -10,7 +10,7 @@ all but d of the ranges of the hash space hold the same elements in both: a docu
 signatures, and documents that share one fall into the same candidate cluster. d depends on a size class; a set also
 signs for larger classes which it could still reach. A cluster above block_docs is split into hashed blocks:
 each block holds the cluster's pivot, and documents that the pivot's component leaves out are searched against
-all other blocks, so no link is lost and no group has to fit in one task.
+all other blocks (by_rarity splits it before by how many of its sets hold a shingle), so no link is lost and no group has to fit in one task.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .rarest import split_clusters
 from .scratch import slices, stage
 from .words import MIX, ODD, mixed, word_hashes
 
@@ -296,15 +297,17 @@ def ngram_components(
     # Equal sets are one document from here on.
     members = stage(signed.select("doc_id", "digest").where("digest IS NOT NULL AND doc_id IS NOT NULL").join(clusters, "doc_id"), "members")
     reps = members.groupBy("cluster", "digest").agg(F.min("doc_id").alias("doc_id"))
-    sizes = reps.groupBy("cluster").agg(F.count("*").alias("m"), F.min("doc_id").alias("pivot")).where("m > 1")
-    reps = reps.join(sizes, "cluster").select(
-        "doc_id", "digest", "cluster", F.ceil(F.col("m") / block_docs).alias("blocks"), (F.col("doc_id") == F.col("pivot")).alias("is_pivot")
-    )
-    reps = reps.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    reps = _in_blocks(reps, block_docs)
     sets = stage(
         docs.join(reps.hint("shuffle_hash"), "doc_id").mapInArrow(_sets(words), "doc_id long, cluster long, blocks long, is_pivot boolean, block long, grams binary"),
         "sets",
     )
+    if by_rarity:
+        wide = sets.where("blocks > 1")
+        if not wide.isEmpty():
+            parts = split_clusters(wide.select(F.col("doc_id").alias("key"), "grams"), num, den, halves=True).withColumnRenamed("key", "doc_id")
+            split = _in_blocks(wide.select("doc_id", "grams").join(parts, "doc_id"), block_docs)
+            sets = sets.where("blocks = 1").union(stage(split.select(*sets.columns), "parts"))
     plain = sets.select("cluster", "blocks", "block", F.lit(0).cast("long").alias("chunk"), "doc_id", "grams", F.lit(False).alias("asks"), "is_pivot")
     pivots = plain.where("is_pivot AND blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     blocks = plain.where("NOT (is_pivot AND blocks > 1)").union(pivots)
@@ -323,6 +326,14 @@ def ngram_components(
     )
 
 
+def _in_blocks(reps: DataFrame, block_docs: int) -> DataFrame:
+    """(doc_id, cluster, ...) of clusters of several documents, with the number of the cluster's blocks, the document's block and
+    whether it is the pivot."""
+    sizes = reps.groupBy("cluster").agg(F.count("*").alias("m"), F.min("doc_id").alias("pivot")).where("m > 1")
+    reps = reps.join(sizes, "cluster").withColumns({"blocks": F.ceil(F.col("m") / block_docs), "is_pivot": F.col("doc_id") == F.col("pivot")})
+    return reps.drop("m", "pivot").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+
+
 def _search(blocks: DataFrame, num: int, den: int) -> DataFrame:
     keys = ["cluster", "block", "chunk"]
     return blocks.drop("is_pivot").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linked(num, den), "cluster long, blocks long, block long, doc_id long, root long")
