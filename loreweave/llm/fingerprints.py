@@ -1,74 +1,109 @@
-"""Document fingerprints by consistent weighted sampling, in DataFrame expressions only.
-
-Terms are lower-cased words, weighted by their counts. Each term draws r and c from Gamma(2, 1) and b from
-U(0, 1), all from hashes of the term alone, and has t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1). Terms
-are dealt to `bins` bins by hash; the term of least a in a bin, with its t, is the bin's sample. Two texts agree
-in a bin with the generalised Jaccard similarity of the weights that the bin holds, so the share of agreeing bins
-among the bins that either text fills estimates the generalised Jaccard similarity of the texts. Drawing one sample
-a term instead of one a term and signature place keeps the cost of a text linear in its words.
+"""Document fingerprints by consistent weighted sampling.
+
+Terms are lower-cased words, weighted by their counts. For each of `PLACES` places a term draws r and c from
+Gamma(2, 1) and b from U(0, 1), all from hashes of the term and the place, and has t = floor(ln w / r + b) and
+ln a = ln c - r (t - b + 1). The term of least a, with its t, is the sample of the place. Two texts agree in a place
+with their generalised Jaccard similarity, so the share of agreeing places estimates it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .mixing import _let
-from .scratch import stage
-
-BINS = 128  # a power of two
-
-
-def _uniform(bits: Column, shift: int, width: int) -> Column:
-    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(0.5)) / F.lit(float(1 << width))
-
-
-def _sample(term: Column, weight: Column) -> Column:
-    """bin (7 bits), ln a (39 bits, in order), a 16-bit hash of the term and its t: the least of a bin is its sample."""
-
-    def drawn(v: Column) -> Column:
-        r = -F.ln(_uniform(v["x"], 0, 21) * _uniform(v["x"], 21, 21))
-        return _let(F.struct(r.alias("r"), _uniform(v["x"], 42, 22).alias("b"), v["y"].alias("y")), settled)
-
-    def settled(v: Column) -> Column:
-        t = F.floor(F.ln(weight) / v["r"] + v["b"])
-        c = -F.ln(_uniform(v["y"], 0, 21) * _uniform(v["y"], 21, 21))
-        return _let(F.struct(v["r"].alias("r"), v["b"].alias("b"), v["y"].alias("y"), c.alias("c"), t.alias("t")), packed)
-
-    def packed(v: Column) -> Column:
-        ln_a = F.ln(v["c"]) - v["r"] * (v["t"] - v["b"] + 1)
-        place = F.shiftrightunsigned(v["y"], 42).bitwiseAND(F.lit(BINS - 1))
-        level = F.floor((ln_a + 64) * float(1 << 32))
-        tag = F.xxhash64(term, v["t"]).bitwiseAND(F.lit(0xFFFF))
-        return F.shiftleft(place, 55).bitwiseOR(F.shiftleft(level, 16)).bitwiseOR(tag)
-
-    return _let(F.struct(F.xxhash64(term, F.lit(1)).alias("x"), F.xxhash64(term, F.lit(2)).alias("y")), drawn)
-
-
-def fingerprint(text: Column) -> Column:
-    """Array of ints, bin << 16 | sample, a value for each bin that the text fills, in order. No words: empty."""
-    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashes = F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
-
-    def counted(h: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == 0) | (F.get(h, i) != F.get(h, i - 1)))
-        return _let(
-            F.when(F.size(h) > 0, starts).otherwise(F.array().cast("array<int>")),
-            lambda s: F.transform(s, lambda at, i: _sample(F.get(h, at), F.coalesce(F.get(s, i + 1), F.size(h)) - at)),
-        )
-
-    def least(p: Column) -> Column:
-        same = lambda i: F.shiftrightunsigned(F.get(p, i), 55) == F.shiftrightunsigned(F.get(p, i - 1), 55)
-        return F.filter(p, lambda x, i: (i == 0) | ~same(i))
-
-    firsts = _let(F.sort_array(_let(hashes, counted)), least)
-    return F.transform(firsts, lambda x: F.shiftleft(F.shiftrightunsigned(x, 55), 16).bitwiseOR(x.bitwiseAND(F.lit(0xFFFF))).cast("int"))
+from .scratch import slices, stage
+from .words import MIX, ODD, mixed, word_hashes
+
+PLACES = 128
+_ROWS = 1 << 17
+_DOCS = 4096
+_SEEDS = mixed(np.arange(1, 3 * PLACES + 1, dtype=np.uint64) * MIX).reshape(3, PLACES)
+_EMPTY = np.iinfo(np.uint64).max
+
+
+def _halves(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """-ln of the product of two uniforms of 23 bits each: Gamma(2, 1); and the 18 bits left over."""
+    low, high = bits.view(np.uint32)[:, 0::2], bits.view(np.uint32)[:, 1::2]
+    unit = lambda x: ((x >> np.uint32(9)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
+    return -np.log(unit(low) * unit(high)), ((low & np.uint32(511)) << np.uint32(9)) | (high & np.uint32(511))
+
+
+def _draw(term: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
+    r, left = _halves(mixed(term[:, None] ^ _SEEDS[0]))
+    c, _ = _halves(mixed(term[:, None] ^ _SEEDS[1]))
+    b = (left.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-18)
+    if weight[-1] == 1:  # all of them: t = floor(b) = 0
+        t, tag = np.float32(0), mixed(term)[:, None]
+    else:
+        t = np.floor(np.log(weight.astype(np.float32))[:, None] / r + b)
+        tag = mixed(term[:, None] + t.astype(np.int64).view(np.uint64) * ODD)
+    key = (np.log(c) - r * (t - b + np.float32(1))).view(np.int32)
+    parts = out.view(np.uint32)
+    parts[:, 0::2] = key.view(np.uint32) ^ ((key >> 31).view(np.uint32) | np.uint32(1 << 31))
+    out <<= np.uint64(16)
+    out |= tag & np.uint64(0xFFFF)
+
+
+def samples(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(term hashes, counts in ascending order) -> a row a term: for each place ln a (32 bits, in order) and a 16-bit hash
+    of the term and its t."""
+    out = np.zeros((len(terms), PLACES), np.uint64)
+    ones = int(np.searchsorted(weights, 1, "right"))
+    for low, high in ((0, ones), (ones, len(terms))):
+        for at in range(low, high, 256):
+            part = slice(at, min(high, at + 256))
+            _draw(terms[part], weights[part], out[part])
+    return out
+
+
+def signatures(texts: list[bytes]) -> list[np.ndarray]:
+    """place << 16 | sample of each lower-cased text, a value for each place in order. No words: empty."""
+    h, starts = word_hashes(b"\n".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    doc = np.searchsorted(ends, starts, "right")
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
+    count = np.diff(np.append(new, len(h)))
+    h, doc = h[new], doc[new]
+    least = np.full((len(texts), PLACES), _EMPTY)
+    for low in range(0, len(h), _ROWS):
+        term, weight, of = h[low : low + _ROWS], count[low : low + _ROWS], doc[low : low + _ROWS]
+        order = np.lexsort((term, weight))
+        fresh = np.concatenate([[True], (np.diff(term[order]) != 0) | (np.diff(weight[order]) != 0)])
+        pair = np.empty(len(term), np.int64)
+        pair[order] = np.cumsum(fresh) - 1
+        drawn = samples(term[order][fresh], weight[order][fresh])
+        for part in range(0, len(term), 1024):
+            mine = of[part : part + 1024]
+            first = np.flatnonzero(np.concatenate([[True], np.diff(mine) != 0]))
+            best = np.minimum.reduceat(drawn[pair[part : part + 1024]], first)
+            least[mine[first]] = np.minimum(least[mine[first]], best)
+    values = ((np.arange(PLACES, dtype=np.uint64) << np.uint64(16)) | (least & np.uint64(0xFFFF))).astype(np.int32)
+    return [v if n else v[:0] for v, n in zip(values, np.bincount(doc, minlength=len(texts)))]
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, next_id, n_chars, edited_sha256, text, edited: lower-cased) -> the first four and both fingerprints."""
+    for whole in slices(batches, 4, 4 << 20):
+        for at in range(0, whole.num_rows, _DOCS):
+            batch = whole.slice(at, _DOCS)
+            pairs = zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("text", "edited")))  # side by side, as they share terms
+            found = signatures([t for pair in pairs for t in pair])
+            found = found[0::2] + found[1::2]
+            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), pa.int32()))
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists.slice(0, n), lists.slice(n)], ["doc_id", "next_id", "n_chars", "edited_sha256", "fp", "edited_fp"])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of agreeing bins among those that either fingerprint fills; two empty ones are alike."""
-    bins = lambda x: F.transform(x, lambda v: F.shiftright(v, 16))
-    filled = F.size(F.array_union(bins(a), bins(b)))
+    """Share of agreeing places; two empty fingerprints are alike, an empty one and another are not."""
+    filled = F.greatest(F.size(a), F.size(b))
     return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
 
 
@@ -111,13 +146,11 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     given = placed.groupBy(F.col("prev_id").alias("for_id")).agg(F.min(F.expr("left(text, prev_half)")).alias("given"))
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) AS int))"), F.coalesce(F.expr("left(given, cast(floor(length(text) / 2) AS int))"), F.lit("")))
     both = placed.join(given.hint("shuffle_hash"), F.col("doc_id") == F.col("for_id"), "left").select("doc_id", "next_id", "text", edited.alias("edited"))
-    marked = stage(
-        both.select(
-            "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-            fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("edited_fp"),
-        ),
-        "fingerprints",
+    plain = both.select(
+        "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        F.lower("text").alias("text"), F.lower("edited").alias("edited"),
     )
+    marked = stage(plain.mapInArrow(_signed, "doc_id long, next_id long, n_chars long, edited_sha256 string, fp array<int>, edited_fp array<int>"), "fingerprints")
     others = marked.groupBy(F.col("doc_id").alias("of_id")).agg(F.min("fp").alias("next_fp"))
     none = F.array().cast("array<int>")
     return marked.join(others, F.col("next_id") == F.col("of_id"), "left").select(

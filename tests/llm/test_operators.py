@@ -297,6 +297,23 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprints(docs(spark, []).limit(0)).count() == 0
 
 
+def test_fingerprints_of_zipf_words_per_pair(spark):
+    rng, rows = random.Random(5), []
+    zipf = lambda n: rng.choices(range(3000), [1 / (k + 1) for k in range(3000)], k=n)
+    for i in range(120):
+        rows.append((i, " ".join(f"w{k}" for k in zipf(200 + 5 * i))))
+    shared = "heavy " * 1000
+    rows += [(200, shared + words(1, 50, 10**6)), (201, shared + words(2, 50, 10**6)), (202, "ÄRGER"), (203, "ärger")]
+    found = {r.doc_id: r for r in fingerprints.fingerprints(docs(spark, rows)).collect()}
+    assert all(len(r.fingerprint) == 6 * fingerprints.PLACES for r in found.values())
+    for (i, t), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
+        half = len(t) // 2
+        for near, other in ((found[i].near_edited, t[: len(t) - half] + nxt[:half]), (found[i].near_next, nxt)):
+            j = jaccard(t, other)
+            assert abs(near - j) < 4.5 * (max(j * (1 - j), 0.01) / fingerprints.PLACES) ** 0.5  # the sample's own spread
+    assert found[202].fingerprint == found[203].fingerprint
+
+
 def test_token_rollup_is_idempotent(spark):
     rollup = token_rollup.TokenRollup(spark, new_path(spark, "test-rollup"))
     assert rollup.totals().count() == 0
