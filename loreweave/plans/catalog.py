@@ -20,6 +20,7 @@ from ..operators import studies as st
 from ..operators import writes as wr
 from ..sources import fixtures as fx
 from ..sources import readers as rd
+from ..staging import stage
 from ..streaming import streams
 from .registry import query
 
@@ -737,12 +738,27 @@ def grounding_queries(spark: SparkSession, d: str) -> DataFrame:
     return ex.grounding_queries(fx.edges(spark, d), fx.nodes(spark, d)).select("edge_id", "query")
 
 
+def _evidence(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """Each page, whole, as evidence of one edge: its hash modulo the number of edges, numbered in the order of their ids.
+
+    Ids are dealt out by range; only the counts of the ranges meet in one place.
+    """
+    ranged = stage(edges.select(F.col("id").alias("edge_id")).repartitionByRange("edge_id").withColumn("part", F.spark_partition_id()), "evidence-edges")
+    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(sc.Window.orderBy("part").rowsBetween(sc.Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(sc.Window.partitionBy("part").orderBy("edge_id")) - 1
+    numbered = ranged.withColumn("place", place).join(F.broadcast(counts.select("part", before.alias("before"))), "part")
+    numbered = numbered.select("edge_id", (F.col("before") + F.col("place")).alias("k"))
+    total = F.broadcast(counts.agg(F.sum("n").alias("n_edges")))
+    dealt = pages.select("page_id", "url", F.lit("").alias("title"), F.col("html").alias("snippet")).crossJoin(total)
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("page_id"), F.col("n_edges"))).drop("n_edges")
+    return dealt.join(numbered, "k").drop("k")
+
+
 @query()
 def evidence_score(spark: SparkSession, d: str) -> DataFrame:
     edges = fx.edges(spark, d)
-    pages = fx.table(spark, d, "pages").selectExpr("page_id % 50 AS k", "page_id DIV 50 AS g", "url", "substr(html, 1, 40) AS title", "substr(html, 41, 200) AS snippet").where("g < 4")
-    evidence = edges.selectExpr("id AS edge_id", "seq % 50 AS k").join(pages, "k")
-    return ex.evidence_score(ex.grounding_queries(edges, fx.nodes(spark, d)), evidence)
+    return ex.evidence_score(ex.grounding_queries(edges, fx.nodes(spark, d)), _evidence(edges, fx.table(spark, d, "pages")))
 
 
 # Evaluation

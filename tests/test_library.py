@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from loreweave.functions import text as tx
 from loreweave.operators import debt, decisions, evaluation, graph, reports, writes
-from loreweave.plans import registry
-from loreweave.sources import readers
+from loreweave.plans import catalog, registry
+from loreweave.sources import fixtures, readers
 from loreweave.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -112,6 +113,25 @@ def test_statistics(spark):
     assert 0.3 < r.low < 0.42 and 0.58 < r.high < 0.7
 
 
+def test_evidence_takes_every_page_whole(spark):
+    sf = "/root/testdata/sf0.01"
+    edges, pages = fixtures.edges(spark, sf), fixtures.table(spark, sf, "pages")
+    dealt = catalog._evidence(edges, pages).select("page_id", "edge_id", "snippet").collect()
+    html = {r.page_id: r.html for r in pages.collect()}
+    assert len(dealt) == len(html) > 200 and {r.page_id: r.snippet for r in dealt} == html
+    assert {r.edge_id for r in dealt} <= {r.id for r in edges.collect()} and len({r.edge_id for r in dealt}) > len(html) // 3
+    scores = {r.edge_id: r.score for r in registry.QUERIES["evidence_score"](spark, sf).collect()}
+    assert set(scores) == {r.edge_id for r in dealt}
+    query = {r.edge_id: r["query"] for r in registry.QUERIES["grounding_queries"](spark, sf).collect()}
+    url = {r.page_id: r.url for r in pages.collect()}
+    pages_of = Counter(r.edge_id for r in dealt)
+    alone = [r for r in dealt if pages_of[r.edge_id] == 1 and ".gov" not in url[r.page_id] and ".edu" not in url[r.page_id]][:20]
+    for r in alone:
+        words = {w for w in query[r.edge_id].lower().split() if len(w.encode()) > 3}
+        hits = sum(w in html[r.page_id].lower() for w in words)
+        assert abs(scores[r.edge_id] - (0.5 * hits / len(words) + 0.25)) < 1e-5
+
+
 def test_readers(spark, tmp_path):
     good = {"id": "1", "session_id": "s", "agent_role": "a", "start_time": 1, "end_time": 2, "text": "t", "extra": 1}
     lines = [json.dumps(good), "", "{broken", json.dumps({"id": "2"}), json.dumps(good | {"id": "3", "event_kind": "other"})]
