@@ -1,6 +1,6 @@
 """Line dedup as an exact set-similarity join: later lines that match an earlier one are removed.
 
-A line is the set of its 5-word shingles. Equal sets are collapsed to their first place. Shingles are ordered by
+A line is the set of its 5-word shingles (a shorter one, of its whole word sequence). Equal sets are collapsed to their first place. Shingles are ordered by
 rarity, the sum of their words' rarities: counts over all documents by hash bucket, a table of fixed size. Lines that meet the threshold share a shingle of their
 prefixes in that order; lines that share one fall into the same candidate cluster. Inside a block of lines the join
 is PPJoin: tokens ordered by rarity in the block, an inverted index on prefixes, length and positional filters, then
@@ -29,9 +29,10 @@ SHINGLE = 5
 _LINES = 4096
 
 
-def _line_grams(text: bytes, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _line_grams(text: bytes, weights: np.ndarray | None, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line of each distinct shingle, shingle, True for lines that take part) of a lower-cased text; in each line
-    rarest first, or by value where no weights are given."""
+    rarest first, or by value where no weights are given. With short, a line of one to four words has one shingle, its
+    whole word sequence."""
     h, starts = word_hashes(text)
     ends = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
     line_of = np.searchsorted(ends, starts)
@@ -42,11 +43,18 @@ def _line_grams(text: bytes, weights: np.ndarray | None) -> tuple[np.ndarray, np
     grams = np.zeros(len(whole), np.uint64)
     for j in range(SHINGLE):
         grams = mixed(grams + h[whole + j])
+    few = np.flatnonzero((lengths > 0) & (lengths < SHINGLE)) if short else np.zeros(0, np.int64)
+    begin, n_few = (np.cumsum(lengths) - lengths)[few], lengths[few]
+    alone = n_few.astype(np.uint64)
+    for j in range(SHINGLE - 1):
+        more = n_few > j
+        alone[more] = mixed(alone[more] + h[begin[more] + j])
     line_of = line_of[whole]
     key = grams >> np.uint64(28)
     if weights is not None:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weights[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], dtype=np.uint64)])
         key |= (sums[whole + SHINGLE] - sums[whole]) << np.uint64(36)
+    grams, line_of, key = np.concatenate([grams, alone]), np.concatenate([line_of, few]), np.concatenate([key, alone >> np.uint64(28)])
     if n_lines < 1 << 20:
         order = np.argsort(key | (line_of.astype(np.uint64) << np.uint64(44)))
     else:
@@ -54,7 +62,7 @@ def _line_grams(text: bytes, weights: np.ndarray | None) -> tuple[np.ndarray, np
     grams, line_of = grams[order], line_of[order]
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (line_of[1:] != line_of[:-1])
-    return line_of[new], grams[new], lengths >= SHINGLE
+    return line_of[new], grams[new], lengths >= (1 if short else SHINGLE)
 
 
 def _prefixes(line_of: np.ndarray, n_lines: int, num: int, den: int) -> np.ndarray:
@@ -77,7 +85,7 @@ def _line_nodes(line_of: np.ndarray, grams: np.ndarray, n_lines: int) -> np.ndar
     return nodes
 
 
-def _signed(num: int, den: int, sent: Broadcast):
+def _signed(num: int, den: int, sent: Broadcast, short: bool):
     """(doc_id, text) -> a row a document with its lines' nodes (null where a line takes no part), and a row for
     each line set that is new in the batch: the shingles of its prefix which it is first to hold there, and the sets
     of the batch that hold the others already."""
@@ -86,7 +94,7 @@ def _signed(num: int, den: int, sent: Broadcast):
         for batch in slices(batches, 1, 4 << 20):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             lines = [0 if t is None else t.count(b"\n") + 1 for t in texts]
-            line_of, grams, live = _line_grams(b"\n".join(t for t in texts if t is not None).lower(), sent.value)
+            line_of, grams, live = _line_grams(b"\n".join(t for t in texts if t is not None).lower(), sent.value, short)
             live = live[: sum(lines)]
             nodes = _line_nodes(line_of, grams, len(live))
             offsets = pa.array(np.concatenate([[0], np.cumsum(lines)]), pa.int32())
@@ -133,7 +141,7 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if w["line_no"] < len(own):
                     lines.append(own[w["line_no"]])
                     wanted.append(w)
-        line_of, grams, live = _line_grams(b"\n".join(lines).lower(), None)
+        line_of, grams, live = _line_grams(b"\n".join(lines).lower(), None, True)
         live = live[: len(lines)]
         nodes = _line_nodes(line_of, grams, len(live)).view(np.int64)
         ends = np.searchsorted(line_of, np.arange(len(live) + 1))
@@ -277,19 +285,20 @@ def _in_blocks(lines: DataFrame, block_lines: int) -> DataFrame:
     return lines.join(sizes, "cluster").withColumns({"block": F.pmod(F.xxhash64("node"), "blocks"), "is_pivot": F.col("node") == F.col("pivot.node")})
 
 
-def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, block_lines: int = 2048) -> DataFrame:
+def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100, block_lines: int = 2048, short: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) of every document; removed holds line numbers from 0, ascending.
 
     Lines are split at line feeds; a line's set holds its distinct 5-word shingles (words: runs of
     `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased). A line is removed when a line at an earlier place, in the order of
     (doc_id, line number), has den * |A and B| >= num * |A or B|; whether that one is removed itself plays no part.
-    Lines of fewer than five words take no part, nor do documents with a null id. Null texts have no lines, empty
+    With short, a line of one to four words has its whole word sequence as its one element; without, it takes no part.
+    Lines without a word never do, nor do documents with a null id. Null texts have no lines, empty
     ones one. Rows that repeat an id share its places: the first occurrence of a line there stays in each of
     them. An empty table gives no rows; other columns are ignored. Shingles and sets are compared by 64-bit hashes.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sent = documents.sparkSession.sparkContext.broadcast(word_rarity(docs))
-    signed = stage(docs.mapInArrow(_signed(num, den, sent), _SIGNED), "line-signs")
+    signed = stage(docs.mapInArrow(_signed(num, den, sent, short), _SIGNED), "line-signs")
     of_docs, sets = stage(signed.where("node IS NULL").select("doc_id", "lines"), "line-nodes"), signed.where("node IS NOT NULL")
     places = of_docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode("lines").alias("line_no", "node")).where("node IS NOT NULL")
     first = stage(places.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n")), "line-places")

@@ -42,7 +42,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a document with the numbers of its removed lines, comma-joined."""
-    found = line_dedup.repeated_lines(_table(spark, sf_dir, "documents"))
+    found = line_dedup.repeated_lines(_table(spark, sf_dir, "documents"), short=True)
     return found.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from loreweave.llm import fingerprints, language_id, line_dedup, mixing, neighbours, ngram_join, packing, pii, token_rollup, url_filter
-from loreweave.llm.queries import vocabulary
+from loreweave.llm.queries import op6_line_dedup, vocabulary
 from loreweave.llm.scratch import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, cluster string, signs string, block int, text_redacted string"
@@ -252,6 +252,28 @@ def test_line_dedup_equals_brute_force(spark, block):
         assert (i not in kept) if left == [] else kept[i] == (None if left is None else "\n".join(left))
 
 
+def test_line_dedup_of_short_lines_equals_brute_force(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, "\n".join(words(rng.randrange(30), rng.randrange(8), 3) for _ in range(rng.randrange(1, 9)))) for i in range(80)]
+    rows += [(90, "same same"), (91, "same"), (92, "Same  SAME\n\nsame"), (93, "a b"), (94, "b a"), (95, "a b c d\na b c d e"), (96, "a b c d\n \n")]
+    seen, gone = [], {}
+    for i, t in rows:
+        gone[i] = []
+        for n, line in enumerate(t.lower().split("\n")):
+            w = line.split()
+            s = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+            if any(100 * len(s & o) >= 80 * len(s | o) for o in seen if s):
+                gone[i].append(n)
+            seen.append(s)
+    assert gone[92] == [0, 2] and gone[94] == [] and gone[96] == [0]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    for block in (2048, 2):
+        found = line_dedup.repeated_lines(docs(spark, rows), block_lines=block, short=True)
+        assert {r.doc_id: list(r.removed) for r in found.collect()} == gone
+    asked = {r.doc_id: r.removed for r in op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert asked == {i: ",".join(map(str, g)) for i, g in gone.items()}
+
+
 def test_line_dedup_null_ids_and_empty_tables(spark):
     line = "one two three four five six"
     found = line_dedup.repeated_lines(docs(spark, [(None, line), (1, line), (2, line.upper())])).collect()
