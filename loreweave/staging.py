@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir. A session in one process that names none (tests) gets a temporary one; on a cluster that is an error,
+    as no executor would see another's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -21,26 +25,53 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Spark removes the shuffle files of a query when it ends.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While tables are staged: Spark removes the shuffle files of a query when it ends, and sends Python small batches.
+_WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_lock = threading.Lock()
+_staging: dict[SparkSession, tuple[int, dict[str, str | None]]] = {}
+
+
+def _begin(spark: SparkSession) -> None:
+    with _lock:
+        n, before = _staging.get(spark, (0, {}))
+        if not n:
+            before = {k: spark.conf.get(k, None) for k in _WHILE}
+            for k, v in _WHILE.items():
+                spark.conf.set(k, v)
+        _staging[spark] = (n + 1, before)
+
+
+def _end(spark: SparkSession) -> None:
+    with _lock:
+        n, before = _staging.pop(spark)
+        if n > 1:
+            _staging[spark] = (n - 1, before)
+            return
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once and return the written table, so that a lost executor never replays what came before. The shuffle
     files behind it go when it is written; nothing reads them any more."""
     spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    path = new_path(spark, name)
+    _begin(spark)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        _end(spark)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.staged_path = path
+    return found
 
 
-def unstage(df: DataFrame) -> None:
-    """Remove a table that stage() wrote and nothing reads any more, so that scratch space stays small."""
-    jvm = df.sparkSession._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        found = jvm.org.apache.hadoop.fs.Path(path)
-        found.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(found, True)
+def unstage(*staged: DataFrame) -> None:
+    """Remove tables that stage() wrote and nothing reads any more, so that scratch space stays small."""
+    for df in staged:
+        spark = df.sparkSession
+        found = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
