@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import slices
+
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -69,11 +71,11 @@ def accepted(
 ) -> DataFrame:
     """The rows of documents whose language identify() does not reject, all columns as they are, in one pass."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sent = _broadcast_dictionaries(docs, dict_bytes)
+    sent, text_at = _broadcast_dictionaries(docs, dict_bytes), documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
+        for batch in slices(batches, text_at, 4 << 20):
+            texts = batch.column(text_at)
             yield batch.filter(pa.array([not classify(t.as_py(), sent.value, level, chunk, margin)[2] for t in texts], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
@@ -101,7 +103,7 @@ def identify(
     sent = _broadcast_dictionaries(docs, dict_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, 4 << 20):
             found = [classify(t.as_py(), sent.value, level, chunk, margin) for t in batch.column(1)]
             held = [zlib.crc32(b"" if x is None else str(x).encode()) % 3 == 1 for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .ngram_join import BUCKETS, word_rarity
 from .rarest import split_clusters
-from .scratch import slices, stage, unstage
+from .scratch import slices, stage, trim, unstage
 from .words import ODD, mixed, word_hashes
 
 SHINGLE = 5
@@ -269,6 +269,7 @@ def _matched(num: int, den: int):
                     rows -= cut
         if rows:
             yield flush(pa.Table.from_batches(held))
+        trim()
 
     return run
 
@@ -305,18 +306,21 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     held = sets.select("node", F.explode("signs").alias("sign"))
     edges = held.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("sign")).alias("b"))
-    clusters = connected_components(edges.union(sets.select("node", F.explode("roots"))), "line-clusters").withColumnRenamed("component", "cluster")
+    clusters = connected_components(edges.union(sets.select("node", F.explode("roots"))), "line-clusters")
     unstage(signed)
-    members = stage(clusters.join(first, "node").select("node", "cluster", "at.doc_id", "at.line_no"), "line-members")
+    members = stage(clusters.withColumnRenamed("component", "cluster").join(first, "node").select("node", "cluster", "at.doc_id", "at.line_no"), "line-members")
+    unstage(clusters.staged)
     wanted = _in_blocks(members, block_lines)
     wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "blocks", "block", "is_pivot", "doc_id", "line_no", "node")).alias("wanted"))
     texts = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "wanted")
     lines = stage(texts.mapInArrow(_wanted_sets, _SETS), "line-sets")
+    unstage(members)
     wide = lines.where("blocks > 1").drop("cluster", "blocks", "block", "is_pivot")
     if not wide.isEmpty():
         parts = split_clusters(wide.select(F.col("node").alias("key"), "grams"), num, den)
         split = _in_blocks(wide.join(parts.withColumnRenamed("key", "node"), "node"), block_lines)
-        lines = lines.where("blocks = 1").union(stage(split.select(*lines.columns), "line-parts"))
+        before, lines = lines, stage(lines.where("blocks = 1").union(split.select(*lines.columns)), "line-parts")
+        unstage(before, parts.staged)
     zero = F.lit(0).cast("long")
     plain = lines.select("cluster", "block", zero.alias("chunk"), "node", "doc_id", "line_no", "grams", F.lit(False).alias("asks"), "blocks", "is_pivot")
     every = F.explode(F.sequence(zero, F.col("blocks") - 1))

@@ -1,14 +1,15 @@
 """N-gram Jaccard join by T-occurrence search.
 
-The search itself is DivideSkip: inside a block of documents the short inverted lists of a query are merged
-and counted, the long ones are probed by binary search for what the merge left, and documents that reach the
-overlap which the Jaccard threshold requires are linked.
+The search itself is DivideSkip: inside a block of documents the short inverted lists of a query, each in order, are merged
+by a sort that joins ordered runs, and counted; the long ones are probed by binary search for what the merge left, and documents
+that reach the overlap which the Jaccard threshold requires are linked. A query that one probe of the largest group so far
+ties to all documents in reach is not searched.
 
 Blocks are found exactly and without pairs. Two sets that meet the threshold share an element of their
 prefixes of rarest shingles (by_rarity); or else, as they differ in at most d elements,
 all but d of the ranges of the hash space hold the same elements in both: a document's ranges are its
 signatures, and documents that share one fall into the same candidate cluster. d depends on a size class; a set also
-signs for larger classes which it could still reach. A cluster above block_docs is split into hashed blocks:
+signs for larger classes which it could still reach. A cluster above block_docs or block_shingles is split into hashed blocks:
 each block holds the cluster's pivot, and documents that the pivot's component leaves out are searched against
 all other blocks (by_rarity splits it before by how many of its sets hold a shingle), so no link is lost and no group has to fit in one task.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .rarest import split_clusters
-from .scratch import slices, stage
+from .scratch import slices, stage, trim, unstage
 from .words import MIX, ODD, mixed, word_hashes
 
 BUCKETS = 1 << 16
@@ -128,7 +129,7 @@ def _signed(words: int, num: int, den: int, sent: Broadcast | None):
     batch, and the documents of the batch that hold its other signatures already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, 4 << 20):
             ids = batch.column(0)
             keys = ids.to_numpy(zero_copy_only=False) if not ids.null_count else np.array([x or 0 for x in ids.to_pylist()])
             keys, live = keys.astype(np.int64), ids.is_valid().to_numpy(zero_copy_only=False)
@@ -171,7 +172,7 @@ def _sets(words: int):
     not the one that the digest names (another row under the same id) go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, 4 << 20):
             sets = [shingle_set(t.as_py(), words).tobytes() for t in batch.column("text")]
             keep = [xxhash.xxh3_128_digest(s) == d.as_py() for s, d in zip(sets, batch.column("digest"))]
             names = [x for x in batch.schema.names if x not in ("text", "digest")]
@@ -208,8 +209,9 @@ class _Index:
         n_long = min(need - 1, int(need / (0.0085 * np.log2(longest + 1) + 1)))
         short, long = at[: len(at) - n_long], at[len(at) - n_long :]
         merged = np.concatenate([self.owner[self.start[x] : self.start[x] + self.length[x]] for x in short])
-        merged = merged[(merged >= low) & (merged < high) & ~skip[merged]]
-        found, count = np.unique(merged, return_counts=True)
+        merged = np.sort(merged[(merged >= low) & (merged < high) & ~skip[merged]], kind="stable")  # merges the runs
+        ends = np.flatnonzero(np.append(merged[1:] != merged[:-1], True)) if len(merged) else merged
+        found, count = merged[ends], np.diff(ends, prepend=-1)
         near = count >= need - n_long
         found, count = found[near], count[near]
         if not len(found):
@@ -227,13 +229,31 @@ def link_block(ids: list[int], sets: list[np.ndarray], queries: list[bool] | Non
     asks = np.array([bool(queries and queries[i]) for i in order])
     index = _Index([sets[i] for i in order])
     part = np.arange(len(order))
+    members = np.ones(len(order), np.int64)
+    hub = 0  # a document of the largest part
+
+    def tie(q: int, x: int) -> None:
+        nonlocal hub
+        if part[x] != part[q]:
+            members[part[q]] += members[part[x]]
+            part[part == part[x]] = part[q]
+            if members[part[q]] > members[part[hub]]:
+                hub = q
+
     for q in range(len(order)) if queries is None else np.flatnonzero(asks):
+        own = sets[order[q]]
         n = int(index.sizes[q])
         low = int(np.searchsorted(index.sizes, -(-num * n // den)))
         high = q if queries is None else int(np.searchsorted(index.sizes, den * n // num, "right"))
-        for x in index.search(sets[order[q]], num, den, low, high, (part == part[q]) | (asks if queries is not None else False)):
-            if part[x] != part[q]:
-                part[part == part[x]] = part[q]
+        if low <= hub < high and not asks[hub]:
+            other = sets[order[hub]]
+            both = int(np.isin(own, other, assume_unique=True).sum()) if own is not other else n
+            if (num + den) * both >= num * (n + len(other)):
+                tie(q, hub)
+        done = (part == part[q]) | asks
+        if not done[low:high].all():
+            for x in index.search(own, num, den, low, high, done):
+                tie(q, x)
     keys = np.array([ids[i] for i in order], np.int64)
     least = np.full(len(order), np.iinfo(np.int64).max)
     np.minimum.at(least, part, keys)
@@ -242,35 +262,48 @@ def link_block(ids: list[int], sets: list[np.ndarray], queries: list[bool] | Non
     return out
 
 
+_KEYS = ("cluster", "block", "chunk")
+_GRAMS = 5  # the place of the sets among the columns that _search sends
+
+
 def _linked(num: int, den: int):
-    """Arrow batches sorted by (cluster, block, chunk) -> (cluster, blocks, doc_id, root) of each document."""
-
-    def flush(rows: list[dict]) -> pa.RecordBatch:
-        rows = list({r["doc_id"]: r for r in rows}.values())
-        ids = [r["doc_id"] for r in rows]
-        asks = [r["asks"] for r in rows]
-        roots = link_block(ids, [np.frombuffer(r["grams"], np.uint64) for r in rows], asks if any(asks) else None, num, den)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r["cluster"] for r in rows], pa.int64()), pa.array([r["blocks"] for r in rows], pa.int64()), pa.array([r["block"] for r in rows], pa.int64()), pa.array(ids, pa.int64()), pa.array(roots)],
-            ["cluster", "blocks", "block", "doc_id", "root"],
-        )
+    """Arrow batches sorted by (cluster, block, chunk) -> (cluster, blocks, block, doc_id, root) of each set."""
+
+    def flush(table: pa.Table) -> pa.RecordBatch:
+        ids, grams = table.column("doc_id").to_numpy(), table.column("grams")
+        rows = sorted({(d, xxhash.xxh3_128_digest(g.as_buffer())): i for i, (d, g) in enumerate(zip(ids.tolist(), grams))}.values())
+        sets = [np.frombuffer(grams[i].as_buffer(), np.uint64) for i in rows]
+        asks = table.column("asks").to_numpy()[rows]
+        roots = link_block(ids[rows].tolist(), sets, asks.tolist() if asks.any() else None, num, den)
+        kept = table.select(["cluster", "blocks", "block", "doc_id"]).take(pa.array(rows))
+        return kept.append_column("root", pa.array(roots)).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and any(held[0][k] != row[k] for k in ("cluster", "block", "chunk")):
-                    yield flush(held)
+        held: list[pa.RecordBatch] = []
+        done: list[pa.RecordBatch] = []
+        for batch in slices(batches, _GRAMS, 4 << 20):
+            keys = np.stack([batch.column(k).to_numpy() for k in _KEYS])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist()]
+            for low, high in zip(cuts, [*cuts[1:], batch.num_rows]):
+                if held and any(held[-1].column(k)[0].as_py() != int(x) for k, x in zip(_KEYS, keys[:, low])):
+                    done.append(flush(pa.Table.from_batches(held)))
                     held = []
-                held.append(row)
+                held.append(batch.slice(low, high - low))
+            if sum(b.num_rows for b in done) > 4096:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+                done = []
         if held:
-            yield flush(held)
+            done.append(flush(pa.Table.from_batches(held)))
+        if done:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+        trim()
 
     return run
 
 
 def ngram_components(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, block_docs: int = 2048, by_rarity: bool = False
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, block_docs: int = 2048,
+    block_shingles: int = 1 << 20, by_rarity: bool = False,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents link when den * |A and B| >= num * |A or B|.
 
@@ -292,22 +325,26 @@ def ngram_components(
     held = signed.select("doc_id", F.explode("signs").alias("sign"))
     first = F.min("doc_id").over(Window.partitionBy("sign"))
     edges = held.select(F.col("doc_id").alias("a"), first.alias("b")).union(signed.select("doc_id", F.explode("roots")))
-    clusters = connected_components(edges).withColumnsRenamed({"node": "doc_id", "component": "cluster"})
+    clusters = connected_components(edges, "clusters")
+    named = clusters.withColumnsRenamed({"node": "doc_id", "component": "cluster"})
+    every = stage(signed.select("doc_id", "n_shingles", "digest").join(named, "doc_id", "left"), "members")
+    unstage(signed, clusters.staged)
 
     # Equal sets are one document from here on.
-    members = stage(signed.select("doc_id", "digest").where("digest IS NOT NULL AND doc_id IS NOT NULL").join(clusters, "doc_id"), "members")
-    reps = members.groupBy("cluster", "digest").agg(F.min("doc_id").alias("doc_id"))
-    reps = _in_blocks(reps, block_docs)
+    members = every.where("digest IS NOT NULL AND cluster IS NOT NULL")
+    reps = members.groupBy("cluster", "digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    reps = _in_blocks(reps, block_docs, block_shingles)
     sets = stage(
-        docs.join(reps.hint("shuffle_hash"), "doc_id").mapInArrow(_sets(words), "doc_id long, cluster long, blocks long, is_pivot boolean, block long, grams binary"),
+        docs.join(reps.hint("shuffle_hash"), "doc_id").mapInArrow(_sets(words), "doc_id long, cluster long, n long, blocks long, is_pivot boolean, block long, grams binary"),
         "sets",
     )
     if by_rarity:
         wide = sets.where("blocks > 1")
         if not wide.isEmpty():
-            parts = split_clusters(wide.select(F.col("doc_id").alias("key"), "grams"), num, den, halves=True).withColumnRenamed("key", "doc_id")
-            split = _in_blocks(wide.select("doc_id", "grams").join(parts, "doc_id"), block_docs)
-            sets = sets.where("blocks = 1").union(stage(split.select(*sets.columns), "parts"))
+            parts = split_clusters(wide.select(F.col("doc_id").alias("key"), "grams"), num, den, halves=True)
+            split = _in_blocks(wide.select("doc_id", "n", "grams").join(parts.withColumnRenamed("key", "doc_id"), "doc_id"), block_docs, block_shingles)
+            before, sets = sets, stage(sets.where("blocks = 1").union(split.select(*sets.columns)), "parts")
+            unstage(before, parts.staged)
     plain = sets.select("cluster", "blocks", "block", F.lit(0).cast("long").alias("chunk"), "doc_id", "grams", F.lit(False).alias("asks"), "is_pivot")
     pivots = plain.where("is_pivot AND blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     blocks = plain.where("NOT (is_pivot AND blocks > 1)").union(pivots)
@@ -318,25 +355,31 @@ def ngram_components(
         roots = roots.union(_across(wide, plain.where("blocks > 1"), num, den, block_docs))
     found = members.join(
         members.groupBy("cluster", "digest").agg(F.min("doc_id").alias("rep")), ["cluster", "digest"]
-    ).join(roots.select(F.col("doc_id").alias("rep"), "root"), "rep", "left")
+    ).join(roots.select(F.col("doc_id").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
     # An id that stands for several texts joins their components.
-    found = found.groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("root"))
-    return (
-        signed.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-    )
-
-
-def _in_blocks(reps: DataFrame, block_docs: int) -> DataFrame:
-    """(doc_id, cluster, ...) of clusters of several documents, with the number of the cluster's blocks, the document's block and
-    whether it is the pivot."""
-    sizes = reps.groupBy("cluster").agg(F.count("*").alias("m"), F.min("doc_id").alias("pivot")).where("m > 1")
-    reps = reps.join(sizes, "cluster").withColumns({"blocks": F.ceil(F.col("m") / block_docs), "is_pivot": F.col("doc_id") == F.col("pivot")})
+    found = stage(found.distinct(), "roots")
+    unstage(sets)
+    several = found.groupBy("doc_id").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    ties = found.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("root").alias("b"))
+    found = found.groupBy("doc_id").agg(F.min("root").alias("root"))
+    if not ties.isEmpty():
+        joined = connected_components(ties, "ties").withColumnsRenamed({"node": "root", "component": "least"})
+        found = found.join(joined, "root", "left").select("doc_id", F.coalesce("least", "root").alias("root"))
+    return every.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def _in_blocks(reps: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
+    """(doc_id, n, cluster, ...) of clusters of several sets, with the number of the cluster's blocks, the set's block and
+    whether it is the pivot's."""
+    blocks = F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles))
+    sizes = reps.groupBy("cluster").agg(F.count("*").alias("m"), F.min("doc_id").alias("pivot"), blocks.alias("blocks")).where("m > 1")
+    reps = reps.join(sizes, "cluster").withColumn("is_pivot", F.col("doc_id") == F.col("pivot"))
     return reps.drop("m", "pivot").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
 
 
 def _search(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    keys = ["cluster", "block", "chunk"]
-    return blocks.drop("is_pivot").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linked(num, den), "cluster long, blocks long, block long, doc_id long, root long")
+    rows = blocks.select("cluster", "blocks", "block", "chunk", "doc_id", "grams", "asks").repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    return rows.mapInArrow(_linked(num, den), "cluster long, blocks long, block long, doc_id long, root long")
 
 
 def _across(wide: DataFrame, sets: DataFrame, num: int, den: int, block_docs: int) -> DataFrame:

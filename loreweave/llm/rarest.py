@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .scratch import slices
 
 
 def _elements(num: int, den: int, halves: bool):
     """(key, grams) -> a row for each counted element, and for those outside that complete a prefix (rest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, 1 << 20):
             keys, names, slacks, rests, grams = [], [], [], [], []
             for key, own in zip(batch.column(0).to_numpy(), batch.column(1)):
                 raw = own.as_buffer()
@@ -54,4 +55,7 @@ def split_clusters(sets: DataFrame, num: int, den: int, halves: bool = False) ->
     take = (F.col("slack") + F.col("shared")).cast("int")
     signs = firsts.where(take > 0).select("key", F.explode(F.slice("held", 1, take)).alias("sign")).select("key", "sign.gram")
     edges = signs.select(F.col("key").alias("a"), F.min("key").over(Window.partitionBy("gram")).alias("b"))
-    return connected_components(edges, "split").withColumnsRenamed({"node": "key", "component": "cluster"})
+    found = connected_components(edges, "split")
+    named = found.withColumnsRenamed({"node": "key", "component": "cluster"})
+    named.staged = found.staged
+    return named
