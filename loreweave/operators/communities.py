@@ -69,7 +69,8 @@ def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 60, patience: int
 
 
 def community_descriptors(nodes: DataFrame, assignment: DataFrame) -> DataFrame:
-    """Size, members, node types and agents by count, sessions -> counts."""
+    """(project_id, community, size, top_node_types, top_agents, session_distribution): node types and agents by count, sessions -> counts.
+    The members are the rows of the assignment."""
     rows = nodes.join(assignment, [P, "id"])
 
     def ranked(column: str, name: str) -> DataFrame:
@@ -77,14 +78,15 @@ def community_descriptors(nodes: DataFrame, assignment: DataFrame) -> DataFrame:
         listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col(column).alias("v"), "n")))
         return n.groupBy(P, "community").agg(F.transform(listed, lambda x: F.concat_ws(":", x["v"], x["n"])).alias(name))
 
-    out = rows.groupBy(P, "community").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("id")).alias("node_ids"))
+    out = rows.groupBy(P, "community").agg(F.count("*").alias("size"))
     sessions = rows.groupBy(P, "community", "session_id").agg(F.count("*").alias("n")).groupBy(P, "community").agg(F.map_from_entries(F.collect_list(F.struct("session_id", "n"))).alias("session_distribution"))
     return out.join(ranked("node_type", "top_node_types"), [P, "community"]).join(ranked("agent_id", "top_agents"), [P, "community"]).join(sessions, [P, "community"])
 
 
 def community_label(nodes: DataFrame, assignment: DataFrame) -> DataFrame:
-    """The three most frequent label words of more than two bytes."""
-    words = nodes.join(assignment, [P, "id"]).select(P, "community", F.explode(F.filter(F.split(F.lower("label"), r"\s+"), lambda w: F.octet_length(w) > 2)).alias("word"))
+    """The three most frequent label words of more than two bytes that are no stop words; ties by word."""
+    kept = F.filter(F.split(F.lower("label"), r"\s+"), lambda w: (F.octet_length(w) > 2) & ~w.isin(schema.COMMUNITY_STOP))
+    words = nodes.join(assignment, [P, "id"]).select(P, "community", F.explode(kept).alias("word"))
     counts = words.groupBy(P, "community", "word").agg(F.count("*").alias("n"))
     top = counts.withColumn("place", F.row_number().over(Window.partitionBy(P, "community").orderBy(F.col("n").desc(), "word"))).where("place <= 3")
     named = top.groupBy(P, "community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " · ").alias("community_label"))

@@ -26,7 +26,8 @@ def unresolved_open_items(nodes: DataFrame, edges: DataFrame, sessions: DataFram
     items = unresolved(nodes, edges).join(sessions, [P, "session_id"], "left").join(now, P, "left")
     age = F.greatest(F.coalesce(F.col("now") - F.col("session_index"), F.lit(0)), F.lit(0))
     return items.select(
-        P, F.lit("UnresolvedOpenItem").alias("debt_type"), F.array("id").alias("node_ids"), F.concat(F.lit("Open item: "), "label").alias("description"),
+        P, F.lit("UnresolvedOpenItem").alias("debt_type"), F.array("id").alias("node_ids"),
+        F.format_string("Open item '%s' raised by %s has not been resolved", "label", "agent_id").alias("description"),
         F.when(age >= 1, "High").otherwise("Medium").alias("severity"), "seq",
     )
 
@@ -44,13 +45,22 @@ def scratch(tool_events: DataFrame, keep: int = 100, sessions: int | None = None
     return rows.where("class = 'Write'").select(columns), rows.where("class = 'Check'").select(*columns, tx.check_passed(F.col("text")).alias("passed"))
 
 
+def current_sessions(tool_events: DataFrame) -> DataFrame:
+    """(project_id, session_id): the session that was active last."""
+    return tool_events.groupBy(P).agg(F.max_by("session_id", F.struct("seq", "id")).alias("session_id"))
+
+
+def _few(files: str) -> Column:
+    return F.array_join(F.slice(files, 1, 3), ", ")
+
+
 def unverified_changes(edits: DataFrame, checks: DataFrame) -> DataFrame:
     """Edits with files that no check of the session, passed or failed, follows on any of them."""
     last = checks.select(P, "session_id", F.explode("files").alias("file"), "timestamp").groupBy(P, "session_id", "file").agg(F.max("timestamp").alias("checked"))
     each = edits.select(P, "session_id", "id", "timestamp", F.explode("files").alias("file"))
     seen = each.join(last, [P, "session_id", "file"]).where("checked >= timestamp").select(P, "session_id", "id").distinct()
     left = edits.where("size(files) > 0").join(seen, [P, "session_id", "id"], "left_anti")
-    return left.select(P, F.lit("UnverifiedChange").alias("debt_type"), F.array("id").alias("node_ids"), F.concat(F.lit("Unverified: "), F.array_join("files", ", ")).alias("description"), F.lit("Medium").alias("severity"), "seq")
+    return left.select(P, F.lit("UnverifiedChange").alias("debt_type"), F.array("id").alias("node_ids"), F.format_string("Edited '%s' via %s — no test/lint/build run covered it afterwards", _few("files"), "tool_name").alias("description"), F.lit("Medium").alias("severity"), "seq")
 
 
 def failed_verifications(edits: DataFrame, checks: DataFrame) -> DataFrame:
@@ -61,16 +71,16 @@ def failed_verifications(edits: DataFrame, checks: DataFrame) -> DataFrame:
     edited = edits.select(P, "session_id", F.explode("files").alias("file"), F.col("timestamp").alias("edited")).groupBy(P, "session_id", "file").agg(F.max("edited").alias("edited"))
     cleared = each.join(edited, [P, "session_id", "file"]).where("edited >= timestamp").select(P, "session_id", "id").distinct()
     left = checks.join(failed, [P, "session_id", "id"], "left_semi").join(cleared, [P, "session_id", "id"], "left_anti")
-    return left.select(P, F.lit("FailedVerification").alias("debt_type"), F.array("id").alias("node_ids"), F.concat(F.lit("Failing: "), F.array_join("files", ", ")).alias("description"), F.lit("High").alias("severity"), "seq")
+    return left.select(P, F.lit("FailedVerification").alias("debt_type"), F.array("id").alias("node_ids"), F.format_string("Check '%s' on '%s' failed — no fix attempted since", "tool_name", _few("files")).alias("description"), F.lit("High").alias("severity"), "seq")
 
 
 def rule_violations(checks: DataFrame, nodes: DataFrame) -> DataFrame:
     """Failed checks on files of an active rule, with the earliest inserted such rule."""
-    rules = nodes.where("node_type = 'Rule' AND status = 'Active'").select(P, F.col("id").alias("rule"), F.col("seq").alias("rule_seq"), F.explode("files").alias("file"))
-    first = rules.groupBy(P, "file").agg(F.min(F.struct("rule_seq", "rule")).alias("first"))
-    hit = checks.where("NOT passed").select(P, "id", "seq", F.explode("files").alias("file")).join(first, [P, "file"])
-    hit = hit.groupBy(P, "id", "seq").agg(F.min("first").alias("first"))
-    return hit.select(P, F.lit("RuleViolation").alias("debt_type"), F.array("id", "first.rule").alias("node_ids"), F.concat(F.lit("Violates "), "first.rule").alias("description"), F.lit("High").alias("severity"), "seq")
+    rules = nodes.where("node_type = 'Rule' AND status = 'Active'").select(P, F.col("id").alias("rule"), "label", F.col("seq").alias("rule_seq"), F.explode("files").alias("file"))
+    first = rules.groupBy(P, "file").agg(F.min(F.struct("rule_seq", "rule", "label")).alias("first"))
+    hit = checks.where("NOT passed").select(P, "id", "tool_name", "seq", F.explode("files").alias("file")).join(first, [P, "file"])
+    hit = hit.groupBy(P, "id", "tool_name", "seq").agg(F.min("first").alias("first"))
+    return hit.select(P, F.lit("RuleViolation").alias("debt_type"), F.array("id", "first.rule").alias("node_ids"), F.format_string("Check '%s' failed on files under rule '%s' — possible violation", "tool_name", "first.label").alias("description"), F.lit("High").alias("severity"), "seq")
 
 
 def debt_items(nodes: DataFrame, edges: DataFrame, tool_events: DataFrame | None = None) -> DataFrame:
@@ -103,7 +113,7 @@ def debt_delta(current: DataFrame, prior: DataFrame) -> DataFrame:
 
 def debt_over_sessions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Open-item debt as of the end of every session, in one job: an item counts from its own session until the one that
-    resolves it."""
+    resolves it, as Medium in its own session and as High later. The other kinds belong to one session's tools and are no part of it."""
     sessions = register_sessions(nodes)
     of = lambda d, name: d.join(sessions, [P, "session_id"]).select(P, "id", F.col("session_index").alias(name))
     born = of(nodes.where("node_type = 'OpenItem' AND status <> 'Invalidated'"), "born")
@@ -115,4 +125,4 @@ def debt_over_sessions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     run = Window.partitionBy(P).orderBy("session_index")
     per = sessions.join(steps, [P, "session_index"], "left").withColumn("open_items", F.sum(F.coalesce("step", F.lit(0))).over(run))
     fresh = F.coalesce("fresh", F.lit(0))
-    return per.select(P, "session_id", "session_index", F.col("open_items").cast("long").alias("open_items"), fresh.cast("long").alias("raised"))
+    return per.select(P, "session_id", "session_index", F.col("open_items").cast("long").alias("open_items"), fresh.cast("long").alias("raised"), (3 * F.col("open_items") - fresh).cast("long").alias("total_score"))

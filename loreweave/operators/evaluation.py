@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,35 @@ def match_gold(gold: DataFrame, found: DataFrame, threshold: float = 0.5) -> Dat
     return scored.groupBy("section").applyInPandas(greedy, "section string, gold string, found string, score double")
 
 
+def best_nodes(ends: DataFrame, nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(end_id, label) -> (end_id, id): the node whose label, or label and description, contains the end's words most, if enough of them;
+    first inserted first among equals. Words meet in an equi-join; only pairs that share one are scored."""
+    asked = ends.select("end_id", eval_tokens(F.col("label")).alias("asked_t"))
+    side = lambda n, text: nodes.select("id", "seq", F.lit(n).alias("text"), eval_tokens(text).alias("node_t"))
+    found = side(0, F.col("label")).union(side(1, F.concat_ws(" ", "label", "description")))
+    shared = asked.select("end_id", F.size("asked_t").alias("n"), F.explode("asked_t").alias("t")).join(
+        found.select("id", "seq", "text", F.size("node_t").alias("m"), F.explode("node_t").alias("t")), "t"
+    )
+    scored = shared.groupBy("end_id", "id", "seq", "text", "n", "m").agg((F.count("*") / F.least("n", "m")).alias("score")).where(F.col("score") >= threshold)
+    best = scored.groupBy("end_id").agg(F.max(F.struct("score", (-F.col("seq")).alias("o"), "id")).alias("best"))
+    return best.select("end_id", "best.id")
+
+
+def relation_prf(relations: DataFrame, nodes: DataFrame, edges: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(relation_id, source_label, target_label, edge_type) against a graph -> gold, edges, tp, fp, fn, P, R, F1 (one row): a relation is found
+    when the nodes that match its ends best are joined by an edge of its type; edges that no relation uses are false."""
+    source, target = relations.select(F.concat(F.lit("s"), "relation_id").alias("end_id"), F.col("source_label").alias("label")), relations.select(F.concat(F.lit("t"), "relation_id").alias("end_id"), F.col("target_label").alias("label"))
+    best = best_nodes(source.union(target), nodes, threshold)
+    keys = edges.select("source_node_id", "target_node_id", "edge_type").distinct()
+    end = lambda mark, name: best.where(F.col("end_id").startswith(mark)).select(F.expr("substr(end_id, 2)").alias("relation_id"), F.col("id").alias(name))
+    of = relations.select(F.col("relation_id").cast("string").alias("relation_id"), "edge_type")
+    hits = of.join(end("s", "source_node_id"), "relation_id").join(end("t", "target_node_id"), "relation_id").join(keys, ["source_node_id", "target_node_id", "edge_type"], "left_semi")
+    tp = hits.agg(F.count("*").alias("tp"), F.count_distinct("source_node_id", "target_node_id", "edge_type").alias("used"))
+    counts = tp.crossJoin(relations.agg(F.count("*").alias("gold"))).crossJoin(keys.agg(F.count("*").alias("n_edges")))
+    counts = counts.withColumn("fp", F.col("n_edges") - F.col("used")).withColumn("fn", F.col("gold") - F.col("tp"))
+    return counts.select("gold", "n_edges", "tp", "fp", "fn", *prf(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
     p = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0)
     r = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(0.0)
@@ -73,22 +103,31 @@ def paired_study(arms: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap_ci(deltas: DataFrame, replicates: int = 10_000, seed: int = 7) -> DataFrame:
+def bootstrap_ci(deltas: DataFrame, replicates: int = 10_000, seed: int = 7, bucket_values: int = 50_000) -> DataFrame:
     """(delta) -> 2.5 and 97.5 percentiles of the resampled mean, and the number of deltas.
 
-    Bayesian bootstrap: in a replicate every row weighs an exponential draw, so the rows of one value, of which there are
-    few, weigh a gamma of shape n together, drawn from hashes.
+    A resample of all rows is a multinomial draw of how often each comes up. Equal deltas are one value that comes up in proportion to
+    its rows; values are dealt to buckets, the draw is made between the buckets and then inside each, which is the same draw, and the
+    buckets' sums are added.
     """
-    values = deltas.groupBy("delta").agg(F.count("*").alias("n"))
-    total = values.agg(F.sum("n").alias("total"))
-    draws = values.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    u1 = (F.pmod(F.xxhash64("delta", "replicate", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    u2 = (F.pmod(F.xxhash64("delta", "replicate", F.lit(seed + 1)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    normal = F.sqrt(-2 * F.ln(u1)) * F.cos(2 * math.pi * u2)
-    # A gamma of shape n by its cube-root approximation.
-    gamma = F.col("n") * F.pow(F.greatest(1 - 1 / (9 * F.col("n")) + normal / (3 * F.sqrt("n")), F.lit(0.0)), 3)
-    means = draws.groupBy("replicate").agg((F.sum(gamma * F.col("delta")) / F.sum(gamma)).alias("mean"))
-    return means.agg(F.round(F.percentile("mean", 0.025), 6).alias("low"), F.round(F.percentile("mean", 0.975), 6).alias("high")).crossJoin(total)
+    values = deltas.where("delta IS NOT NULL").groupBy("delta").agg(F.count("*").alias("n"))
+    buckets = max(1, -(-values.count() // bucket_values))
+    values = values.withColumn("bucket", F.pmod(F.xxhash64("delta"), F.lit(buckets)).cast("int"))
+    sizes = {r.bucket: r.n for r in values.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    names, total = sorted(sizes), sum(sizes.values())
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, sums = names.index(int(pdf["bucket"].iloc[0])), []
+        pdf = pdf.sort_values("delta")
+        share, delta = (pdf["n"] / pdf["n"].sum()).to_numpy(float), pdf["delta"].to_numpy(float)
+        for replicate in range(replicates):
+            between = np.random.default_rng([seed, replicate]).multinomial(total, [sizes[b] / total for b in names])
+            inside = np.random.default_rng([seed, replicate, 1 + names[own]]).multinomial(between[own], share)
+            sums.append(float(inside @ delta))
+        return pd.DataFrame({"replicate": range(replicates), "part": sums})
+
+    means = values.groupBy("bucket").applyInPandas(draw, "replicate int, part double").groupBy("replicate").agg((F.sum("part") / F.lit(max(1, total))).alias("mean"))
+    return means.agg(F.round(F.percentile("mean", 0.025), 6).alias("low"), F.round(F.percentile("mean", 0.975), 6).alias("high"), F.lit(total).cast("long").alias("total"))
 
 
 def sign_test(counts: DataFrame) -> DataFrame:
@@ -149,10 +188,9 @@ def usage_meter(bodies: DataFrame) -> DataFrame:
 
 def timeline_layout(nodes: DataFrame, buckets: int = 40) -> DataFrame:
     """x in 0..1 by time, lane by type, offsets 0, -1, +1, -2, ... inside a bucket."""
-    span = Window.partitionBy(P)
-    low, high = F.min("timestamp").over(span), F.max("timestamp").over(span)
-    x = (F.col("timestamp") - low) / F.when(high > low, high - low).otherwise(1.0)
-    rows = nodes.withColumn("x", F.round(x, 6)).withColumn("bucket", F.floor(F.col("x") * buckets))
+    bounds = nodes.groupBy(P).agg(F.min("timestamp").alias("low"), F.max("timestamp").alias("high"))
+    x = (F.col("timestamp") - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1.0)
+    rows = nodes.join(bounds, P).withColumn("x", F.round(x, 6)).withColumn("bucket", F.floor(F.col("x") * buckets))
     k = F.row_number().over(Window.partitionBy(P, "node_type", "bucket").orderBy("seq", "id")) - 1
     rows = rows.withColumn("k", k)
     offset = F.when(F.col("k") % 2 == 1, -((F.col("k") + 1) / 2)).otherwise(F.col("k") / 2)

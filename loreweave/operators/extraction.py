@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ def judged_nodes(sentences: DataFrame, judgments: DataFrame, gate: float = 0.65)
     first = F.row_number().over(Window.partitionBy(P, "session_id", tx.normalized(F.col("sentence"))).orderBy("seq", "idx"))
     rows = rows.withColumn("copy", first).where("copy = 1")
     return rows.select(
-        P, F.concat(F.lit("jev-"), "event_id", F.lit("-s"), "idx").alias("id"), F.col("choice").alias("node_type"), tx.label(F.col("sentence")).alias("label"),
+        P, F.concat(F.lit(schema.JUDGED_ID), "event_id", F.lit("-s"), "idx").alias("id"), F.col("choice").alias("node_type"), tx.label(F.col("sentence")).alias("label"),
         tx.truncated(F.col("sentence"), 400).alias("description"), F.round(F.greatest(F.least("probability", F.lit(0.95)), F.lit(0.1)), 6).alias("confidence"),
         F.col("end_time").alias("timestamp"), "session_id", "seq",
     )
@@ -64,7 +67,7 @@ def judged_edges(judgments: DataFrame, nodes: DataFrame, gate: float = 0.7) -> D
     rows = rows.join(time.select(P, F.col("id").alias("earlier_id"), F.col("timestamp").alias("t1")), [P, "earlier_id"]).join(time.select(P, F.col("id").alias("later_id"), F.col("timestamp").alias("t2")), [P, "later_id"])
     rows = rows.withColumn("source_node_id", F.when(forward, F.col("later_id")).otherwise(F.col("earlier_id"))).withColumn("target_node_id", F.when(forward, F.col("earlier_id")).otherwise(F.col("later_id")))
     one = F.row_number().over(Window.partitionBy(P, "source_node_id", "target_node_id", "edge_type").orderBy(F.col("probability").desc(), "choice"))
-    reason = F.concat(F.lit("jev-native: "), "choice", F.format_string(" (p=%.2f)", "probability"))
+    reason = F.concat(F.lit(schema.JUDGED_REASON), "choice", F.format_string(" (p=%.2f)", "probability"))
     kept = rows.withColumn("copy", one).where("copy = 1")
     return kept.select(P, "edge_type", "source_node_id", "target_node_id", reason.alias("reasoning"), F.greatest("t1", "t2").alias("timestamp"), F.when(F.col("probability") >= 0.8, "EXTRACTED").otherwise("INFERRED").alias("provenance"))
 
@@ -137,3 +140,24 @@ def split_sentences_eval(text: Column, least: int = 6, most: int = 12) -> Column
     """The first sentences of six words or more; line feeds count as spaces."""
     parts = F.transform(F.split(F.regexp_replace(text, "\n", " "), r"(?<=[.!?])\s+"), lambda s: F.trim(s))
     return F.slice(F.filter(parts, lambda s: F.size(F.split(s, r"\s+")) >= least), 1, most)
+
+
+def extraction_batches(events: DataFrame, most: int = 10, wait: float = 15.0) -> DataFrame:
+    """(project_id, id, seq, batch): a batch opens at its first event and closes when it has `most` events, or `wait` seconds after the first.
+    Numbers start at 0 in each project. Events go by in the order of seq; all that is held is the open batch's start and size."""
+    rows = events.select(P, "id", "seq", F.col("start_time").alias("at")).repartition(P).sortWithinPartitions(P, "seq", "id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        project, number, size, first = None, 0, 0, 0.0
+        for pdf in batches:
+            out = []
+            for own, at in zip(pdf[P], pdf["at"]):
+                if own != project:
+                    project, number, size, first = own, 0, 0, at
+                elif size == most or at > first + wait:
+                    number, size, first = number + 1, 0, at
+                size += 1
+                out.append(number)
+            yield pdf[[P, "id", "seq"]].assign(batch=out)
+
+    return rows.mapInPandas(run, f"{P} string, id string, seq long, batch long")

@@ -75,34 +75,38 @@ def reverse_trace_order(seeds: DataFrame, inside: DataFrame) -> DataFrame:
 
 
 def reasoning_chains(trace: DataFrame, inside: DataFrame, most: int = 5, longest: int = 6) -> DataFrame:
-    """(question_id, project_id, chain_no, chain): greedy walks from the trace's roots, two to six nodes, the first five."""
+    """(question_id, project_id, chain_no, chain, verbs): greedy walks from the trace's roots, each step along the newest edge to a
+    node of the trace that no walk has visited; those of two to six nodes, the first five. verbs: the edge type that led to each
+    node, null for the first. A trace is short (the answer takes its first twelve), so a question's group is bounded."""
     ids = trace.select(*_KEY, "id", "place")
     kept = inside.join(ids.select(*_KEY, F.col("id").alias("source_node_id")), [*_KEY, "source_node_id"], "left_semi").join(
         ids.select(*_KEY, F.col("id").alias("target_node_id")), [*_KEY, "target_node_id"], "left_semi"
     )
-    rows = ids.select(*_KEY, F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.col("place").alias("n")).union(kept.select(*_KEY, "source_node_id", "target_node_id", F.col("seq").cast("long")))
+    rows = ids.select(*_KEY, F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.col("place").alias("n"), F.lit(None).cast("string").alias("kind"))
+    rows = rows.union(kept.select(*_KEY, "source_node_id", "target_node_id", F.col("seq").cast("long"), "edge_type"))
 
     def chains(pdf: pd.DataFrame) -> pd.DataFrame:
         out: dict[str, list] = {}
         targets = set()
-        for a, b, n in pdf[pdf["b"].notna()][["a", "b", "n"]].sort_values(["n", "b"], ascending=[False, True]).itertuples(index=False):
-            out.setdefault(a, []).append(b)
+        for a, b, kind in pdf[pdf["b"].notna()].sort_values(["n", "b"], ascending=[False, True])[["a", "b", "kind"]].itertuples(index=False):
+            out.setdefault(a, []).append((b, kind))
             targets.add(b)
         found, visited = [], set()
         for root in pdf[pdf["b"].isna()].sort_values("n")["a"]:
-            if root in targets or len(found) == most:
+            if root in targets or root in visited:
                 continue
-            chain, at = [root], root
-            visited.add(root)
-            while len(chain) < longest:
-                at = next((x for x in out.get(at, []) if x not in visited), None)
-                if at is None:
+            chain = [(root, None)]
+            while chain[-1][0] not in visited:
+                visited.add(chain[-1][0])
+                step = next((x for x in out.get(chain[-1][0], []) if x[0] not in visited), None)
+                if step is None:
                     break
-                visited.add(at)
-                chain.append(at)
-            if len(chain) >= 2:
+                chain.append(step)
+            if 2 <= len(chain) <= longest:
                 found.append(chain)
-        return pd.DataFrame({"question_id": pdf["question_id"].iloc[0], P: pdf[P].iloc[0], "chain_no": range(len(found)), "chain": found})
+        found = found[:most]
+        chains, verbs = [[x for x, _ in c] for c in found], [[v for _, v in c] for c in found]
+        return pd.DataFrame({"question_id": pdf["question_id"].iloc[0], P: pdf[P].iloc[0], "chain_no": range(len(found)), "chain": chains, "verbs": verbs})
 
     kind = dict(trace.dtypes)["question_id"]
-    return rows.groupBy(*_KEY).applyInPandas(chains, f"question_id {kind}, project_id string, chain_no long, chain array<string>")
+    return rows.groupBy(*_KEY).applyInPandas(chains, f"question_id {kind}, project_id string, chain_no long, chain array<string>, verbs array<string>")

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as tx
-from .debt import scratch, unverified_changes
+from .debt import current_sessions, failed_verifications, rule_violations, scratch, unresolved_open_items, unverified_changes
 from .decisions import decision_status
-from .scans import P, nodes_where, unresolved
+from .graph import reasoning_chains
+from .scans import P, nodes_where
 
 CUT = 110
 
 
+def _with_total(rows: DataFrame) -> DataFrame:
+    """total: the rows of the project, by an aggregate that is joined back."""
+    return rows.join(rows.groupBy(P).agg(F.count("*").alias("total")), P)
+
+
 def brief_decisions(nodes: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
     """Decided ones newest first, then pending ones oldest first whose label is not there yet; total counts all."""
-    rows = decision_status(nodes, edges).withColumn("total", F.count("*").over(Window.partitionBy(P)))
+    rows = _with_total(decision_status(nodes, edges))
     pending = F.col("decision_status") == "Pending"
     one = F.row_number().over(Window.partitionBy(P, "label").orderBy(pending, F.when(pending, F.col("seq")).otherwise(-F.col("seq")), "id"))
     rows = rows.withColumn("copy", one).where(~pending | (F.col("copy") == 1))
@@ -31,10 +37,29 @@ def brief_rules(nodes: DataFrame, most: int = 3) -> DataFrame:
     return rules.select(P, place.alias("place"), "id", tx.truncated(F.col("label"), CUT).alias("label"))
 
 
-def brief_open_items(nodes: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
-    rows = unresolved(nodes, edges).withColumn("total", F.count("*").over(Window.partitionBy(P)))
+def _first(items: DataFrame, most: int) -> DataFrame:
+    """(project_id, place, id, description cut, total) of a project's first debt items."""
     place = F.row_number().over(Window.partitionBy(P).orderBy("seq", "id"))
-    return rows.withColumn("place", place).where(F.col("place") <= most).select(P, "place", "id", tx.truncated(F.col("label"), CUT).alias("label"), "total")
+    rows = _with_total(items.withColumn("id", F.col("node_ids")[0])).withColumn("place", place).where(F.col("place") <= most)
+    return rows.select(P, "place", "id", tx.truncated(F.col("description"), CUT).alias("description"), "total")
+
+
+def brief_open_items(nodes: DataFrame, edges: DataFrame, most: int = 3) -> DataFrame:
+    """Open items in the order of insertion, with their label and what the brief says of them."""
+    found = _first(unresolved_open_items(nodes, edges), most)
+    return found.join(nodes.select(P, "id", tx.truncated(F.col("label"), CUT).alias("label")), [P, "id"])
+
+
+def brief_warnings(nodes: DataFrame, tool_events: DataFrame, unverified: int = 3, failing: int = 2) -> DataFrame:
+    """(project_id, kind, place, id, description, total) of the session that was active last: its unverified edits, then its failing checks,
+    failed verifications before rule violations."""
+    edits, checks = scratch(tool_events.join(current_sessions(tool_events), [P, "session_id"], "left_semi"))
+    loose = _first(unverified_changes(edits, checks), unverified).withColumn("kind", F.lit("unverified"))
+    failed = failed_verifications(edits, checks).withColumn("late", F.lit(0)).unionByName(rule_violations(checks, nodes).withColumn("late", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy(P).orderBy("late", "seq", "id"))
+    rows = _with_total(failed.withColumn("id", F.col("node_ids")[0])).withColumn("place", place).where(F.col("place") <= failing)
+    rows = rows.select(P, "place", "id", tx.truncated(F.col("description"), CUT).alias("description"), "total", F.lit("failing").alias("kind"))
+    return loose.unionByName(rows)
 
 
 def brief_binding(nodes: DataFrame, active_files: DataFrame, most: int = 5) -> DataFrame:
@@ -49,47 +74,75 @@ def brief_binding(nodes: DataFrame, active_files: DataFrame, most: int = 5) -> D
     return rows.withColumn("place", place).where(F.col("place") <= most).select(P, "place", "id", "node_type", tx.truncated(F.col("label"), CUT).alias("label"))
 
 
-def brief_text(nodes: DataFrame, edges: DataFrame, tool_events: DataFrame) -> DataFrame:
-    """(project_id, brief): the sections in order; a project without a section has an empty brief."""
-    lines = lambda d, n, title, text: d.select(P, F.lit(n).alias("section"), title.alias("title"), "place", text.alias("line"))
-    decisions = brief_decisions(nodes, edges)
-    rules = brief_rules(nodes)
-    items = brief_open_items(nodes, edges)
-    loose = unverified_changes(*scratch(tool_events)).withColumn("total", F.count("*").over(Window.partitionBy(P)))
-    loose = loose.withColumn("place", F.row_number().over(Window.partitionBy(P).orderBy("seq"))).where("place <= 3")
-    n_rules = F.count("*").over(Window.partitionBy(P))
-    rows = lines(decisions, 1, F.concat(F.lit("Decisions ("), "total", F.lit(")")), F.concat(F.lit("- ["), "decision_status", F.lit("] "), "label"))
-    rows = rows.union(lines(rules, 2, F.concat(F.lit("Rules ("), n_rules, F.lit(")")), F.concat(F.lit("- "), "label")))
-    rows = rows.union(lines(items, 3, F.concat(F.lit("Open items ("), "total", F.lit(")")), F.concat(F.lit("- "), "label")))
-    rows = rows.union(lines(loose, 4, F.concat(F.lit("Unverified changes ("), "total", F.lit(")")), F.concat(F.lit("- "), "description")))
-    sections = rows.groupBy(P, "section", "title").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    body = sections.groupBy(P).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", F.concat("title", F.lit("\n"), "body").alias("t")))), lambda x: x["t"]), "\n").alias("body"))
+def _joined(rows: DataFrame, keys: list[str], order: str, text: str, mark: str, name: str) -> DataFrame:
+    """The texts of each key's few rows, in order, as one."""
+    listed = F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("t"))))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["t"]), mark).alias(name))
+
+
+def brief_text(nodes: DataFrame, edges: DataFrame, tool_events: DataFrame, active_files: DataFrame) -> DataFrame:
+    """(project_id, brief): decisions, rules, open items, what binds the active files, and the warnings of the session that was active
+    last; a project without a section has an empty brief."""
+    lines = lambda d, n, title, text: d.select(P, F.lit(n).alias("section"), title.alias("title"), F.col("place").cast("long").alias("place"), text.alias("line"))
+    titled = lambda name: F.concat(F.lit(f"{name} ("), F.col("total"), F.lit("):"))
+    said = F.concat(F.lit("- "), "description")
+    warnings = brief_warnings(nodes, tool_events)
+    rows = lines(brief_decisions(nodes, edges), 1, titled("Decisions"), F.concat(F.lit("- ["), "decision_status", F.lit("] "), "label"))
+    rows = rows.union(lines(_with_total(brief_rules(nodes)), 2, titled("Rules"), F.concat(F.lit("- "), "label")))
+    rows = rows.union(lines(brief_open_items(nodes, edges), 3, titled("Open items"), said))
+    rows = rows.union(lines(_with_total(brief_binding(nodes, active_files)), 4, titled("Binding here"), F.concat(F.lit("- ["), "node_type", F.lit("] "), "label")))
+    rows = rows.union(lines(warnings.where("kind = 'unverified'"), 5, titled("Unverified edits"), said))
+    rows = rows.union(lines(warnings.where("kind = 'failing'"), 6, titled("Failing checks"), said))
+    sections = _joined(rows, [P, "section", "title"], "place", "line", "\n", "body").withColumn("whole", F.concat("title", F.lit("\n"), "body"))
+    body = _joined(sections, [P], "section", "whole", "\n", "body")
     counts = nodes.groupBy(P).agg(F.count("*").alias("n")).join(edges.groupBy(P).agg(F.count("*").alias("m")), P, "left")
     head = F.concat(F.lit('<reasoning-state nodes="'), "n", F.lit('" edges="'), F.coalesce("m", F.lit(0)), F.lit('">\n'))
     return counts.join(body, P, "left").select(P, F.coalesce(F.concat(head, "body", F.lit("\n</reasoning-state>")), F.lit("")).alias("brief"))
 
 
-def answer_sections(trace: DataFrame, nodes: DataFrame, inside: DataFrame, most: int = 12, links: int = 3) -> DataFrame:
-    """(question_id, project_id, answer): the first trace nodes by type, each with up to three edges inside the trace."""
+NOTHING = "No relevant nodes found in the graph."
+EMPTY = "The graph does not yet contain enough information to answer this question."
+
+
+def _verb(kind: Column) -> tuple[Column, Column]:
+    """(word, preference) of an edge type."""
+    word, rank = F.lit(None).cast("string"), F.lit(0)
+    for name, (preference, _, said) in schema.EDGE_TYPES.items():
+        word, rank = F.when(kind == name, said).otherwise(word), F.when(kind == name, preference).otherwise(rank)
+    return word, rank
+
+
+def answer_sections(questions: DataFrame, seen: DataFrame, trace: DataFrame, nodes: DataFrame, inside: DataFrame, most: int = 12, links: int = 3) -> DataFrame:
+    """(question_id, project_id, answer) of every question: the first trace nodes as decisions, rules, reasoning chains and open items, each
+    node with up to three edges inside the trace. seen: the nodes of each question's subgraph."""
     key = ["question_id", P]
-    kept = trace.where(F.col("place") < most).join(nodes.select(P, "id", "node_type", "label"), [P, "id"])
-    verb, rank = F.lit(None).cast("string"), F.lit(0)
-    for name, (preference, _, word) in schema.EDGE_TYPES.items():
-        verb, rank = F.when(F.col("edge_type") == name, word).otherwise(verb), F.when(F.col("edge_type") == name, preference).otherwise(rank)
+    first_nodes = trace.where(F.col("place") < most)
+    kept = first_nodes.join(nodes.select(P, "id", "node_type", "label", "agent_id", "session_id"), [P, "id"])
+    verb, rank = _verb(F.col("edge_type"))
     target = kept.select(*key, F.col("id").alias("target_node_id"), F.col("label").alias("target_label"))
     out = inside.join(kept.select(*key, F.col("id").alias("source_node_id")), [*key, "source_node_id"], "left_semi").join(target, [*key, "target_node_id"])
     first = F.row_number().over(Window.partitionBy(*key, "source_node_id", "target_node_id").orderBy("seq", "id"))
     out = out.withColumn("first", first).where("first = 1").withColumn("preference", rank)
     place = F.row_number().over(Window.partitionBy(*key, "source_node_id").orderBy("preference", "seq", "id"))
     out = out.withColumn("edge_place", place).where(F.col("edge_place") <= links)
-    line = F.concat(F.lit("  - "), verb, F.lit(" "), "target_label")
-    listed = out.groupBy(*key, F.col("source_node_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("edge_place", line.alias("line")))), lambda x: x["line"]), "\n").alias("links"))
+    out = out.withColumn("line", F.concat(F.lit("  - *"), verb, F.lit("* → "), "target_label")).withColumnRenamed("source_node_id", "of")
+    listed = _joined(out, [*key, "of"], "edge_place", "line", "\n", "links").withColumnRenamed("of", "id")
     rows = kept.join(listed, [*key, "id"], "left")
-    section = F.when(F.col("node_type") == "Decision", 1).when(F.col("node_type") == "Rule", 2).otherwise(3)
-    text = F.concat_ws("\n", F.concat(F.lit("- "), "label"), "links")
-    parts = rows.groupBy(*key, section.alias("section")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", text.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
-    title = F.element_at(F.array(F.lit("Decisions"), F.lit("Rules"), F.lit("Open items")), F.col("section"))
-    return parts.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", F.concat(title, F.lit("\n"), "body").alias("t")))), lambda x: x["t"]), "\n\n").alias("answer"))
+    section = F.when(F.col("node_type") == "Decision", 1).when(F.col("node_type") == "Rule", 2).otherwise(4)
+    text = F.concat_ws("\n", F.format_string("- **%s** (%s) %s", "agent_id", "session_id", "label"), "links")
+    parts = _joined(rows.withColumns({"section": section, "text": text}), [*key, "section"], "place", "text", "\n", "body")
+    # A chain names who said each step, and how the step before led to it.
+    steps = reasoning_chains(first_nodes, inside).select(*key, "chain_no", F.posexplode("chain").alias("step", "id"), "verbs")
+    steps = steps.join(nodes.select(P, "id", "agent_id", "session_id"), [P, "id"])
+    said = _verb(F.get("verbs", F.col("step")))[0]
+    steps = steps.withColumn("text", F.concat(F.format_string("%s (%s)", "agent_id", "session_id"), F.coalesce(F.concat(F.lit(" → *"), said, F.lit("*")), F.lit(""))))
+    chains = _joined(steps, [*key, "chain_no"], "step", "text", " ", "text").withColumn("line", F.concat((F.col("chain_no") + 1).cast("string"), F.lit(". "), "text"))
+    parts = parts.unionByName(_joined(chains, key, "chain_no", "line", "\n", "body").withColumn("section", F.lit(3)))
+    title = F.element_at(F.array(*(F.lit(f"### {t}") for t in ("Decisions", "Rules", "Reasoning Chains", "Open Items"))), F.col("section"))
+    whole = _joined(parts.withColumn("whole", F.concat(title, F.lit("\n"), "body")), key, "section", "whole", "\n\n", "answer")
+    filled = seen.select(*key).distinct().withColumn("filled", F.lit(True))
+    every = questions.select(*key).distinct().join(filled, key, "left").join(whole, key, "left")
+    return every.select(*key, F.coalesce("answer", F.when(F.col("filled"), NOTHING).otherwise(EMPTY)).alias("answer"))
 
 
 def export_summary_markdown(nodes: DataFrame, debts: DataFrame) -> DataFrame:

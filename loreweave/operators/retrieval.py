@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..staging import stage
 from .scans import P
 
 K1, B, DEGREE = 1.2, 0.75, 0.1
@@ -17,24 +22,40 @@ def node_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select(P, "id").join(ends, [P, "id"], "left").select(P, "id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
+def _tokens(nodes: DataFrame) -> DataFrame:
+    """(project_id, id, seq, tokens) of label and description."""
+    return nodes.select(P, "id", "seq", tx.index_tokens(F.lower(F.concat_ws(" ", "label", "description"))).alias("tokens"))
+
+
+def _postings(tokens: DataFrame) -> DataFrame:
+    rows = tokens.select(P, "id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    return rows.groupBy(P, "term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+
+
 def bm25_index(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings: project_id, term, id, tf, length), (terms: project_id, term, df)."""
-    tokens = tx.index_tokens(F.lower(F.concat_ws(" ", "label", "description")))
-    rows = nodes.select(P, "id", tokens.alias("tokens")).select(P, "id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    postings = rows.groupBy(P, "term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    postings = _postings(_tokens(nodes))
     return postings, postings.groupBy(P, "term").agg(F.count("*").alias("df"))
 
 
+def _asked(questions: DataFrame) -> DataFrame:
+    tokens = questions.select("question_id", P, F.explode(tx.index_tokens(F.col("question"))).alias("term"))
+    return tokens.groupBy("question_id", P, "term").agg(F.count("*").alias("times"))
+
+
 def bm25_topk(questions: DataFrame, nodes: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame:
     """(question_id, project_id, id, score, rank), many questions at once.
 
-    Every node is scored; those without a query word rank by degree alone, so the n nodes of highest degree per
-    project stand for all of them.
+    Every node is scored; those without a question word rank by degree alone, so the n nodes of highest degree per
+    project stand for all of them. Nodes are tokenized once; only postings of the questions' terms are shuffled.
     """
-    postings, terms = bm25_index(nodes)
-    tokens = tx.index_tokens(F.col("question"))
-    asked = questions.select("question_id", P, F.explode(tokens).alias("term")).groupBy("question_id", P, "term").agg(F.count("*").alias("times"))
-    lengths = nodes.groupBy(P).agg(F.count("*").alias("n_nodes"), F.sum(F.size(tx.index_tokens(F.lower(F.concat_ws(" ", "label", "description"))))).alias("total"))
+    tokens = stage(_tokens(nodes), "tokens")
+    asked = stage(_asked(questions), "asked")
+    wanted = asked.select(P, "term").distinct()
+    words = tokens.select(P, "id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(wanted, [P, "term"], "left_semi")
+    postings = words.groupBy(P, "term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    terms = postings.groupBy(P, "term").agg(F.count("*").alias("df"))
+    lengths = tokens.groupBy(P).agg(F.count("*").alias("n_nodes"), F.sum(F.size("tokens")).alias("total"))
     idf = F.ln((F.col("n_nodes") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.greatest(F.col("total") / F.col("n_nodes"), F.lit(1.0)))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / norm
@@ -48,22 +69,94 @@ def bm25_topk(questions: DataFrame, nodes: DataFrame, edges: DataFrame, n: int =
     return _top(scored.select("question_id", P, "id", score.alias("score")), n)
 
 
+def keyword_count_rank(questions: DataFrame, seen: DataFrame, nodes: DataFrame, n: int = 3) -> DataFrame:
+    """(question_id, project_id, id, score, rank): of each question's subgraph the nodes that hold its words most often, first inserted first
+    among equals; where none holds a word, the first nodes."""
+    asked = _asked(questions)
+    tokens = _tokens(nodes.join(seen.select(P, "id").distinct(), [P, "id"], "left_semi"))
+    words = tokens.select(P, "id", F.explode("tokens").alias("term")).join(asked.select(P, "term").distinct(), [P, "term"], "left_semi")
+    counts = words.groupBy(P, "term", "id").agg(F.count("*").alias("tf"))
+    hits = asked.join(counts, [P, "term"]).groupBy("question_id", P, "id").agg(F.sum(F.col("times") * F.col("tf")).alias("hits"))
+    rows = seen.select("question_id", P, "id").join(nodes.select(P, "id", "seq"), [P, "id"]).join(hits, ["question_id", P, "id"], "left")
+    rows = rows.withColumn("score", F.coalesce("hits", F.lit(0)).cast("long"))
+    rank = F.row_number().over(Window.partitionBy("question_id", P).orderBy(F.col("score").desc(), "seq", "id"))
+    top = rows.withColumn("rank", rank).where(F.col("rank") <= n)
+    best = top.where("rank = 1").select("question_id", P, F.col("score").alias("best"))
+    return top.join(best, ["question_id", P]).where("score > 0 OR best = 0").select("question_id", P, "id", "score", "rank")
+
+
 def _top(scored: DataFrame, n: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("question_id", P).orderBy(F.col("score").desc(), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def embedding_topk(questions: DataFrame, vectors: DataFrame, n: int = 5) -> DataFrame:
-    """(question_id, project_id, embedding) against (project_id, id, embedding): cosine, 0 for a zero norm; one scan of
-    the vectors, in an equi-join on the project."""
-    left = questions.select("question_id", P, F.col("embedding").alias("q"), F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("qn"))
-    right = vectors.select(P, "id", "embedding", F.sqrt(_dot(F.col("embedding"), F.col("embedding"))).alias("vn"))
-    cosine = F.when((F.col("qn") > 0) & (F.col("vn") > 0), _dot(F.col("q"), F.col("embedding")) / (F.col("qn") * F.col("vn"))).otherwise(0.0)
-    return _top(right.join(left, P).select("question_id", P, "id", F.round(cosine, 6).alias("score")), n)
+def _unit(column: pa.Array) -> np.ndarray:
+    """Rows of vectors of one length, scaled to norm 1; a zero norm stays zero."""
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+    return rows / np.where(norm > 0, norm, 1.0)[:, None]
+
+
+_BLOCK = [P, "length", "block"]
+
+
+def _nearest_in_blocks(n: int):
+    """Batches sorted by block, vectors before questions -> each question's n best of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, vectors = None, [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in (*_BLOCK, "asks"))))
+            cuts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            for low, high in zip(cuts, [*cuts[1:], len(keys)]):
+                rows, now = batch.slice(low, high - low), keys[low][:3]
+                if now != key:
+                    key, held, vectors = now, [], None
+                if not keys[low][3]:
+                    held.append(rows.select(["id", "embedding"]))
+                    continue
+                if not held:
+                    continue
+                if vectors is None:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    ids, vectors = table.column("id").combine_chunks(), _unit(table.column("embedding").combine_chunks())
+                    order = np.argsort(np.array(ids.to_pylist()), kind="stable")  # ties to the smaller id
+                    ids, vectors = ids.take(pa.array(order)), vectors[order]
+                names = ids.to_pylist()
+                own, questions = rows.column("id").to_pylist(), rows.column("question_id")
+                take, mine, scores = [], [], []
+                for at in range(0, rows.num_rows, 256):
+                    score = _unit(rows.column("embedding").slice(at, 256)) @ vectors.T
+                    for j, line in enumerate(score):
+                        best = np.argsort(-np.round(line, 6), kind="stable")[: n + 1]
+                        best = [i for i in best if names[i] != own[at + j]][:n]
+                        take += [at + j] * len(best)
+                        mine += [int(i) for i in best]
+                        scores += line[best].tolist()
+                yield pa.RecordBatch.from_arrays([questions.take(pa.array(take, pa.int64())), rows.column(P).take(pa.array(take, pa.int64())), ids.take(pa.array(mine, pa.int64())), pa.array(scores, pa.float64())], ["question_id", P, "id", "score"])
+
+    return run
+
+
+def embedding_topk(questions: DataFrame, vectors: DataFrame, n: int = 5, block_rows: int = 16_384) -> DataFrame:
+    """(question_id, project_id, embedding[, id]) against (project_id, id, embedding): cosine, 0 for a zero norm, ties to the smaller id. A
+    question's own id, where it has one, is no candidate, nor are vectors of another length or with a null.
+
+    Vectors are dealt to blocks of about block_rows, one place each; the questions go to every block of their project, where their
+    n best are kept before anything else is shuffled.
+    """
+    fine = lambda d: d.where(F.forall("embedding", lambda x: x.isNotNull())).withColumn("length", F.size("embedding"))
+    held = fine(vectors).select(P, "id", F.col("embedding").cast("array<double>").alias("embedding"), "length")
+    kinds, asked = dict(held.dtypes), fine(questions)
+    asked = asked.withColumn("id", F.col("id") if "id" in questions.columns else F.lit(None)).select("question_id", P, F.col("id").cast(kinds["id"]).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), "length")
+    sizes = held.groupBy(P, "length").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    placed = held.join(F.broadcast(sizes), [P, "length"]) if sizes.count() <= 10_000 else held.join(sizes, [P, "length"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("asks", F.lit(False)).withColumn("question_id", F.lit(None).cast(dict(asked.dtypes)["question_id"]))
+    spread = asked.join(sizes, [P, "length"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    columns = [*_BLOCK, "asks", "id", "question_id", "embedding"]
+    rows = placed.select(columns).union(spread.select(columns)).repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "asks")
+    found = rows.mapInArrow(_nearest_in_blocks(n), f"question_id {dict(asked.dtypes)['question_id']}, {P} string, id {kinds['id']}, score double")
+    return _top(found.withColumn("score", F.round("score", 6)), n)
 
 
 def hybrid_topk(first: DataFrame, second: DataFrame, n: int = 5, rrf: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..staging import stage
 
 P = "project_id"
 
@@ -77,29 +78,82 @@ def signal_filter(events: DataFrame, least: int = 5) -> DataFrame:
     return events.where(F.size(tx.words(F.col("text"))) >= least)
 
 
-def context_asof(events: DataFrame, nodes: DataFrame, window: int = 20, most_nodes: int = 50) -> DataFrame:
-    """For each event the ids of the last events up to it, and of the newest nodes that were known before it.
+def get_nodes(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes named by (project_id, id); names that do not exist give no row."""
+    return nodes.join(ids.select(P, "id"), [P, "id"], "left_semi")
 
-    Events and nodes share one timeline; a node counts from its own seq on. No join between them.
+
+def route_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tool calls, which go to scratch; everything else, which goes to extraction) by event_kind; a null kind is prose."""
+    tool = F.coalesce(F.col("event_kind") == "tool_call", F.lit(False))
+    return events.where(tool), events.where(~tool)
+
+
+def _ranges(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """The rows dealt to ranges of (project_id, order), with the number of the range: no project has to fit in one task."""
+    return stage(rows.repartitionByRange(P, *order).withColumn("part", F.spark_partition_id()), name)
+
+
+def numbered(rows: DataFrame, name: str = "place") -> DataFrame:
+    """Rows with their number in the project in the order of seq and id, from 0. Only the sizes of the ranges meet in one place."""
+    ranged = _ranges(rows, ["seq", "id"], "numbered")
+    sizes = ranged.groupBy(P, "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(P).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy(P, "part").orderBy("seq", "id")) - 1
+    found = ranged.withColumn("own", own).join(sizes.select(P, "part", before.alias("before")), [P, "part"])
+    return found.withColumn(name, (F.col("own") + F.col("before")).cast("long")).drop("own", "before", "part")
+
+
+def _carried(tails: DataFrame, parts: DataFrame, most: dict[str, int]) -> DataFrame:
+    """(project_id, part, kind, seq, late, id): the last rows of each kind before each range, from the tails of the ranges before it."""
+    order = Window.partitionBy(P, "kind").orderBy("part", "seq", "late", "id")
+    numbered_tails = tails.withColumn("r", F.row_number().over(order))
+    counts = tails.groupBy(P, "kind", "part").agg(F.count("*").alias("n"))
+    kinds = parts.crossJoin(tails.sparkSession.createDataFrame(list(most.items()), "kind string, most int"))
+    sums = kinds.join(counts, [P, "kind", "part"], "left")
+    before = F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(P, "kind").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    wanted = sums.withColumn("before", before).where("before > 0")
+    wanted = wanted.select(P, "kind", F.col("part").alias("for_part"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("before") - F.col("most") + 1), F.col("before"))).alias("r"))
+    return numbered_tails.join(wanted, [P, "kind", "r"]).select(P, F.col("for_part").alias("part"), "kind", "seq", "late", "id")
+
+
+def context_asof(events: DataFrame, nodes: DataFrame, edges: DataFrame, window: int = 20, most_nodes: int = 50, most_edges: int = 100) -> DataFrame:
+    """For each event the ids of the last events up to it, and of the newest nodes and edges that were known by then, oldest first.
+
+    Events, nodes and edges share one timeline; a node or edge counts from its own seq on. No join between them: the timeline is dealt
+    to ranges, and each range is given the last rows of every kind before it.
     """
-    line = events.select(P, "seq", F.lit(1).alias("late"), "id", F.lit(None).cast("string").alias("node_id")).union(
-        nodes.select(P, "seq", F.lit(0), F.lit(None).cast("string"), "id")
-    )
-    order = Window.partitionBy(P).orderBy("seq", "late", "id", "node_id")
-    every = line.withColumn("n_events", F.count("id").over(order)).withColumn("n_nodes", F.count("node_id").over(order))
-    own = Window.partitionBy(P).orderBy("n_events").rowsBetween(-(window - 1), 0)
-    history = every.where("id IS NOT NULL").select(P, "id", "seq", "n_nodes", F.collect_list("id").over(own).alias("history"))
-    known = Window.partitionBy(P).orderBy("n_nodes").rowsBetween(-(most_nodes - 1), 0)
-    at = every.where("node_id IS NOT NULL").select(P, "n_nodes", F.collect_list("node_id").over(known).alias("known"))
+    most = {"event": window, "node": most_nodes, "edge": most_edges}
+    of = lambda d, kind, late: d.select(P, "seq", F.lit(late).alias("late"), "id", F.lit(kind).alias("kind"))
+    line = of(events, "event", 1).union(of(nodes, "node", 0)).union(of(edges, "edge", 0))
+    ranged = _ranges(line, ["seq", "late", "id"], "timeline")
+    limit = F.lit(0)
+    for kind, n in most.items():
+        limit = F.when(F.col("kind") == kind, n).otherwise(limit)
+    newest_first = Window.partitionBy(P, "part", "kind").orderBy(F.col("seq").desc(), F.col("late").desc(), F.col("id").desc())
+    tails = stage(ranged.withColumn("r", F.row_number().over(newest_first)).where(F.col("r") <= limit).drop("r"), "tails")
+    carried = _carried(tails, ranged.select(P, "part").distinct(), most).withColumn("own", F.lit(False))
+    rows = ranged.withColumn("own", F.lit(True)).unionByName(carried)
+    # Numbers of the kinds so far, then the ids behind the last numbers.
+    at = Window.partitionBy(P, "part").orderBy("seq", "late", "id", "kind")
+    for kind in most:
+        rows = rows.withColumn(f"n_{kind}", F.count(F.when(F.col("kind") == kind, 1)).over(at))
+    found = rows.where("kind = 'event'")
+    last = Window.partitionBy(P, "part").orderBy("n_event").rowsBetween(-(window - 1), 0)
+    found = found.withColumn("history", F.collect_list("id").over(last)).where("own")
     none = F.array().cast("array<string>")
-    return history.join(at, [P, "n_nodes"], "left").select(P, "id", "seq", "history", F.coalesce("known", none).alias("known"))
+    for kind, name in (("node", "known"), ("edge", "known_edges")):
+        known = Window.partitionBy(P, "part").orderBy(f"n_{kind}").rowsBetween(-(most[kind] - 1), 0)
+        lists = rows.where(F.col("kind") == kind).select(P, "part", f"n_{kind}", F.collect_list("id").over(known).alias(name))
+        found = found.join(lists, [P, "part", f"n_{kind}"], "left").withColumn(name, F.coalesce(name, none))
+    return found.select(P, "id", "seq", "history", "known", "known_edges")
 
 
 def history_chunks(events: DataFrame, every: int = 10) -> DataFrame:
     """Each run of `every` events as `[start] role: text` lines."""
-    numbered = events.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(P).orderBy("seq", "id")) - 1) / every))
+    chunks = numbered(events).withColumn("chunk", F.floor(F.col("place") / every))
     line = F.concat(F.lit("["), F.format_string("%.1f", "start_time"), F.lit("] "), "agent_role", F.lit(": "), "text")
-    rows = numbered.groupBy(P, "chunk").agg(F.array_sort(F.collect_list(F.struct("seq", "id", line.alias("line")))).alias("lines"))
+    rows = chunks.groupBy(P, "chunk").agg(F.array_sort(F.collect_list(F.struct("seq", "id", line.alias("line")))).alias("lines"))
     return rows.select(P, "chunk", F.array_join(F.col("lines.line"), "\n").alias("history"))
 
 

@@ -20,12 +20,18 @@ from ..operators import studies as st
 from ..operators import writes as wr
 from ..sources import fixtures as fx
 from ..sources import readers as rd
-from ..staging import stage
+from ..staging import new_path, stage
 from ..streaming import streams
 from .registry import query
 
 _STOP = ", ".join(f"'{w}'" for w in schema.INDEX_STOP)
 _CONTENT = ", ".join(f"'{w}'" for w in schema.CONTENT_STOP)
+_COMMUNITY = ", ".join(f"'{w}'" for w in schema.COMMUNITY_STOP)
+
+
+def _contains_any(text: str, marks: list[str]) -> str:
+    quoted = [m.replace("'", "''") for m in marks]
+    return "(" + " OR ".join(f"contains({text}, '{m}')" for m in quoted) + ")"
 
 
 def _sorted_join(column: str) -> F.Column:
@@ -88,9 +94,31 @@ def open_questions(spark: SparkSession, d: str) -> DataFrame:
     return sc.open_questions(fx.nodes(spark, d), fx.edges(spark, d), 25).select("id", "label", "seq")
 
 
-@query("SELECT node_type, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM fx_nodes GROUP BY node_type")
+@query("SELECT node_type, n, id FROM fx_nodes JOIN (SELECT node_type, count(*) AS n FROM fx_nodes GROUP BY node_type) USING (node_type)")
 def nodes_by_type(spark: SparkSession, d: str) -> DataFrame:
-    return fx.nodes(spark, d).groupBy("node_type").agg(F.count("*").alias("n"), _sorted_join(F.collect_list("id")).alias("ids"))
+    """A row a member, with the size of its type."""
+    nodes = fx.nodes(spark, d).select("project_id", "node_type", "id")
+    return nodes.join(nodes.groupBy("project_id", "node_type").agg(F.count("*").alias("n")), ["project_id", "node_type"]).select("node_type", "n", "id")
+
+
+@query("SELECT id, label, status FROM fx_nodes WHERE id IN (SELECT target_node_id FROM fx_edges WHERE seq % 5 = 0)")
+def get_node(spark: SparkSession, d: str) -> DataFrame:
+    """The targets of some edges, and a name that does not exist, looked up at once."""
+    asked = fx.edges(spark, d).where("seq % 5 = 0").select("project_id", F.explode(F.array("target_node_id", F.lit("missing"))).alias("id"))
+    return sc.get_nodes(fx.nodes(spark, d), asked).select("id", "label", "status")
+
+
+@query("SELECT id, 'scratch' AS branch FROM fx_tools UNION ALL SELECT concat('u', conv_id, '-', turn), 'extraction' FROM conversations")
+def route_events(spark: SparkSession, d: str) -> DataFrame:
+    tool, prose = sc.route_events(_events(spark, d))
+    return tool.select("id", F.lit("scratch").alias("branch")).union(prose.select("id", F.lit("extraction")))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    """Tool calls and prose as one table of events."""
+    tools = fx.tool_events(spark, d).select("project_id", "id", "session_id", "seq", "end_time", "text", F.lit("tool_call").alias("event_kind"), "tool_name", "files")
+    prose = fx.utterances(spark, d).select("project_id", "id", "session_id", "seq", "end_time", "text", F.when(F.col("agent_role") == "user", "user_prompt").alias("event_kind"))
+    return tools.unionByName(prose, allowMissingColumns=True)
 
 
 @query("SELECT session_id, session_index FROM fx_sessions")
@@ -121,12 +149,15 @@ def check_passed(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", tx.check_passed(F.col("text")).alias("passed"))
 
 
-@query("""h AS (SELECT a.seq, string_agg(b.id, ',' ORDER BY b.seq) AS history FROM fx_nodes a JOIN (SELECT * FROM fx_nodes) b ON b.seq <= a.seq
-  AND (SELECT count(*) FROM fx_nodes c WHERE c.seq > b.seq AND c.seq <= a.seq) < 20 GROUP BY a.seq)
-SELECT replace(n.id, 'c', 'u') AS id, h.history AS history FROM fx_nodes n JOIN h USING (seq)""")
+@query("""n AS (SELECT *, row_number() OVER (ORDER BY seq) AS r FROM fx_nodes), k AS (SELECT * FROM n WHERE seq % 4 <> 1), kr AS (SELECT id, seq, row_number() OVER (ORDER BY seq) AS r FROM k),
+er AS (SELECT id, seq, row_number() OVER (ORDER BY seq, id) AS r FROM fx_edges),
+pos AS (SELECT n.id, n.r, (SELECT count(*) FROM kr WHERE kr.seq <= n.seq) AS rk, (SELECT count(*) FROM er WHERE er.seq <= n.seq) AS re FROM n)
+SELECT replace(pos.id, 'c', 'u') AS id, (SELECT string_agg(replace(b.id, 'c', 'u'), ',' ORDER BY b.r) FROM n b WHERE b.r BETWEEN pos.r - 19 AND pos.r) AS history,
+  coalesce((SELECT string_agg(id, ',' ORDER BY r) FROM kr WHERE r BETWEEN rk - 49 AND rk), '') AS known, coalesce((SELECT string_agg(id, ',' ORDER BY r) FROM er WHERE r BETWEEN re - 99 AND re), '') AS known_edges FROM pos""")
 def context_asof(spark: SparkSession, d: str) -> DataFrame:
-    found = sc.context_asof(fx.nodes(spark, d).selectExpr("project_id", "id", "seq"), fx.nodes(spark, d))
-    return found.select(F.translate("id", "c", "u").alias("id"), F.array_join("history", ",").alias("history"))
+    """Every utterance, with nodes of three utterances of four."""
+    found = sc.context_asof(fx.utterances(spark, d), fx.nodes(spark, d).where("seq % 4 <> 1"), fx.edges(spark, d))
+    return found.select("id", *(F.array_join(c, ",").alias(c) for c in ("history", "known", "known_edges")))
 
 
 @query("""n AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS i FROM fx_nodes)
@@ -153,11 +184,11 @@ def brief_changes(spark: SparkSession, d: str) -> DataFrame:
 _LINES = "concat(CASE i % 5 WHEN 0 THEN '- You must ' WHEN 1 THEN '- We use ' WHEN 2 THEN '- TODO ' WHEN 3 THEN '- ' ELSE '' END, line)"
 
 
-@query(f"""t AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents WHERE lang = 'en'),
+@query(f"""t AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents),
 k AS (SELECT doc_id, lower(regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS w FROM t)
 SELECT doc_id, count(*) AS tokens, count(DISTINCT w) AS terms FROM k WHERE w <> '' AND w NOT IN ({_STOP}) GROUP BY doc_id""")
 def tokenize_index(spark: SparkSession, d: str) -> DataFrame:
-    docs = fx.table(spark, d, "documents").where("lang = 'en'")
+    docs = fx.table(spark, d, "documents")
     tokens = docs.select("doc_id", F.explode(tx.index_tokens(F.col("text"))).alias("w"))
     return tokens.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.countDistinct("w").alias("terms"))
 
@@ -199,11 +230,15 @@ def _notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
-m AS (SELECT doc_id, i, i % 5 AS k, octet_length(encode(regexp_replace(regexp_replace(trim(CASE i % 5 WHEN 0 THEN concat('You must ', line) WHEN 1 THEN concat('We use ', line) ELSE concat('TODO ', line) END), '[.;]+$', ''), '[*_`]', '', 'g'))) AS n FROM l WHERE i % 5 < 3)
-SELECT CASE k WHEN 0 THEN 'Rule' WHEN 1 THEN 'Decision' ELSE 'OpenItem' END AS node_type, count(*) AS n FROM m WHERE n >= 8 AND k > 0 GROUP BY k""")
+p AS (SELECT trim(CASE i % 5 WHEN 0 THEN concat('- You must ', line) WHEN 1 THEN concat('- We use ', line) WHEN 2 THEN concat('- TODO ', line) WHEN 3 THEN concat('- ', line) ELSE line END, ' ') AS raw FROM l),
+b AS (SELECT raw, regexp_replace(regexp_replace(trim(regexp_replace(trim(regexp_replace(raw, '^[-*+>]+', ''), ' '), '^[0-9.)]+', ''), ' '), '[.;]+$', ''), '[*_`]', '', 'g') AS note FROM p),
+k AS (SELECT CASE WHEN regexp_matches(raw, '^[-*+>0-9]') AND octet_length(encode(note)) >= 8 AND NOT starts_with(note, '|') AND NOT starts_with(note, '#') THEN
+  CASE WHEN contains(lower(note), '?') OR starts_with(lower(note), 'todo') OR starts_with(lower(note), 'tbd') OR starts_with(lower(note), 'open question') THEN 'OpenItem'
+    WHEN {_contains_any('lower(note)', schema.DECISION_MARKERS)} THEN 'Decision' WHEN {_contains_any('lower(note)', schema.RULE_MARKERS)} THEN 'Rule' END END AS node_type FROM b)
+SELECT node_type, count(*) AS n FROM k GROUP BY node_type""")
 def classify_markdown_line(spark: SparkSession, d: str) -> DataFrame:
-    rows = _notes(spark, d).where("i % 5 IN (1, 2)").select(tx.note_class(F.col("line")).alias("node_type")).where("node_type IS NOT NULL")
-    return rows.groupBy("node_type").agg(F.count("*").alias("n"))
+    """Lines of every document, marked or not; a null class counts those that say nothing."""
+    return _notes(spark, d).select(tx.note_class(F.col("line")).alias("node_type")).groupBy("node_type").agg(F.count("*").alias("n"))
 
 
 @query(r"SELECT id, concat('imp-', substr(sha256(trim(regexp_replace(lower(label), '[^a-z0-9\s]', '', 'g'))), 1, 16)) AS stable FROM fx_nodes")
@@ -223,6 +258,57 @@ def domain_credibility(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "pages").select("page_id", F.round(tx.domain_credibility(F.col("url")), 2).cast("decimal(3,2)").alias("credibility"))
 
 
+# Readers, over lines that the tables are written as
+
+
+@query("SELECT concat('u', conv_id, '-', turn) AS id, concat('s', conv_id % 20) AS session_id, text, CASE WHEN role = 'user' THEN 'user_prompt' ELSE 'utterance' END AS event_kind FROM conversations WHERE turn % 4 <> 3 AND text IS NOT NULL")
+def scan_events_jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as JSON lines, among blank and broken ones and ones of an unknown kind, read from a folder."""
+    rows = fx.utterances(spark, d).withColumn("turn", F.col("seq") % 100)
+    kind = F.when(F.col("turn") % 4 == 3, "other").when(F.col("agent_role") == "user", "user_prompt")
+    good = F.to_json(F.struct("id", "session_id", "agent_role", "start_time", "end_time", "text", kind.alias("event_kind")))
+    path = new_path(spark, "event-lines")
+    rows.select(F.explode(F.array(good, F.lit(""), F.lit("{broken"), F.to_json(F.struct("id")))).alias("value")).write.text(path)
+    return rd.scan_events_jsonl(spark, path).select("id", "session_id", "text", "event_kind")
+
+
+@query("SELECT text FROM conversations WHERE role = 'assistant' AND trim(text) <> '' AND conv_id % 5 <> 0")
+def transcript_to_events(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as transcript lines: blocks or plain text, every fifth conversation a side chain."""
+    turns = fx.table(spark, d, "conversations")
+    blocks = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.array(F.struct(F.lit("text").alias("type"), "text"), F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"))).alias("content")).alias("message")))
+    plain = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("text").alias("content")).alias("message"), (F.col("conv_id") % 5 == 0).alias("isSidechain")))
+    return rd.transcript_to_events(turns.select(F.when((F.col("turn") % 2 == 0) & (F.col("conv_id") % 5 != 0), blocks).otherwise(plain).alias("value")))
+
+
+@query("""SELECT concat('t', event_id) AS id, concat('/w/src/m', CAST(json_extract(props, '$.k') AS BIGINT) % 12, '.rs') AS file, concat(event_type, ' ', event_id) AS text FROM events""")
+def tool_payload_to_events(spark: SparkSession, d: str) -> DataFrame:
+    """Tool events as hook payloads: the file in one of two fields, twice, relative to the working folder."""
+    rows = fx.table(spark, d, "events").selectExpr("event_id", "event_type AS tool_name", "'/w' AS cwd", "concat('src/m', cast(get_json_object(props, '$.k') AS bigint) % 12, '.rs') AS file")
+    said = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.col("file").alias("file_path"), F.array("file").alias("paths")))).otherwise(F.to_json(F.struct(F.col("file").alias("path"))))
+    calls = rows.select("tool_name", "cwd", said.alias("input"), F.to_json(F.struct(F.col("event_id").cast("string").alias("output"))).alias("response"))
+    found = rd.tool_payload_to_events(calls)
+    return found.select(F.concat(F.lit("t"), F.element_at(F.split("text", " "), -1)).alias("id"), F.array_join("files", ",").alias("file"), "text")
+
+
+@query("""SELECT concat('s', conv_id % 20) AS session_id, CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'system' END AS agent_role, count(*) AS n FROM conversations WHERE trim(text) <> '' GROUP BY ALL""")
+def capture_prompts(spark: SparkSession, d: str) -> DataFrame:
+    turns = fx.utterances(spark, d)
+    of = lambda role: turns.where(F.col("agent_role") == role if role else ~F.col("agent_role").isin("user", "assistant")).select("session_id", "text")
+    return rd.capture_prompts(of("user"), of("assistant"), of(None)).groupBy("session_id", "agent_role").agg(F.count("*").alias("n"))
+
+
+@query("SELECT concat('b', seq) AS batch_id, id, label FROM fx_nodes WHERE seq % 3 <> 2")
+def load_raw_responses(spark: SparkSession, d: str) -> DataFrame:
+    """A node a response: as tool input, in prose and cut off after it, or not at all."""
+    node = F.to_json(F.struct(F.array(F.struct("id", "node_type", "label")).alias("nodes")))
+    tool = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct("id", "node_type", "label")).alias("nodes")).alias("input"))).alias("content")))
+    cut = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("Here: "), F.substring(node, 1, 1_000_000), F.lit("")).alias("text"))).alias("content")))
+    body = F.when(F.col("seq") % 3 == 0, tool).when(F.col("seq") % 3 == 1, cut).otherwise(F.lit("nothing to say"))
+    parsed, _ = rd.load_raw_responses(fx.nodes(spark, d).select(F.concat(F.lit("b"), "seq").alias("batch_id"), body.alias("body")))
+    return parsed.select("batch_id", F.explode("r.nodes").alias("n")).select("batch_id", "n.id", "n.label")
+
+
 # Writes
 
 
@@ -357,7 +443,8 @@ def debt_delta(spark: SparkSession, d: str) -> DataFrame:
 @query("""born AS (SELECT n.id, s.session_index AS b FROM fx_nodes n JOIN fx_sessions s USING (session_id) WHERE node_type = 'OpenItem' AND status <> 'Invalidated'),
 done AS (SELECT target_node_id AS id, min(s.session_index) AS d FROM fx_edges e JOIN fx_nodes n ON n.id = e.source_node_id JOIN fx_sessions s ON s.session_id = n.session_id WHERE edge_type = 'Resolves' GROUP BY 1),
 spans AS (SELECT born.id, b, d FROM born LEFT JOIN done ON done.id = born.id WHERE d IS NULL OR d > b)
-SELECT session_id, session_index, (SELECT count(*) FROM spans WHERE b <= session_index AND (d IS NULL OR d > session_index)) AS open_items, (SELECT count(*) FROM spans WHERE b = session_index) AS raised FROM fx_sessions""")
+SELECT session_id, session_index, (SELECT count(*) FROM spans WHERE b <= session_index AND (d IS NULL OR d > session_index)) AS open_items, (SELECT count(*) FROM spans WHERE b = session_index) AS raised,
+  (SELECT CAST(coalesce(sum(CASE WHEN b = session_index THEN 2 ELSE 3 END), 0) AS BIGINT) FROM spans WHERE b <= session_index AND (d IS NULL OR d > session_index)) AS total_score FROM fx_sessions""")
 def debt_over_sessions(spark: SparkSession, d: str) -> DataFrame:
     return de.debt_over_sessions(fx.nodes(spark, d), fx.edges(spark, d)).drop("project_id")
 
@@ -499,7 +586,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 _COS_SQL = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS question_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON v.vec_id >= 10 WHERE q.vec_id < 10),
+s AS (SELECT q.vec_id AS question_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM s)
 """
 
@@ -507,15 +594,42 @@ r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC,
 @query(_COS_SQL + "SELECT question_id, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
 def embedding_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.table(spark, d, "embeddings").select(F.lit(fx.PROJECT).alias("project_id"), F.col("vec_id").alias("id"), "embedding")
-    asked = rows.where("id < 10").select(F.col("id").alias("question_id"), "project_id", "embedding")
-    return rt.embedding_topk(asked, rows.where("id >= 10")).select("question_id", "id", "score", "rank")
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("question_id"), "project_id", "id", "embedding")
+    return rt.embedding_topk(asked, rows).select("question_id", "id", "score", "rank")
+
+
+_HYBRID_SQL = """vec AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), vn AS (SELECT count(*) AS c FROM embeddings),
+near AS (SELECT q.question_id, n.id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM (SELECT DISTINCT question_id FROM fx_questions) q CROSS JOIN vn JOIN vec a ON a.vec_id = q.question_id % c CROSS JOIN fx_nodes n JOIN vec b ON b.vec_id = n.seq % c),
+nr AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM near),
+both_ AS (SELECT question_id, id, min(o) AS o FROM (SELECT question_id, id, rank AS o FROM ranked WHERE rank <= 10 UNION ALL SELECT question_id, id, 1000 + rank FROM nr WHERE rank <= 10) GROUP BY ALL)
+"""
 
 
-@query(_BM25_SQL + "SELECT question_id, id, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5")
+@query(_BM25_SQL + ", " + _HYBRID_SQL + "SELECT question_id, id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY o) AS rank FROM both_) WHERE rank <= 15")
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = fx.nodes(spark, d), fx.edges(spark, d)
-    first = rt.bm25_topk(fx.questions(spark, d), nodes, edges, 10)
-    return rt.hybrid_topk(first, first.withColumn("rank", 11 - F.col("rank"))).select("question_id", "id", "rank")
+    """The first ten by words, then what the ten nearest vectors add; a node's vector is that of its seq, a question's that of its id."""
+    nodes, edges, questions = fx.nodes(spark, d), fx.edges(spark, d), fx.questions(spark, d)
+    vectors = fx.table(spark, d, "embeddings").select("vec_id", "embedding")
+    count = vectors.count() or 1
+    of = lambda rows, key: rows.withColumn("vec_id", F.col(key) % count).join(vectors, "vec_id")
+    second = rt.embedding_topk(of(questions, "question_id").select("question_id", "project_id", "embedding"), of(nodes, "seq").select("project_id", "id", "embedding"), 10)
+    return rt.hybrid_topk(rt.bm25_topk(questions, nodes, edges, 10), second, 15).select("question_id", "id", "rank")
+
+
+_KEYWORD_SQL = """und AS (SELECT source_node_id AS a, target_node_id AS b FROM fx_edges UNION SELECT target_node_id, source_node_id FROM fx_edges),
+g0 AS (SELECT question_id, id FROM ranked WHERE rank <= 5), g1 AS (SELECT * FROM g0 UNION SELECT question_id, b FROM g0 JOIN und ON a = id), g2 AS (SELECT * FROM g1 UNION SELECT question_id, b FROM g1 JOIN und ON a = id),
+g3 AS (SELECT * FROM g2 UNION SELECT question_id, b FROM g2 JOIN und ON a = id),
+kw AS (SELECT q.question_id, tf.id, sum(times * tf) AS s FROM q JOIN tf USING (term) GROUP BY ALL),
+kr AS (SELECT g3.question_id, g3.id, coalesce(kw.s, 0) AS score, row_number() OVER (PARTITION BY g3.question_id ORDER BY coalesce(kw.s, 0) DESC, n.seq) AS rank FROM g3 JOIN fx_nodes n ON n.id = g3.id LEFT JOIN kw ON kw.question_id = g3.question_id AND kw.id = g3.id)
+"""
+
+
+@query(_BM25_SQL + ", " + _KEYWORD_SQL + "SELECT question_id, id, CAST(score AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank FROM kr WHERE rank <= 3 AND (score > 0 OR (SELECT max(score) FROM kr k WHERE k.question_id = kr.question_id) = 0)")
+def keyword_count_rank(spark: SparkSession, d: str) -> DataFrame:
+    """In the subgraph around each question's first five nodes."""
+    nodes, edges, questions = fx.nodes(spark, d), fx.edges(spark, d), fx.questions(spark, d)
+    seen = gr.bfs_nodes(rt.bm25_topk(questions, nodes, edges), edges, 3)
+    return rt.keyword_count_rank(questions, seen, nodes).select("question_id", "id", "score", "rank")
 
 
 def _seeds(spark: SparkSession, d: str) -> DataFrame:
@@ -544,7 +658,9 @@ def induced_edge_counts(spark: SparkSession, d: str) -> DataFrame:
     return _inside(spark, d).groupBy("question_id").agg(F.count("*").alias("n_edges"))
 
 
-@query()
+@query(_BFS_SQL + """, ins AS (SELECT s.question_id, e.source_node_id AS a, e.target_node_id AS b FROM fx_edges e JOIN b2 s ON s.id = e.source_node_id JOIN b2 t ON t.id = e.target_node_id AND t.question_id = s.question_id),
+back AS (WITH RECURSIVE up AS (SELECT question_id, id FROM b0 UNION SELECT up.question_id, a FROM up JOIN ins ON ins.question_id = up.question_id AND ins.b = up.id) SELECT * FROM up)
+SELECT question_id, id FROM back""")
 def reverse_trace_set(spark: SparkSession, d: str) -> DataFrame:
     return gr.reverse_trace_set(_seeds(spark, d), _inside(spark, d)).select("question_id", "id")
 
@@ -562,11 +678,12 @@ def reasoning_chains(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def answer_questions(spark: SparkSession, d: str) -> DataFrame:
-    """Seeds by BM25, subgraph, reverse trace, answer: one job for all questions."""
-    nodes, edges = fx.nodes(spark, d), fx.edges(spark, d)
-    seeds = rt.bm25_topk(fx.questions(spark, d), nodes, edges)
-    inside = gr.induced_edges(gr.bfs_nodes(seeds, edges, 3), edges)
-    return rp.answer_sections(gr.reverse_trace_order(seeds, inside), nodes, inside).select("question_id", "answer")
+    """Seeds by BM25, subgraph, the nodes in it that hold the question's words most, reverse trace from them, answer: one job for all questions."""
+    nodes, edges, questions = fx.nodes(spark, d), fx.edges(spark, d), fx.questions(spark, d)
+    seen = stage(gr.bfs_nodes(rt.bm25_topk(questions, nodes, edges), edges, 3), "seen")
+    inside = stage(gr.induced_edges(seen, edges), "inside")
+    trace = stage(gr.reverse_trace_order(rt.keyword_count_rank(questions, seen, nodes), inside), "trace")
+    return rp.answer_sections(questions, seen, trace, nodes, inside).select("question_id", "answer")
 
 
 # Communities
@@ -597,15 +714,17 @@ def louvain_communities(spark: SparkSession, d: str) -> DataFrame:
     return cm.louvain(fx.nodes(spark, d), fx.edges(spark, d))
 
 
-@query("SELECT session_id AS community, count(*) AS size, string_agg(id, ',' ORDER BY id) AS node_ids FROM fx_nodes GROUP BY session_id")
+@query("""t AS (SELECT session_id, node_type, count(*) AS n FROM fx_nodes GROUP BY ALL), g AS (SELECT session_id, agent_id, count(*) AS n FROM fx_nodes GROUP BY ALL)
+SELECT session_id AS community, count(*) AS size, (SELECT string_agg(concat(node_type, ':', n), ',' ORDER BY n DESC, node_type) FROM t WHERE t.session_id = f.session_id) AS top_node_types,
+  (SELECT string_agg(concat(agent_id, ':', n), ',' ORDER BY n DESC, agent_id) FROM g WHERE g.session_id = f.session_id) AS top_agents FROM fx_nodes f GROUP BY session_id""")
 def community_descriptors(spark: SparkSession, d: str) -> DataFrame:
     found = cm.community_descriptors(fx.nodes(spark, d), _assigned(spark, d))
-    return found.select("community", "size", F.array_join("node_ids", ",").alias("node_ids"))
+    return found.select("community", "size", *(F.array_join(c, ",").alias(c) for c in ("top_node_types", "top_agents")))
 
 
-@query(r"""w AS (SELECT session_id AS community, unnest(regexp_split_to_array(lower(label), '\s+')) AS word FROM fx_nodes), n AS (SELECT community, word, count(*) AS n FROM w WHERE octet_length(encode(word)) > 2 GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, word) AS p FROM n)
-SELECT community, string_agg(word, ' · ' ORDER BY p) AS community_label FROM r WHERE p <= 3 GROUP BY community""")
+@query(r"""w AS (SELECT session_id AS community, unnest(regexp_split_to_array(lower(label), '\s+')) AS word FROM fx_nodes), n AS (SELECT community, word, count(*) AS n FROM w WHERE octet_length(encode(word)) > 2 AND word NOT IN (""" + _COMMUNITY + r""") GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, word) AS p FROM n), named AS (SELECT community, string_agg(word, ' · ' ORDER BY p) AS l FROM r WHERE p <= 3 GROUP BY community)
+SELECT s.community, coalesce(l, concat('Community ', s.community)) AS community_label FROM (SELECT DISTINCT session_id AS community FROM fx_nodes) s LEFT JOIN named USING (community)""")
 def community_label(spark: SparkSession, d: str) -> DataFrame:
     return cm.community_label(fx.nodes(spark, d), _assigned(spark, d)).select("community", "community_label")
 
@@ -647,17 +766,45 @@ def brief_binding(spark: SparkSession, d: str) -> DataFrame:
     return rp.brief_binding(fx.nodes(spark, d), active).select("id", "node_type")
 
 
-@query(_DEBT_SQL + "SELECT u.id, (SELECT count(*) FROM unverified) AS total FROM unverified u JOIN fx_tools t USING (id) ORDER BY t.seq LIMIT 3")
+def _cut(text: str) -> str:
+    return f"CASE WHEN length({text}) > 110 THEN concat(substr({text}, 1, 110), '…') ELSE {text} END"
+
+
+_WARNING_SQL = _DEBT_SQL + """, cur AS (SELECT arg_max(session_id, seq) AS s FROM fx_tools), own AS (SELECT * FROM fx_tools WHERE session_id = (SELECT s FROM cur)),
+w0 AS (SELECT 'unverified' AS kind, 0 AS late, o.seq, o.id, concat('Edited ''', file, ''' via ', tool_name, ' — no test/lint/build run covered it afterwards') AS said FROM unverified JOIN own o USING (id)
+  UNION ALL SELECT 'failing', 0, o.seq, o.id, concat('Check ''', tool_name, ''' on ''', file, ''' failed — no fix attempted since') FROM failing JOIN own o USING (id)
+  UNION ALL SELECT 'failing', 1, o.seq, o.id, concat('Check ''', tool_name, ''' failed on files under rule ''', (SELECT label FROM fx_nodes n WHERE n.id = v.rule), ''' — possible violation') FROM violations v JOIN own o USING (id) WHERE rule IS NOT NULL),
+w AS (SELECT kind, id, """ + _cut("said") + """ AS description, count(*) OVER (PARTITION BY kind) AS total, row_number() OVER (PARTITION BY kind ORDER BY late, seq, id) AS place FROM w0)
+"""
+
+
+@query(_WARNING_SQL + "SELECT kind, id, description, total, CAST(place AS INTEGER) AS place FROM w WHERE place <= CASE kind WHEN 'unverified' THEN 3 ELSE 2 END")
 def brief_warnings(spark: SparkSession, d: str) -> DataFrame:
-    loose = de.unverified_changes(*de.scratch(fx.tool_events(spark, d)))
-    own = sc.Window.partitionBy("project_id")
-    loose = loose.withColumn("total", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("seq")))
-    return loose.where("place <= 3").select(F.col("node_ids")[0].alias("id"), "total")
+    return rp.brief_warnings(fx.nodes(spark, d), fx.tool_events(spark, d)).select("kind", "id", "description", "total", "place")
+
+
+_BRIEF_SQL = _STATUS_SQL + ", " + _WARNING_SQL + """, pen AS (SELECT *, decision_status = 'Pending' AS pending, CASE WHEN decision_status = 'Pending' THEN seq ELSE -seq END AS o FROM st),
+one AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY pending, o, id) AS copy FROM pen), r AS (SELECT *, row_number() OVER (ORDER BY pending, o, id) AS place FROM one WHERE NOT pending OR copy = 1),
+a AS (SELECT DISTINCT file FROM own),
+bind AS (SELECT *, row_number() OVER (ORDER BY node_type <> 'Rule', seq) AS place FROM fx_nodes n WHERE status = 'Active' AND node_type IN ('Rule', 'Decision') AND EXISTS (SELECT 1 FROM a WHERE ends_with(n.file, a.file) OR ends_with(a.file, n.file))),
+rules AS (SELECT *, row_number() OVER (ORDER BY seq) AS place FROM fx_nodes WHERE node_type = 'Rule' AND status = 'Active'),
+open_ AS (SELECT concat('Open item ''', n.label, ''' raised by ', n.agent_id, ' has not been resolved') AS said, row_number() OVER (ORDER BY n.seq, n.id) AS place FROM fx_debt_open o JOIN fx_nodes n USING (id)),
+l AS (SELECT 1 AS s, 'Decisions' AS t, (SELECT count(*) FROM st) AS n, place, concat('- [', decision_status, '] ', """ + _cut("label") + """) AS line FROM r WHERE place <= 6
+  UNION ALL SELECT 2, 'Rules', least((SELECT count(*) FROM rules), 3), place, concat('- ', """ + _cut("label") + """) FROM rules WHERE place <= 3
+  UNION ALL SELECT 3, 'Open items', (SELECT count(*) FROM open_), place, concat('- ', """ + _cut("said") + """) FROM open_ WHERE place <= 3
+  UNION ALL SELECT 4, 'Binding here', least((SELECT count(*) FROM bind), 5), place, concat('- [', node_type, '] ', """ + _cut("label") + """) FROM bind WHERE place <= 5
+  UNION ALL SELECT 5, 'Unverified edits', total, place, concat('- ', description) FROM w WHERE kind = 'unverified' AND place <= 3
+  UNION ALL SELECT 6, 'Failing checks', total, place, concat('- ', description) FROM w WHERE kind = 'failing' AND place <= 2),
+parts AS (SELECT s, concat(t, ' (', n, '):', chr(10), string_agg(line, chr(10) ORDER BY place)) AS part FROM l GROUP BY s, t, n)
+"""
 
 
-@query()
+@query(_BRIEF_SQL + """SELECT concat('<reasoning-state nodes="', (SELECT count(*) FROM fx_nodes), '" edges="', (SELECT count(*) FROM fx_edges), '">', chr(10), string_agg(part, chr(10) ORDER BY s), chr(10), '</reasoning-state>') AS brief FROM parts""")
 def brief_text(spark: SparkSession, d: str) -> DataFrame:
-    return rp.brief_text(fx.nodes(spark, d), fx.edges(spark, d), fx.tool_events(spark, d)).select("brief")
+    """With the files of the session that was active last."""
+    tools = fx.tool_events(spark, d)
+    active = tools.join(de.current_sessions(tools), ["project_id", "session_id"], "left_semi").select("project_id", F.explode("files").alias("file"))
+    return rp.brief_text(fx.nodes(spark, d), fx.edges(spark, d), tools, active).select("brief")
 
 
 # Extraction policy
@@ -670,13 +817,25 @@ def _judgments(sentences: DataFrame) -> DataFrame:
     return rows.select("project_id", "event_id", "idx", F.expr(_JUDGED).alias("choice"), F.expr("0.5D + ((conv_id * 13 + turn * 7 + idx) % 50) / 100.0D").alias("probability"))
 
 
-@query()
+_SENTENCE_SQL = r"""w AS (SELECT id, unnest(list_filter(regexp_split_to_array(description, '\s+'), lambda x: x <> '')) AS w, generate_subscripts(list_filter(regexp_split_to_array(description, '\s+'), lambda x: x <> ''), 1) AS i FROM fx_nodes),
+n AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(w, '[.!?]$') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM w),
+g AS (SELECT id, s, string_agg(w, ' ' ORDER BY i) AS sentence FROM n GROUP BY id, s HAVING count(*) >= 6),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS idx FROM g),
+sen AS (SELECT replace(r.id, 'c', 'u') AS event_id, CAST(idx AS INTEGER) AS idx, sentence, f.session_id, f.timestamp, f.seq, f.seq // 100 AS conv_id, f.seq % 100 AS turn FROM r JOIN fx_nodes f ON f.id = r.id WHERE idx < 12),
+jud AS (SELECT *, CASE (conv_id + turn + idx) % 3 WHEN 0 THEN 'Decision' WHEN 1 THEN 'OpenItem' ELSE 'noise' END AS choice, 0.5::DOUBLE + ((conv_id * 13 + turn * 7 + idx) % 50) / 100.0::DOUBLE AS probability FROM sen)
+"""
+
+
+@query(_SENTENCE_SQL + r""", kept AS (SELECT *, row_number() OVER (PARTITION BY session_id, trim(regexp_replace(lower(regexp_replace(sentence, '[^A-Za-z0-9\s]', '', 'g')), '\s+', ' ', 'g')) ORDER BY seq, idx) AS copy FROM jud WHERE choice <> 'noise' AND probability >= 0.65)
+SELECT concat('jev-', event_id, '-s', idx) AS id, choice AS node_type, CASE WHEN len(string_split(sentence, ' ')) > 12 THEN concat(array_to_string(string_split(sentence, ' ')[1:12], ' '), '…') ELSE sentence END AS label,
+  CASE WHEN length(sentence) > 400 THEN concat(substr(sentence, 1, 400), '…') ELSE sentence END AS description, round(greatest(least(probability, 0.95), 0.1), 6) AS confidence, timestamp, session_id, seq FROM kept WHERE copy = 1""")
 def judged_nodes(spark: SparkSession, d: str) -> DataFrame:
     sentences = ex.sentence_table(fx.utterances(spark, d))
     return ex.judged_nodes(sentences, _judgments(sentences)).drop("project_id")
 
 
-@query()
+@query(_SENTENCE_SQL + f""", c AS (SELECT CASE WHEN contains(lower(sentence), '?') THEN 'OpenItem' WHEN {_contains_any('lower(sentence)', schema.DECISION_MARKERS)} THEN 'Decision' WHEN {_contains_any('lower(sentence)', schema.RULE_MARKERS)} THEN 'Rule' ELSE 'noise' END AS choice FROM sen)
+SELECT choice, count(*) AS n FROM c GROUP BY choice""")
 def lexical_judgments(spark: SparkSession, d: str) -> DataFrame:
     return ex.lexical_judgments(ex.sentence_table(fx.utterances(spark, d))).groupBy("choice").agg(F.count("*").alias("n"))
 
@@ -761,6 +920,13 @@ def evidence_score(spark: SparkSession, d: str) -> DataFrame:
     return ex.evidence_score(ex.grounding_queries(edges, fx.nodes(spark, d)), _evidence(edges, fx.table(spark, d, "pages")))
 
 
+@query("""r AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 10 AS part FROM conversations)
+SELECT concat('u', conv_id, '-', turn) AS id, CAST(dense_rank() OVER (ORDER BY conv_id, part) - 1 AS BIGINT) AS batch FROM r""")
+def extraction_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Turns are a second apart, conversations more than the wait."""
+    return ex.extraction_batches(fx.utterances(spark, d)).select("id", "batch")
+
+
 # Evaluation
 
 _GOLD_SQL = """j AS (SELECT d.lang AS section, l.quality = 1 AS g, d.n_chars % 2 = 1 AS p FROM labels l JOIN documents d USING (doc_id)),
@@ -806,11 +972,49 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return ev.bootstrap_ci(_arms(spark, d).select((F.col("a").cast("int") - F.col("b").cast("int")).cast("double").alias("delta")))
 
 
-@query()
+@query(_ARMS_SQL + """, c AS (SELECT count(*) FILTER (a AND NOT b) AS a_only, count(*) FILTER (b AND NOT a) AS b_only FROM p),
+t AS (SELECT a_only, b_only, a_only + b_only AS n, unnest(range(0, least(a_only, b_only) + 1)) AS k FROM c)
+SELECT a_only, b_only, round(least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)))), 6) AS p FROM t GROUP BY a_only, b_only""")
 def sign_test(spark: SparkSession, d: str) -> DataFrame:
     return ev.sign_test(ev.paired_study(_arms(spark, d)).select("a_only", "b_only"))
 
 
+def _eval_sql(text: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower({text}), '[a-z0-9]+'), lambda x: x NOT IN ({_CONTENT})))"
+
+
+@query(f"SELECT id, array_to_string(list_sort({_eval_sql('description')}), ' ') AS tokens FROM fx_nodes")
+def eval_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return fx.nodes(spark, d).select("id", F.array_join(F.array_sort(ev.eval_tokens(F.col("description"))), " ").alias("tokens"))
+
+
+@query(f"""k AS (SELECT id, {_eval_sql('description')} AS t FROM fx_nodes)
+SELECT e.id, CASE WHEN least(len(a.t), len(b.t)) > 0 THEN round(len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)), 6) ELSE 0.0 END AS score FROM fx_edges e JOIN k a ON a.id = e.source_node_id JOIN k b ON b.id = e.target_node_id""")
+def containment(spark: SparkSession, d: str) -> DataFrame:
+    """Of the words of the two ends of each edge."""
+    words = fx.nodes(spark, d).select("project_id", "id", ev.eval_tokens(F.col("description")).alias("t"))
+    end = lambda c, name: words.select("project_id", F.col("id").alias(c), F.col("t").alias(name))
+    rows = fx.edges(spark, d).join(end("source_node_id", "a"), ["project_id", "source_node_id"]).join(end("target_node_id", "b"), ["project_id", "target_node_id"])
+    return rows.select("id", F.round(tx.containment(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@query(f"""gold AS (SELECT e.id, e.edge_type, a.label AS sl, b.label AS tl FROM fx_edges e JOIN fx_nodes a ON a.id = source_node_id JOIN fx_nodes b ON b.id = target_node_id WHERE e.seq % 7 = 0),
+kept AS (SELECT * FROM fx_nodes WHERE seq % 11 <> 0), k AS (SELECT id, seq, {_eval_sql('label')} AS t FROM kept UNION ALL SELECT id, seq, {_eval_sql("concat(label, ' ', description)")} FROM kept),
+ends AS (SELECT DISTINCT label, {_eval_sql('label')} AS t FROM (SELECT sl AS label FROM gold UNION SELECT tl FROM gold)),
+sc AS (SELECT ends.label, k.id, k.seq, len(list_intersect(ends.t, k.t)) / least(len(ends.t), len(k.t)) AS score FROM ends JOIN k ON least(len(ends.t), len(k.t)) > 0),
+best AS (SELECT label, id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, seq) AS p FROM sc WHERE score >= 0.5) WHERE p = 1),
+keys AS (SELECT DISTINCT source_node_id AS s, target_node_id AS t, edge_type FROM fx_edges WHERE seq % 3 <> 0),
+hit AS (SELECT keys.* FROM gold JOIN best a ON a.label = sl JOIN best b ON b.label = tl JOIN keys ON keys.s = a.id AND keys.t = b.id AND keys.edge_type = gold.edge_type),
+n AS (SELECT (SELECT count(*) FROM gold) AS gold, (SELECT count(*) FROM keys) AS n_edges, (SELECT count(*) FROM hit) AS tp, (SELECT count(*) FROM (SELECT DISTINCT * FROM hit)) AS used)
+SELECT gold, n_edges, tp, n_edges - used AS fp, gold - tp AS fn, round(coalesce(tp / nullif(tp + n_edges - used, 0), 0), 3) AS p, round(coalesce(tp / nullif(gold, 0), 0), 3) AS r, round(coalesce(2 * tp / nullif(2 * tp + n_edges - used + gold - tp, 0), 0), 3) AS f1 FROM n""")
+def relation_prf(spark: SparkSession, d: str) -> DataFrame:
+    """A seventh of the edges as gold, by the labels of their ends, against a graph that lacks some nodes and edges."""
+    nodes, edges = fx.nodes(spark, d), fx.edges(spark, d)
+    end = lambda c, name: nodes.select("project_id", F.col("id").alias(c), F.col("label").alias(name))
+    gold = edges.where("seq % 7 = 0").join(end("source_node_id", "source_label"), ["project_id", "source_node_id"]).join(end("target_node_id", "target_label"), ["project_id", "target_node_id"])
+    return ev.relation_prf(gold.select(F.col("id").alias("relation_id"), "source_label", "target_label", "edge_type"), nodes.where("seq % 11 <> 0"), edges.where("seq % 3 <> 0"))
+
+
 @query("SELECT n.id, CASE WHEN seq % 4 = 1 AND node_type <> 'Rule' THEN 'Rule' ELSE node_type END AS node_type FROM fx_nodes n WHERE seq % 4 <> 0")
 def verdict_policy(spark: SparkSession, d: str) -> DataFrame:
     nodes = fx.nodes(spark, d)
@@ -825,7 +1029,7 @@ def assumption_sweep(spark: SparkSession, d: str) -> DataFrame:
     return ev.assumption_sweep(rows).select("event_id", "id")
 
 
-@query()
+@query(_SENTENCE_SQL + """SELECT count(*) AS sentences, count(*) FILTER (choice <> 'noise' AND probability >= 0.65) AS kept, count(*) FILTER (choice = 'noise') AS noise, count(*) FILTER (choice <> 'noise' AND probability < 0.65) AS below FROM jud""")
 def scan_stats(spark: SparkSession, d: str) -> DataFrame:
     return ev.scan_stats(_judgments(ex.sentence_table(fx.utterances(spark, d)))).drop("project_id")
 

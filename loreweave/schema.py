@@ -10,6 +10,9 @@ EVENTS = (
 # Preference order, community weight and verb of each edge type.
 EDGE_TYPES = {"Supersedes": (3, 0.6, "supersedes"), "Refutes": (2, 0.3, "refutes"), "Resolves": (1, 0.8, "resolves"), "RelatesTo": (0, 1.0, "relates to")}
 
+# Prefixes of ids and reasons that judged nodes and edges carry.
+JUDGED_ID, JUDGED_REASON = "jev-", "jev-native: "
+
 SEVERITY = {"High": 3, "Medium": 2}  # anything else: 1
 
 # Stop words of the index tokenizer.
@@ -20,6 +23,9 @@ INDEX_STOP = (
     "while about what which who whom this that these those it its they them their we our you your he she his her i me my"
 ).split()
 
+# Stop words of community labels, the same list without one word.
+COMMUNITY_STOP = [w for w in INDEX_STOP if w != "shall"]
+
 # Stop words of the content tokenizer.
 CONTENT_STOP = (
     "the a an and or of to in for on with at by from as is are was were be been being this that these those it its they them "

@@ -55,8 +55,8 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five words of each benchmark text, asked of the project."""
-    return table(spark, sf_dir, "benchmark").selectExpr("item_id AS question_id", f"'{PROJECT}' AS project_id", "array_join(slice(split(text, ' '), 1, 5), ' ') AS question")
+    """Each benchmark text, asked of the project."""
+    return table(spark, sf_dir, "benchmark").selectExpr("item_id AS question_id", f"'{PROJECT}' AS project_id", "text AS question")
 
 
 #: The same views as SQL for oracles.
@@ -91,5 +91,5 @@ fx_debt_open AS (
   FROM fx_nodes n JOIN fx_sessions s USING (session_id)
   WHERE node_type = 'OpenItem' AND status <> 'Invalidated' AND id NOT IN (SELECT target_node_id FROM fx_edges WHERE edge_type = 'Resolves')),
 fx_questions AS (
-  SELECT item_id AS question_id, array_to_string(string_split(text, ' ')[1:5], ' ') AS question FROM benchmark)
+  SELECT item_id AS question_id, text AS question FROM benchmark)
 """

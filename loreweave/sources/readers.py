@@ -87,6 +87,17 @@ def import_markdown(docs: DataFrame) -> DataFrame:
     return rows.withColumn("copy", first).where("copy = 1").select("project_id", "id", "node_type", tx.label(F.col("description")).alias("label"), "description", "path", "line_no")
 
 
+def load_gold(spark: SparkSession, path: str, sections: tuple[str, ...] = ("decisions", "questions", "assumptions", "evidence", "contradictions")) -> tuple[DataFrame, DataFrame]:
+    """Gold files, one JSON object each, an array a section -> (items: section, id, label, who, status; relations: source, target, type, note).
+    Items without an id or a label go, as do sections that a file lacks."""
+    item = "array<struct<id:string,label:string,who:string,status:string>>"
+    schema = ", ".join([*(f"{s} {item}" for s in sections), "key_relations array<struct<source:string,target:string,type:string,note:string>>"])
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    listed = F.explode(F.array(*(F.struct(F.lit(s).alias("section"), F.col(s).alias("items")) for s in sections)))
+    items = rows.select(listed.alias("s")).select("s.section", F.explode("s.items").alias("i")).select("section", "i.*").where("id IS NOT NULL AND label IS NOT NULL")
+    return items, rows.select(F.explode("key_relations").alias("r")).select("r.*")
+
+
 _RESULT = "struct<nodes:array<struct<id:string,node_type:string,label:string,description:string,confidence:double>>,edges:array<struct<edge_type:string,source_node_id:string,target_node_id:string,reasoning:string>>>"
 
 

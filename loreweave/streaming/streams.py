@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -35,13 +36,17 @@ def session_windows(events: DataFrame, gap: str = "30 minutes", delay: str = "1
 _WARNING = "project_id string, session_id string, event_id string, warning string, action string, seq long"
 
 
-def debt_warnings(events: DataFrame, keep: int = 100) -> DataFrame:
+def debt_warnings(events: DataFrame, keep: int = 100, idle_ms: int = 24 * 3_600_000) -> DataFrame:
     """Rows that raise and clear warnings per session as tool events arrive: an edit is unverified until a check touches one
-    of its files, a failed check stands until an edit touches one of its. State: the last `keep` open ones of each."""
+    of its files, a failed check stands until an edit touches one of its. State: the last `keep` open ones of each; a session
+    without an event for idle_ms is forgotten."""
     rows = events.withColumn("kind", tx.tool_class(F.col("tool_name"), F.col("text"))).withColumn("passed", tx.check_passed(F.col("text"))).where("kind <> 'Read'")
     rows = rows.select("project_id", "session_id", "id", "seq", "kind", "passed", "files")
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = state.get if state.exists else (([], []), ([], []))
         open_edits, open_checks = ([(i, set(f)) for i, f in zip(ids, files)] for ids, files in held)
         out: list[tuple[Any, ...]] = []
@@ -64,10 +69,145 @@ def debt_warnings(events: DataFrame, keep: int = 100) -> DataFrame:
                     out.append((*key, r.id, "failing", "raise", r.seq))
         pack = lambda xs: ([i for i, _ in xs[-keep:]], [sorted(f) for _, f in xs[-keep:]])
         state.update((pack(open_edits), pack(open_checks)))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["project_id", "session_id", "event_id", "warning", "action", "seq"])
 
     half = "struct<ids:array<string>,files:array<array<string>>>"
-    return rows.groupBy("project_id", "session_id").applyInPandasWithState(step, _WARNING, f"edits {half}, checks {half}", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("project_id", "session_id").applyInPandasWithState(step, _WARNING, f"edits {half}, checks {half}", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _by_project(events: DataFrame, columns: list[str], schema: str, step: Callable[[Any, pd.DataFrame | None, GroupState], tuple[Any, list[tuple]]], mode: str = "append") -> DataFrame:
+    """Runs step(held state or None, events in order of seq or None on a timeout, state) -> (state to hold or None, rows) per project.
+
+    What is held is one JSON text a project, of a size that the step bounds.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else None
+        rows = None if state.hasTimedOut else pd.concat(list(parts)).sort_values(["seq", "id"])
+        held, out = step(held, rows, state)
+        if held is None:
+            state.remove()
+        else:
+            state.update((json.dumps(held),))
+        yield pd.DataFrame([(*key, *r) for r in out], columns=["project_id", *names])
+
+    rows = events.select("project_id", *columns)
+    return rows.groupBy("project_id").applyInPandasWithState(run, f"project_id string, {schema}", "held string", mode, GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def stream_scratch(events: DataFrame, keep: int = 100, sessions: int = 16) -> DataFrame:
+    """Each session's last `keep` edits and checks as tool events arrive, of the `sessions` that wrote or checked last in a project.
+
+    A row (session_id, at, evicted, edits, checks) a session and trigger in which it changed, with the ids it holds, oldest first; at is the
+    seq of the project's last event. A session pushed out has a row with evicted and nothing held, and starts anew when it comes again.
+    """
+    rows = events.withColumn("kind", tx.tool_class(F.col("tool_name"), F.col("text"))).where("kind <> 'Read'")
+
+    def step(held: Any, pdf: pd.DataFrame | None, _: GroupState) -> tuple[Any, list[tuple]]:
+        held, touched, gone = held or {}, set(), set()
+        for r in ([] if pdf is None else pdf.itertuples()):
+            own = held.pop(r.session_id, [[], []])
+            ring = own[0] if r.kind == "Write" else own[1]
+            ring.append(r.id)
+            del ring[:-keep]
+            held[r.session_id] = own  # last in the order of activity
+            touched.add(r.session_id)
+            gone.discard(r.session_id)
+            if len(held) > sessions:
+                out = next(iter(held))
+                del held[out]
+                gone.add(out)
+                touched.discard(out)
+        at = 0 if pdf is None else int(pdf["seq"].max())
+        return held, [(s, at, False, *held[s]) for s in sorted(touched)] + [(s, at, True, [], []) for s in sorted(gone)]
+
+    return _by_project(rows, ["session_id", "id", "seq", "kind"], "session_id string, at long, evicted boolean, edits array<string>, checks array<string>", step)
+
+
+def stream_extraction_batches(events: DataFrame, most: int = 10, wait_ms: int = 15_000) -> DataFrame:
+    """(project_id, batch, ids) of batches as they close: at `most` events, or wait_ms of processing time after the first one arrived."""
+
+    def step(held: Any, pdf: pd.DataFrame | None, state: GroupState) -> tuple[Any, list[tuple]]:
+        held = held or {"batch": 0, "open": [], "until": 0}
+        out = []
+        if pdf is None:
+            out.append((held["batch"], held["open"]))
+            held = {"batch": held["batch"] + 1, "open": [], "until": 0}
+        else:
+            for i in pdf["id"]:
+                if not held["open"]:
+                    held["until"] = state.getCurrentProcessingTimeMs() + wait_ms
+                held["open"].append(i)
+                if len(held["open"]) == most:
+                    out.append((held["batch"], held["open"]))
+                    held = {"batch": held["batch"] + 1, "open": [], "until": 0}
+        if held["open"]:
+            state.setTimeoutDuration(max(1, held["until"] - state.getCurrentProcessingTimeMs()))
+        return held, out
+
+    return _by_project(events, ["id", "seq"], "batch long, ids array<string>", step)
+
+
+def stream_event_log(events: DataFrame, most: int = 20) -> DataFrame:
+    """(project_id, at, ids): the last `most` events of a project, oldest first, each time it had new ones; at is the last one's seq."""
+
+    def step(held: Any, pdf: pd.DataFrame | None, _: GroupState) -> tuple[Any, list[tuple]]:
+        if pdf is None:
+            return held, []
+        held = ((held or []) + pdf["id"].tolist())[-most:]
+        return held, [(int(pdf["seq"].max()), held)]
+
+    return _by_project(events, ["id", "seq"], "at long, ids array<string>", step)
+
+
+def stream_sessions(events: DataFrame) -> DataFrame:
+    """(project_id, session_id, session_index, at, current): a row for each session that is new, and one for the current session, seen last,
+    in each trigger; sessions are numbered from 0 in the order in which they were first seen. State: the names of the project's sessions."""
+
+    def step(held: Any, pdf: pd.DataFrame | None, _: GroupState) -> tuple[Any, list[tuple]]:
+        held = held or {}
+        if pdf is None:
+            return held, []
+        at, last, out = int(pdf["seq"].max()), pdf["session_id"].iloc[-1], []
+        for s in pdf["session_id"]:
+            if s not in held:
+                held[s] = len(held)
+                out.append((s, held[s], at, False))
+        return held, out + [(last, held[last], at, True)]
+
+    return _by_project(events, ["session_id", "id", "seq"], "session_id string, session_index long, at long, current boolean", step)
+
+
+def stream_backpressure_counts(events: DataFrame, late_s: float = 3600.0) -> DataFrame:
+    """(project_id, at, ingested, tool_events, queued, late): running counts after each trigger that had events. Nothing is dropped: the source is
+    held back by its limits a trigger. late counts events whose end_time lies more than late_s before the latest one seen in
+    earlier triggers."""
+
+    def step(held: Any, pdf: pd.DataFrame | None, _: GroupState) -> tuple[Any, list[tuple]]:
+        held = held or [0, 0, 0, 0, None]
+        if pdf is None:
+            return held, []
+        tool = int((pdf["event_kind"] == "tool_call").sum())
+        late = 0 if held[4] is None else int((pdf["end_time"] < held[4] - late_s).sum())
+        latest = float(pdf["end_time"].max())
+        held = [held[0] + len(pdf), held[1] + tool, held[2] + len(pdf) - tool, held[3] + late, latest if held[4] is None else max(held[4], latest)]
+        return held, [(int(pdf["seq"].max()), *held[:4])]
+
+    return _by_project(events, ["id", "seq", "event_kind", "end_time"], "at long, ingested long, tool_events long, queued long, late long", step)
+
+
+def community_refresh(read: Callable[[], tuple[DataFrame, DataFrame]], refresh: Callable[[DataFrame, DataFrame], None], every: int = 5, small: int = 10) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: communities are computed anew in every `every`-th batch, from the first on, and in each while the graph has less
+    than `small` nodes. read gives (nodes, edges) as stored, refresh takes them."""
+
+    def commit(_: DataFrame, number: int) -> None:
+        nodes, edges = read()
+        if number % every == 0 or nodes.limit(small).count() < small:
+            refresh(nodes, edges)
+
+    return commit
 
 
 def upsert_graph(nodes_path: str, edges_path: str):
