@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import slices
@@ -23,19 +23,24 @@ def held_out(doc_id: Column) -> Column:
 
 
 def letters(text: str) -> bytes:
-    """Lower case, every run of other characters than letters as one space."""
-    return _OTHER.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
+    """Lower case, every run of other characters than letters as one space. Numbers of any kind (fractions, circled, Roman) are none."""
+    found = _OTHER.sub(" ", text.lower()).strip()
+    if not found.replace(" ", "a").isalpha():
+        found = " ".join("".join(c if c.isalpha() else " " for c in found).split())
+    return found.encode("utf-8", "surrogatepass")
 
 
 def dictionaries(labelled: DataFrame, dict_bytes: int = 131_072, excerpt: int = 1024) -> dict[str, bytes]:
     """(doc_id, text, lang) -> a dictionary of at most dict_bytes for each language.
 
-    The bound of the sample: dict_bytes / excerpt * 2 documents a language, in the order of a hash of the id, the
-    first `excerpt` characters of each. Rows without a language or a letter are no labels.
+    The bound of the sample: 8 * dict_bytes / excerpt documents a language, that of the least hash of the id and text in each of as many
+    hash buckets, the first `excerpt` characters of each; they are taken in the order of the hash until the dictionary is full. Every
+    task keeps one row a bucket before anything is shuffled. Rows without a language or a letter are no labels.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    drawn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id"))
-    rows = rows.select("lang", "doc_id", F.substring("text", 1, excerpt).alias("text"), drawn.alias("place")).where(F.col("place") <= 2 * dict_bytes // excerpt)
+    hashed = rows.select("lang", F.xxhash64("doc_id", "text").alias("place"), F.substring("text", 1, excerpt).alias("text"))
+    least = hashed.groupBy("lang", F.pmod("place", F.lit(8 * dict_bytes // excerpt)).alias("bucket")).agg(F.min(F.struct("place", "text")).alias("row"))
+    rows = least.select("lang", "row.place", "row.text")
     out: dict[str, bytes] = {}
     for lang, text in rows.orderBy("lang", "place").select("lang", "text").toLocalIterator():
         out[lang] = (out.get(lang, b"") + letters(text) + b" ")[:dict_bytes]
@@ -50,7 +55,11 @@ def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
 
 
 def classify(text: str | None, dicts: dict[str, bytes], level: int, chunk: int, margin: float) -> tuple[str, float, bool]:
-    """(language, score, rejected). Whole text, in chunks that each see the dictionary afresh."""
+    """(language, score, rejected). Whole text, in chunks that each see the dictionary afresh.
+
+    The score is the best language's share of weights 2 ** (-3 * excess / sqrt(best)), excess being the bytes that a language needs more
+    than the best: 1 / n where n languages compress alike, near 1 where the others need some multiples of sqrt(best) bytes more.
+    """
     raw = letters(text) if text else b""
     if not raw or not dicts:
         return "und", 0.0, True
