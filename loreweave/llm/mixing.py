@@ -4,7 +4,8 @@ Every document of a source has the same expected number of copies, target / sour
 certain; the fractional parts are rounded in pairs: words are moved between the two documents, in a direction
 drawn at random so that both expectations stay, until one of the parts is 0 or 1. Hashed groups of a source
 are folded so, each leaves one residual at most, and the residuals are folded again, level by level, until a
-source has one, which goes to the nearer whole number. A source is half of one document at most off its target.
+source has one, which goes to the nearer whole number. What a source is then off its target, half of that document at most, is set right
+by turning some smaller documents of the source to the other side, as far as their sizes fit.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """(source, size) -> one row per source: sid, source, source_size, target.
+    """(source, size) -> one row per source: sid, source, rows, source_size, target.
 
     Sources in code point order, null last, have the weights in turn and share the sum of all sizes. A target
     stops at cap times its source's size and the excess is shared out again by weight. That is water-filling:
     in order of cap / weight, the first source that its share does not fill sets the level for the rest.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     every = Window.orderBy(F.col("source").asc_nulls_last())
     per = per.withColumn("sid", F.row_number().over(every).cast("long"))
     per = per.withColumn("w", F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.pmod(F.col("sid") - 1, F.lit(len(weights))) + 1).cast("int")))
@@ -48,7 +49,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
     per = per.withColumn("level", left / share).withColumn("place", F.row_number().over(filling))
     holds = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("place", "level"))
     level = F.coalesce(F.min(holds).over(Window.partitionBy())["level"], F.lit(float("inf")))
-    return per.select("sid", "source", "source_size", F.least("cap", level * F.col("w")).alias("target"))
+    return per.select("sid", "source", "rows", "source_size", F.least("cap", level * F.col("w")).alias("target"))
 
 
 def _pivot(items: Column, seed: int) -> Column:
@@ -91,6 +92,25 @@ def _fold(rows: DataFrame, seed: int) -> DataFrame:
     return folded.select("sid", "g", "f.rest", "f.done")
 
 
+def _turned(decided: DataFrame, last: DataFrame, each: int = 4) -> DataFrame:
+    """(sid, doc_id, size) of the documents whose turn to the other side brings their source nearest to its target: of those rounded up where it
+    takes too much, else of those rounded down, largest first, each that the words left over have room for. `each` documents of every
+    doubling of size stand for all, so a source has a bounded list."""
+    off = last.where("over <> 0").select("sid", "over")
+    fits = decided.join(off, "sid").where((F.col("item.mass") <= F.abs("over")) & (F.col("item.p") == (F.col("over") > 0).cast("double")))
+    place = F.row_number().over(Window.partitionBy("sid", F.floor(F.log2("item.mass"))).orderBy(F.col("item.mass").desc(), "item.doc_id"))
+    listed = fits.withColumn("place", place).where(F.col("place") <= each)
+    some = F.struct(F.col("item.mass").alias("mass"), F.col("item.doc_id").alias("doc_id"), F.col("item.size").alias("size"))
+    lists = listed.groupBy("sid").agg(F.abs(F.first("over")).alias("left"), F.reverse(F.array_sort(F.collect_list(some))).alias("items"))
+    none = F.array().cast("array<struct<mass:double,doc_id:bigint,size:bigint>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(x["mass"] <= acc["left"], F.struct((acc["left"] - x["mass"]).alias("left"), F.concat(acc["picked"], F.array(x)).alias("picked"))).otherwise(acc)
+
+    picked = F.aggregate("items", F.struct(F.col("left"), none.alias("picked")), step, lambda acc: acc["picked"])
+    return lists.select("sid", F.explode(picked).alias("x")).select("sid", "x.doc_id", "x.size")
+
+
 def mix(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -121,23 +141,28 @@ def mix(
     split = (F.col("p") > _EPS) & (F.col("size") > 0)
     certain = units.where(~split).select("sid", F.col("item").withField("p", F.lit(0.0)).alias("item"))
     drawn = units.where(split)
-    groups = drawn.groupBy("sid").agg(F.ceil(F.count("*") / fan_in).alias("groups"))
-    leaves = drawn.join(groups, "sid").withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), "groups")).select("sid", "g", "item")
-    most = groups.agg(F.max("groups")).first()[0] or 1
+    # A source's groups go by the number of its rows, which its target came with: nothing is dealt by source alone.
+    leaves = drawn.withColumn("g", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.ceil(F.col("rows") / fan_in))).select("sid", "g", "item")
+    most = -(-(targets.agg(F.max("rows")).first()[0] or 1) // fan_in)
     level = stage(_fold(leaves, seed), "fold")
-    done = [certain, level.select("sid", F.explode("done").alias("item"))]
+    done = [level.select("sid", F.explode("done").alias("item"))]
     while most > 1:
         most = -(-most // fan_in)
         above = level.where("rest IS NOT NULL").select("sid", F.floor(F.col("g") / fan_in).alias("g"), F.col("rest").alias("item"))
         level = stage(_fold(above, seed), "fold")
         done.append(level.select("sid", F.explode("done").alias("item")))
-    done.append(level.where("rest IS NOT NULL").select("sid", F.col("rest").withField("p", F.round("rest.p")).alias("item")))
-    out = done[0]
+    last = level.where("rest IS NOT NULL").select("sid", F.col("rest").withField("p", F.round("rest.p")).alias("item"), ((F.round("rest.p") - F.col("rest.p")) * F.col("rest.mass")).alias("over"))
+    decided = done[0]
     for more in done[1:]:
-        out = out.union(more)
+        decided = decided.union(more)
+    turned = _turned(decided, last).select(F.col("sid").alias("of"), F.col("doc_id").alias("turned_id"), F.col("size").alias("turned_size"))
+    same = (F.col("sid") == F.col("of")) & F.col("item.doc_id").eqNullSafe(F.col("turned_id")) & (F.col("item.size") == F.col("turned_size"))
+    item = F.when(F.col("of").isNotNull(), F.col("item").withField("p", 1 - F.col("item.p"))).otherwise(F.col("item"))
+    decided = decided.join(turned, same, "left").select("sid", item.alias("item"))
+    out = certain.union(decided).union(last.select("sid", "item"))
     copies = (F.floor(rate + _EPS) + F.round("item.p")).cast("long")
     return (
-        out.join(targets, "sid").withColumn("again", F.explode(F.array_repeat(F.lit(0), F.col("item.n").cast("int"))))
+        out.join(targets.drop("rows"), "sid").withColumn("again", F.explode(F.array_repeat(F.lit(0), F.col("item.n").cast("int"))))
         .select("item.doc_id", "source", "item.size", "source_size", "target", copies.alias("copies"))
         .withColumn("taken", F.col("size") * F.col("copies"))
     )
