@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .ngram_join import BUCKETS, word_rarity
 from .rarest import split_clusters
-from .scratch import slices, stage, trim, unstage
+from .scratch import by_hot_key, slices, stage, trim, unstage
 from .words import ODD, mixed, word_hashes
 
 SHINGLE = 5
@@ -59,7 +59,11 @@ def _line_grams(text: bytes, weights: np.ndarray | None, short: bool = False) ->
         order = np.argsort(key | (line_of.astype(np.uint64) << np.uint64(44)))
     else:
         order = np.lexsort((key, line_of))
-    grams, line_of = grams[order], line_of[order]
+    grams, line_of, key = grams[order], line_of[order], key[order]
+    alike = np.flatnonzero((key[1:] == key[:-1]) & (line_of[1:] == line_of[:-1]) & (grams[1:] != grams[:-1])) if len(key) else key
+    if len(alike):  # different shingles with the same upper bits: by the whole value
+        order = np.lexsort((grams, key, line_of))
+        grams, line_of = grams[order], line_of[order]
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (line_of[1:] != line_of[:-1])
     return line_of[new], grams[new], lengths >= (1 if short else SHINGLE)
@@ -338,8 +342,8 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         columns = [c for c in plain.columns if c not in ("blocks", "is_pivot")]
         matched = matched.union(stage(_search(asks.select(columns).union(rest.select(columns)), num, den), "line-matches").where("matched"))
 
-    decided = first.join(matched.select("node").distinct().withColumn("near", F.lit(True)), "node", "left").where("n > 1 OR near")
-    gone = places.join(decided, "node").where("near OR at <> struct(doc_id, line_no)")
+    decided = stage(first.join(matched.select("node").distinct().withColumn("near", F.lit(True)), "node", "left").where("n > 1 OR near"), "line-decided")
+    gone = by_hot_key(places, decided, "node", "n").where("near OR at <> struct(doc_id, line_no)")
     gone = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     none = F.array().cast("array<int>")
     rows = of_docs.select("doc_id", F.greatest(F.size("lines"), F.lit(0)).cast("long").alias("n_lines")).join(gone, "doc_id", "left")

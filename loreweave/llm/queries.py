@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fingerprints as fp
 from . import language_id, line_dedup, mixing, neighbours, ngram_join, packing, pii, token_rollup, url_filter
-from .scratch import new_path, stage
+from .scratch import by_hot_key, new_path, stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,22 +55,24 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document inserted under two tokenizer versions, then exact copies deleted; that last batch is committed twice."""
+    """Every document inserted under two tokenizer versions, the second with the counts of the first until a batch revises them, then
+    exact copies deleted; the last batches are committed twice."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    counted = {v: token_rollup.token_count(F.col("text"), v).alias(v) for v in token_rollup.VERSIONS}
-    docs = stage(docs.select("doc_id", "source", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), *counted.values()), "counted")
+    words, pieces = token_rollup.VERSIONS
+    counted = [token_rollup.token_count(F.col("text"), v).alias(v) for v in (words, pieces)]
+    docs = stage(docs.select("doc_id", "source", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), *counted), "counted")
 
-    def change(rows: DataFrame, version: str, sign: int) -> DataFrame:
-        return rows.select("source", "lang", F.lit(version).alias("version"), F.lit(sign).alias("sign"), F.col(version).alias("tokens"))
+    def change(rows: DataFrame, version: str, sign: int, counts: str) -> DataFrame:
+        return rows.select("source", "lang", F.lit(version).alias("version"), F.lit(sign).alias("sign"), F.col(counts).alias("tokens"))
 
-    first = docs.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = docs.join(first, "digest").where("doc_id <> first")
+    first = stage(docs.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copied")
+    copies = by_hot_key(docs, first, "digest", "n").where("doc_id <> first")
     rollup = token_rollup.TokenRollup(spark, new_path(spark, "rollup"))
-    retired = [change(copies, v, -1) for v in counted]
-    for version in counted:
-        rollup.commit(f"load-{version}", change(docs, version, 1))
+    rollup.commit("load-words", change(docs, words, 1, words))
+    rollup.commit("load-pieces", change(docs, pieces, 1, words))
     for _ in range(2):
-        rollup.commit("retire-copies", retired[0].union(retired[1]))
+        rollup.commit("revise-pieces", change(docs, pieces, -1, words).union(change(docs, pieces, 1, pieces)))
+        rollup.commit("retire-copies", change(copies, words, -1, words).union(change(copies, pieces, -1, pieces)))
     return rollup.totals()
 
 
@@ -79,7 +81,6 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors.where("vec_id % 100 = 0"), vectors)
 
 
-
 OP9_SQL = r"""
 WITH kept AS (
   SELECT source, lang, coalesce(text, '') AS text FROM documents

@@ -6,10 +6,12 @@ import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..staging import new_path, shared_dir, stage, unstage
 
-__all__ = ["new_path", "shared_dir", "slices", "stage", "unstage"]
+__all__ = ["by_hot_key", "new_path", "shared_dir", "slices", "stage", "trim", "unstage"]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -33,3 +35,12 @@ def trim() -> None:
     """Give freed memory back; a C library without this call keeps it."""
     if hasattr(library := ctypes.CDLL(None), "malloc_trim"):
         library.malloc_trim(0)
+
+
+def by_hot_key(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """The inner join of rows with a staged table of distinct keys, which counts the rows of each. Keys with more than a thousandth of all
+    counted rows, a thousand at most, are broadcast, so that no task gets all rows of such a key; the rest is shuffled."""
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(count) > total / 1000))
+    rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(count) <= total / 1000), key)
+    return rows.join(hot, key).unionByName(rest)
