@@ -132,9 +132,10 @@ class KdTree:
 def nearest(tree: KdTree, ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray, projected: np.ndarray, k: int, limit: float, bound: float):
     """(ids, distances, number verified) of the k nearest found within bound, nearest first, ties to the smaller id."""
     best_ids, best, verified = np.empty(0, np.int64), np.empty(0), 0
+    rounding = 1e-24 * float(projected @ projected)
     for far, rows in tree.incremental(projected):
         last = min(bound, best[-1] if len(best) == k else np.inf)
-        if far[0] > 0 and far[0] >= limit * last**2:
+        if far[0] > rounding and far[0] >= limit * last**2:
             break
         rows = rows[ids[rows] != query_id]
         verified += len(rows)
@@ -156,12 +157,17 @@ def _gaussian(length: int, dims: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((length, dims))
 
 
+def _project(rows: np.ndarray, gaussian: np.ndarray) -> np.ndarray:
+    """Each row's sums are made in the same order whatever rows stand beside it, so that equal vectors have equal projections."""
+    return np.einsum("ij,jk->ik", rows, gaussian)
+
+
 def _projected(column: pa.Array, dims: int, seed: int) -> np.ndarray:
     sizes = np.diff(column.offsets.to_numpy())
     out = np.zeros((len(column), dims))
     for length in np.unique(sizes):
         rows = np.flatnonzero(sizes == length)
-        out[rows] = _matrix(column.take(pa.array(rows))) @ _gaussian(int(length), dims, seed)
+        out[rows] = _project(_matrix(column.take(pa.array(rows))), _gaussian(int(length), dims, seed))
     return out
 
 
@@ -186,7 +192,7 @@ def _routed(cells: Cells, blocks: dict[tuple[int, int], int], dims: int, seed: i
             take, parts, numbers = [], [], []
             for i, (length, home, home_block, bound) in enumerate(zip(get("length"), get("home"), get("home_block"), get("bound"))):
                 away = cells.away(points[i])
-                for part in np.flatnonzero((away == 0) | (away < limit * bound**2)):
+                for part in np.flatnonzero((away <= 1e-24 * float(points[i] @ points[i])) | (away < limit * bound**2)):
                     for block in range(blocks.get((int(length), int(part)), 0)):
                         if (part, block) != (home, home_block):
                             take.append(i)
@@ -209,7 +215,7 @@ def _searched(k: int, dims: int, limit: float, seed: int):
         key, held, tree = None, [], None
         ids = vectors = gaussian = None
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy() for c in (*_KEYS, "asks")]) if batch.num_rows else np.zeros((4, 0))
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*_KEYS, "asks")]) if batch.num_rows else np.zeros((4, 0))
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist()] if batch.num_rows else []
             for low, high in zip(cuts, [*cuts[1:], batch.num_rows]):
                 rows = batch.slice(low, high - low)
@@ -224,11 +230,11 @@ def _searched(k: int, dims: int, limit: float, seed: int):
                     ids = np.concatenate([x.column("vec_id").to_numpy() for x in held])
                     vectors = np.concatenate([_matrix(x.column("vector")) for x in held])
                     gaussian = _gaussian(vectors.shape[1], dims, seed)
-                    tree = KdTree(vectors @ gaussian)
+                    tree = KdTree(_project(vectors, gaussian))
                 out: list[tuple[int, int, np.ndarray, np.ndarray, int]] = []
                 asked = zip(rows.column("vec_id").to_pylist(), rows.column("query_hash").to_pylist(), _matrix(rows.column("vector")), rows.column("bound").to_pylist())
                 for query_id, query_hash, query, bound in asked:
-                    out.append((query_id, query_hash, *nearest(tree, ids, vectors, query_id, query, query @ gaussian, k, limit, bound)))
+                    out.append((query_id, query_hash, *nearest(tree, ids, vectors, query_id, query, _project(query[None, :], gaussian)[0], k, limit, bound)))
                 n = [len(x[2]) for x in out]
                 columns = [np.repeat([x[0] for x in out], n), np.repeat([x[1] for x in out], n), np.concatenate([x[2] for x in out]), np.concatenate([x[3] for x in out]), np.repeat([x[4] for x in out], n)]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
