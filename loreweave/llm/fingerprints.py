@@ -1,104 +1,100 @@
-"""Document fingerprints by consistent weighted sampling.
+"""Document fingerprints by consistent weighted sampling, in DataFrame expressions only.
 
-Terms are lower-cased words, weighted by their counts. For each of `PLACES` places a term draws r and c from
-Gamma(2, 1) and b from U(0, 1), all from hashes of the term and the place, and has t = floor(ln w / r + b) and
-ln a = ln c - r (t - b + 1). The term of least a, with its t, is the sample of the place. Two texts agree in a place
-with their generalised Jaccard similarity, so the share of agreeing places estimates it.
+Terms are lower-cased words, weighted by their counts. For each of `PLACES` places a term has r and c from Gamma(2, 1) and
+b from U(0, 1), all from hashes of the term and the place, and t = floor(ln w / r + b), ln a = ln c - r (t - b + 1).
+The term of least a, with its t, is the sample of the place. Two texts agree in a place with their generalised Jaccard
+similarity, so the share of agreeing places estimates it.
+
+The three are drawn in the order that makes most terms cheap. At weight 1, t is 0, a is exponential, y = exp(-r b) uniform and
+z = y exp(r) is 1 + E / a, with a, y and E independent; so a, y and E are drawn, and r = ln(z / y), c = a z, b = -ln(y) / r
+have the law above. A term of weight 1 needs no more than the hash that gives a; t stays 0 below the weight z, and
+from there on t = floor(ln(w / y) / r), and a (y / z)^t takes the place of a.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import slices, stage
-from .words import MIX, ODD, mixed, word_hashes
+from .scratch import stage
+from .words import MIX, mixed
 
 PLACES = 128
-_ROWS = 1 << 17
-_DOCS = 4096
-_SEEDS = mixed(np.arange(1, 3 * PLACES + 1, dtype=np.uint64) * MIX).reshape(3, PLACES)
-_EMPTY = np.iinfo(np.uint64).max
-
-
-def _halves(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """-ln of the product of two uniforms of 23 bits each: Gamma(2, 1); and the 18 bits left over."""
-    low, high = bits.view(np.uint32)[:, 0::2], bits.view(np.uint32)[:, 1::2]
-    unit = lambda x: ((x >> np.uint32(9)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
-    return -np.log(unit(low) * unit(high)), ((low & np.uint32(511)) << np.uint32(9)) | (high & np.uint32(511))
-
-
-def _draw(term: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
-    r, left = _halves(mixed(term[:, None] ^ _SEEDS[0]))
-    c, _ = _halves(mixed(term[:, None] ^ _SEEDS[1]))
-    b = (left.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-18)
-    if weight[-1] == 1:  # all of them: t = floor(b) = 0
-        t, tag = np.float32(0), mixed(term)[:, None]
-    else:
-        t = np.floor(np.log(weight.astype(np.float32))[:, None] / r + b)
-        tag = mixed(term[:, None] + t.astype(np.int64).view(np.uint64) * ODD)
-    key = (np.log(c) - r * (t - b + np.float32(1))).view(np.int32)
-    parts = out.view(np.uint32)
-    parts[:, 0::2] = key.view(np.uint32) ^ ((key >> 31).view(np.uint32) | np.uint32(1 << 31))
-    out <<= np.uint64(16)
-    out |= tag & np.uint64(0xFFFF)
-
-
-def samples(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """(term hashes, counts in ascending order) -> a row a term: for each place ln a (32 bits, in order) and a 16-bit hash
-    of the term and its t."""
-    out = np.zeros((len(terms), PLACES), np.uint64)
-    ones = int(np.searchsorted(weights, 1, "right"))
-    for low, high in ((0, ones), (ones, len(terms))):
-        for at in range(low, high, 256):
-            part = slice(at, min(high, at + 256))
-            _draw(terms[part], weights[part], out[part])
-    return out
-
-
-def signatures(texts: list[bytes]) -> list[np.ndarray]:
-    """place << 16 | sample of each lower-cased text, a value for each place in order. No words: empty."""
-    h, starts = word_hashes(b"\n".join(texts))
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    doc = np.searchsorted(ends, starts, "right")
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
-    count = np.diff(np.append(new, len(h)))
-    h, doc = h[new], doc[new]
-    least = np.full((len(texts), PLACES), _EMPTY)
-    for low in range(0, len(h), _ROWS):
-        term, weight, of = h[low : low + _ROWS], count[low : low + _ROWS], doc[low : low + _ROWS]
-        order = np.lexsort((term, weight))
-        fresh = np.concatenate([[True], (np.diff(term[order]) != 0) | (np.diff(weight[order]) != 0)])
-        pair = np.empty(len(term), np.int64)
-        pair[order] = np.cumsum(fresh) - 1
-        drawn = samples(term[order][fresh], weight[order][fresh])
-        for part in range(0, len(term), 1024):
-            mine = of[part : part + 1024]
-            first = np.flatnonzero(np.concatenate([[True], np.diff(mine) != 0]))
-            best = np.minimum.reduceat(drawn[pair[part : part + 1024]], first)
-            least[mine[first]] = np.minimum(least[mine[first]], best)
-    values = ((np.arange(PLACES, dtype=np.uint64) << np.uint64(16)) | (least & np.uint64(0xFFFF))).astype(np.int32)
-    return [v if n else v[:0] for v, n in zip(values, np.bincount(doc, minlength=len(texts)))]
-
-
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, next_id, n_chars, edited_sha256, text, edited: lower-cased) -> the first four and both fingerprints."""
-    for whole in slices(batches, 4, 4 << 20):
-        for at in range(0, whole.num_rows, _DOCS):
-            batch = whole.slice(at, _DOCS)
-            pairs = zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in ("text", "edited")))  # side by side, as they share terms
-            found = signatures([t for pair in pairs for t in pair])
-            found = found[0::2] + found[1::2]
-            ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found), pa.int32()))
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists.slice(0, n), lists.slice(n)], ["doc_id", "next_id", "n_chars", "edited_sha256", "fp", "edited_fp"])
+_ROUNDS, _AT_ONCE = 4, 32  # a row draws for 32 places at a time: as many as compiled code takes well
+_SEEDS = [int(x) for x in mixed(np.arange(1, _AT_ONCE + 1, dtype=np.uint64) * MIX).view(np.int64)]
+_BITS = 52  # of the hash that give exp(-a); with one more, it could be 1
+
+
+def weighted_terms(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """A row for each distinct word of each row's lower-cased text, with the columns to keep: term (a hash) and w (its count). A text without a word
+    has one row of nulls."""
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    terms = rows.select(*keep, F.sort_array(F.transform(words, lambda x: F.xxhash64(x))).alias("terms"))
+    places = F.when(F.size("terms") > 0, F.sequence(F.lit(0), F.size("terms") - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: ~F.get("terms", i).eqNullSafe(F.get("terms", i - 1)))
+    runs = terms.select(*keep, "terms", starts.alias("starts")).select(*keep, "terms", "starts", F.posexplode_outer("starts").alias("i", "at"))
+    return runs.select(*keep, F.get("terms", F.col("at")).alias("term"), (F.coalesce(F.get("starts", F.col("i") + 1), F.size("terms")) - F.col("at")).alias("w"))
+
+
+def _unit(bits: str, n: int) -> str:
+    """n bits as a number between 0 and 1."""
+    return f"(({bits}) + 0.5D) * {2.0**-n!r}D"
+
+
+def _hash(k: int) -> str:
+    """Of the term and place 32 q + k; tq is a hash of the term and q."""
+    return f"xxhash64(tq ^ {_SEEDS[k]}L)"
+
+
+def _u(k: int) -> str:
+    """exp(-a) at weight 1."""
+    return _unit(f"shiftrightunsigned({_hash(k)}, {64 - _BITS})", _BITS)
+
+
+def _e(k: int) -> str:
+    """exp(-E)."""
+    return _unit(f"shiftrightunsigned(xxhash64({_hash(k)}), 32)", 32)
+
+
+def _y(k: int) -> str:
+    return _unit(f"xxhash64({_hash(k)}) & {(1 << 32) - 1}L", 32)
+
+
+def _least(k: int) -> str:
+    """exp(-a) at weight 1 as 63 bits, which also name the sample."""
+    return f"shiftrightunsigned({_hash(k)}, 1)"
+
+
+def _grown(k: int) -> str:
+    """exp(-a) at weight w > 1 in the same form, a function of the term and its t; null where it cannot exceed m, the greatest at weight 1,
+    or t is 0. As y <= z_t <= w z / y for every t, a is at least (1 - u) y / w, and that of m at most (1 - m) / m: no logarithm is needed
+    for most. z <= w just where E <= a (w - 1)."""
+    m = f"((m{k} + 0.5D) * {2.0**-63!r}D)"
+    z = f"(1 + ln({_e(k)}) / ln({_u(k)}))"
+    t = f"greatest(floor(ln(w / ({_y(k)})) / ln({z} / ({_y(k)}))), 1)"
+    value = f"shiftleft(least(floor(exp(ln({_u(k)}) * pow(({_y(k)}) / {z}, {t})) * {2.0**53!r}D), {(1 << 53) - 1}L), 10)"
+    return f"if((1 - {_u(k)}) * ({_y(k)}) * {m} <= (1 - {m}) * w AND if(w = 2, {_e(k)} >= {_u(k)}, {_e(k)} >= pow({_u(k)}, w - 1)), {value}, NULL)"
+
+
+def sampled(terms: DataFrame, key: str, keys: list[str]) -> DataFrame:
+    """(key, keys, term, w) -> (key, keys, q, fp): place << 16 | sample of each of 32 places in order, the one of least a, in a row for each
+    q; no terms: empty. Rows that agree in all keys are one text, and those of one key lie in one partition.
+
+    First the least a at weight 1 of every place, a hash a term; then the terms of more weight, which can only gain, meet it again.
+    The expressions are SQL texts, as the places share their form.
+    """
+    every = range(_AT_ONCE)
+    tq = "if(term IS NOT NULL, xxhash64(term, q), NULL) AS tq"
+    rounds = terms.select("*", F.explode(F.array(*(F.lit(q) for q in range(_ROUNDS)))).alias("q")).selectExpr(key, *keys, "q", tq)
+    first = rounds.groupBy(key, *keys, "q").agg(*(F.expr(f"max(if(tq IS NOT NULL, {_least(k)}, NULL)) AS m{k}") for k in every))
+    heavy = terms.where("w > 1").select(F.col(key).alias("of"), F.xxhash64(*keys).alias("same"), "term", "w")
+    # Joined by the key alone, by which both sides lie already; the rest is compared.
+    both = heavy.join(first.hint("shuffle_hash"), (F.col("of") == F.col(key)) & (F.col("same").bitwiseXOR(F.xxhash64(*keys)) == 0), "right")
+    both = both.selectExpr(key, *keys, "q", tq, "w", *(f"m{k}" for k in every))
+    last = both.groupBy(key, *keys, "q").agg(*(F.expr(f"max(greatest(m{k}, if(tq IS NOT NULL, {_grown(k)}, NULL))) AS v{k}") for k in every))
+    places = ", ".join(f"cast((shiftright(v{k}, 10) & 65535) + ((q * {_AT_ONCE} + {k}) << 16) AS int)" for k in every)
+    return last.selectExpr(key, *keys, "q", f"if(v0 IS NOT NULL, array({places}), cast(array() AS array<int>)) AS fp")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -138,22 +134,35 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     document: nothing is put in, and near_next compares with the empty text. An empty table gives no rows; other
     columns are ignored. Equal texts have equal fingerprints.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Rows without an id lie under one of their own and say so, as a null would meet nothing in a join.
+    no_id = F.col(id_col).cast("long").isNull()
+    docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), no_id.alias("no_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
-    sizes = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(half).alias("half"))
+    sizes = docs.where("NOT no_id").groupBy("doc_id").agg(F.max(half).alias("half"))
     ring = stage(next_documents(sizes), "ring")
     placed = docs.join(ring.hint("shuffle_hash"), "doc_id", "left")
+    placed = placed.select("doc_id", "no_id", "text", *(F.when(~F.col("no_id"), F.col(c)).alias(c) for c in ("next_id", "prev_id", "prev_half")))
     given = placed.groupBy(F.col("prev_id").alias("for_id")).agg(F.min(F.expr("left(text, prev_half)")).alias("given"))
-    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) AS int))"), F.coalesce(F.expr("left(given, cast(floor(length(text) / 2) AS int))"), F.lit("")))
-    both = placed.join(given.hint("shuffle_hash"), F.col("doc_id") == F.col("for_id"), "left").select("doc_id", "next_id", "text", edited.alias("edited"))
-    plain = both.select(
-        "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        F.lower("text").alias("text"), F.lower("edited").alias("edited"),
+    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) AS int))"), F.coalesce(F.expr("left(if(no_id, NULL, given), cast(floor(length(text) / 2) AS int))"), F.lit("")))
+    both = placed.join(given.hint("shuffle_hash"), F.col("doc_id") == F.col("for_id"), "left").select("doc_id", "no_id", "next_id", "text", edited.alias("edited"))
+    # All of a document is in one partition from here on, so that neither its terms nor its samples are shuffled.
+    same = both.groupBy("doc_id", "no_id", "next_id", "text", "edited").agg(F.count("*").alias("n"))
+    row = ["no_id", "next_id", "n", "n_chars", "digest", "of_text"]
+    plain = same.select(
+        "doc_id", "no_id", "next_id", "n", F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("digest"), F.xxhash64("text").alias("of_text"),
+        F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.lower("text").alias("text")), F.struct(F.lit(True).alias("is_edited"), F.lower("edited").alias("text")))).alias("side"),
     )
-    marked = stage(plain.mapInArrow(_signed, "doc_id long, next_id long, n_chars long, edited_sha256 string, fp array<int>, edited_fp array<int>"), "fingerprints")
-    others = marked.groupBy(F.col("doc_id").alias("of_id")).agg(F.min("fp").alias("next_fp"))
+    sides = [*row, "is_edited"]
+    terms = weighted_terms(plain.select("doc_id", *row, "side.is_edited", "side.text"), "text", ["doc_id", *sides])
+    signed = sampled(terms, "doc_id", sides)
+    part = lambda edited, q: F.first(F.when((F.col("is_edited") == edited) & (F.col("q") == q), F.col("fp")), ignorenulls=True)
+    of = lambda edited: F.concat(*(part(edited, q) for q in range(_ROUNDS)))
+    marked = signed.groupBy("doc_id", *row).agg(of(False).alias("fp"), of(True).alias("edited_fp"))
+    marked = marked.select("doc_id", "no_id", "next_id", "n_chars", F.lower(F.hex("digest")).alias("edited_sha256"), "fp", "edited_fp", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("again"))
+    marked = stage(marked.drop("again"), "fingerprints")
+    others = marked.where("NOT no_id").groupBy(F.col("doc_id").alias("of_id")).agg(F.min("fp").alias("next_fp"))
     none = F.array().cast("array<int>")
     return marked.join(others, F.col("next_id") == F.col("of_id"), "left").select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.coalesce("next_fp", none)).alias("near_next"),
     )
