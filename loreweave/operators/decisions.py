@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .debt import unresolved_open_items
+from .debt import debt_delta, unresolved_open_items
 from .scans import P, register_sessions
 
 
@@ -107,3 +107,18 @@ def as_of(history: DataFrame, t: float) -> DataFrame:
     """The version of each node that was valid at t, unless removed by then."""
     last = F.row_number().over(Window.partitionBy(P, "id").orderBy(F.col("valid_from").desc()))
     return history.where(F.col("valid_from") <= t).withColumn("place", last).where("place = 1 AND NOT removed").drop("place")
+
+
+def executive_summary(nodes: DataFrame, edges: DataFrame, prior_items: DataFrame | None = None) -> DataFrame:
+    """One row per project: decisions (all and pending), risks, how the debt changed against the prior items (all of it is new without them),
+    the current session and the one before. The decisions and risks themselves are decision_timeline() and risks()."""
+    current = unresolved_open_items(nodes, edges)
+    delta = debt_delta(current, current.limit(0) if prior_items is None else prior_items)
+    status = decision_status(nodes, edges).groupBy(P).agg(F.count("*").alias("n_decisions"), F.count(F.when(F.col("decision_status") == "Pending", 1)).alias("n_pending"))
+    risk = risks(nodes, edges).groupBy(P).agg(F.count("*").alias("n_risks"))
+    sessions = register_sessions(nodes)
+    last = sessions.groupBy(P).agg(F.max_by("session_id", "session_index").alias("session_id"), F.max("session_index").alias("now"))
+    prior = sessions.select(P, (F.col("session_index") + 1).alias("now"), F.col("session_id").alias("prior_session_id"))
+    rows = last.join(prior, [P, "now"], "left").drop("now").join(status, P, "left").join(risk, P, "left").join(delta, P, "left")
+    counts = ["n_decisions", "n_pending", "n_risks", "new_items", "resolved_items", "persisted_items", "net"]
+    return rows.select(P, "session_id", "prior_session_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts))

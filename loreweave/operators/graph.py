@@ -105,7 +105,7 @@ def reasoning_chains(trace: DataFrame, inside: DataFrame, most: int = 5, longest
             if 2 <= len(chain) <= longest:
                 found.append(chain)
         found = found[:most]
-        chains, verbs = [[x for x, _ in c] for c in found], [[v for _, v in c] for c in found]
+        chains, verbs = (pd.Series([[x[i] for x in c] for c in found], dtype=object) for i in (0, 1))  # an empty list of lists has no type of its own
         return pd.DataFrame({"question_id": pdf["question_id"].iloc[0], P: pdf[P].iloc[0], "chain_no": range(len(found)), "chain": chains, "verbs": verbs})
 
     kind = dict(trace.dtypes)["question_id"]

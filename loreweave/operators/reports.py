@@ -145,8 +145,23 @@ def answer_sections(questions: DataFrame, seen: DataFrame, trace: DataFrame, nod
     return every.select(*key, F.coalesce("answer", F.when(F.col("filled"), NOTHING).otherwise(EMPTY)).alias("answer"))
 
 
-def export_summary_markdown(nodes: DataFrame, debts: DataFrame) -> DataFrame:
-    """(project_id, section, seq, line): Markdown lines of decisions and risks, to be written ordered by section and seq."""
-    decisions = nodes.where("node_type = 'Decision'").select(P, F.lit("1 Decisions").alias("section"), "seq", F.format_string("- **%s** (%s)", "label", "status").alias("line"))
-    risks = debts.select(P, F.lit("2 Risks").alias("section"), "seq", F.format_string("- [%s] %s", "severity", "label").alias("line"))
-    return decisions.union(risks)
+def export_summary_markdown(summary: DataFrame, timeline: DataFrame, risks: DataFrame) -> DataFrame:
+    """(project_id, section, seq, id, line): Markdown of executive_summary(), decision_timeline() and risks(), to be written in the order of
+    section, seq and id; a decision is a block of lines, risks come by falling impact."""
+    of = lambda d, section, seq, text, name=F.lit(""): d.select(P, F.lit(section).alias("section"), seq.cast("long").alias("seq"), name.alias("id"), text.alias("line"))
+    sign = F.when(F.col("net") >= 0, "+").otherwise("")
+    heads = [
+        (0, 0, F.concat(F.lit("# Executive Summary — "), "session_id")), (0, 1, F.concat(F.lit("*Compared to: "), F.coalesce("prior_session_id", F.lit("N/A")), F.lit("*"))), (1, 0, F.lit("## Debt Delta")),
+        (1, 1, F.concat(F.lit("- **New:** "), "new_items")), (1, 2, F.concat(F.lit("- **Resolved:** "), "resolved_items")), (1, 3, F.concat(F.lit("- **Persisted:** "), "persisted_items")),
+        (1, 4, F.concat(F.lit("- **Net Change:** "), sign, "net")), (2, -1_000_000_000, F.format_string("## Decisions (%d)", "n_decisions")), (3, -1_000_000_000, F.format_string("## Top Risks (%d)", "n_risks")),
+    ]
+    listed = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(f"**{title}:** "), F.array_join(c, ", ")))
+    block = F.concat_ws(
+        "\n", F.concat(F.lit("### "), "label"), F.concat(F.lit("**Status:** "), "decision_status"), F.concat(F.lit("**Owner:** "), F.coalesce("owner", F.lit("Unassigned"))),
+        F.concat(F.lit("**Session:** "), "session_id"), F.concat(F.lit("**Rationale:** "), "rationale"), listed("Blocked Work", "blocked_work"), listed("Validation Needed", "criteria"),
+    )
+    risk = F.format_string("- **%s** (Impact: %d/100) — UnresolvedOpenItem, %s", "label", "impact", "risk_status")
+    rows = of(timeline, 2, F.col("seq"), block, F.col("id")).union(of(risks, 3, -F.col("impact"), risk, F.col("id")))
+    for section, seq, text in heads:
+        rows = rows.union(of(summary, section, F.lit(seq), text))
+    return rows

@@ -521,14 +521,26 @@ def risks(spark: SparkSession, d: str) -> DataFrame:
     return dc.risks(fx.nodes(spark, d), fx.edges(spark, d)).select("id", "severity", "impact")
 
 
-@query(_STATUS_SQL + """SELECT (SELECT count(*) FROM st) AS n_decisions, (SELECT count(*) FROM st WHERE decision_status = 'Pending') AS n_pending, (SELECT count(*) FROM fx_debt_open) AS n_risks,
-(SELECT arg_max(session_id, session_index) FROM fx_sessions) AS session_id""")
-def executive_summary(spark: SparkSession, d: str) -> DataFrame:
+_SUMMARY_SQL = _STATUS_SQL + """, now AS (SELECT max(session_index) AS i FROM fx_sessions), old AS (SELECT n.* FROM fx_nodes n JOIN fx_sessions s USING (session_id) WHERE session_index < (SELECT i FROM now)),
+was AS (SELECT id FROM old WHERE node_type = 'OpenItem' AND status <> 'Invalidated' AND id NOT IN (SELECT target_node_id FROM fx_edges WHERE edge_type = 'Resolves' AND source_node_id IN (SELECT id FROM old) AND target_node_id IN (SELECT id FROM old))),
+d AS (SELECT count(*) FILTER (w.id IS NULL) AS new_items, count(*) FILTER (o.id IS NULL) AS resolved_items, count(*) FILTER (w.id IS NOT NULL AND o.id IS NOT NULL) AS persisted_items FROM fx_debt_open o FULL JOIN was w ON w.id = o.id),
+summary AS (SELECT (SELECT session_id FROM fx_sessions WHERE session_index = (SELECT i FROM now)) AS session_id, (SELECT session_id FROM fx_sessions WHERE session_index = (SELECT i - 1 FROM now)) AS prior_session_id,
+  (SELECT count(*) FROM st) AS n_decisions, (SELECT count(*) FROM st WHERE decision_status = 'Pending') AS n_pending, (SELECT count(*) FROM fx_debt_open) AS n_risks, *, new_items - resolved_items AS net FROM d)
+"""
+
+
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    """Against the debt before the current session."""
     nodes, edges = fx.nodes(spark, d), fx.edges(spark, d)
-    status = dc.decision_status(nodes, edges).groupBy("project_id").agg(F.count("*").alias("n_decisions"), F.count(F.when(F.col("decision_status") == "Pending", 1)).alias("n_pending"))
-    risk = dc.risks(nodes, edges).groupBy("project_id").agg(F.count("*").alias("n_risks"))
-    last = sc.register_sessions(nodes).groupBy("project_id").agg(F.max_by("session_id", "session_index").alias("session_id"))
-    return status.join(risk, "project_id").join(last, "project_id").drop("project_id")
+    sessions = sc.register_sessions(nodes)
+    now = sessions.groupBy("project_id").agg(F.max("session_index").alias("now"))
+    old = nodes.join(sessions.join(now, "project_id").where("session_index < now").select("project_id", "session_id"), ["project_id", "session_id"], "left_semi").select(*nodes.columns)
+    return dc.executive_summary(nodes, edges, de.unresolved_open_items(old, sc.with_ends(edges, old)))
+
+
+@query(_SUMMARY_SQL + "SELECT * FROM summary")
+def executive_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _summary(spark, d).drop("project_id")
 
 
 def _history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -1119,12 +1131,21 @@ def split_sentences_eval(spark: SparkSession, d: str) -> DataFrame:
     return fx.utterances(spark, d).select("id", F.posexplode(ex.split_sentences_eval(F.col("text"))).alias("idx", "sentence"))
 
 
-@query("""SELECT project_id, section, seq, line FROM (
-SELECT 'p0' AS project_id, '1 Decisions' AS section, seq, concat('- **', label, '** (', status, ')') AS line FROM fx_nodes WHERE node_type = 'Decision'
-UNION ALL SELECT 'p0', '2 Risks', seq, concat('- [High] ', label) FROM fx_nodes WHERE node_type = 'OpenItem')""")
+@query(_SUMMARY_SQL + ", " + _RATIONALE_SQL + ", " + _BLOCKED_SQL + ", " + _DOWN_SQL + """,
+crit AS (SELECT e.source_node_id AS id, string_agg(concat('Resolves open item: ', t.label), ', ' ORDER BY e.seq DESC, t.id) AS c FROM fx_edges e JOIN fx_nodes t ON t.id = e.target_node_id WHERE edge_type = 'Resolves' AND t.node_type = 'OpenItem' GROUP BY 1),
+work AS (SELECT id, array_to_string(list_sort(list(label))[1:10], ', ') AS b FROM blocked GROUP BY id),
+risk AS (SELECT o.id, o.label, CAST(round(greatest(least(least(coalesce(d.n, 0), 4) / 4.0 * 60 + CASE WHEN s.session_index >= (SELECT i FROM now) - 1 THEN 20 ELSE 5 END, 100), 5)) AS BIGINT) AS impact FROM fx_debt_open o JOIN fx_sessions s USING (session_id) LEFT JOIN down d ON d.id = o.id)
+SELECT 2 AS section, st.seq, st.id, concat_ws(chr(10), concat('### ', st.label), concat('**Status:** ', decision_status), concat('**Owner:** ', coalesce(nullif(st.agent_id, ''), 'Unassigned')), concat('**Session:** ', st.session_id),
+  concat('**Rationale:** ', coalesce(why.r, concat('Decision made by ', st.agent_id, ' in S', x.session_index + 1, ': ', st.description))), '**Blocked Work:** ' || b, '**Validation Needed:** ' || c) AS line
+FROM st JOIN fx_sessions x USING (session_id) LEFT JOIN why ON why.id = st.id LEFT JOIN work ON work.id = st.id LEFT JOIN crit ON crit.id = st.id
+UNION ALL SELECT 3, -impact, id, concat('- **', label, '** (Impact: ', impact, '/100) — UnresolvedOpenItem, Unvalidated') FROM risk
+UNION ALL SELECT 0, 0, '', concat('# Executive Summary — ', session_id) FROM summary UNION ALL SELECT 0, 1, '', concat('*Compared to: ', coalesce(prior_session_id, 'N/A'), '*') FROM summary
+UNION ALL SELECT 1, 0, '', '## Debt Delta' UNION ALL SELECT 1, 1, '', concat('- **New:** ', new_items) FROM summary UNION ALL SELECT 1, 2, '', concat('- **Resolved:** ', resolved_items) FROM summary
+UNION ALL SELECT 1, 3, '', concat('- **Persisted:** ', persisted_items) FROM summary UNION ALL SELECT 1, 4, '', concat('- **Net Change:** ', CASE WHEN net >= 0 THEN '+' ELSE '' END, net) FROM summary
+UNION ALL SELECT 2, -1000000000, '', concat('## Decisions (', n_decisions, ')') FROM summary UNION ALL SELECT 3, -1000000000, '', concat('## Top Risks (', n_risks, ')') FROM summary""")
 def export_summary_markdown(spark: SparkSession, d: str) -> DataFrame:
-    nodes = fx.nodes(spark, d)
-    return rp.export_summary_markdown(nodes, nodes.where("node_type = 'OpenItem'").withColumn("severity", F.lit("High")))
+    nodes, edges = fx.nodes(spark, d), fx.edges(spark, d)
+    return rp.export_summary_markdown(_summary(spark, d), dc.decision_timeline(nodes, edges), dc.risks(nodes, edges)).drop("project_id")
 
 
 @query("SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN NULL ELSE CASE conv_id % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'lines' END END AS format FROM conversations")

@@ -33,59 +33,17 @@ def session_windows(events: DataFrame, gap: str = "30 minutes", delay: str = "1
     return sums.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "session_id", "n")
 
 
-_WARNING = "project_id string, session_id string, event_id string, warning string, action string, seq long"
-
-
-def debt_warnings(events: DataFrame, keep: int = 100, idle_ms: int = 24 * 3_600_000) -> DataFrame:
-    """Rows that raise and clear warnings per session as tool events arrive: an edit is unverified until a check touches one
-    of its files, a failed check stands until an edit touches one of its. State: the last `keep` open ones of each; a session
-    without an event for idle_ms is forgotten."""
-    rows = events.withColumn("kind", tx.tool_class(F.col("tool_name"), F.col("text"))).withColumn("passed", tx.check_passed(F.col("text"))).where("kind <> 'Read'")
-    rows = rows.select("project_id", "session_id", "id", "seq", "kind", "passed", "files")
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = state.get if state.exists else (([], []), ([], []))
-        open_edits, open_checks = ([(i, set(f)) for i, f in zip(ids, files)] for ids, files in held)
-        out: list[tuple[Any, ...]] = []
-        for r in pd.concat(list(parts)).sort_values("seq").itertuples():
-            files = set(r.files)
-            if r.kind == "Write":
-                out += [(*key, i, "failing", "clear", r.seq) for i, f in open_checks if f & files]
-                open_checks = [x for x in open_checks if not x[1] & files]
-                if files:
-                    open_edits.append((r.id, files))
-                    out.append((*key, r.id, "unverified", "raise", r.seq))
-            else:
-                out += [(*key, i, "unverified", "clear", r.seq) for i, f in open_edits if f & files]
-                open_edits = [x for x in open_edits if not x[1] & files]
-                if r.passed:
-                    out += [(*key, i, "failing", "clear", r.seq) for i, f in open_checks if f & files]
-                    open_checks = [x for x in open_checks if not x[1] & files]
-                else:
-                    open_checks.append((r.id, files))
-                    out.append((*key, r.id, "failing", "raise", r.seq))
-        pack = lambda xs: ([i for i, _ in xs[-keep:]], [sorted(f) for _, f in xs[-keep:]])
-        state.update((pack(open_edits), pack(open_checks)))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["project_id", "session_id", "event_id", "warning", "action", "seq"])
-
-    half = "struct<ids:array<string>,files:array<array<string>>>"
-    return rows.groupBy("project_id", "session_id").applyInPandasWithState(step, _WARNING, f"edits {half}, checks {half}", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def _by_project(events: DataFrame, columns: list[str], schema: str, step: Callable[[Any, pd.DataFrame | None, GroupState], tuple[Any, list[tuple]]], mode: str = "append") -> DataFrame:
+def _by_project(events: DataFrame, columns: list[str], schema: str, step: Callable[[Any, pd.DataFrame | None, GroupState], tuple[Any, list[tuple]]], timers: bool = False) -> DataFrame:
     """Runs step(held state or None, events in order of seq or None on a timeout, state) -> (state to hold or None, rows) per project.
 
-    What is held is one JSON text a project, of a size that the step bounds.
+    What is held is one JSON text a project, of a size that the step bounds. With timers, timeouts of processing time are on, and a query
+    runs on until it is stopped; without, it can end when there is no more to read.
     """
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else None
-        rows = None if state.hasTimedOut else pd.concat(list(parts)).sort_values(["seq", "id"])
+        rows = None if timers and state.hasTimedOut else pd.concat(list(parts)).sort_values(["seq", "id"])
         held, out = step(held, rows, state)
         if held is None:
             state.remove()
@@ -94,7 +52,45 @@ def _by_project(events: DataFrame, columns: list[str], schema: str, step: Callab
         yield pd.DataFrame([(*key, *r) for r in out], columns=["project_id", *names])
 
     rows = events.select("project_id", *columns)
-    return rows.groupBy("project_id").applyInPandasWithState(run, f"project_id string, {schema}", "held string", mode, GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("project_id").applyInPandasWithState(run, f"project_id string, {schema}", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout)
+
+
+def debt_warnings(events: DataFrame, keep: int = 100, sessions: int = 16) -> DataFrame:
+    """Rows that raise and clear warnings per session as tool events arrive: an edit is unverified until a check touches one
+    of its files, a failed check stands until an edit touches one of its. State: the last `keep` open ones of each, of the `sessions` that wrote
+    or checked last in a project; a session that is pushed out has its warnings cleared."""
+    rows = events.withColumn("kind", tx.tool_class(F.col("tool_name"), F.col("text"))).withColumn("passed", tx.check_passed(F.col("text"))).where("kind <> 'Read'")
+
+    def step(held: Any, pdf: pd.DataFrame | None, _: GroupState) -> tuple[Any, list[tuple]]:
+        held, out = held or {}, []
+        for r in ([] if pdf is None else pdf.itertuples()):
+            files, session = set(r.files), r.session_id
+            edits, checks = held.pop(session, [[], []])
+            touched = lambda xs: [i for i, f in xs if files & set(f)]
+            rest = lambda xs: [x for x in xs if not files & set(x[1])]
+            if r.kind == "Write":
+                out += [(session, i, "failing", "clear", r.seq) for i in touched(checks)]
+                checks = rest(checks)
+                if files:
+                    edits.append([r.id, sorted(files)])
+                    out.append((session, r.id, "unverified", "raise", r.seq))
+            else:
+                out += [(session, i, "unverified", "clear", r.seq) for i in touched(edits)]
+                edits = rest(edits)
+                if r.passed:
+                    out += [(session, i, "failing", "clear", r.seq) for i in touched(checks)]
+                    checks = rest(checks)
+                else:
+                    checks.append([r.id, sorted(files)])
+                    out.append((session, r.id, "failing", "raise", r.seq))
+            held[session] = [edits[-keep:], checks[-keep:]]  # last in the order of activity
+            if len(held) > sessions:
+                gone = next(iter(held))
+                edits, checks = held.pop(gone)
+                out += [(gone, i, kind, "clear", r.seq) for kind, xs in (("unverified", edits), ("failing", checks)) for i, _ in xs]
+        return held, out
+
+    return _by_project(rows, ["session_id", "id", "seq", "kind", "passed", "files"], "session_id string, event_id string, warning string, action string, seq long", step)
 
 
 def stream_scratch(events: DataFrame, keep: int = 100, sessions: int = 16) -> DataFrame:
@@ -147,7 +143,7 @@ def stream_extraction_batches(events: DataFrame, most: int = 10, wait_ms: int =
             state.setTimeoutDuration(max(1, held["until"] - state.getCurrentProcessingTimeMs()))
         return held, out
 
-    return _by_project(events, ["id", "seq"], "batch long, ids array<string>", step)
+    return _by_project(events, ["id", "seq"], "batch long, ids array<string>", step, timers=True)
 
 
 def stream_event_log(events: DataFrame, most: int = 20) -> DataFrame:
@@ -217,9 +213,14 @@ def upsert_graph(nodes_path: str, edges_path: str):
         spark = batch.sparkSession
         fresh = batch.where("kind = 'node'").select("project_id", "id", "node_type", "label", "seq")
         links = batch.where("kind = 'edge'").select("project_id", "id", "edge_type", "source_node_id", "target_node_id", "seq")
-        nodes = spark.read.schema(fresh.schema).parquet(nodes_path)
-        add_nodes(nodes, fresh).write.mode("append").parquet(nodes_path)
-        nodes = spark.read.schema(fresh.schema).parquet(nodes_path)
-        add_edges(nodes, spark.read.schema(links.schema).parquet(edges_path), links).write.mode("append").parquet(edges_path)
+        # A batch of few projects reads those alone: the filter reaches the files' statistics.
+        projects = [r.project_id for r in batch.select("project_id").distinct().limit(101).collect()]
+
+        def stored(path: str, like: DataFrame) -> DataFrame:
+            rows = spark.read.schema(like.schema).parquet(path)
+            return rows.where(F.col("project_id").isin(projects)) if len(projects) <= 100 else rows
+
+        add_nodes(stored(nodes_path, fresh), fresh).write.mode("append").parquet(nodes_path)
+        add_edges(stored(nodes_path, fresh), stored(edges_path, links), links).write.mode("append").parquet(edges_path)
 
     return commit
