@@ -37,10 +37,7 @@ def tools(spark, *rows):
     return spark.createDataFrame([(p, i, s, tool, text, files, float(n), n) for n, (p, i, s, tool, text, files) in enumerate(rows)], TOOL)
 
 
-NEW = [
-    "brief_text", "brief_warnings", "keyword_count_rank", "hybrid_topk", "embedding_topk", "community_label", "community_descriptors", "relation_prf", "extraction_batches",
-    "judged_nodes", "reverse_trace_set", "classify_markdown_line", "tokenize_index", "get_node", "route_events", "debt_over_sessions", "containment", "load_raw_responses", "tool_payload_to_events",
-]
+NEW = ["brief_text", "keyword_count_rank", "community_label", "extraction_batches", "judged_nodes", "classify_markdown_line", "route_events", "containment", "load_raw_responses"]
 
 
 @pytest.mark.parametrize("name", NEW)
