@@ -34,10 +34,6 @@ def _contains_any(text: str, marks: list[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, '{m}')" for m in quoted) + ")"
 
 
-def _sorted_join(column: str) -> F.Column:
-    return F.array_join(F.array_sort(column), ",")
-
-
 # Scans, projections, filters
 
 
