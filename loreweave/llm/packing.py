@@ -22,16 +22,16 @@ from pyspark.sql import functions as F
 
 from .scratch import slices, stage
 
-_KEPT = 400_000
+_SLICE = 1 << 20
 # Where a single space or line feed stands between two non-space characters, the tokenizer always cuts before it.
-_IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
+_CUT = re.compile(r"(?<=\S)[ \n](?=\S)")
 
 
 class ByteBpe:
-    """Ids of the byte-level BPE as little-endian unsigned 32-bit bytes, word by word with a bounded cache.
+    """Ids of the byte-level BPE as little-endian unsigned 32-bit bytes, a slice of the text at a time.
 
-    Reads the vocabulary as ranks beside the given .json file (the same vocabulary), which encodes single words
-    several times faster. A text is first cut at the added tokens that the .json file names, such as `<|endoftext|>`; they have ids of their own.
+    Reads the vocabulary as ranks beside the given .json file (the same vocabulary), which encodes several times
+    faster. A text is first cut at the added tokens that the .json file names, such as `<|endoftext|>`; they have ids of their own.
     """
 
     def __init__(self, path: str):
@@ -44,19 +44,7 @@ class ByteBpe:
         self.cuts = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-        def encode(text: str) -> bytes:
-            return np.array(own.encode_ordinary(text), dtype="<u4").tobytes()
-
-        class Spaced(dict):
-            def __missing__(self, word: str) -> bytes:
-                if len(self) >= _KEPT:
-                    self.clear()
-                self[word] = found = encode(" " + word)
-                return found
-
-        self.encode, self.spaced, self.line_feed = encode, Spaced(), encode("\n")
+        self.own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
         if self.cuts is None or not (found := list(self.cuts.finditer(text))):
@@ -68,15 +56,14 @@ class ByteBpe:
         return b"".join([*out, self._plain(text[at:])])
 
     def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _IRREGULAR.search(text):
-            return self.encode(text)
-        lines = []
-        for line in text.split("\n"):
-            first, _, rest = line.partition(" ")
-            lines.append(self.encode(first) + (b"".join(map(self.spaced.__getitem__, rest.split(" "))) if rest else b""))
-        return self.line_feed.join(lines)
+        out, at = [], 0
+        while len(text) - at > _SLICE and (cut := _CUT.search(text, at + _SLICE)):
+            out.append(self._encode(text[at : cut.start()]))
+            at = cut.start()
+        return b"".join([*out, self._encode(text[at:] if at else text)])
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.own.encode_ordinary(text), dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -92,7 +79,7 @@ class _Packer:
         self.open: list[tuple[int, list]] = []  # (tokens, pieces)
         self.rows: list[tuple] = []
 
-    def emit(self, pieces: list, leftover: bool = False) -> None:
+    def emit(self, pieces: list, leftover: bool = False) -> None:  # ids: bytes, or a view of them where full
         offset = 0
         for doc, start, ids, total in pieces:
             n = len(ids) // 4
@@ -101,9 +88,12 @@ class _Packer:
         self.next_id += 1
 
     def add(self, doc: int | None, start: int, ids: bytes, total: int) -> None:
-        while len(ids) // 4 >= self.size:
-            self.emit([(doc, start, ids[: 4 * self.size], total)])
-            start, ids = start + self.size, ids[4 * self.size :]
+        full = len(ids) // (4 * self.size) * self.size
+        if full:
+            whole = memoryview(ids)
+            for at in range(0, full, self.size):
+                self.emit([(doc, start + at, whole[4 * at : 4 * (at + self.size)], total)])
+            start, ids = start + full, ids[4 * full :]
         while ids:
             n = len(ids) // 4
             fits = [i for i, (used, _) in enumerate(self.open) if used + n <= self.size]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
-from . import language_id, line_dedup, mixing, neighbours, ngram_join, packing, pii, token_rollup, url_filter
+from . import bin_slack, collocations, language_id, line_dedup, mixing, neighbours, ngram_join, packing, pii, token_rollup, url_filter, whitening
 from .scratch import by_hot_key, new_path, stage
 
 
@@ -81,6 +81,18 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors.where("vec_id % 100 = 0"), vectors)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_slack.pack_whole(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 OP9_SQL = r"""
 WITH kept AS (
   SELECT source, lang, coalesce(text, '') AS text FROM documents
@@ -93,11 +105,47 @@ WITH kept AS (
 SELECT source, lang, version, count(*)::BIGINT AS documents, sum(n)::BIGINT AS tokens FROM counted GROUP BY ALL
 """
 
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), pieces AS (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM docs
+), grams AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, range(1, 5) AS sizes(m) WHERE len(w) >= m)
+  GROUP BY ALL
+), sizes AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE m = 1 GROUP BY lang
+), often AS (
+  SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f FROM grams WHERE f >= 30
+), cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(w[1 : k], ' ') AS first, array_to_string(w[k + 1 : m], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM often WHERE m > 1)
+), scored AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+  FROM cuts c JOIN often x ON x.lang = c.lang AND x.phrase = c.first JOIN often y ON y.lang = c.lang AND y.phrase = c.rest
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), held AS (
+  SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(f) AS over
+  FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM often WHERE m > 2))
+  GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM scored s LEFT JOIN held h ON h.lang = s.lang AND h.phrase = s.phrase
+  WHERE h.over IS NULL OR 100::HUGEINT * h.over < 80::HUGEINT * s.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept JOIN sizes USING (lang)
+QUALIFY rank <= 2000
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_language_id, op3_packing, op4_mixing, op5_pii, op6_line_dedup,
-        op7_url_filter, op8_fingerprints, op9_token_counts, op10_nearest_neighbours,
+        op7_url_filter, op8_fingerprints, op9_token_counts, op10_nearest_neighbours, op11_whitening, op12_collocations, op13_bin_slack,
     )
 }
-ORACLES = {"op9_token_counts": OP9_SQL}
+ORACLES = {"op9_token_counts": OP9_SQL, "op12_collocations": OP12_SQL}
