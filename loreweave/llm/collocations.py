@@ -98,7 +98,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[_
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             if not text.is_valid:
                 continue
-            lang, text, at = "und" if lang is None else lang, text.as_buffer().to_pybytes().translate(_TABLE), 0
+            lang, text, at, tail = "und" if lang is None else lang, text.as_buffer().to_pybytes().translate(_TABLE), 0, []
             while at < len(text):
                 cut = text.find(b" ", at + _SLICE) if len(text) - at > _SLICE else -1
                 cut = len(text) if cut < 0 else cut
@@ -107,10 +107,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[_
                 if at == len(text):
                     words.append(b".")
                 chunk.add(lang, words)
+                tail = [] if longest < 2 else [*tail, *words[1 - longest :]][1 - longest :]
+                tail = tail[max((i + 1 for i, w in enumerate(tail) if w == b"."), default=0) :]
                 if chunk.full:
                     yield chunk, seen
-                    tail = [] if at == len(text) else words[-(longest - 1) :] if longest > 1 else []
-                    tail = tail[max((i + 1 for i, w in enumerate(tail) if w == b"."), default=0) :]
                     chunk, seen = _Chunk(longest), len(tail)
                     chunk.add(lang, tail)
     yield chunk, seen

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from .scratch import stage
 
 _LEAF = 128
+_SCALE = 2.0**-20  # of projections, so that no sum of finite components overflows
 
 
 def chi_square_cdf(x: float, dims: int) -> float:
@@ -135,7 +136,7 @@ def nearest(tree: KdTree, ids: np.ndarray, vectors: np.ndarray, query_id: int, q
     rounding = 1e-24 * float(projected @ projected)
     for far, rows in tree.incremental(projected):
         last = min(bound, best[-1] if len(best) == k else np.inf)
-        if far[0] > rounding and far[0] >= limit * last**2:
+        if last < np.inf and far[0] > rounding and far[0] >= limit * last**2:
             break
         rows = rows[ids[rows] != query_id]
         verified += len(rows)
@@ -154,7 +155,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _gaussian(length: int, dims: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((length, dims))
+    return np.random.default_rng(seed).standard_normal((length, dims)) * _SCALE
 
 
 def _project(rows: np.ndarray, gaussian: np.ndarray) -> np.ndarray:
@@ -192,7 +193,7 @@ def _routed(cells: Cells, blocks: dict[tuple[int, int], int], dims: int, seed: i
             take, parts, numbers = [], [], []
             for i, (length, home, home_block, bound) in enumerate(zip(get("length"), get("home"), get("home_block"), get("bound"))):
                 away = cells.away(points[i])
-                for part in np.flatnonzero((away <= 1e-24 * float(points[i] @ points[i])) | (away < limit * bound**2)):
+                for part in np.flatnonzero((away <= 1e-24 * float(points[i] @ points[i])) | (away < limit * bound**2) | np.isinf(bound)):
                     for block in range(blocks.get((int(length), int(part)), 0)):
                         if (part, block) != (home, home_block):
                             take.append(i)
@@ -287,7 +288,7 @@ def search(
     sample = drawn.mapInArrow(projected, "point array<double>").toArrow().column("point").combine_chunks()
     points = _matrix(sample) if len(sample) else np.zeros((0, dims))
     cells = Cells(points, min(-(-n // part_rows), max(1, len(points) // 8)), dims)
-    limit = chi_square_limit(confidence, dims)
+    limit = chi_square_limit(confidence, dims) * _SCALE**2
 
     columns = "vec_id long, vector array<double>, length int, part long"
     placed = data.mapInArrow(_in_cells(cells, dims, seed), columns)

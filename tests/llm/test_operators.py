@@ -168,6 +168,27 @@ def test_packing_is_an_exact_round_trip(spark):
     assert packing.pack(docs(spark, []).limit(0), vocabulary()).count() == 0
 
 
+def test_packing_is_linear_in_a_text():
+    def seconds(mb):
+        began = time.process_time()
+        packer = packing._Packer(2048, 64, 16, 0)
+        packer.add(1, 0, bytes(mb << 20), mb << 18)
+        assert sum(r[2] for r in packer.rows) + sum(u for u, _ in packer.open) == mb << 18
+        return time.process_time() - began
+
+    seconds(1)
+    assert min(seconds(40) for _ in range(2)) < 8 * min(seconds(10) for _ in range(2)) + 0.05
+
+
+def test_byte_bpe_cuts_long_texts_where_the_tokenizer_does(monkeypatch):
+    bpe, rng = packing.tokenizer(vocabulary()), random.Random(4)
+    parts = ["a", " word", "\n", "\n\n", "  ", "é", "12", " it's", "\u00a0", "\t", " !?", "日本", "\r\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(500)]
+    whole = [bpe.ids(t) for t in texts]
+    monkeypatch.setattr(packing, "_SLICE", 7)
+    assert [bpe.ids(t) for t in texts] == whole
+
+
 def test_byte_bpe_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
@@ -245,6 +266,13 @@ def test_pii_base_spans_equal_the_patterns():
         assert [(pii.KINDS[k], s, e) for k, s, e in pii.base_spans(t)] == plain_spans(t), t
 
 
+def test_pii_long_runs_of_digits():
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(1, 0, 5006)]
+    for text in ("1" * 5000 + ".1.1.1", "0." * 3 + "9" * 5000, "4" * 9000, "+" + "4" * 9000):
+        assert pii.base_spans(text) == []
+    pii.find("7" * 9000 + " " + "1." * 5000, *pii.trained())
+
+
 def test_pii_query_rules(spark):
     text = "é mail a.b@c.org, call (212) 555-0147 or +1 (743) 555-3824; host 10.0.0.1, version 4.10.2"
     rows = [(1, text), (2, None), (3, ""), (None, "1.2.3.4"), (4, "the quick brown fox, 12 apples on 2024-05-01"), (5, "9" * 200_000)]
@@ -529,13 +557,21 @@ def test_neighbours_prune_on_clustered_vectors(spark):
         assert len(got) == 10 and [r for r, _, _ in sorted(found[q])] == list(range(1, 11))
     assert hits >= 0.9 * 600
     # Share verified in one part with all vectors: the test stops most searches well before the end.
-    tree, limit = None, neighbours.chi_square_limit(0.9, 24)
+    tree, limit = None, neighbours.chi_square_limit(0.9, 24) * neighbours._SCALE**2
     gaussian = neighbours._gaussian(48, 24, 11)
     tree, ids = neighbours.KdTree(data @ gaussian), np.arange(6000)
     seen = [neighbours.nearest(tree, ids, data, q, data[q], neighbours._project(data[q : q + 1], gaussian)[0], 10, limit, np.inf)[2] for q in range(50, 6000, 100)]
     assert np.mean(seen) < 0.1 * 6000
 
 
+def test_neighbours_of_huge_and_tiny_components(spark):
+    rows = [(0, [1.5e308, -1.5e308]), (1, [-1.5e308, 1.5e308]), (2, [1e-200, 0.0]), (3, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in neighbours.search(table, table).collect())
+    far = float("inf")
+    assert found == [(0, 1, 1, far), (0, 2, 2, far), (0, 3, 3, far), (1, 1, 0, far), (1, 2, 2, far), (1, 3, 3, far), (2, 1, 3, 2**0.5), (2, 2, 0, far), (2, 3, 1, far), (3, 1, 2, 2**0.5), (3, 2, 0, far), (3, 3, 1, far)]
+
+
 def test_neighbours_query_that_occurs_twice_and_two_lengths(spark):
     rows = [(i, [float(i), 1.0, 0.0, 2.0]) for i in range(40)] + [(0, [0.0, 1.0, 0.0, 2.0])] + [(100 + i, [1.0, float(i)]) for i in range(4)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
