@@ -1,8 +1,8 @@
 """Phrase collocations: frequent word n-grams by Misra-Gries summaries, then exact counts and scores.
 
 First pass: each task sums the n-grams of its texts and deals the sums by hash to partitions of all n-grams. A partition merges what comes
-to it in a Misra-Gries summary of more counters than its mass (all occurrences dealt to it) over the threshold, so every n-gram that
-reaches the threshold keeps a counter, whatever the order. Hashes that meet only add candidates. Second pass: the texts again, exactly,
+to it in a Misra-Gries summary of more counters than its mass (all occurrences dealt to it, which come first) over the threshold, so every
+n-gram that reaches the threshold keeps a counter, whatever the order. Hashes that meet only add candidates. Second pass: the texts again, exactly,
 by words: n-grams whose hash has a counter are summed with their text. What tells tasks the counters is a bit table of fixed size,
 which lets a few others through that the threshold then drops.
 """
@@ -20,11 +20,16 @@ from pyspark.sql import functions as F
 from .scratch import slices, stage, trim, unstage
 from .words import MIX, mixed
 
-_CHUNK = 1 << 20  # words summed at once
-_WORDS = 1 << 19  # different ones
+_CHUNK = 1 << 19  # words summed at once
+_WORDS = 1 << 18  # different ones
 _BITS = np.int64(21)  # of a word's, or n-gram's, number in a chunk
-_SLICE = 4 << 20
-_HELD = 3 << 20  # sums held by a task in the first pass
+_SLICE = 1 << 20
+_HELD = 1 << 20  # sums held by a task in the first pass
+_ROW = 4096  # sums in one row
+_KEY_BITS = np.uint64(28)  # of a hash within its cell
+_LOW = np.uint64((1 << 28) - 1)
+_STEP = 65535
+_WIDTHS = ("u1", "<u2", "<i8")
 # A-Z become lower case; a piece ends at any of . , ; : ! ? and the characters 10 to 13, which all become a full stop.
 _TABLE = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -124,15 +129,18 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _dealt(cells: int, longest: int):
-    """First pass: (cell, mass, 32-bit keys in order, counts) for all the n-grams of some chunks."""
-    shift = np.uint64(32)
+    """First pass: for all the n-grams of some chunks, rows (cell, mass, null, null) and (cell, null, keys, counts)."""
 
     def rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         keys, counts = _summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        cell = (keys >> shift).astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        ends = [*starts[1:], len(cell)] if len(starts) else []
-        out = [(int(cell[a]), int(counts[a:b].sum()), keys[a:b].astype("<u4").tobytes(), counts[a:b].astype("<i8" if counts[a:b].max() > 255 else "u1").tobytes()) for a, b in zip(starts, ends)]
+        cell = (keys >> _KEY_BITS).astype(np.int64)
+        cuts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]]) if len(cell) else np.zeros(1, np.int64)
+        out: list[tuple] = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            out.append((int(cell[a]), int(counts[a:b].sum()), None, None))
+            for at in range(a, b, _ROW):
+                end = min(at + _ROW, b)
+                out.append((int(cell[a]), None, *squeezed(keys[at:end] & _LOW, counts[at:end])))
         columns = list(zip(*out)) if out else [[]] * 4
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["cell", "mass", "keys", "counts"])
@@ -153,9 +161,35 @@ def _dealt(cells: int, longest: int):
 
 
 def _keys(hashes: np.ndarray, cells: int) -> np.ndarray:
-    """cell << 32 | 32 other bits of the hash; there are at most 2 ** 31 cells."""
+    """The cell, then the bits of the key, which are others of the hash; there are at most 2 ** 31 cells."""
     high = hashes >> np.uint64(32)
-    return (high * np.uint64(cells) >> np.uint64(32)) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
+    return (high * np.uint64(cells) >> np.uint64(32)) << _KEY_BITS | hashes & _LOW
+
+
+def squeezed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Rising keys and their counts as bytes. Keys go by their 16-bit gaps, wider gaps in steps that count 0, unless those would be many."""
+    gaps = np.diff(keys.astype(np.int64))
+    steps = (gaps - 1) // _STEP
+    if steps.sum() > len(keys) // 2:
+        packed = b"\0" + keys.astype("<u4").tobytes()
+    else:
+        ends = np.cumsum(steps + 1) - 1
+        wide = np.full(int(ends[-1]) + 1 if len(ends) else 0, _STEP, "<u2")
+        wide[ends] = gaps - steps * _STEP
+        packed = b"\1" + keys[:1].astype("<u4").tobytes() + wide.tobytes()
+        all_counts = np.zeros(len(wide) + 1, np.int64)
+        all_counts[0], all_counts[ends + 1] = counts[0], counts[1:]
+        counts = all_counts
+    width = int(np.searchsorted([255, 65535], counts.max()))
+    return packed, bytes([width]) + counts.astype(_WIDTHS[width]).tobytes()
+
+
+def unsqueezed(packed: bytes, amounts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.frombuffer(amounts, _WIDTHS[amounts[0]], offset=1).astype(np.int64)
+    if not packed[0]:
+        return np.frombuffer(packed, "<u4", offset=1), counts
+    keys = np.cumsum(np.concatenate([np.frombuffer(packed, "<u4", 1, 1), np.frombuffer(packed, "<u2", offset=5)]).astype(np.int64)).astype("<u4")
+    return keys[counts > 0], counts[counts > 0]
 
 
 def merge_summaries(kept: tuple[np.ndarray, np.ndarray], more: list[tuple[np.ndarray, np.ndarray]], capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -170,45 +204,45 @@ def merge_summaries(kept: tuple[np.ndarray, np.ndarray], more: list[tuple[np.nda
 
 
 def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of a cell's part of the bit table for a 32-bit key."""
+    """Two bits of a cell's part of the bit table for a key."""
     wide = keys.astype(np.uint64)
     other = mixed(wide + MIX) >> np.uint64(32)
-    return (wide * np.uint64(bits) >> np.uint64(32)).astype(np.int64), (other * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
+    return (wide * np.uint64(bits) >> _KEY_BITS).astype(np.int64), (other * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
 
 
 def _survivors(threshold: int, bits: int):
-    """For each cell, from its rows together: the bits of the counters that can stand for an n-gram at the threshold."""
+    """For each cell, from its rows together, those of its mass first: the bits of the counters that can stand for an n-gram at the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, capacity, lost, pending = None, 0, 0, 0
+        cell, mass, lost, pending = None, 0, 0, 0
         kept, more = (np.zeros(0, "<u4"), np.zeros(0, np.int64)), []
 
         def row() -> pa.RecordBatch:
-            nonlocal kept, lost
-            keys, counts, taken = merge_summaries(kept, more, capacity)
-            lost += taken
+            keys, counts, taken = merge_summaries(kept, more, mass // threshold + 1)
             table = np.zeros(bits, bool)
-            for place in _places(keys[counts + lost >= threshold], bits):
+            for place in _places(keys[counts + lost + taken >= threshold], bits):
                 table[place] = True
             return pa.RecordBatch.from_arrays([pa.array([cell], pa.int64()), pa.array([np.packbits(table).tobytes()], pa.binary())], names=["cell", "bits"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                here = batch.column(0)[i].as_py()
+                here, weight = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 if here != cell:
                     if cell is not None:
                         yield row()
                     kept, more, pending, lost = (np.zeros(0, "<u4"), np.zeros(0, np.int64)), [], 0, 0
-                    cell, capacity = here, batch.column(1)[i].as_py() // threshold + 1
-                keys, counts = np.frombuffer(batch.column(2)[i].as_py(), "<u4"), batch.column(3)[i].as_py()
-                counts = np.frombuffer(counts, "u1" if len(counts) == len(keys) else "<i8").astype(np.int64)
-                more.append((keys, counts))
-                pending += len(keys)
-                if pending > max(1 << 20, capacity):
-                    *kept, taken = merge_summaries(kept, more, capacity)
+                    cell, mass = here, 0
+                if weight is not None:
+                    mass += weight
+                    continue
+                more.append(unsqueezed(batch.column(2)[i].as_py(), batch.column(3)[i].as_py()))
+                pending += len(more[-1][0])
+                if pending > max(1 << 19, len(kept[0])):
+                    *kept, taken = merge_summaries(kept, more, mass // threshold + 1)
                     lost, more, pending = lost + taken, [], 0
         if cell is not None:
             yield row()
+        trim()
 
     return run
 
@@ -229,7 +263,7 @@ def _counted(table, cells: int, bits: int, longest: int):
                     for lang, words in zip(names, np.bincount(langs[a[places]], counts, len(names)).tolist()):
                         total[lang] = total.get(lang, 0) + int(words)
                 keys = _keys(hashes, cells)
-                cell, low = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
+                cell, low = (keys >> _KEY_BITS).astype(np.int64), keys & _LOW
                 base, passes = cell * bits, np.ones(len(keys), bool)
                 for place in _places(low, bits):
                     at = base + place
@@ -262,13 +296,13 @@ def frequent_grams(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = min(1 << 24, max(parts, int(bound) // (threshold * counters) + 1))
     bits = 8 * max(1, filter_bytes // cells)
-    dealt = stage(docs.mapInArrow(_dealt(cells, longest), "cell long, mass long, keys binary, counts binary"), "dealt")
-    mass = F.broadcast(dealt.groupBy("cell").agg(F.sum("mass").alias("mass"))) if cells <= 1 << 16 else dealt.groupBy("cell").agg(F.sum("mass").alias("mass"))
-    by_cell = dealt.drop("mass").join(mass, "cell").select("cell", "mass", "keys", "counts").repartition(parts, "cell").sortWithinPartitions("cell")
+    dealt = docs.mapInArrow(_dealt(cells, longest), "cell long, mass long, keys binary, counts binary")
+    by_cell = dealt.repartition(parts, "cell").sortWithinPartitions("cell", F.col("mass").isNull())
+    marked = stage(by_cell.mapInArrow(_survivors(threshold, bits), "cell long, bits binary"), "marked")
     table = np.zeros(cells * bits // 8, np.uint8)
-    for r in by_cell.mapInArrow(_survivors(threshold, bits), "cell long, bits binary").toLocalIterator():
+    for r in marked.toLocalIterator():
         table[r["cell"] * bits // 8 : (r["cell"] + 1) * bits // 8] = np.frombuffer(r["bits"], np.uint8)
-    unstage(dealt)
+    unstage(marked)
     shared = spark.sparkContext.broadcast(table)
     found = docs.mapInArrow(_counted(shared, cells, bits, longest), "lang string, words int, phrase string, f long")
     grams = stage(found.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(f"f >= {threshold} OR words = 0"), "grams")

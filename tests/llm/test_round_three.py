@@ -194,6 +194,19 @@ def test_chunks_hold_texts_that_run_on(monkeypatch):
         assert counts() == whole
 
 
+def test_squeezed_sums_come_back():
+    rng = np.random.default_rng(4)
+    for most, n in ((1 << 28, 1), (1 << 28, 4000), (5000, 4000), (1 << 28, 5), (300_000, 20), (65536 * 3, 3)):
+        keys = np.unique(rng.integers(0, most, n)).astype(np.uint64)
+        for counts in (rng.integers(1, 4, len(keys)), rng.integers(1, 1 << 40, len(keys))):
+            packed = collocations.squeezed(keys, counts)
+            found = collocations.unsqueezed(*packed)
+            assert found[0].tolist() == keys.tolist() and found[1].tolist() == counts.tolist()
+    for gap in (65534, 65535, 65536, 131069, 131070, 131071):
+        keys = np.array([7, 8, 8 + gap, 9 + gap, 10 + gap, 11 + gap], np.uint64)
+        assert collocations.unsqueezed(*collocations.squeezed(keys, np.arange(1, 7)))[0].tolist() == keys.tolist()
+
+
 def test_misra_gries_keeps_all_frequent_keys_in_any_order():
     rng = np.random.default_rng(2)
     for trial in range(40):
