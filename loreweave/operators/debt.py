@@ -92,14 +92,23 @@ def debt_items(nodes: DataFrame, edges: DataFrame, tool_events: DataFrame | None
     return items
 
 
-def debt_report(items: DataFrame) -> DataFrame:
-    """One row per project: number of items and total score."""
-    return items.groupBy(P).agg(F.count("*").alias("n_items"), F.sum(severity_points(F.col("severity"))).alias("total_score"))
+def debt_band(total_score: Column) -> Column:
+    """Of a whole report: green without debt, amber below five points, else red."""
+    return F.when(total_score == 0, "green").when(total_score < 5, "amber").otherwise("red")
+
+
+def debt_report(items: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """One row per project: number of items, total score and its band. projects: (project_id) of all projects, so that those without debt have a row too."""
+    sums = items.groupBy(P).agg(F.count("*").alias("n_items"), F.sum(severity_points(F.col("severity"))).alias("total_score"))
+    if projects is not None:
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+        sums = projects.select(P).distinct().join(sums, P, "left").select(P, zero("n_items"), zero("total_score"))
+    return sums.withColumn("band", debt_band(F.col("total_score")))
 
 
 def debt_by_type(items: DataFrame) -> DataFrame:
-    n = F.count("*")
-    return items.groupBy(P, "debt_type").agg(n.alias("n"), F.when(n == 0, "green").when(n < 5, "amber").otherwise("red").alias("band"))
+    """(project_id, debt_type, n). The band belongs to the whole report; see debt_report()."""
+    return items.groupBy(P, "debt_type").agg(F.count("*").alias("n"))
 
 
 def debt_delta(current: DataFrame, prior: DataFrame) -> DataFrame:
@@ -111,18 +120,44 @@ def debt_delta(current: DataFrame, prior: DataFrame) -> DataFrame:
     return both.groupBy(P).agg(new.alias("new_items"), gone.alias("resolved_items"), count(F.col("was") + F.col("now") == 2).alias("persisted_items"), (new - gone).alias("net"))
 
 
-def debt_over_sessions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Open-item debt as of the end of every session, in one job: an item counts from its own session until the one that
-    resolves it, as Medium in its own session and as High later. The other kinds belong to one session's tools and are no part of it."""
-    sessions = register_sessions(nodes)
-    of = lambda d, name: d.join(sessions, [P, "session_id"]).select(P, "id", F.col("session_index").alias(name))
-    born = of(nodes.where("node_type = 'OpenItem' AND status <> 'Invalidated'"), "born")
-    resolver = of(nodes, "done").withColumnRenamed("id", "source_node_id")
+def debt_over_sessions(nodes: DataFrame, edges: DataFrame, tool_events: DataFrame, keep: int = 100, active: int = 16) -> DataFrame:
+    """The debt report as of the end of every session, in one job: (project_id, session_id, session_index, open_items, unverified, failing,
+    violations, raised, total_score), raised being the items that are new in the session.
+
+    Sessions are numbered by their first row in nodes or tool events. Each item stands from one session to another, and what stands at a
+    session is a running sum of the steps up and down. An open item stands from its own session (as Medium there, as High later) to the one
+    that resolves it. What a session's tools left open at its end (edits no check followed, failed checks no edit followed, failed checks under
+    a rule) stands while the session is among the `active` latest; a violation starts no earlier than the rule.
+    """
+    sessions = register_sessions(nodes.select(P, "session_id", "seq").union(tool_events.select(P, "session_id", "seq")))
+    of = lambda d, name: d.join(sessions, [P, "session_id"]).withColumnRenamed("session_index", name)
+    born = of(nodes.where("node_type = 'OpenItem' AND status <> 'Invalidated'"), "born").select(P, "id", "born")
+    resolver = of(nodes, "done").select(P, F.col("id").alias("source_node_id"), "done")
     ends = edges.where("edge_type = 'Resolves'").join(resolver, [P, "source_node_id"]).groupBy(P, F.col("target_node_id").alias("id")).agg(F.min("done").alias("done"))
-    spans = born.join(ends, [P, "id"], "left").where("done IS NULL OR done > born")
-    moves = spans.select(P, F.col("born").alias("session_index"), F.lit(1).alias("step"), F.lit(1).alias("fresh")).union(spans.where("done IS NOT NULL").select(P, "done", F.lit(-1), F.lit(0)))
-    steps = moves.groupBy(P, "session_index").agg(F.sum("step").alias("step"), F.sum("fresh").alias("fresh"))
+    open_items = born.join(ends, [P, "id"], "left").where("done IS NULL OR done > born").select(P, F.lit("open").alias("kind"), "born", "done")
+    edits, checks = scratch(tool_events, keep)
+    events = edits.select(P, "id", "session_id").union(checks.select(P, "id", "session_id"))
+    first = lambda d: d.select(P, F.col("node_ids")[0].alias("id"))
+    spans = open_items
+    for kind, found in (("unverified", unverified_changes(edits, checks)), ("failing", failed_verifications(edits, checks))):
+        own = of(first(found).join(events, [P, "id"]), "born")
+        spans = spans.union(own.select(P, F.lit(kind), "born", F.col("born") + active))
+    rules = of(nodes.where("node_type = 'Rule' AND status = 'Active'").select(P, "session_id", F.explode("files").alias("file")), "since").groupBy(P, "file").agg(F.min("since").alias("since"))
+    failed = of(checks.where("NOT passed").select(P, "id", "session_id", F.explode("files").alias("file")), "own").join(rules, [P, "file"])
+    failed = failed.groupBy(P, "id").agg(F.max("own").alias("own"), F.min("since").alias("since")).where(F.col("since") < F.col("own") + active)
+    spans = spans.union(failed.select(P, F.lit("violations"), F.greatest("own", "since"), F.col("own") + active))
+
+    kinds = {"open": "open_items", "unverified": "unverified", "failing": "failing", "violations": "violations"}
+    moves = spans.select(P, "kind", F.explode(F.array(F.struct(F.col("born").alias("session_index"), F.lit(1).alias("step")), F.struct(F.col("done").alias("session_index"), F.lit(-1).alias("step")))).alias("m"))
+    moves = moves.select(P, "kind", "m.*").where("session_index IS NOT NULL")
+    steps = moves.groupBy(P, "session_index").agg(
+        *(F.sum(F.when(F.col("kind") == kind, F.col("step"))).alias(name) for kind, name in kinds.items()),
+        F.count(F.when(F.col("step") > 0, 1)).alias("raised"), F.count(F.when((F.col("step") > 0) & (F.col("kind") == "open"), 1)).alias("fresh"),
+    )
     run = Window.partitionBy(P).orderBy("session_index")
-    per = sessions.join(steps, [P, "session_index"], "left").withColumn("open_items", F.sum(F.coalesce("step", F.lit(0))).over(run))
-    fresh = F.coalesce("fresh", F.lit(0))
-    return per.select(P, "session_id", "session_index", F.col("open_items").cast("long").alias("open_items"), fresh.cast("long").alias("raised"), (3 * F.col("open_items") - fresh).cast("long").alias("total_score"))
+    per = sessions.join(steps, [P, "session_index"], "left")
+    for name in kinds.values():
+        per = per.withColumn(name, F.sum(F.coalesce(name, F.lit(0))).over(run).cast("long"))
+    fresh, raised = F.coalesce("fresh", F.lit(0)), F.coalesce("raised", F.lit(0)).cast("long").alias("raised")
+    score = 3 * (F.col("open_items") + F.col("failing") + F.col("violations")) - fresh + 2 * F.col("unverified")
+    return per.select(P, "session_id", "session_index", *kinds.values(), raised, score.cast("long").alias("total_score"))

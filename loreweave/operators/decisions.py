@@ -103,22 +103,60 @@ def diff_changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select(P, "id", F.filter(F.array(*tests), lambda x: x.isNotNull()).alias("fields")).where("size(fields) > 0")
 
 
+def record_history(history: DataFrame | None, snapshot: DataFrame, t: float) -> DataFrame:
+    """The history of a keyed table (project_id, id, ...) with one more snapshot: a row a version, valid from valid_from to before valid_to (null: still).
+    Versions that the snapshot lacks or has otherwise are closed at t, and what it has anew is opened; only open versions are compared."""
+    columns = [c for c in snapshot.columns if c not in (P, "id")]
+    fresh = snapshot.select(P, "id", *columns, F.lit(float(t)).alias("valid_from"), F.lit(None).cast("double").alias("valid_to"))
+    if history is None:
+        return fresh
+    held = history.where("valid_to IS NULL")
+    versions = lambda d, name: d.select(P, "id", F.struct(*columns, "valid_from", "valid_to").alias(name))
+    both = versions(held, "was").join(versions(fresh, "now"), [P, "id"], "full")
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(f"was.{c}").eqNullSafe(F.col(f"now.{c}"))
+    closed = F.when(F.col("was").isNotNull(), F.struct(*(F.col(f"was.{c}").alias(c) for c in columns), F.col("was.valid_from").alias("valid_from"), F.lit(float(t)).alias("valid_to")))
+    kept = F.when(F.col("was").isNotNull() & F.col("now").isNotNull() & same, F.array("was")).otherwise(F.filter(F.array(closed, F.col("now")), lambda v: v.isNotNull()))
+    merged = both.select(P, "id", F.explode(kept).alias("v")).select(P, "id", "v.*")
+    return history.where("valid_to IS NOT NULL").select(*fresh.columns).unionByName(merged)
+
+
 def as_of(history: DataFrame, t: float) -> DataFrame:
-    """The version of each node that was valid at t, unless removed by then."""
-    last = F.row_number().over(Window.partitionBy(P, "id").orderBy(F.col("valid_from").desc()))
-    return history.where(F.col("valid_from") <= t).withColumn("place", last).where("place = 1 AND NOT removed").drop("place")
+    """The version of each row that was valid at t."""
+    return history.where((F.col("valid_from") <= t) & (F.col("valid_to").isNull() | (F.col("valid_to") > t)))
+
+
+def graph_diff_between(nodes_history: DataFrame, edges_history: DataFrame, t0: float, t1: float) -> DataFrame:
+    """(project_id, kind: node or edge, id, change: added, removed or changed, fields: those of a node that differ) between two times, in either
+    order. Versions that were valid at both are no part of the comparison."""
+    both = lambda h: ~((F.col("valid_from") <= min(t0, t1)) & (F.col("valid_to").isNull() | (F.col("valid_to") > max(t0, t1))))
+    none = F.array().cast("array<string>")
+    out = None
+    for kind, history in (("node", nodes_history), ("edge", edges_history)):
+        moved = history.where(both(history))
+        before, after = as_of(moved, t0), as_of(moved, t1)
+        rows = diff_ids(before, after).withColumn("fields", none)
+        rows = rows.union(diff_changed(before, after).select(P, "id", F.lit("changed"), "fields")) if kind == "node" else rows
+        rows = rows.select(P, F.lit(kind).alias("kind"), "id", "change", "fields")
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def executive_summary(nodes: DataFrame, edges: DataFrame, prior_items: DataFrame | None = None) -> DataFrame:
-    """One row per project: decisions (all and pending), risks, how the debt changed against the prior items (all of it is new without them),
-    the current session and the one before. The decisions and risks themselves are decision_timeline() and risks()."""
+    """One row per project: its decisions in the order of insertion and its risks by falling impact, as arrays, how many there are, how the debt
+    changed against the prior items (all of it is new without them), the current session and the one before. For projects too large for one row,
+    decision_timeline() and risks() are the same as tables, and export_summary_markdown() writes from those."""
     current = unresolved_open_items(nodes, edges)
     delta = debt_delta(current, current.limit(0) if prior_items is None else prior_items)
-    status = decision_status(nodes, edges).groupBy(P).agg(F.count("*").alias("n_decisions"), F.count(F.when(F.col("decision_status") == "Pending", 1)).alias("n_pending"))
-    risk = risks(nodes, edges).groupBy(P).agg(F.count("*").alias("n_risks"))
+    listed = lambda order, *columns: F.transform(F.array_sort(F.collect_list(F.struct(order, "id", F.struct("id", *columns).alias("row")))), lambda x: x["row"])
+    made = listed(F.col("seq").alias("o"), "label", "decision_status", "owner", "session_id", "rationale", "blocked_work", "criteria")
+    status = decision_timeline(nodes, edges).groupBy(P).agg(F.count("*").alias("n_decisions"), F.count(F.when(F.col("decision_status") == "Pending", 1)).alias("n_pending"), made.alias("decisions"))
+    risk = risks(nodes, edges).groupBy(P).agg(F.count("*").alias("n_risks"), listed((-F.col("impact")).alias("o"), "label", "severity", "impact", "risk_status").alias("risks"))
     sessions = register_sessions(nodes)
     last = sessions.groupBy(P).agg(F.max_by("session_id", "session_index").alias("session_id"), F.max("session_index").alias("now"))
     prior = sessions.select(P, (F.col("session_index") + 1).alias("now"), F.col("session_id").alias("prior_session_id"))
     rows = last.join(prior, [P, "now"], "left").drop("now").join(status, P, "left").join(risk, P, "left").join(delta, P, "left")
     counts = ["n_decisions", "n_pending", "n_risks", "new_items", "resolved_items", "persisted_items", "net"]
-    return rows.select(P, "session_id", "prior_session_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts))
+    lists = [F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c) for c in ("decisions", "risks")]
+    return rows.select(P, "session_id", "prior_session_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), *lists)

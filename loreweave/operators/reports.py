@@ -114,16 +114,17 @@ def _verb(kind: Column) -> tuple[Column, Column]:
 
 def answer_sections(questions: DataFrame, seen: DataFrame, trace: DataFrame, nodes: DataFrame, inside: DataFrame, most: int = 12, links: int = 3) -> DataFrame:
     """(question_id, project_id, answer) of every question: the first trace nodes as decisions, rules, reasoning chains and open items, each
-    node with up to three edges inside the trace. seen: the nodes of each question's subgraph."""
+    node with up to three edges inside the trace: of parallel edges the newest, then by preference, newest first among equals. seen: the
+    nodes of each question's subgraph."""
     key = ["question_id", P]
     first_nodes = trace.where(F.col("place") < most)
     kept = first_nodes.join(nodes.select(P, "id", "node_type", "label", "agent_id", "session_id"), [P, "id"])
     verb, rank = _verb(F.col("edge_type"))
     target = kept.select(*key, F.col("id").alias("target_node_id"), F.col("label").alias("target_label"))
     out = inside.join(kept.select(*key, F.col("id").alias("source_node_id")), [*key, "source_node_id"], "left_semi").join(target, [*key, "target_node_id"])
-    first = F.row_number().over(Window.partitionBy(*key, "source_node_id", "target_node_id").orderBy("seq", "id"))
+    first = F.row_number().over(Window.partitionBy(*key, "source_node_id", "target_node_id").orderBy(F.desc("seq"), F.desc("id")))
     out = out.withColumn("first", first).where("first = 1").withColumn("preference", rank)
-    place = F.row_number().over(Window.partitionBy(*key, "source_node_id").orderBy("preference", "seq", "id"))
+    place = F.row_number().over(Window.partitionBy(*key, "source_node_id").orderBy("preference", F.desc("seq"), F.desc("id")))
     out = out.withColumn("edge_place", place).where(F.col("edge_place") <= links)
     out = out.withColumn("line", F.concat(F.lit("  - *"), verb, F.lit("* → "), "target_label")).withColumnRenamed("source_node_id", "of")
     listed = _joined(out, [*key, "of"], "edge_place", "line", "\n", "links").withColumnRenamed("of", "id")

@@ -46,6 +46,15 @@ def apply_decision(commands: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Da
     return made, edges.join(nodes.select(P, F.col("id").alias("target_node_id")), [P, "target_node_id"], "left_semi")
 
 
+def apply_question(commands: DataFrame) -> DataFrame:
+    """(project_id, seq, id, label, description, agent_id, session_id, files, timestamp) -> OpenItem nodes, active, sure, mentioned once."""
+    agent = F.coalesce("agent_id", F.lit("agent"))
+    return commands.select(
+        P, "seq", "id", F.lit("OpenItem").alias("node_type"), "label", "description", agent.alias("agent_id"), "session_id", "timestamp",
+        F.coalesce("files", F.array().cast("array<string>")).alias("files"), F.lit("Active").alias("status"), F.lit(1.0).alias("confidence"), F.lit(1).alias("mention_count"),
+    )
+
+
 def fold_status(nodes: DataFrame, commands: DataFrame) -> DataFrame:
     """Nodes with the status that their last invalidate or restore command gives."""
     last = commands.groupBy(P, "id").agg(F.max_by("status", "seq").alias("new_status"))

@@ -336,10 +336,14 @@ def apply_decision(spark: SparkSession, d: str) -> DataFrame:
     return wr.apply_decision(commands, nodes)[1].select("id", "target_node_id", "reasoning")
 
 
-@query("SELECT concat('q', conv_id, '-', turn) AS id, 'OpenItem' AS node_type, substr(text, 1, 60) AS label FROM conversations WHERE role = 'user'")
+@query("""SELECT concat('q', conv_id, '-', turn) AS id, 'OpenItem' AS node_type, substr(text, 1, 60) AS label, CASE WHEN turn % 4 = 0 THEN 'agent' ELSE role END AS agent_id,
+  concat('s', conv_id % 20) AS session_id, 0 AS n_files, 'Active' AS status, 1 AS mention_count FROM conversations WHERE role = 'user'""")
 def apply_question(spark: SparkSession, d: str) -> DataFrame:
-    asked = fx.utterances(spark, d).where("agent_role = 'user'")
-    return asked.select(F.concat(F.lit("q"), F.substring("id", 2, 40)).alias("id"), F.lit("OpenItem").alias("node_type"), F.substring("text", 1, 60).alias("label"))
+    asked = fx.utterances(spark, d).where("agent_role = 'user'").select(
+        "project_id", "seq", F.concat(F.lit("q"), F.substring("id", 2, 40)).alias("id"), F.substring("text", 1, 60).alias("label"), F.col("text").alias("description"),
+        F.expr("CASE WHEN seq % 100 % 4 <> 0 THEN agent_role END").alias("agent_id"), "session_id", F.lit(None).cast("array<string>").alias("files"), F.col("start_time").alias("timestamp"),
+    )
+    return wr.apply_question(asked).select("id", "node_type", "label", "agent_id", "session_id", F.size("files").alias("n_files"), "status", "mention_count")
 
 
 @query("SELECT id, CASE WHEN seq % 3 = 0 THEN 'Invalidated' ELSE status END AS status FROM fx_nodes")
@@ -412,14 +416,14 @@ def debt_rule_violation(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("node_ids")[0].alias("id"), F.col("node_ids")[1].alias("rule"))
 
 
-@query(_DEBT_SQL + "SELECT count(*) AS n_items, CAST(sum(CASE severity WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END) AS BIGINT) AS total_score FROM items")
+@query(_DEBT_SQL + "SELECT count(*) AS n_items, CAST(sum(CASE severity WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END) AS BIGINT) AS total_score, CASE WHEN count(*) = 0 THEN 'green' WHEN total_score < 5 THEN 'amber' ELSE 'red' END AS band FROM items")
 def debt_report(spark: SparkSession, d: str) -> DataFrame:
-    return de.debt_report(_items(spark, d)).select("n_items", "total_score")
+    return de.debt_report(_items(spark, d), fx.nodes(spark, d)).drop("project_id")
 
 
-@query(_DEBT_SQL + "SELECT debt_type, count(*) AS n, CASE WHEN count(*) < 5 THEN 'amber' ELSE 'red' END AS band FROM items GROUP BY debt_type")
+@query(_DEBT_SQL + "SELECT debt_type, count(*) AS n FROM items GROUP BY debt_type")
 def debt_by_type(spark: SparkSession, d: str) -> DataFrame:
-    return de.debt_by_type(_items(spark, d)).select("debt_type", "n", "band")
+    return de.debt_by_type(_items(spark, d)).drop("project_id")
 
 
 @query("""half AS (SELECT median(seq) AS m FROM fx_nodes),
@@ -436,13 +440,18 @@ def debt_delta(spark: SparkSession, d: str) -> DataFrame:
     return de.debt_delta(de.unresolved_open_items(nodes, edges), prior).drop("project_id")
 
 
-@query("""born AS (SELECT n.id, s.session_index AS b FROM fx_nodes n JOIN fx_sessions s USING (session_id) WHERE node_type = 'OpenItem' AND status <> 'Invalidated'),
-done AS (SELECT target_node_id AS id, min(s.session_index) AS d FROM fx_edges e JOIN fx_nodes n ON n.id = e.source_node_id JOIN fx_sessions s ON s.session_id = n.session_id WHERE edge_type = 'Resolves' GROUP BY 1),
-spans AS (SELECT born.id, b, d FROM born LEFT JOIN done ON done.id = born.id WHERE d IS NULL OR d > b)
-SELECT session_id, session_index, (SELECT count(*) FROM spans WHERE b <= session_index AND (d IS NULL OR d > session_index)) AS open_items, (SELECT count(*) FROM spans WHERE b = session_index) AS raised,
-  (SELECT CAST(coalesce(sum(CASE WHEN b = session_index THEN 2 ELSE 3 END), 0) AS BIGINT) FROM spans WHERE b <= session_index AND (d IS NULL OR d > session_index)) AS total_score FROM fx_sessions""")
+@query(_DEBT_SQL + """, ses AS (SELECT session_id, row_number() OVER (ORDER BY min(seq), session_id) - 1 AS i FROM (SELECT session_id, seq FROM fx_nodes UNION ALL SELECT session_id, seq FROM fx_tools) GROUP BY session_id),
+done AS (SELECT target_node_id AS id, min(s.i) AS d FROM fx_edges e JOIN fx_nodes n ON n.id = e.source_node_id JOIN ses s ON s.session_id = n.session_id WHERE edge_type = 'Resolves' GROUP BY 1),
+rules AS (SELECT file, min(s.i) AS since FROM fx_nodes n JOIN ses s USING (session_id) WHERE node_type = 'Rule' AND status = 'Active' GROUP BY file),
+spans AS (SELECT 'open' AS kind, s.i AS b, done.d AS d FROM fx_nodes n JOIN ses s USING (session_id) LEFT JOIN done ON done.id = n.id WHERE node_type = 'OpenItem' AND status <> 'Invalidated' AND (done.d IS NULL OR done.d > s.i)
+  UNION ALL SELECT 'unverified', s.i, s.i + 16 FROM unverified u JOIN fx_tools t ON t.id = u.id JOIN ses s USING (session_id) UNION ALL SELECT 'failing', s.i, s.i + 16 FROM failing f JOIN fx_tools t ON t.id = f.id JOIN ses s USING (session_id)
+  UNION ALL SELECT 'violations', greatest(s.i, since), s.i + 16 FROM ring_c c JOIN rules USING (file) JOIN ses s USING (session_id) WHERE NOT passed AND since < s.i + 16)
+SELECT session_id, i AS session_index, count(*) FILTER (kind = 'open' AND (d IS NULL OR d > i)) AS open_items, count(*) FILTER (kind = 'unverified' AND d > i) AS unverified,
+  count(*) FILTER (kind = 'failing' AND d > i) AS failing, count(*) FILTER (kind = 'violations' AND d > i) AS violations, count(*) FILTER (b = i) AS raised,
+  CAST(coalesce(sum(CASE WHEN kind = 'unverified' OR (kind = 'open' AND b = i) THEN 2 ELSE 3 END) FILTER (d IS NULL OR d > i), 0) AS BIGINT) AS total_score
+FROM ses LEFT JOIN spans ON b <= i GROUP BY session_id, i""")
 def debt_over_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return de.debt_over_sessions(fx.nodes(spark, d), fx.edges(spark, d)).drop("project_id")
+    return de.debt_over_sessions(fx.nodes(spark, d), fx.edges(spark, d), fx.tool_events(spark, d)).drop("project_id")
 
 
 # Decisions, risks, diff
@@ -534,9 +543,15 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
     return dc.executive_summary(nodes, edges, de.unresolved_open_items(old, sc.with_ends(edges, old)))
 
 
-@query(_SUMMARY_SQL + "SELECT * FROM summary")
+@query(_SUMMARY_SQL + """, down1 AS (SELECT DISTINCT source_node_id AS a, target_node_id AS b FROM fx_edges), down2 AS (SELECT a, b FROM down1 UNION SELECT x.a, y.b FROM down1 x JOIN down1 y ON y.a = x.b),
+down3 AS (SELECT a, b FROM down2 UNION SELECT x.a, y.b FROM down2 x JOIN down1 y ON y.a = x.b), down AS (SELECT a AS id, count(*) AS n FROM down3 WHERE a <> b GROUP BY a),
+risk AS (SELECT o.id, CAST(round(greatest(least(least(coalesce(d.n, 0), 4) / 4.0 * 60 + CASE WHEN s.session_index >= (SELECT i FROM now) - 1 THEN 20 ELSE 5 END, 100), 5)) AS BIGINT) AS impact
+  FROM fx_debt_open o JOIN fx_sessions s USING (session_id) LEFT JOIN down d ON d.id = o.id)
+SELECT *, coalesce((SELECT string_agg(concat(id, ' ', decision_status), '|' ORDER BY seq, id) FROM st), '') AS decisions, coalesce((SELECT string_agg(concat(id, ' ', impact), '|' ORDER BY impact DESC, id) FROM risk), '') AS risks FROM summary""")
 def executive_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _summary(spark, d).drop("project_id")
+    lines = lambda c, what: F.array_join(F.transform(c, lambda x: F.concat(x["id"], F.lit(" "), x[what])), "|").alias(c)
+    found = _summary(spark, d).drop("project_id")
+    return found.select(*(c for c in found.columns if c not in ("decisions", "risks")), lines("decisions", "decision_status"), lines("risks", "impact"))
 
 
 def _history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -555,12 +570,23 @@ def diff_changed(spark: SparkSession, d: str) -> DataFrame:
     return dc.diff_changed(*_history(spark, d)).select("id", F.array_join("fields", ",").alias("fields"))
 
 
-@query("SELECT id, label FROM fx_nodes WHERE seq % 17 <> 0 AND seq % 7 <> 0 UNION ALL SELECT id, concat(label, ' v2') FROM fx_nodes WHERE seq % 17 <> 0 AND seq % 7 = 0")
+@query("""n AS (SELECT *, seq % 13 <> 0 AS was, seq % 17 <> 0 AS is_now FROM fx_nodes),
+e AS (SELECT e.id, a.was AND b.was AS was, a.is_now AND b.is_now AND e.seq % 11 <> 0 AS is_now FROM fx_edges e JOIN n a ON a.id = e.source_node_id JOIN n b ON b.id = e.target_node_id)
+SELECT 'node' AS kind, id, CASE WHEN NOT was THEN 'added' ELSE 'removed' END AS change, '' AS fields FROM n WHERE was <> is_now
+UNION ALL SELECT 'node', id, 'changed', concat_ws(',', CASE WHEN seq % 7 = 0 THEN 'label' END, CASE WHEN seq % 5 = 0 THEN 'confidence' END) FROM n WHERE was AND is_now AND (seq % 7 = 0 OR seq % 5 = 0)
+UNION ALL SELECT 'edge', id, CASE WHEN NOT was THEN 'added' ELSE 'removed' END, '' FROM e WHERE was <> is_now""")
 def graph_diff_between(spark: SparkSession, d: str) -> DataFrame:
-    before = fx.nodes(spark, d).select("project_id", "id", "label", "seq", F.lit(0.0).alias("valid_from"), F.lit(False).alias("removed"))
-    v2 = before.where("seq % 7 = 0").withColumn("label", F.concat("label", F.lit(" v2"))).withColumn("valid_from", F.lit(1.0))
-    gone = before.where("seq % 17 = 0").withColumn("valid_from", F.lit(2.0)).withColumn("removed", F.lit(True))
-    return dc.as_of(before.union(v2).union(gone), 3.0).select("id", "label")
+    """Three snapshots recorded one after the other; what differs between the first and the last."""
+    first, last = _history(spark, d)
+    columns = ["project_id", "id", "label", "description", "node_type", "agent_id", "confidence"]
+    edges = fx.edges(spark, d).select("project_id", "id", "edge_type", "source_node_id", "target_node_id", "seq")
+    middle = first.where("seq % 3 <> 0")
+    held, links = None, None
+    for t, nodes, kept in ((1.0, first, edges), (2.0, middle, edges), (3.0, last, edges.where("seq % 11 <> 0"))):
+        held = dc.record_history(held, nodes.select(columns), t)
+        links = dc.record_history(links, sc.with_ends(kept, nodes), t)
+    found = dc.graph_diff_between(stage(held, "nodes-history"), stage(links, "edges-history"), 1.5, 3.0)
+    return found.select("kind", "id", "change", F.array_join("fields", ",").alias("fields"))
 
 
 # Retrieval and traversal

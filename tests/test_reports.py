@@ -37,7 +37,8 @@ def tools(spark, *rows):
     return spark.createDataFrame([(p, i, s, tool, text, files, float(n), n) for n, (p, i, s, tool, text, files) in enumerate(rows)], TOOL)
 
 
-NEW = ["brief_text", "keyword_count_rank", "community_label", "extraction_batches", "judged_nodes", "classify_markdown_line", "route_events", "containment", "load_raw_responses"]
+NEW = ["brief_text", "keyword_count_rank", "community_label", "extraction_batches", "judged_nodes", "classify_markdown_line", "route_events", "containment", "load_raw_responses",
+       "debt_report", "debt_by_type", "debt_over_sessions", "executive_summary", "graph_diff_between", "apply_question"]
 
 
 @pytest.mark.parametrize("name", NEW)
@@ -90,7 +91,7 @@ def test_answer_has_all_sections(spark):
     assert [r.id for r in trace.where("question_id = 1").orderBy("place").collect()] == ["b", "a", "d", "c"]
     found = {r.question_id: r.answer for r in reports.answer_sections(asked, seen, trace, n, inside).collect()}
     assert found[1] == (
-        "### Decisions\n- **agent-p** (s1) use rust\n  - *resolves* → which rust\n- **agent-p** (s2) use go\n  - *supersedes* → use rust\n\n"
+        "### Decisions\n- **agent-p** (s1) use rust\n  - *relates to* → which rust\n- **agent-p** (s2) use go\n  - *supersedes* → use rust\n\n"
         "### Rules\n- **agent-p** (s1) no unsafe rust\n  - *refutes* → use go\n\n"
         "### Reasoning Chains\n1. agent-p (s1) agent-p (s2) → *refutes* agent-p (s1) → *supersedes* agent-p (s2) → *relates to*\n\n"
         "### Open Items\n- **agent-p** (s2) which rust"
@@ -98,6 +99,18 @@ def test_answer_has_all_sections(spark):
     assert found[2] == "### Decisions\n- **agent-p** (s2) use go\n\n### Open Items\n- **agent-p** (s2) which rust" and found[3] == reports.EMPTY
 
 
+def test_answer_takes_the_newest_edges(spark):
+    n = nodes(spark, *(("p", x, "Decision", "s1", [], f"label {x}") for x in "abcdef"))
+    e = edges(spark, *(("p", "a", "RelatesTo", x) for x in "bcdef"), ("p", "b", "Refutes", "c"), ("p", "b", "Resolves", "c"), ("p", "b", "Supersedes", "d"))
+    asked = spark.createDataFrame([(1, "p", "x")], "question_id long, project_id string, question string")
+    seen = spark.createDataFrame([(1, "p", x) for x in "abcdef"], "question_id long, project_id string, id string")
+    trace = spark.createDataFrame([(1, "p", x, k) for k, x in enumerate("abcdef")], "question_id long, project_id string, id string, place long")
+    text = reports.answer_sections(asked, seen, trace, n, graph.induced_edges(seen, e)).first().answer
+    parts = [p.split("\n") for p in text.split("### Reasoning")[0].split("- **agent-p**")[1:]]
+    assert [x.rsplit(" ", 1)[1] for x in parts[0] if "→" in x] == ["f", "e", "d"]  # equal preference: newest first, three of five
+    assert [x for x in parts[1] if "→" in x] == ["  - *resolves* → label c", "  - *supersedes* → label d"]  # of parallel edges the newest
+
+
 def test_chains_of_more_than_six_nodes_are_left_out(spark):
     ids = "abcdefghij"
     e = edges(spark, *(("p", x, "RelatesTo", y) for x, y in zip(ids[:7], ids[1:8])), ("p", "i", "Resolves", "j"))
@@ -193,6 +206,61 @@ def test_debt_of_several_files_and_projects(spark):
     assert {(r.project_id, r.session_id) for r in debt.current_sessions(t).collect()} == {("p", "s"), ("q", "s")}
 
 
+def test_debt_report_bands(spark):
+    item = lambda p, s: (p, "UnverifiedChange", ["x"], "d", s, 1)
+    items = spark.createDataFrame([item("a", "Medium"), item("a", "Medium"), item("b", "High"), item("b", "Medium")], "project_id string, debt_type string, node_ids array<string>, description string, severity string, seq long")
+    found = debt.debt_report(items, spark.createDataFrame([("a",), ("b",), ("c",)], "project_id string")).collect()
+    assert sorted(tuple(r) for r in found) == [("a", 2, 4, "amber"), ("b", 2, 5, "red"), ("c", 0, 0, "green")]
+    assert sorted((r.project_id, r.n) for r in debt.debt_by_type(items).collect()) == [("a", 2), ("b", 2)]
+
+
+def test_debt_over_sessions_by_hand(spark):
+    n = nodes(spark, ("p", "o1", "OpenItem", "s0", [], "q1"), ("p", "o2", "OpenItem", "s1", [], "q2"), ("p", "d", "Decision", "s2", [], "d"), ("p", "r", "Rule", "s2", ["a"], "r"), ("q", "o", "OpenItem", "s9", [], "z"))
+    e = edges(spark, ("p", "d", "Resolves", "o1"))
+    t = spark.createDataFrame(
+        [("p", "e1", "s0", "edit", "", ["a"], 0.0, 10), ("p", "e2", "s0", "edit", "", ["b"], 1.0, 11), ("p", "c1", "s0", "test", "ok", ["b"], 2.0, 12), ("p", "c2", "s1", "test", "2 failed", ["a"], 3.0, 13), ("p", "c3", "s3", "test", "1 failed", ["a"], 4.0, 14), ("p", "e3", "s3", "edit", "", ["a"], 5.0, 15)], TOOL
+    )
+    found = {(r.project_id, r.session_id): tuple(r)[2:] for r in debt.debt_over_sessions(n, e, t).collect()}
+    # index, open, unverified, failing, violations, raised, score
+    assert found[("p", "s0")] == (0, 1, 1, 0, 0, 2, 4)
+    assert found[("p", "s1")] == (1, 2, 1, 1, 0, 2, 3 + 2 + 2 + 3)
+    assert found[("p", "s2")] == (2, 1, 1, 1, 1, 1, 3 + 2 + 3 + 3)  # o1 resolved; the rule comes: c2 breaks it
+    assert found[("p", "s3")] == (3, 1, 2, 1, 2, 2, 3 + 4 + 3 + 6)  # c3 fixed by e3, which nothing checks; c3 breaks the rule
+    assert found[("q", "s9")] == (0, 1, 0, 0, 0, 1, 2)
+    short = {r.session_id: (r.unverified, r.failing, r.violations) for r in debt.debt_over_sessions(n, e, t, active=2).collect() if r.project_id == "p"}
+    assert short == {"s0": (1, 0, 0), "s1": (1, 1, 0), "s2": (0, 1, 1), "s3": (1, 0, 1)}
+
+
+def test_history_keeps_every_snapshot(spark):
+    from loreweave.operators import decisions
+
+    rng = random.Random(4)
+    state, states, history = {}, [], None
+    columns = "project_id string, id string, label string, description string, node_type string, agent_id string, confidence double"
+    for t in range(5):
+        for k in range(12):
+            if rng.random() < 0.4:
+                state[f"n{k}"] = (rng.choice(["x", "y", None]), "d", "Rule", "a", rng.choice([0.5, 0.505, 0.7]))
+            elif rng.random() < 0.2:
+                state.pop(f"n{k}", None)
+        states.append(dict(state))
+        history = staging.stage(decisions.record_history(history, spark.createDataFrame([("p", i, *v) for i, v in state.items()], columns), float(t)), "history")
+    for t, want in enumerate(states):
+        assert {r.id: tuple(r)[2:7] for r in decisions.as_of(history, t + 0.5).collect()} == want
+    links = decisions.record_history(None, spark.createDataFrame([("p", "e", "RelatesTo")], "project_id string, id string, edge_type string"), 3.0)
+    for a in range(5):
+        for b in range(5):
+            found = {(r.kind, r.id): (r.change, r.fields) for r in decisions.graph_diff_between(history, links, a, b).collect()}
+            want = {("edge", "e"): ("added" if b > a else "removed", [])} if (a < 3) != (b < 3) else {}
+            for i in states[a].keys() | states[b].keys():
+                x, y = states[a].get(i), states[b].get(i)
+                if x is None or y is None:
+                    want["node", i] = ("added" if x is None else "removed", [])
+                elif fields := [c for c, u, v in (("label", x[0], y[0]), ("confidence", x[4], y[4])) if (abs(u - v) > 0.01 if c == "confidence" else u != v)]:
+                    want["node", i] = ("changed", fields)
+            assert found == want
+
+
 def test_entry_without_an_import(spark, monkeypatch):
     import __spark_entry__ as entry
 
