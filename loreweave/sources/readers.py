@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
+from .tail import appended_lines
 
 _EVENT = (
     "id string, session_id string, agent_role string, start_time double, end_time double, text string, event_kind string, tool_name string,"
@@ -20,7 +22,7 @@ _KINDS = ["utterance", "tool_call", "user_prompt"]
 
 
 def _events(lines: DataFrame) -> DataFrame:
-    rows = lines.select(F.from_json("value", _EVENT).alias("e")).select("e.*")
+    rows = lines.select(*(c for c in lines.columns if c != "value"), F.from_json("value", _EVENT).alias("e")).select("*", "e.*").drop("e")
     for column in _REQUIRED:
         rows = rows.where(F.col(column).isNotNull())
     rows = rows.withColumn("event_kind", F.coalesce("event_kind", F.lit("utterance"))).where(F.col("event_kind").isin(_KINDS))
@@ -37,15 +39,35 @@ def stream_events(spark: SparkSession, path: str, files_per_trigger: int = 10) -
     return _events(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path))
 
 
+def scan_event_stream_file(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Event lines of files as they are appended, each once and over restarts: the columns of scan_events_jsonl() with file and place (the byte at
+    which a line starts), which keep the order. Options as for appended_lines()."""
+    return _events(appended_lines(spark, path, **options).drop("reset"))
+
+
+def play_events(events: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Give what is new in scan_event_stream_file() to each(batch, number), in the order of the files' lines, then end. The next call with the
+    same checkpoint goes on from there; a call that broke off is given its batch again, with the same number."""
+    ordered = lambda batch, number: each(batch.orderBy("file", "place"), number)
+    events.writeStream.foreachBatch(ordered).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def transcript_to_events(lines: DataFrame) -> DataFrame:
-    """(value) lines of a transcript -> (text): assistant prose, no side chains; content is a string or text blocks."""
+    """(value, ...) lines of a transcript -> (..., text): assistant prose, no side chains; content is a string or text blocks. Lines that do not
+    start with an object go. Columns beside value come along (file and place of appended_lines(), which tell each prose once)."""
     kind = F.get_json_object("value", "$.type")
     side = F.coalesce(F.get_json_object("value", "$.isSidechain"), F.lit("false"))
     content = F.get_json_object("value", "$.message.content")
-    rows = lines.where((kind == "assistant") & (side != "true")).select(content.alias("content"))
+    kept = [c for c in lines.columns if c != "value"]
+    rows = lines.where(F.col("value").startswith("{") & (kind == "assistant") & (side != "true")).select(*kept, content.alias("content"))
     blocks = F.filter(F.from_json("content", "array<struct<type:string,text:string>>"), lambda b: b["type"] == "text")
     texts = F.when(F.col("content").startswith("["), F.transform(blocks, lambda b: b["text"])).otherwise(F.array("content"))
-    return rows.select(F.explode(texts).alias("text")).where(F.trim("text") != "")
+    return rows.select(*kept, F.explode(texts).alias("text")).where(F.trim("text") != "")
+
+
+def stream_transcripts(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """(file, place, reset, text): assistant prose of transcripts as they grow, from where the query's checkpoint stands."""
+    return transcript_to_events(appended_lines(spark, path, **options))
 
 
 def tool_payload_to_events(payloads: DataFrame, summary_bytes: int = 400, most_files: int = 8) -> DataFrame:
