@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as tx
-from ..operators.writes import add_edges, add_nodes
+from ..sources.graph_store import GraphStore
 
 
 def dedupe_events(events: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -206,21 +206,12 @@ def community_refresh(read: Callable[[], tuple[DataFrame, DataFrame]], refresh:
     return commit
 
 
-def upsert_graph(nodes_path: str, edges_path: str):
-    """A foreachBatch function over (kind, node and edge columns): all new nodes of a batch, then its edges; replays add nothing."""
+def upsert_graph(store: GraphStore, stream: str = "graph") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function over (kind, node and edge columns): all new nodes of a batch and then its edges, in one commit; a batch that comes
+    again, after a stop at any point, adds nothing twice and leaves nothing half."""
 
-    def commit(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.where("kind = 'node'").select("project_id", "id", "node_type", "label", "seq")
-        links = batch.where("kind = 'edge'").select("project_id", "id", "edge_type", "source_node_id", "target_node_id", "seq")
-        # A batch of few projects reads those alone: the filter reaches the files' statistics.
-        projects = [r.project_id for r in batch.select("project_id").distinct().limit(101).collect()]
-
-        def stored(path: str, like: DataFrame) -> DataFrame:
-            rows = spark.read.schema(like.schema).parquet(path)
-            return rows.where(F.col("project_id").isin(projects)) if len(projects) <= 100 else rows
-
-        add_nodes(stored(nodes_path, fresh), fresh).write.mode("append").parquet(nodes_path)
-        add_edges(stored(nodes_path, fresh), stored(edges_path, links), links).write.mode("append").parquet(edges_path)
+    def commit(batch: DataFrame, number: int) -> None:
+        nodes = batch.where("kind = 'node'").select("project_id", "id", "node_type", "label", "seq")
+        store.commit(stream, number, nodes, batch.where("kind = 'edge'").select("project_id", "id", "edge_type", "source_node_id", "target_node_id", "seq"))
 
     return commit

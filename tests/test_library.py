@@ -169,19 +169,6 @@ def test_streamed_warnings_raise_and_clear(spark, tmp_path):
     assert [(r.event_id, r.warning, r.action) for r in found] == [("e", "unverified", "raise"), ("e", "unverified", "clear"), ("k", "failing", "raise"), ("k", "failing", "clear"), ("e2", "unverified", "raise"), ("e2", "unverified", "clear")]
 
 
-def test_streamed_upsert_is_idempotent(spark, tmp_path):
-    node = "project_id string, id string, node_type string, label string, seq long"
-    edge = "project_id string, id string, edge_type string, source_node_id string, target_node_id string, seq long"
-    n, e = str(tmp_path / "n"), str(tmp_path / "e")
-    spark.createDataFrame([], node).write.parquet(n)
-    spark.createDataFrame([], edge).write.parquet(e)
-    batch = spark.createDataFrame([("node", "p", "a", "Rule", "A", None, None, None, 1), ("node", "p", "b", "Rule", "B", None, None, None, 2), ("edge", "p", "ab", None, None, "Resolves", "a", "b", 3), ("edge", "p", "az", None, None, "Resolves", "a", "z", 4)], "kind string, project_id string, id string, node_type string, label string, edge_type string, source_node_id string, target_node_id string, seq long")
-    commit = streams.upsert_graph(n, e)
-    for i in range(2):
-        commit(batch, i)
-    assert spark.read.parquet(n).count() == 2 and spark.read.parquet(e).count() == 1
-
-
 def test_streamed_dedupe(spark, tmp_path):
     rows = spark.createDataFrame([("p", "1"), ("p", "1"), ("p", "2")], "project_id string, id string").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     rows.write.parquet(str(tmp_path / "in"))
