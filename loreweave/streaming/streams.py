@@ -9,6 +9,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as tx
@@ -55,42 +56,132 @@ def _by_project(events: DataFrame, columns: list[str], schema: str, step: Callab
     return rows.groupBy("project_id").applyInPandasWithState(run, f"project_id string, {schema}", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout)
 
 
+class _Keyed(StatefulProcessor):
+    """A processor of one project's events in the order of seq, with its state in parts that are read and written one by one."""
+
+    columns: tuple[str, ...] = ()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def step(self, rows: pd.DataFrame) -> list[tuple]:
+        """Rows to give out, without the project."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
+        # A trigger's events of a project, of these columns alone, put in order; the source's limits bound them.
+        events = pd.concat([part[list(self.columns)] for part in rows]).sort_values(["seq", "id"], kind="stable")
+        yield pd.DataFrame([(*key, *r) for r in self.step(events)], columns=["project_id", *self.names])
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(events: DataFrame, processor: _Keyed, schema: str) -> DataFrame:
+    """Runs the processor per project; its state lives in RocksDB, of which a trigger reads what it touches."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    processor.names = [c.split()[0] for c in schema.split(", ")]
+    rows = events.select("project_id", *processor.columns)
+    return rows.groupBy("project_id").transformWithStateInPandas(processor, f"project_id string, {schema}", "Append", "None")
+
+
+class _Recent(_Keyed):
+    """Holds something for each of the `sessions` that were active last, in a map by session, and their order."""
+
+    def __init__(self, keep: int, sessions: int):
+        self.keep, self.sessions = keep, sessions
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.order = handle.getValueState("order", "sessions array<string>")
+        self.held = handle.getMapState("held", "session string", self.kept)
+
+    def step(self, rows: pd.DataFrame) -> list[tuple]:
+        order = list(self.order.get()[0]) if self.order.exists() else []
+        live: dict[str, Any] = {}  # what this trigger touches
+        out: list[tuple] = []
+        for r in rows.itertuples():
+            if r.session_id in order:
+                order.remove(r.session_id)
+                if r.session_id not in live:
+                    live[r.session_id] = tuple(list(x) for x in self.held.getValue((r.session_id,)))
+            order.append(r.session_id)
+            live[r.session_id] = self.event(live.get(r.session_id, ([], [])), r, out)
+            if len(order) > self.sessions:
+                gone = order.pop(0)
+                last = live.pop(gone, None) or tuple(list(x) for x in self.held.getValue((gone,)))
+                if self.held.containsKey((gone,)):
+                    self.held.removeKey((gone,))
+                self.pushed_out(gone, last, r, out)
+        for session, value in live.items():
+            self.held.updateValue((session,), value)
+        self.order.update((order,))
+        return self.after(live, rows, out)
+
+    def event(self, held: Any, r: Any, out: list[tuple]) -> Any:
+        raise NotImplementedError
+
+    def pushed_out(self, session: str, held: Any, r: Any, out: list[tuple]) -> None:
+        raise NotImplementedError
+
+    def after(self, live: dict[str, Any], rows: pd.DataFrame, out: list[tuple]) -> list[tuple]:
+        return out
+
+
+class _Warnings(_Recent):
+    columns = ("session_id", "id", "seq", "kind", "passed", "files")
+    kept = "edits array<struct<id:string,files:array<string>>>, checks array<struct<id:string,files:array<string>>>"
+
+    def event(self, held: Any, r: Any, out: list[tuple]) -> Any:
+        edits, checks = held
+        files, session = set(r.files), r.session_id
+        touched = lambda xs: [x[0] for x in xs if files & set(x[1])]
+        rest = lambda xs: [x for x in xs if not files & set(x[1])]
+        if r.kind == "Write":
+            out += [(session, i, "failing", "clear", r.seq) for i in touched(checks)]
+            checks = rest(checks)
+            if files:
+                edits = [*edits, (r.id, sorted(files))]
+                out.append((session, r.id, "unverified", "raise", r.seq))
+        else:
+            out += [(session, i, "unverified", "clear", r.seq) for i in touched(edits)]
+            edits = rest(edits)
+            if r.passed:
+                out += [(session, i, "failing", "clear", r.seq) for i in touched(checks)]
+                checks = rest(checks)
+            else:
+                checks = [*checks, (r.id, sorted(files))]
+                out.append((session, r.id, "failing", "raise", r.seq))
+        return edits[-self.keep :], checks[-self.keep :]
+
+    def pushed_out(self, session: str, held: Any, r: Any, out: list[tuple]) -> None:
+        out += [(session, x[0], kind, "clear", r.seq) for kind, xs in zip(("unverified", "failing"), held) for x in xs]
+
+
 def debt_warnings(events: DataFrame, keep: int = 100, sessions: int = 16) -> DataFrame:
     """Rows that raise and clear warnings per session as tool events arrive: an edit is unverified until a check touches one
     of its files, a failed check stands until an edit touches one of its. State: the last `keep` open ones of each, of the `sessions` that wrote
     or checked last in a project; a session that is pushed out has its warnings cleared."""
     rows = events.withColumn("kind", tx.tool_class(F.col("tool_name"), F.col("text"))).withColumn("passed", tx.check_passed(F.col("text"))).where("kind <> 'Read'")
+    return _stateful(rows, _Warnings(keep, sessions), "session_id string, event_id string, warning string, action string, seq long")
 
-    def step(held: Any, pdf: pd.DataFrame | None, _: GroupState) -> tuple[Any, list[tuple]]:
-        held, out = held or {}, []
-        for r in ([] if pdf is None else pdf.itertuples()):
-            files, session = set(r.files), r.session_id
-            edits, checks = held.pop(session, [[], []])
-            touched = lambda xs: [i for i, f in xs if files & set(f)]
-            rest = lambda xs: [x for x in xs if not files & set(x[1])]
-            if r.kind == "Write":
-                out += [(session, i, "failing", "clear", r.seq) for i in touched(checks)]
-                checks = rest(checks)
-                if files:
-                    edits.append([r.id, sorted(files)])
-                    out.append((session, r.id, "unverified", "raise", r.seq))
-            else:
-                out += [(session, i, "unverified", "clear", r.seq) for i in touched(edits)]
-                edits = rest(edits)
-                if r.passed:
-                    out += [(session, i, "failing", "clear", r.seq) for i in touched(checks)]
-                    checks = rest(checks)
-                else:
-                    checks.append([r.id, sorted(files)])
-                    out.append((session, r.id, "failing", "raise", r.seq))
-            held[session] = [edits[-keep:], checks[-keep:]]  # last in the order of activity
-            if len(held) > sessions:
-                gone = next(iter(held))
-                edits, checks = held.pop(gone)
-                out += [(gone, i, kind, "clear", r.seq) for kind, xs in (("unverified", edits), ("failing", checks)) for i, _ in xs]
-        return held, out
 
-    return _by_project(rows, ["session_id", "id", "seq", "kind", "passed", "files"], "session_id string, event_id string, warning string, action string, seq long", step)
+class _Scratch(_Recent):
+    columns = ("session_id", "id", "seq", "kind")
+    kept = "edits array<string>, checks array<string>"
+
+    def event(self, held: Any, r: Any, out: list[tuple]) -> Any:
+        edits, checks = held
+        return ([*edits, r.id][-self.keep :], checks) if r.kind == "Write" else (edits, [*checks, r.id][-self.keep :])
+
+    def pushed_out(self, session: str, held: Any, r: Any, out: list[tuple]) -> None:
+        out.append((session,))
+
+    def after(self, live: dict[str, Any], rows: pd.DataFrame, out: list[tuple]) -> list[tuple]:
+        at, gone = int(rows["seq"].max()), {x[0] for x in out} - set(live)
+        return [(s, at, False, *live[s]) for s in sorted(live)] + [(s, at, True, [], []) for s in sorted(gone)]
 
 
 def stream_scratch(events: DataFrame, keep: int = 100, sessions: int = 16) -> DataFrame:
@@ -100,26 +191,7 @@ def stream_scratch(events: DataFrame, keep: int = 100, sessions: int = 16) -> Da
     seq of the project's last event. A session pushed out has a row with evicted and nothing held, and starts anew when it comes again.
     """
     rows = events.withColumn("kind", tx.tool_class(F.col("tool_name"), F.col("text"))).where("kind <> 'Read'")
-
-    def step(held: Any, pdf: pd.DataFrame | None, _: GroupState) -> tuple[Any, list[tuple]]:
-        held, touched, gone = held or {}, set(), set()
-        for r in ([] if pdf is None else pdf.itertuples()):
-            own = held.pop(r.session_id, [[], []])
-            ring = own[0] if r.kind == "Write" else own[1]
-            ring.append(r.id)
-            del ring[:-keep]
-            held[r.session_id] = own  # last in the order of activity
-            touched.add(r.session_id)
-            gone.discard(r.session_id)
-            if len(held) > sessions:
-                out = next(iter(held))
-                del held[out]
-                gone.add(out)
-                touched.discard(out)
-        at = 0 if pdf is None else int(pdf["seq"].max())
-        return held, [(s, at, False, *held[s]) for s in sorted(touched)] + [(s, at, True, [], []) for s in sorted(gone)]
-
-    return _by_project(rows, ["session_id", "id", "seq", "kind"], "session_id string, at long, evicted boolean, edits array<string>, checks array<string>", step)
+    return _stateful(rows, _Scratch(keep, sessions), "session_id string, at long, evicted boolean, edits array<string>, checks array<string>")
 
 
 def stream_extraction_batches(events: DataFrame, most: int = 10, wait_ms: int = 15_000) -> DataFrame:
@@ -146,34 +218,66 @@ def stream_extraction_batches(events: DataFrame, most: int = 10, wait_ms: int =
     return _by_project(events, ["id", "seq"], "batch long, ids array<string>", step, timers=True)
 
 
+class _EventLog(_Keyed):
+    columns = ("id", "seq")
+
+    def __init__(self, most: int):
+        self.most = most
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.log = handle.getListState("log", "id string")
+
+    def step(self, rows: pd.DataFrame) -> list[tuple]:
+        fresh = rows["id"].tolist()[-self.most :]
+        held = [] if len(fresh) == self.most else [x[0] for x in self.log.get()]
+        held = [*held, *fresh][-self.most :]
+        self.log.put([(i,) for i in held])
+        return [(int(rows["seq"].max()), held)]
+
+
 def stream_event_log(events: DataFrame, most: int = 20) -> DataFrame:
     """(project_id, at, ids): the last `most` events of a project, oldest first, each time it had new ones; at is the last one's seq."""
+    return _stateful(events, _EventLog(most), "at long, ids array<string>")
 
-    def step(held: Any, pdf: pd.DataFrame | None, _: GroupState) -> tuple[Any, list[tuple]]:
-        if pdf is None:
-            return held, []
-        held = ((held or []) + pdf["id"].tolist())[-most:]
-        return held, [(int(pdf["seq"].max()), held)]
 
-    return _by_project(events, ["id", "seq"], "at long, ids array<string>", step)
+class _Sessions(_Keyed):
+    columns = ("session_id", "id", "seq")
 
+    def __init__(self, keep: int):
+        self.keep = keep
 
-def stream_sessions(events: DataFrame) -> DataFrame:
-    """(project_id, session_id, session_index, at, current): a row for each session that is new, and one for the current session, seen last,
-    in each trigger; sessions are numbered from 0 in the order in which they were first seen. State: the names of the project's sessions."""
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "numbered long, held long")
+        self.known = handle.getMapState("known", "session string", "session_index long, seen long")
 
-    def step(held: Any, pdf: pd.DataFrame | None, _: GroupState) -> tuple[Any, list[tuple]]:
-        held = held or {}
-        if pdf is None:
-            return held, []
-        at, last, out = int(pdf["seq"].max()), pdf["session_id"].iloc[-1], []
-        for s in pdf["session_id"]:
-            if s not in held:
-                held[s] = len(held)
-                out.append((s, held[s], at, False))
-        return held, out + [(last, held[last], at, True)]
-
-    return _by_project(events, ["session_id", "id", "seq"], "session_id string, session_index long, at long, current boolean", step)
+    def step(self, rows: pd.DataFrame) -> list[tuple]:
+        numbered, held = self.counts.get() if self.counts.exists() else (0, 0)
+        at, out = int(rows["seq"].max()), []
+        seen = rows.drop_duplicates("session_id")["session_id"].tolist()
+        last = dict(zip(rows["session_id"], rows["seq"]))
+        index = {}
+        for s in seen:
+            if self.known.containsKey((s,)):
+                index[s] = self.known.getValue((s,))[0]
+            else:
+                index[s], numbered, held = numbered, numbered + 1, held + 1
+                out.append((s, index[s], at, False))
+            self.known.updateValue((s,), (index[s], int(last[s])))
+        if held > self.keep + self.keep // 4:  # now and then the sessions seen longest ago are forgotten
+            by_age = sorted(((v[1], v[0], k[0]) for k, v in self.known.iterator()), reverse=True)
+            for _, _, s in by_age[self.keep :]:
+                self.known.removeKey((s,))
+            held = self.keep
+        self.counts.update((numbered, held))
+        current = rows["session_id"].iloc[-1]
+        return out + [(current, index[current], at, True)]
+
+
+def stream_sessions(events: DataFrame, keep: int = 10_000) -> DataFrame:
+    """(project_id, session_id, session_index, at, current): a row for each session that is new, and one for the current session, seen last,
+    in each trigger; sessions are numbered from 0 in the order in which they were first seen. State: the `keep` sessions seen last, up to a
+    quarter more between clearings; one that was forgotten and comes again is new, with the next number."""
+    return _stateful(events, _Sessions(keep), "session_id string, session_index long, at long, current boolean")
 
 
 def stream_backpressure_counts(events: DataFrame, late_s: float = 3600.0) -> DataFrame:

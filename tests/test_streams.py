@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 
 from loreweave.streaming import streams
@@ -82,6 +83,49 @@ def test_event_log_sessions_and_counts(spark, tmp_path):
         assert (last.ingested, last.tool_events, last.queued, last.late) == (len(own), tools, len(own) - tools, int(p == "p"))
 
 
+def test_sessions_seen_long_ago_are_forgotten(spark, tmp_path):
+    rows = [tool(n, f"s{n}") for n in range(40)] + [tool(40, "s39"), tool(41, "s0")]
+    found = drain(streams.stream_sessions(feed(spark, str(tmp_path / "in"), rows, 10), keep=8), "forgetful")
+    new = [(r.session_index, r.session_id) for r in found if not r.current]
+    assert sorted(new) == [*((n, f"s{n}") for n in range(40)), (40, "s0")]  # s0 is new again, s39 is not
+
+
+def test_warnings_over_many_sessions_and_triggers(spark, tmp_path):
+    rng = random.Random(9)
+    rows = []
+    for n in range(300):
+        kind = rng.choice(["edit", "test", "read"])
+        rows.append(("pq"[rng.randrange(2)], f"e{n}", f"s{rng.randrange(6)}", kind, rng.choice(["ok", "2 failed"]), rng.sample("abcd", rng.randrange(3)), float(n), n, "tool_call"))
+    found = drain(streams.debt_warnings(feed(spark, str(tmp_path / "in"), rows, 70), keep=5, sessions=3), "many_warnings")
+    want, held = [], {}
+    for p, i, s, kind, text, files, _, n, _ in rows:
+        if kind == "read":
+            continue
+        own, files = held.setdefault(p, {}), set(files)
+        edits, checks = own.pop(s, ([], []))
+        clear = lambda xs, w: want.extend((p, s, x, w, "clear", n) for x, f in xs if f & files)
+        if kind == "edit":
+            clear(checks, "failing")
+            checks = [x for x in checks if not x[1] & files]
+            if files:
+                edits = [*edits, (i, files)]
+                want.append((p, s, i, "unverified", "raise", n))
+        else:
+            clear(edits, "unverified")
+            edits = [x for x in edits if not x[1] & files]
+            if text == "ok":
+                clear(checks, "failing")
+                checks = [x for x in checks if not x[1] & files]
+            else:
+                checks = [*checks, (i, files)]
+                want.append((p, s, i, "failing", "raise", n))
+        own[s] = (edits[-5:], checks[-5:])
+        if len(own) > 3:
+            gone = next(iter(own))
+            want += [(p, gone, x, w, "clear", n) for w, xs in zip(("unverified", "failing"), own.pop(gone)) for x, _ in xs]
+    assert sorted(tuple(r) for r in found) == sorted(want)
+
+
 def test_communities_are_refreshed_now_and_then(spark):
     size, calls = [3], []
     read = lambda: (spark.range(size[0]), spark.range(0))
