@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as tx
@@ -280,22 +280,71 @@ def stream_sessions(events: DataFrame, keep: int = 10_000) -> DataFrame:
     return _stateful(events, _Sessions(keep), "session_id string, session_index long, at long, current boolean")
 
 
-def stream_backpressure_counts(events: DataFrame, late_s: float = 3600.0) -> DataFrame:
-    """(project_id, at, ingested, tool_events, queued, late): running counts after each trigger that had events. Nothing is dropped: the source is
-    held back by its limits a trigger. late counts events whose end_time lies more than late_s before the latest one seen in
-    earlier triggers."""
+class BatchCounts:
+    """What a stream took in, counted by observe() on the way into its sink: no state in the query and no pass over the rows of its own.
 
-    def step(held: Any, pdf: pd.DataFrame | None, _: GroupState) -> tuple[Any, list[tuple]]:
-        held = held or [0, 0, 0, 0, None]
-        if pdf is None:
-            return held, []
-        tool = int((pdf["event_kind"] == "tool_call").sum())
-        late = 0 if held[4] is None else int((pdf["end_time"] < held[4] - late_s).sum())
-        latest = float(pdf["end_time"].max())
-        held = [held[0] + len(pdf), held[1] + tool, held[2] + len(pdf) - tool, held[3] + late, latest if held[4] is None else max(held[4], latest)]
-        return held, [(int(pdf["seq"].max()), *held[:4])]
-
-    return _by_project(events, ["id", "seq", "event_kind", "end_time"], "at long, ingested long, tool_events long, queued long, late long", step)
+    Give `into(each)` to foreachBatch; each must write the batch. Nothing is dropped: the source is held back by its limits a trigger. late
+    counts events whose end_time lies more than late_s before the latest one of earlier batches. A batch that comes again is counted
+    once. After a restart, go on with the counts and the latest time that `totals()` gave: BatchCounts(late_s, **those).
+    """
+
+    def __init__(self, late_s: float = 3600.0, batch: int = -1, ingested: int = 0, tool_events: int = 0, queued: int = 0, late: int = 0, latest: float | None = None):
+        self.late_s = late_s
+        self._held = {"batch": batch, "ingested": ingested, "tool_events": tool_events, "queued": queued, "late": late, "latest": latest}
+
+    def totals(self) -> dict:
+        return dict(self._held)
+
+    def into(self, each: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+        def counted(batch: DataFrame, number: int) -> None:
+            if number <= self._held["batch"]:
+                return each(batch, number)
+            seen, tool, latest = Observation(), F.coalesce(F.col("event_kind") == "tool_call", F.lit(False)), self._held["latest"]
+            late = F.lit(False) if latest is None else F.col("end_time") < F.lit(latest - self.late_s)
+            each(
+                batch.observe(
+                    seen, F.count(F.lit(1)).alias("ingested"), F.count(F.when(tool, 1)).alias("tool_events"), F.count(F.when(~tool, 1)).alias("queued"),
+                    F.count(F.when(late, 1)).alias("late"), F.max("end_time").alias("latest"),
+                ), number,
+            )
+            found = seen.get
+            top = [x for x in (latest, found.pop("latest")) if x is not None]
+            self._held = {"batch": number, **{k: self._held[k] + v for k, v in found.items()}, "latest": max(top, default=None)}
+
+        return counted
+
+
+class ObservedMetrics(StreamingQueryListener):
+    """Sums of what observe_metrics() saw in streaming queries, by the query's name (else its id). A batch that comes again is counted once."""
+
+    def __init__(self) -> None:
+        self.totals: dict[str, dict[str, int]] = {}
+        self._last: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        at = event.progress
+        row = at.observedMetrics.get("pipeline_metrics")
+        if row is None or self._last.get(key := str(at.id), -1) >= at.batchId:
+            return
+        self._last[key] = at.batchId
+        own = self.totals.setdefault(at.name or key, {})
+        for name, n in row.asDict().items():
+            own[name] = own.get(name, 0) + (n or 0)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+def observe_metrics(events: DataFrame) -> DataFrame:
+    """The same events; ObservedMetrics, added to spark.streams, sums their counters as they pass: events, tool calls, queued prose."""
+    tool = F.coalesce(F.col("event_kind") == "tool_call", F.lit(False))
+    return events.observe("pipeline_metrics", F.count(F.lit(1)).alias("events"), F.count(F.when(tool, 1)).alias("tool_events"), F.count(F.when(~tool, 1)).alias("queued"))
 
 
 def community_refresh(read: Callable[[], tuple[DataFrame, DataFrame]], refresh: Callable[[DataFrame, DataFrame], None], every: int = 5, small: int = 10) -> Callable[[DataFrame, int], None]:

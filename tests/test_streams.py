@@ -71,16 +71,37 @@ def test_event_log_sessions_and_counts(spark, tmp_path):
     stream = lambda: spark.readStream.schema(TOOL).option("maxFilesPerTrigger", 1).parquet(path)
     log = drain(streams.stream_event_log(stream(), 7), "log")
     sessions = drain(streams.stream_sessions(stream()), "sessions")
-    counts = drain(streams.stream_backpressure_counts(stream()), "counts")
     for p in "pq":
         own = [r for r in rows if r[0] == p]
         assert max((r for r in log if r.project_id == p), key=lambda r: r.at).ids == [r[1] for r in own][-7:]
         order = list(dict.fromkeys(r[2] for r in own))
         assert sorted((r.session_index, r.session_id) for r in sessions if r.project_id == p and not r.current) == list(enumerate(order))
         assert max((r for r in sessions if r.project_id == p and r.current), key=lambda r: r.at).session_id == own[-1][2]
-        last = max((r for r in counts if r.project_id == p), key=lambda r: r.at)
-        tools = sum(r[8] == "tool_call" for r in own)
-        assert (last.ingested, last.tool_events, last.queued, last.late) == (len(own), tools, len(own) - tools, int(p == "p"))
+
+
+def test_counts_by_observation(spark, tmp_path):
+    rows = [tool(n, f"s{n % 3}", "pq"[n % 2], "edit" if n % 5 else "note", "tool_call" if n % 5 else "utterance", at=n if n not in (10, 50, 51) else -9000) for n in range(60)]
+    stream = feed(spark, str(tmp_path / "in"), rows, 25)
+    counts, taken, listener = streams.BatchCounts(), [], streams.ObservedMetrics()
+    write = counts.into(lambda b, n: taken.append((n, b.count())))
+    spark.streams.addListener(listener)
+    try:
+        q = streams.observe_metrics(stream).writeStream.queryName("counted").foreachBatch(write).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        deadline = time.time() + 20
+        while time.time() < deadline and listener.totals.get("counted", {}).get("events") != 60:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    tools = sum(r[8] == "tool_call" for r in rows)
+    want = {"batch": 2, "ingested": 60, "tool_events": tools, "queued": 60 - tools, "late": 2, "latest": 59.0}  # the late one of the first batch has nothing before it
+    assert taken == [(0, 25), (1, 25), (2, 10)] and counts.totals() == want
+    assert listener.totals["counted"] == {"events": 60, "tool_events": tools, "queued": 60 - tools}
+    write(spark.createDataFrame(rows[50:], TOOL), 2)  # again
+    assert counts.totals() == want
+    more = streams.BatchCounts(**want)
+    more.into(lambda b, n: b.count())(spark.createDataFrame([tool(60, "s", at=-5000)], TOOL), 3)
+    assert more.totals() == want | {"batch": 3, "ingested": 61, "tool_events": tools + 1, "late": 3}
 
 
 def test_sessions_seen_long_ago_are_forgotten(spark, tmp_path):
