@@ -48,6 +48,22 @@ def reach(starts: DataFrame, edges: DataFrame, hops: int, edge_type: str | None
     return found.where("at <> start").distinct().withColumnRenamed("at", "id")
 
 
+def least_reached(edges: DataFrame, hops: int, most: int) -> DataFrame:
+    """(project_id, id, least): the `most` smallest ids within `hops` outgoing edges of each node that has any, in order; the node itself is among
+    them if a cycle leads back. A node takes over at most so many ids of each neighbour, and the smallest of all are among these, so a hub
+    of any degree makes bounded rows at every hop."""
+    steps = edges.select(P, F.col("source_node_id").alias("id"), F.col("target_node_id").alias("next")).distinct()
+    kept = None
+    place = F.row_number().over(Window.partitionBy(P, "id").orderBy("reached"))  # cut before and after its shuffle
+    for hop in range(hops):
+        near = steps.select(P, "id", F.col("next").alias("reached"))
+        if kept is not None:
+            far = kept.select(P, F.col("id").alias("next"), "reached")
+            near = near.union(steps.join(far, [P, "next"]).select(P, "id", "reached")).distinct()
+        kept = near.withColumn("place", place).where(F.col("place") <= most).drop("place")
+    return kept.groupBy(P, "id").agg(F.array_sort(F.collect_list("reached")).alias("least"))
+
+
 def decision_blocked_work(nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
     """Labels of direct RelatesTo targets and of OpenItems within two such hops: sorted, distinct, the first ten."""
     made = nodes.where("node_type = 'Decision' AND status <> 'Invalidated'").select(P, F.col("id").alias("start"))
@@ -76,15 +92,17 @@ def decision_timeline(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def risks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One per open item in debt: impact from what is downstream and how recent its session is."""
+    """One per open item in debt: impact from what is downstream and how recent its session is. downstream counts to four, all that the impact
+    needs, so that no node's whole reach is built; decision-wide counts come from reach()."""
     sessions = register_sessions(nodes)
     now = sessions.groupBy(P).agg(F.max("session_index").alias("now"))
     items = unresolved_open_items(nodes, edges, sessions).select(P, F.col("node_ids")[0].alias("id"), "severity")
-    down = reach(items.select(P, F.col("id").alias("start")), edges, 3).groupBy(P, F.col("start").alias("id")).agg(F.count("*").alias("downstream"))
+    others = F.size(F.filter("least", lambda x: x != F.col("id")))
+    down = least_reached(edges, 3, 5).select(P, "id", F.least(others, F.lit(4)).alias("downstream"))
     rows = items.join(nodes.select(P, "id", "label", "session_id"), [P, "id"]).join(down, [P, "id"], "left").join(sessions, [P, "session_id"], "left").join(now, P)
     n = F.coalesce("downstream", F.lit(0))
     recent = F.when(F.col("session_index").isNull(), 0).when(F.col("session_index") >= F.col("now") - 1, 20).otherwise(5)
-    impact = F.greatest(F.least(F.least(n, F.lit(4)) / 4 * 60 + recent, F.lit(100.0)), F.lit(5.0))
+    impact = F.greatest(F.least(n / 4 * 60 + recent, F.lit(100.0)), F.lit(5.0))
     return rows.select(P, "id", "label", "severity", n.cast("long").alias("downstream"), F.round(impact).cast("long").alias("impact"), F.lit("Unvalidated").alias("risk_status"))
 
 

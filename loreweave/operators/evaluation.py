@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as tx
+from ..staging import stage, unstage
 from .scans import P, with_ends
 
 
@@ -20,25 +21,36 @@ def eval_tokens(text: Column) -> Column:
 
 
 def match_gold(gold: DataFrame, found: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(section, id, label) against (section, id, label, description): greedy one-to-one in gold order, best score first."""
+    """(section, id, label) against (section, id, label, description): greedy one-to-one in gold order, best score first (ties: the smaller id).
+
+    In rounds of joins, no section in one task: a pair is settled when the found one is the best left for its gold and the gold is the first of those
+    that could still have it; then both go. That is what the walk in gold order gives. Golds of equal words want the same, so the n-th of them
+    starts at its n-th best. Each round settles the first gold left of every section at least.
+    """
     tokens = lambda d, name, text: d.select("section", F.col("id").alias(name), eval_tokens(text).alias(f"{name}_t"))
     g = tokens(gold, "gold", F.col("label"))
     f = tokens(found, "found", F.col("label")).union(tokens(found, "found", F.concat_ws(" ", "label", "description")))
     hits = g.select("*", F.explode("gold_t").alias("t")).join(f.select("*", F.explode("found_t").alias("t")), ["section", "t"]).drop("t").distinct()
     scored = hits.groupBy("section", "gold", "found").agg(F.max(tx.containment(F.col("gold_t"), F.col("found_t"))).alias("score")).where(F.col("score") >= threshold)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set = set()
-        out = []
-        for gold_id, rows in pdf.sort_values("gold").groupby("gold", sort=True):
-            free = rows[~rows["found"].isin(taken)].sort_values(["score", "found"], ascending=[False, True])
-            if len(free):
-                best = free.iloc[0]
-                taken.add(best["found"])
-                out.append((best["section"], gold_id, best["found"], float(best["score"])))
-        return pd.DataFrame(out, columns=["section", "gold", "found", "score"])
-
-    return scored.groupBy("section").applyInPandas(greedy, "section string, gold string, found string, score double")
+    want = F.row_number().over(Window.partitionBy("section", "gold").orderBy(F.desc("score"), "found"))
+    equal = g.select("section", "gold", (F.row_number().over(Window.partitionBy("section", F.array_sort("gold_t")).orderBy("gold"))).alias("place"))
+    left = scored.withColumn("want", want).join(equal, ["section", "gold"]).where("want >= place").select("section", "gold", "found", "score")
+    return settled(left)
+
+
+def settled(pairs: DataFrame) -> DataFrame:
+    """(section, gold, found, score) -> the pairs of the walk in gold order, each gold taking the best found one that is free."""
+    left, done = stage(pairs, "pairs"), None
+    while not left.isEmpty():
+        best = left.groupBy("section", "gold").agg(F.min(F.struct((-F.col("score")).alias("o"), "found")).alias("b")).select("section", "gold", "b.found", (-F.col("b.o")).alias("score"))
+        first = left.groupBy("section", "found").agg(F.min("gold").alias("gold"))
+        taken = stage(best.join(first, ["section", "gold", "found"]), "taken")
+        done = taken if done is None else done.union(taken)
+        rest = left.join(taken.select("section", "gold"), ["section", "gold"], "left_anti").join(taken.select("section", "found"), ["section", "found"], "left_anti")
+        after = stage(rest.select("section", "gold", "found", "score"), "pairs")
+        unstage(left)
+        left = after
+    return (left if done is None else done).select("section", "gold", "found", "score")
 
 
 def best_nodes(ends: DataFrame, nodes: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as tx
-from .scans import P
+from ..staging import stage
+from .scans import P, numbered
 
 
 def sentence_table(events: DataFrame) -> DataFrame:
@@ -142,22 +144,85 @@ def split_sentences_eval(text: Column, least: int = 6, most: int = 12) -> Column
     return F.slice(F.filter(parts, lambda s: F.size(F.split(s, r"\s+")) >= least), 1, most)
 
 
-def extraction_batches(events: DataFrame, most: int = 10, wait: float = 15.0) -> DataFrame:
-    """(project_id, id, seq, batch): a batch opens at its first event and closes when it has `most` events, or `wait` seconds after the first.
-    Numbers start at 0 in each project. Events go by in the order of seq; all that is held is the open batch's start and size."""
-    rows = events.select(P, "id", "seq", F.col("start_time").alias("at")).repartition(P).sortWithinPartitions(P, "seq", "id")
+def _next_starts(at: np.ndarray, most: int, wait: float) -> np.ndarray:
+    """For each event, how many events on the next batch would start if one started here."""
+    out = np.full(len(at), most)
+    for k in range(most - 1, 0, -1):
+        out[:-k][at[k:] > at[:-k] + wait] = k
+    return out
+
+
+def _leaps(most: int, wait: float, block: int):
+    """Rows of blocks in order, each with up to `most` rows of the next -> (project_id, block, leaps): for a batch that starts at each of the block's
+    first rows, where in the next block the first batch starts and how many started here."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        project, number, size, first = None, 0, 0, 0.0
-        for pdf in batches:
-            out = []
-            for own, at in zip(pdf[P], pdf["at"]):
-                if own != project:
-                    project, number, size, first = own, 0, 0, at
-                elif size == most or at > first + wait:
-                    number, size, first = number + 1, 0, at
-                size += 1
-                out.append(number)
-            yield pdf[[P, "id", "seq"]].assign(batch=out)
-
-    return rows.mapInPandas(run, f"{P} string, id string, seq long, batch long")
+        for (project, number), pdf in _blocks(batches):
+            inside = int((pdf["place"] < (number + 1) * block).sum())
+            step = _next_starts(pdf["at"].to_numpy(float), most, wait)
+            to, count = np.zeros(inside, np.int64), np.zeros(inside, np.int64)
+            for i in range(inside - 1, -1, -1):
+                j = i + step[i]
+                to[i], count[i] = (j - inside, 1) if j >= inside else (to[j], count[j] + 1)
+            leaps = [{"to": int(to[i]), "n": int(count[i])} if i < inside else {"to": 0, "n": 0} for i in range(most)]
+            yield pd.DataFrame({P: [project], "block": [number], "leaps": [leaps]})
+
+    return run
+
+
+def _walked(most: int, wait: float, block: int):
+    """The same rows with the block's first start and the batches before it -> (project_id, id, seq, batch) of the block's own rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (_, number), pdf in _blocks(batches):
+            inside = int((pdf["place"] < (number + 1) * block).sum())
+            step = _next_starts(pdf["at"].to_numpy(float), most, wait)
+            i, starts = int(pdf["to"].iloc[0]), np.zeros(inside, np.int64)
+            while i < inside:
+                starts[i] = 1
+                i += step[i]
+            own = pdf.iloc[:inside]
+            yield own[[P, "id", "seq"]].assign(batch=int(pdf["n"].iloc[0]) - 1 + np.cumsum(starts))
+
+    return run
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    key, held = None, []
+    for pdf in batches:
+        for own, rows in pdf.groupby([P, "block"], sort=False, dropna=False):
+            if own != key and held:
+                yield key, pd.concat(held)
+                held = []
+            key = own
+            held.append(rows)
+    if held:
+        yield key, pd.concat(held)
+
+
+def extraction_batches(events: DataFrame, most: int = 10, wait: float = 15.0, block: int = 50_000) -> DataFrame:
+    """(project_id, id, seq, batch): a batch opens at its first event and closes when it has `most` events, or `wait` seconds after the first.
+    Numbers start at 0 in each project.
+
+    Where the next batch would start depends on the next `most` events alone, whichever batch an event is in. So a project's events are cut into
+    blocks; each block tells, for every place at which its first batch could start, where the block after it would go on; these leaps are joined
+    to ever longer ones in a logarithm of rounds, and then each block numbers its own events. No task holds more than a block.
+    """
+    if block < most:
+        raise ValueError("a block must hold a batch")
+    rows = numbered(events.select(P, "id", "seq", F.col("start_time").cast("double").alias("at")))
+    own = F.floor(F.col("place") / block)
+    first = (F.col("place") % block < most) & (own > 0)
+    cut = stage(rows.withColumn("block", F.explode(F.when(first, F.array(own, own - 1)).otherwise(F.array(own)))), "blocks")
+    ordered = lambda d: d.repartition(P, "block").sortWithinPartitions(P, "block", "place")
+    leaps = stage(ordered(cut).mapInPandas(_leaps(most, wait, block), f"{P} string, block long, leaps array<struct<to:long,n:long>>"), "leaps")
+    last, span = leaps.agg(F.max("block")).first()[0] or 0, 1
+    while span <= last:  # after each round a leap is that of twice as many blocks, as far as there are
+        before = leaps.select(P, (F.col("block") + span).alias("block"), F.col("leaps").alias("earlier"))
+        on = F.transform("earlier", lambda x: F.struct(F.get("leaps", x["to"].cast("int"))["to"].alias("to"), (x["n"] + F.get("leaps", x["to"].cast("int"))["n"]).alias("n")))
+        leaps = stage(leaps.join(before, [P, "block"], "left").select(P, "block", F.when(F.col("earlier").isNotNull(), on).otherwise(F.col("leaps")).alias("leaps")), "leaps")
+        span *= 2
+    starts = leaps.select(P, (F.col("block") + 1).alias("block"), F.get("leaps", F.lit(0)).alias("s")).select(P, "block", "s.*")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    given = cut.join(starts, [P, "block"], "left").select(*cut.columns, zero("to"), zero("n"))
+    return ordered(given).mapInPandas(_walked(most, wait, block), f"{P} string, id string, seq long, batch long")

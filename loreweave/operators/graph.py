@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..staging import stage
-from .scans import P
+from .scans import P, numbered
 
 _KEY = ["question_id", P]
 
@@ -28,10 +28,30 @@ def _grow(seeds: DataFrame, steps: DataFrame, depth: int | None, keys: list[str]
 
 
 def bfs_nodes(seeds: DataFrame, edges: DataFrame, depth: int = 3, cap: int = 10) -> DataFrame:
-    """Nodes within depth hops of the seeds in either direction."""
+    """(question_id, project_id, id): nodes within depth hops of the seeds in either direction.
+
+    All questions search at once: a node carries a bitmap of the questions that have seen it, 64 in a row, in place of a row for each, so that a hop
+    joins and shuffles at most nodes x questions / 64 rows, summed by bit_or before the shuffle. A node goes on only with bits new to it.
+    """
     steps = edges.select(P, F.col("source_node_id").alias("at"), F.col("target_node_id").alias("next"))
-    steps = steps.union(edges.select(P, "target_node_id", "source_node_id")).distinct()
-    return _grow(seeds, steps, min(depth, cap), [P])
+    steps = stage(steps.union(edges.select(P, "target_node_id", "source_node_id")).where("at <> next").distinct(), "steps")
+    asked = seeds.select(*_KEY).distinct().select(P, F.col("question_id").alias("id"), F.lit(0).alias("seq"))
+    asked = stage(numbered(asked, "number").select(P, F.col("id").alias("question_id"), "number"), "questions")
+    bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(number % 64 AS INT))")
+    first = seeds.select(*_KEY, "id").join(asked, _KEY).select(P, "id", F.floor(F.col("number") / 64).alias("word"), bit.alias("bits"))
+    merged = lambda d: d.groupBy(P, "id", "word").agg(F.bit_or("bits").alias("bits"))
+    seen = front = stage(merged(first), "seeds")
+    for _ in range(min(depth, cap)):
+        reached = merged(front.withColumnRenamed("id", "at").join(steps, [P, "at"]).select(P, F.col("next").alias("id"), "word", "bits"))
+        both = reached.join(seen.withColumnRenamed("bits", "known"), [P, "id", "word"], "left")
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
+        front = stage(both.select(P, "id", "word", fresh.alias("bits")).where("bits <> 0"), "hop")
+        if front.isEmpty():
+            break
+        seen = stage(merged(seen.union(front)), "seen")
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit("bits", k) == 1)
+    each = seen.select(P, "id", F.explode(F.transform(numbers, lambda k: F.col("word") * 64 + k)).alias("number"))
+    return each.join(asked, [P, "number"]).select(*_KEY, "id")
 
 
 def induced_edges(seen: DataFrame, edges: DataFrame) -> DataFrame:

@@ -261,6 +261,96 @@ def test_history_keeps_every_snapshot(spark):
             assert found == want
 
 
+@pytest.mark.parametrize("block", [10, 13, 64, 50_000])
+def test_extraction_batches_over_blocks(spark, block):
+    rng = random.Random(block)
+    rows, want = [], {}
+    for p, n in (("p", 700), ("q", 61), ("r", 1), ("s", 200)):
+        at, number, size, first = 0.0, -1, 0, 0.0
+        for k in range(n):
+            at += rng.choice([0, 0.1, 0.5, 3, 3, 16, 40, -2]) if p != "s" else 0.0
+            rows.append((p, f"e{k:04d}", k, at))
+            if number < 0 or size == 10 or at > first + 15:
+                number, size, first = number + 1, 0, at
+            size += 1
+            want[p, f"e{k:04d}"] = number
+    table = spark.createDataFrame(rows, "project_id string, id string, seq long, start_time double").repartition(6)
+    assert {(r.project_id, r.id): r.batch for r in extraction.extraction_batches(table, block=block).collect()} == want
+    assert extraction.extraction_batches(table.limit(0), block=block).count() == 0
+
+
+def test_gold_is_matched_as_by_the_walk(spark):
+    rng = random.Random(7)
+    words = "alpha beta gamma delta eps zeta eta theta iota kappa".split()
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    gold = [(f"s{rng.randrange(3)}", f"g{k:03d}", said(rng.randrange(1, 4))) for k in range(120)] + [("s0", f"x{k}", "alpha beta") for k in range(6)]
+    found = [(f"s{rng.randrange(3)}", f"f{k:03d}", said(2), said(rng.randrange(4))) for k in range(100)]
+    g = spark.createDataFrame(gold, "section string, id string, label string")
+    f = spark.createDataFrame(found, "section string, id string, label string, description string")
+    contained = lambda a, b: len(set(a.split()) & set(b.split())) / max(1, min(len(set(a.split())), len(set(b.split()))))
+    want, taken = set(), set()
+    for s, i, label in sorted(gold, key=lambda r: r[1]):
+        free = [(-max(contained(label, a), contained(label, f"{a} {b}".strip())), j) for t, j, a, b in found if t == s and j not in taken]
+        score, best = min((x for x in free if x[0] <= -0.5), default=(0, None))
+        if best:
+            taken.add(best)
+            want.add((s, i, best, -score))
+    assert {tuple(r) for r in evaluation.match_gold(g, f).collect()} == want
+    assert evaluation.match_gold(g.limit(0), f).count() == 0
+
+
+def test_settled_pairs_of_many(spark):
+    rng = random.Random(2)
+    rows = list({(f"s{rng.randrange(2)}", f"g{rng.randrange(900):04d}", f"f{rng.randrange(800):04d}"): rng.choice([0.5, 0.6, 0.75, 1.0]) for _ in range(10_000)}.items())
+    pairs = spark.createDataFrame([(*k, v) for k, v in rows], "section string, gold string, found string, score double")
+    want, taken = set(), set()
+    for s, gold in sorted({k[:2] for k, _ in rows}):
+        free = sorted((-v, k[2]) for k, v in rows if k[:2] == (s, gold) and (s, k[2]) not in taken)
+        if free:
+            taken.add((s, free[0][1]))
+            want.add((s, gold, free[0][1], -free[0][0]))
+    assert {tuple(r) for r in evaluation.settled(pairs).collect()} == want
+
+
+def test_least_reached_is_bounded_at_hubs(spark):
+    from loreweave.operators import decisions
+
+    rng = random.Random(1)
+    links = [("p", "hub", "RelatesTo", f"t{k:04d}") for k in range(3000)] + [("p", f"s{k}", "Resolves", "hub") for k in range(50)] + [("p", f"t{k:04d}", "Refutes", "a0") for k in range(20)] + [("p", "a0", "RelatesTo", "a0")]
+    links += [("q", f"n{rng.randrange(40)}", "RelatesTo", f"n{rng.randrange(40)}") for _ in range(80)]
+    out = {}
+    for p, a, _, b in links:
+        out.setdefault((p, a), set()).add(b)
+    found = {(r.project_id, r.id): r.least for r in decisions.least_reached(edges(spark, *links), 3, 5).collect()}
+    for p, a in out:
+        near, front = set(), {a}
+        for _ in range(3):
+            front = set().union(*(out.get((p, x), set()) for x in front))
+            near |= front
+        assert found[p, a] == sorted(near)[:5]
+
+
+def test_many_questions_search_at_once(spark):
+    rng = random.Random(5)
+    links = [(p, f"n{rng.randrange(60)}", "RelatesTo", f"n{rng.randrange(60)}") for p in "pq" for _ in range(70)]
+    seeds = [(k, rng.choice("pq"), f"n{rng.randrange(60)}") for k in range(200) for _ in range(2)]
+    near = {}
+    for p, a, _, b in links:
+        near.setdefault((p, a), set()).add(b)
+        near.setdefault((p, b), set()).add(a)
+    table = spark.createDataFrame(seeds, "question_id long, project_id string, id string")
+    for depth in (0, 1, 3):
+        want = set()
+        for q, p, i in seeds:
+            held = front = {i}
+            for _ in range(depth):
+                front = set().union(*(near.get((p, x), set()) for x in front)) - held
+                held = held | front
+            want |= {(q, p, x) for x in held}
+        found = [tuple(r) for r in graph.bfs_nodes(table, edges(spark, *links), depth).collect()]
+        assert set(found) == want and len(found) == len(want)
+
+
 def test_entry_without_an_import(spark, monkeypatch):
     import __spark_entry__ as entry
 
