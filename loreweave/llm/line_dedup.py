@@ -16,13 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .ngram_join import BUCKETS, word_rarity
 from .rarest import split_clusters
-from .scratch import by_hot_key, slices, stage, trim, unstage
+from .scratch import by_hot_key, least_by_key, slices, stage, trim, unstage
 from .words import ODD, mixed, word_hashes
 
 SHINGLE = 5
@@ -309,9 +309,9 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     first = stage(places.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("at"), F.count("*").alias("n")), "line-places")
 
     held = sets.select("node", F.explode("signs").alias("sign"))
-    edges = held.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy("sign")).alias("b"))
+    edges, firsts = least_by_key(held, "sign", "node", "sign-firsts")
     clusters = connected_components(edges.union(sets.select("node", F.explode("roots"))), "line-clusters")
-    unstage(signed)
+    unstage(signed, firsts)
     members = stage(clusters.withColumnRenamed("component", "cluster").join(first, "node").select("node", "cluster", "at.doc_id", "at.line_no"), "line-members")
     unstage(clusters.staged)
     wanted = _in_blocks(members, block_lines)
@@ -357,7 +357,12 @@ def without_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str
     found = repeated_lines(documents, id_col, text_col, **options).where("n_removed > 0")
     found = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("removed").alias("__removed"))
     rows = documents.join(found.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("__id"), "left")
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda _, i: ~F.array_contains("__removed", i))
+    # Removed numbers rise, so the lines between two of them are one slice: linear in a document's lines.
+    ends = F.concat("__removed", F.array(F.size("__lines")))
+    gaps = F.transform(ends, lambda e, i: F.struct(F.coalesce(F.get("__removed", i - 1) + 1, F.lit(0)).alias("low"), e.alias("high")))
+    kept = F.flatten(F.transform(gaps, lambda g: F.slice("__lines", g["low"] + 1, g["high"] - g["low"])))
+    rows = rows.withColumn("__lines", F.when(F.col("__removed").isNotNull(), F.split(F.col(text_col), "\n", -1)))
     text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    rows = rows.withColumn("__left", F.col("__removed").isNull() | (F.size(kept) > 0)).withColumn("__text", text).where("__left")
+    left = F.col("__removed").isNull() | (F.size("__lines") > F.size("__removed"))
+    rows = rows.where(left).withColumn("__text", text)
     return rows.select(*(F.col("__text").alias(c) if c == text_col else documents[c] for c in documents.columns))

@@ -23,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .rarest import split_clusters
-from .scratch import slices, stage, trim, unstage
+from .scratch import least_by_key, slices, stage, trim, unstage
 from .words import MIX, ODD, mixed, word_hashes
 
 BUCKETS = 1 << 16
@@ -323,9 +323,9 @@ def ngram_components(
         docs.mapInArrow(_signed(words, num, den, sent), "doc_id long, n_shingles long, digest binary, signs array<long>, roots array<long>"), "signed"
     )
     held = signed.select("doc_id", F.explode("signs").alias("sign"))
-    first = F.min("doc_id").over(Window.partitionBy("sign"))
-    edges = held.select(F.col("doc_id").alias("a"), first.alias("b")).union(signed.select("doc_id", F.explode("roots")))
-    clusters = connected_components(edges, "clusters")
+    edges, firsts = least_by_key(held, "sign", "doc_id", "sign-firsts")
+    clusters = connected_components(edges.union(signed.select("doc_id", F.explode("roots"))), "clusters")
+    unstage(firsts)
     named = clusters.withColumnsRenamed({"node": "doc_id", "component": "cluster"})
     every = stage(signed.select("doc_id", "n_shingles", "digest").join(named, "doc_id", "left"), "members")
     unstage(signed, clusters.staged)

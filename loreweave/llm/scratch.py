@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..staging import new_path, shared_dir, stage, unstage
 
-__all__ = ["by_hot_key", "new_path", "shared_dir", "slices", "stage", "trim", "unstage"]
+__all__ = ["by_hot_key", "least_by_key", "new_path", "shared_dir", "slices", "stage", "trim", "unstage"]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -44,3 +44,10 @@ def by_hot_key(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataF
     hot = F.broadcast(table.where(F.col(count) > total / 1000))
     rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(count) <= total / 1000), key)
     return rows.join(hot, key).unionByName(rest)
+
+
+def least_by_key(rows: DataFrame, key: str, value: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """((a: a value, b: the least value of its key) for the keys of several rows, the staged table behind it). Counted and joined rather than
+    windowed, so that a key which most rows hold is summed where it lies and joined by all tasks."""
+    firsts = stage(rows.groupBy(key).agg(F.min(value).alias("__least"), F.count("*").alias("__n")).where("__n > 1"), name)
+    return by_hot_key(rows, firsts, key, "__n").select(F.col(value).alias("a"), F.col("__least").alias("b")), firsts
