@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as tx
+from ..staging import stage
 from .debt import current_sessions, failed_verifications, rule_violations, scratch, unresolved_open_items, unverified_changes
 from .decisions import decision_status
 from .graph import reasoning_chains
@@ -62,14 +66,49 @@ def brief_warnings(nodes: DataFrame, tool_events: DataFrame, unverified: int = 3
     return loose.unionByName(rows)
 
 
+def _ends_met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(part, project_id, r, own) in order -> the own strings r that start with another one, or with which another one starts. Two stacks of
+    strings, each the start of the one above it, hold all that can still meet."""
+    key, others, open_own = None, [], []
+    for pdf in batches:
+        out = []
+        for part, project, r, own in pdf[["part", P, "r", "own"]].itertuples(index=False):
+            if (part, project) != key:
+                key, others, open_own = (part, project), [], []
+            for stack in (others, open_own):
+                while stack and not r.startswith(stack[-1]):
+                    stack.pop()
+            if not own:
+                out += [(project, x) for x in open_own]
+                open_own.clear()
+                others.append(r)
+            elif others:
+                out.append((project, r))
+            else:
+                open_own.append(r)
+        yield pd.DataFrame(out, columns=[P, "r"])
+
+
+def suffix_matches(own: DataFrame, active: DataFrame) -> DataFrame:
+    """(project_id, file) of own that equal an active one, end with it, or are its end; once each.
+
+    Turned round, ends are starts, and strings with one start lie together when sorted. Different strings are dealt to ranges; a string that is the
+    start of a later range's first string is carried there too, at most as many as that string is long. One pass over each range does the rest.
+    """
+    turned = lambda d, mine: d.select(P, F.reverse("file").alias("r"), F.lit(mine).alias("own")).where("r <> ''").distinct()
+    ranged = stage(turned(active, False).union(turned(own, True)).repartitionByRange(P, "r").withColumn("part", F.spark_partition_id()), "paths")
+    bounds = ranged.groupBy("part").agg(F.min(F.struct(P, "r")).alias("b")).select(F.col("part").alias("to"), "b.*")
+    starts = bounds.select("to", P, F.explode(F.transform(F.sequence(F.lit(1), F.length("r")), lambda n: F.substr(F.col("r"), F.lit(1), n))).alias("r"))
+    carried = ranged.join(starts, [P, "r"]).where(F.col("part") < F.col("to")).select(P, "r", "own", F.col("to").alias("part"))
+    rows = ranged.unionByName(carried).repartition("part").sortWithinPartitions("part", P, "r", "own")
+    return rows.mapInPandas(_ends_met, f"{P} string, r string").distinct().select(P, F.reverse("r").alias("file"))
+
+
 def brief_binding(nodes: DataFrame, active_files: DataFrame, most: int = 5) -> DataFrame:
-    """Active rules and decisions on an active file: equal, or one path ends with the other. All suffixes meet in equi-joins."""
-    suffixes = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substr(F.col(c), i)))
+    """Active rules and decisions on an active file: equal, or one path ends with the other."""
     own = nodes.where("status = 'Active' AND node_type IN ('Rule', 'Decision')").select(P, "id", F.explode("files").alias("file")).where("file <> ''")
-    active = active_files.select(P, "file").where("file <> ''").distinct()
-    ends = own.select(P, "id", suffixes("file").alias("s")).join(active.withColumnRenamed("file", "s"), [P, "s"]).select(P, "id")
-    starts = active.select(P, suffixes("file").alias("file")).distinct().join(own, [P, "file"]).select(P, "id")
-    rows = nodes.join(ends.union(starts).distinct(), [P, "id"], "left_semi")
+    met = own.join(suffix_matches(own.select(P, "file"), active_files.select(P, "file")), [P, "file"], "left_semi").select(P, "id").distinct()
+    rows = nodes.join(met, [P, "id"], "left_semi")
     place = F.row_number().over(Window.partitionBy(P).orderBy(F.col("node_type") != "Rule", "seq", "id"))
     return rows.withColumn("place", place).where(F.col("place") <= most).select(P, "place", "id", "node_type", tx.truncated(F.col("label"), CUT).alias("label"))
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,13 +107,15 @@ def _nearest_in_blocks(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, vectors = None, [], None
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in (*_BLOCK, "asks"))))
-            cuts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
-            for low, high in zip(cuts, [*cuts[1:], len(keys)]):
-                rows, now = batch.slice(low, high - low), keys[low][:3]
+            turns = np.zeros(max(0, batch.num_rows - 1), bool)
+            for c in (*_BLOCK, "asks"):
+                turns |= pc.not_equal(batch.column(c)[1:], batch.column(c)[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(turns) + 1).tolist()] if batch.num_rows else []
+            for low, high in zip(cuts, [*cuts[1:], batch.num_rows]):
+                rows, now = batch.slice(low, high - low), tuple(batch.column(c)[low].as_py() for c in _BLOCK)
                 if now != key:
                     key, held, vectors = now, [], None
-                if not keys[low][3]:
+                if not batch.column("asks")[low].as_py():
                     held.append(rows.select(["id", "embedding"]))
                     continue
                 if not held:
@@ -120,16 +123,16 @@ def _nearest_in_blocks(n: int):
                 if vectors is None:
                     table = pa.Table.from_batches(held).combine_chunks()
                     ids, vectors = table.column("id").combine_chunks(), _unit(table.column("embedding").combine_chunks())
-                    order = np.argsort(np.array(ids.to_pylist()), kind="stable")  # ties to the smaller id
-                    ids, vectors = ids.take(pa.array(order)), vectors[order]
-                names = ids.to_pylist()
-                own, questions = rows.column("id").to_pylist(), rows.column("question_id")
+                    order = pc.sort_indices(ids)  # ties to the smaller id
+                    ids, vectors = ids.take(order), vectors[order.to_numpy()]
+                # The place of a question's own id among the block's, -1 without one.
+                own, questions = pc.index_in(rows.column("id"), ids, skip_nulls=True).fill_null(-1).to_numpy(), rows.column("question_id")
                 take, mine, scores = [], [], []
                 for at in range(0, rows.num_rows, 256):
                     score = _unit(rows.column("embedding").slice(at, 256)) @ vectors.T
                     for j, line in enumerate(score):
                         best = np.argsort(-np.round(line, 6), kind="stable")[: n + 1]
-                        best = [i for i in best if names[i] != own[at + j]][:n]
+                        best = [i for i in best if i != own[at + j]][:n]
                         take += [at + j] * len(best)
                         mine += [int(i) for i in best]
                         scores += line[best].tolist()
@@ -150,7 +153,7 @@ def embedding_topk(questions: DataFrame, vectors: DataFrame, n: int = 5, block_r
     kinds, asked = dict(held.dtypes), fine(questions)
     asked = asked.withColumn("id", F.col("id") if "id" in questions.columns else F.lit(None)).select("question_id", P, F.col("id").cast(kinds["id"]).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), "length")
     sizes = held.groupBy(P, "length").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    placed = held.join(F.broadcast(sizes), [P, "length"]) if sizes.count() <= 10_000 else held.join(sizes, [P, "length"])
+    placed = held.join(sizes, [P, "length"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("asks", F.lit(False)).withColumn("question_id", F.lit(None).cast(dict(asked.dtypes)["question_id"]))
     spread = asked.join(sizes, [P, "length"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
     columns = [*_BLOCK, "asks", "id", "question_id", "embedding"]
@@ -159,6 +162,15 @@ def embedding_topk(questions: DataFrame, vectors: DataFrame, n: int = 5, block_r
     return _top(found.withColumn("score", F.round("score", 6)), n)
 
 
+def embedding_or_bm25_topk(questions: DataFrame, vectors: DataFrame, nodes: DataFrame, edges: DataFrame, n: int = 5) -> DataFrame:
+    """(question_id, project_id, question, embedding) -> embedding_topk(), and bm25_topk() for the questions that it leaves without an answer: those with
+    no vector of their own, one of another length, or a project without vectors. source tells which: embedding or bm25."""
+    near = stage(embedding_topk(questions, vectors, n).select("question_id", P, "id", "score", "rank"), "near")
+    rest = questions.join(near.select("question_id", P).distinct(), ["question_id", P], "left_anti").select("question_id", P, "question")
+    words = bm25_topk(rest, nodes, edges, n).select("question_id", P, "id", "score", "rank")
+    return near.withColumn("source", F.lit("embedding")).unionByName(words.withColumn("source", F.lit("bm25")))
+
+
 def hybrid_topk(first: DataFrame, second: DataFrame, n: int = 5, rrf: bool = False) -> DataFrame:
     """Both rankings (2n each) merged: the first one's order, then the second's; with rrf by reciprocal ranks."""
     rows = first.select("question_id", P, "id", F.col("rank"), F.lit(0).alias("source")).union(second.select("question_id", P, "id", "rank", F.lit(1)))

@@ -168,6 +168,28 @@ def test_embedding_topk_in_blocks_equals_brute_force(spark):
     assert retrieval.embedding_topk(asked.limit(0), vectors).count() == 0
 
 
+def test_questions_without_a_vector_are_answered_by_words(spark):
+    n = nodes(spark, ("p", "a", "Rule", "s", [], "rust compiler"), ("p", "b", "Rule", "s", [], "go linker"), ("q", "c", "Rule", "s", [], "rust"))
+    vectors = spark.createDataFrame([("p", "a", [1.0, 0.0]), ("p", "b", [0.0, 1.0])], "project_id string, id string, embedding array<double>")
+    asked = spark.createDataFrame(
+        [(1, "p", "rust", [0.1, 1.0]), (2, "p", "rust", None), (3, "p", "rust", [1.0]), (4, "q", "rust", [1.0, 0.0])], "question_id long, project_id string, question string, embedding array<double>"
+    )
+    found = {(r.question_id, r["rank"]): (r.id, r.source) for r in retrieval.embedding_or_bm25_topk(asked, vectors, n, edges(spark, ("p", "a", "Resolves", "b")), 1).collect()}
+    assert found == {(1, 1): ("b", "embedding"), (2, 1): ("a", "bm25"), (3, 1): ("a", "bm25"), (4, 1): ("c", "bm25")}
+
+
+def test_suffix_matches_equal_brute_force(spark):
+    rng = random.Random(8)
+    path = lambda: "".join(rng.choice("ab/") for _ in range(rng.randrange(1, 7)))
+    own = [(p, path()) for p in "pq" for _ in range(300)] + [("p", ""), ("p", "x/é.rs")]
+    active = [(p, path()) for p in "pq" for _ in range(12)] + [("p", "é.rs"), ("r", "a")]
+    table = lambda rows: spark.createDataFrame(rows, "project_id string, file string").repartition(5)
+    for some in (active, active[:2], active[12:14], []):
+        want = {(p, f) for p, f in own for q, g in some if p == q and f and g and (f.endswith(g) or g.endswith(f))}
+        found = [tuple(r) for r in reports.suffix_matches(table(own), table(some) if some else table(active).limit(0)).collect()]
+        assert set(found) == want and len(found) == len(want)
+
+
 def test_extraction_batches_by_size_and_wait(spark):
     times = [0, 1, 14, 15, 16, 40, *(41 + k / 10 for k in range(12))]
     rows = [("p", f"e{n:02d}", n, float(t)) for n, t in enumerate(times)] + [("q", "e", 0, 5.0)]
