@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from ..operators import studies as st
 from ..operators import writes as wr
 from ..sources import fixtures as fx
 from ..sources import readers as rd
+from ..sources.graph_store import GraphStore
 from ..staging import new_path, stage
 from ..streaming import streams
 from .registry import query
@@ -145,14 +148,13 @@ def check_passed(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", tx.check_passed(F.col("text")).alias("passed"))
 
 
-@query("""n AS (SELECT *, row_number() OVER (ORDER BY seq) AS r FROM fx_nodes), k AS (SELECT * FROM n WHERE seq % 4 <> 1), kr AS (SELECT id, seq, row_number() OVER (ORDER BY seq) AS r FROM k),
+@query("""n AS (SELECT *, row_number() OVER (ORDER BY seq) AS r FROM fx_nodes), kr AS (SELECT id, seq, r FROM n),
 er AS (SELECT id, seq, row_number() OVER (ORDER BY seq, id) AS r FROM fx_edges),
 pos AS (SELECT n.id, n.r, (SELECT count(*) FROM kr WHERE kr.seq <= n.seq) AS rk, (SELECT count(*) FROM er WHERE er.seq <= n.seq) AS re FROM n)
 SELECT replace(pos.id, 'c', 'u') AS id, (SELECT string_agg(replace(b.id, 'c', 'u'), ',' ORDER BY b.r) FROM n b WHERE b.r BETWEEN pos.r - 19 AND pos.r) AS history,
   coalesce((SELECT string_agg(id, ',' ORDER BY r) FROM kr WHERE r BETWEEN rk - 49 AND rk), '') AS known, coalesce((SELECT string_agg(id, ',' ORDER BY r) FROM er WHERE r BETWEEN re - 99 AND re), '') AS known_edges FROM pos""")
 def context_asof(spark: SparkSession, d: str) -> DataFrame:
-    """Every utterance, with nodes of three utterances of four."""
-    found = sc.context_asof(fx.utterances(spark, d), fx.nodes(spark, d).where("seq % 4 <> 1"), fx.edges(spark, d))
+    found = sc.context_asof(fx.utterances(spark, d), fx.nodes(spark, d), fx.edges(spark, d))
     return found.select("id", *(F.array_join(c, ",").alias(c) for c in ("history", "known", "known_edges")))
 
 
@@ -495,9 +497,13 @@ def decision_validation_criteria(spark: SparkSession, d: str) -> DataFrame:
     return dc.decision_validation_criteria(fx.nodes(spark, d), fx.edges(spark, d)).select("id", F.array_join("criteria", "|").alias("criteria"))
 
 
-@query(_STATUS_SQL + "SELECT id, nullif(agent_id, '') AS owner, decision_status, timestamp FROM st")
+@query(_STATUS_SQL + ", " + _RATIONALE_SQL + ", " + _BLOCKED_SQL + """SELECT st.id, nullif(agent_id, '') AS owner, decision_status, timestamp, coalesce(r, concat('Decision made by ', agent_id, ' in S', session_index + 1, ': ', description)) AS rationale,
+  coalesce((SELECT array_to_string(list_sort(list(label))[1:10], '|') FROM blocked b WHERE b.id = st.id), '') AS blocked_work,
+  coalesce((SELECT string_agg(concat('Resolves open item: ', t.label), '|' ORDER BY e.seq DESC, t.id) FROM fx_edges e JOIN fx_nodes t ON t.id = e.target_node_id WHERE e.source_node_id = st.id AND edge_type = 'Resolves' AND t.node_type = 'OpenItem'), '') AS criteria
+FROM st JOIN fx_sessions USING (session_id) LEFT JOIN why ON why.id = st.id""")
 def decision_timeline(spark: SparkSession, d: str) -> DataFrame:
-    return dc.decision_timeline(fx.nodes(spark, d), fx.edges(spark, d)).select("id", "owner", "decision_status", "timestamp")
+    found = dc.decision_timeline(fx.nodes(spark, d), fx.edges(spark, d))
+    return found.select("id", "owner", "decision_status", "timestamp", "rationale", F.array_join("blocked_work", "|").alias("blocked_work"), F.array_join("criteria", "|").alias("criteria"))
 
 
 _DOWN_SQL = """e1 AS (SELECT DISTINCT source_node_id AS a, target_node_id AS b FROM fx_edges),
@@ -609,9 +615,10 @@ def node_degree(spark: SparkSession, d: str) -> DataFrame:
     return rt.node_degree(fx.nodes(spark, d), fx.edges(spark, d)).select("id", "degree")
 
 
-@query(_BM25_SQL + "SELECT term, df FROM df")
+@query(_BM25_SQL + "SELECT tf.id, term, tf, l AS length, df FROM tf JOIN df USING (term) JOIN ln ON ln.id = tf.id")
 def bm25_index(spark: SparkSession, d: str) -> DataFrame:
-    return rt.bm25_index(fx.nodes(spark, d))[1].select("term", "df")
+    postings, terms = rt.bm25_index(fx.nodes(spark, d))
+    return postings.join(terms, ["project_id", "term"]).select("id", "term", "tf", F.col("length").cast("long").alias("length"), "df")
 
 
 @query(_BM25_SQL + "SELECT question_id, id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5")
@@ -861,7 +868,7 @@ jud AS (SELECT *, CASE (conv_id + turn + idx) % 3 WHEN 0 THEN 'Decision' WHEN 1
 
 
 @query(_SENTENCE_SQL + r""", kept AS (SELECT *, row_number() OVER (PARTITION BY session_id, trim(regexp_replace(lower(regexp_replace(sentence, '[^A-Za-z0-9\s]', '', 'g')), '\s+', ' ', 'g')) ORDER BY seq, idx) AS copy FROM jud WHERE choice <> 'noise' AND probability >= 0.65)
-SELECT concat('jev-', event_id, '-s', idx) AS id, choice AS node_type, CASE WHEN len(string_split(sentence, ' ')) > 12 THEN concat(array_to_string(string_split(sentence, ' ')[1:12], ' '), '…') ELSE sentence END AS label,
+SELECT concat('""" + schema.JUDGED_ID + r"""', event_id, '-s', idx) AS id, choice AS node_type, CASE WHEN len(string_split(sentence, ' ')) > 12 THEN concat(array_to_string(string_split(sentence, ' ')[1:12], ' '), '…') ELSE sentence END AS label,
   CASE WHEN length(sentence) > 400 THEN concat(substr(sentence, 1, 400), '…') ELSE sentence END AS description, round(greatest(least(probability, 0.95), 0.1), 6) AS confidence, timestamp, session_id, seq FROM kept WHERE copy = 1""")
 def judged_nodes(spark: SparkSession, d: str) -> DataFrame:
     sentences = ex.sentence_table(fx.utterances(spark, d))
@@ -908,12 +915,22 @@ def validate_nodes(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("id", "node_type", F.col("confidence").cast("decimal(3,2)").alias("confidence"))
 
 
-@query("""SELECT e.id, CASE WHEN b.id IS NULL THEN 'unknown endpoint' END AS reject_reason FROM fx_edges e LEFT JOIN (SELECT * FROM fx_nodes WHERE status = 'Active') a ON a.id = e.source_node_id
-LEFT JOIN (SELECT * FROM fx_nodes WHERE status = 'Active') b ON b.id = e.target_node_id WHERE a.id IS NOT NULL""")
+@query("""SELECT e.id, CASE WHEN e.seq % 6 = 0 THEN 'self edge' WHEN a.status <> 'Active' OR b.status <> 'Active' THEN 'unknown endpoint' WHEN e.seq % 6 = 1 THEN 'short reasoning'
+  WHEN e.seq % 6 = 2 THEN CASE WHEN strlen(trim(b.label)) < 10 THEN 'short reasoning' WHEN trim(b.label) = b.label OR trim(b.label) = a.label THEN 'reasoning is a label'
+    WHEN strlen(a.label) >= 3 AND strlen(b.label) >= 3 AND contains(trim(b.label), a.label) AND contains(trim(b.label), b.label) THEN 'reasoning repeats labels' END
+  WHEN e.seq % 6 = 3 AND strlen(trim(concat(a.label, ' so ', b.label))) < 10 THEN 'short reasoning'
+  WHEN e.seq % 6 = 3 AND strlen(a.label) >= 3 AND strlen(b.label) >= 3 AND contains(trim(concat(a.label, ' so ', b.label)), a.label) AND contains(trim(concat(a.label, ' so ', b.label)), b.label) THEN 'reasoning repeats labels' END AS reject_reason
+FROM fx_edges e JOIN fx_nodes a ON a.id = e.source_node_id JOIN fx_nodes b ON b.id = e.target_node_id""")
 def validate_edges(spark: SparkSession, d: str) -> DataFrame:
-    active = fx.nodes(spark, d).where("status = 'Active'")
-    edges = fx.edges(spark, d).join(active.select("project_id", F.col("id").alias("source_node_id")), ["project_id", "source_node_id"], "left_semi")
-    return ex.validate_edges(edges, active).select("id", "reject_reason")
+    """Every edge against the active nodes; some end where they start, or have a short reasoning, a label or both labels for one."""
+    nodes = fx.nodes(spark, d)
+    end = lambda c, name: nodes.select("project_id", F.col("id").alias(c), F.col("label").alias(name))
+    edges = fx.edges(spark, d).join(end("source_node_id", "sl"), ["project_id", "source_node_id"]).join(end("target_node_id", "tl"), ["project_id", "target_node_id"])
+    edges = edges.withColumns({
+        "target_node_id": F.expr("CASE WHEN seq % 6 = 0 THEN source_node_id ELSE target_node_id END"),
+        "reasoning": F.expr("CASE WHEN seq % 6 = 1 THEN 'short' WHEN seq % 6 = 2 THEN tl WHEN seq % 6 = 3 THEN concat(sl, ' so ', tl) ELSE concat(reasoning, ' of what was said') END"),
+    })
+    return ex.validate_edges(edges, nodes.where("status = 'Active'")).select("id", "reject_reason")
 
 
 @query("""o AS (SELECT id FROM fx_debt_open ORDER BY seq DESC LIMIT 25)
@@ -1032,21 +1049,21 @@ def containment(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.round(tx.containment(F.col("a"), F.col("b")), 6).alias("score"))
 
 
-@query(f"""gold AS (SELECT e.id, e.edge_type, a.label AS sl, b.label AS tl FROM fx_edges e JOIN fx_nodes a ON a.id = source_node_id JOIN fx_nodes b ON b.id = target_node_id WHERE e.seq % 7 = 0),
-kept AS (SELECT * FROM fx_nodes WHERE seq % 11 <> 0), k AS (SELECT id, seq, {_eval_sql('label')} AS t FROM kept UNION ALL SELECT id, seq, {_eval_sql("concat(label, ' ', description)")} FROM kept),
+@query(f"""gold AS (SELECT e.id, CASE WHEN e.seq % 3 = 0 THEN 'RelatesTo' ELSE e.edge_type END AS edge_type, a.label AS sl, b.label AS tl FROM fx_edges e JOIN fx_nodes a ON a.id = source_node_id JOIN fx_nodes b ON b.id = target_node_id),
+k AS (SELECT id, seq, {_eval_sql('label')} AS t FROM fx_nodes UNION ALL SELECT id, seq, {_eval_sql("concat(label, ' ', description)")} FROM fx_nodes),
 ends AS (SELECT DISTINCT label, {_eval_sql('label')} AS t FROM (SELECT sl AS label FROM gold UNION SELECT tl FROM gold)),
 sc AS (SELECT ends.label, k.id, k.seq, len(list_intersect(ends.t, k.t)) / least(len(ends.t), len(k.t)) AS score FROM ends JOIN k ON least(len(ends.t), len(k.t)) > 0),
 best AS (SELECT label, id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, seq) AS p FROM sc WHERE score >= 0.5) WHERE p = 1),
-keys AS (SELECT DISTINCT source_node_id AS s, target_node_id AS t, edge_type FROM fx_edges WHERE seq % 3 <> 0),
+keys AS (SELECT DISTINCT source_node_id AS s, target_node_id AS t, edge_type FROM fx_edges),
 hit AS (SELECT keys.* FROM gold JOIN best a ON a.label = sl JOIN best b ON b.label = tl JOIN keys ON keys.s = a.id AND keys.t = b.id AND keys.edge_type = gold.edge_type),
 n AS (SELECT (SELECT count(*) FROM gold) AS gold, (SELECT count(*) FROM keys) AS n_edges, (SELECT count(*) FROM hit) AS tp, (SELECT count(*) FROM (SELECT DISTINCT * FROM hit)) AS used)
 SELECT gold, n_edges, tp, n_edges - used AS fp, gold - tp AS fn, round(coalesce(tp / nullif(tp + n_edges - used, 0), 0), 3) AS p, round(coalesce(tp / nullif(gold, 0), 0), 3) AS r, round(coalesce(2 * tp / nullif(2 * tp + n_edges - used + gold - tp, 0), 0), 3) AS f1 FROM n""")
 def relation_prf(spark: SparkSession, d: str) -> DataFrame:
-    """A seventh of the edges as gold, by the labels of their ends, against a graph that lacks some nodes and edges."""
+    """Every edge as gold, by the labels of its ends and some with another type, against the graph."""
     nodes, edges = fx.nodes(spark, d), fx.edges(spark, d)
     end = lambda c, name: nodes.select("project_id", F.col("id").alias(c), F.col("label").alias(name))
-    gold = edges.where("seq % 7 = 0").join(end("source_node_id", "source_label"), ["project_id", "source_node_id"]).join(end("target_node_id", "target_label"), ["project_id", "target_node_id"])
-    return ev.relation_prf(gold.select(F.col("id").alias("relation_id"), "source_label", "target_label", "edge_type"), nodes.where("seq % 11 <> 0"), edges.where("seq % 3 <> 0"))
+    gold = edges.withColumn("edge_type", F.expr("CASE WHEN seq % 3 = 0 THEN 'RelatesTo' ELSE edge_type END")).join(end("source_node_id", "source_label"), ["project_id", "source_node_id"]).join(end("target_node_id", "target_label"), ["project_id", "target_node_id"])
+    return ev.relation_prf(gold.select(F.col("id").alias("relation_id"), "source_label", "target_label", "edge_type"), nodes, edges)
 
 
 @query("SELECT n.id, CASE WHEN seq % 4 = 1 AND node_type <> 'Rule' THEN 'Rule' ELSE node_type END AS node_type FROM fx_nodes n WHERE seq % 4 <> 0")
@@ -1107,6 +1124,106 @@ def windowed_activity(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "tool_name", "n")
 
 
+# Streams over the tables, each run to its end
+
+
+def _streamed(rows: DataFrame, run: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The rows as a stream through run, to a table."""
+    spark, path = rows.sparkSession, new_path(rows.sparkSession, name)
+    rows.write.parquet(f"{path}/in")
+    out = run(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+    q = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+@query("SELECT id, seq FROM fx_tools")
+def stream_dedupe_events(spark: SparkSession, d: str) -> DataFrame:
+    """Every event twice, once out."""
+    ts = fx.table(spark, d, "events").select(F.concat(F.lit("t"), "event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = fx.tool_events(spark, d).select("project_id", "id", "seq").join(ts, "id")
+    return _streamed(rows.union(rows), lambda s: streams.dedupe_events(s, "3650 days"), "dedupe").select("id", "seq")
+
+
+@query("SELECT (SELECT max(seq) FROM fx_tools) AS at, (SELECT string_agg(id, ',' ORDER BY seq) FROM (SELECT id, seq FROM fx_tools ORDER BY seq DESC LIMIT 20)) AS ids WHERE EXISTS (SELECT 1 FROM fx_tools)")
+def stream_event_log(spark: SparkSession, d: str) -> DataFrame:
+    return _streamed(fx.tool_events(spark, d), streams.stream_event_log, "event-log").groupBy("project_id").agg(F.max("at").alias("at"), F.array_join(F.max_by("ids", "at"), ",").alias("ids")).select("at", "ids")
+
+
+@query("""SELECT session_id, row_number() OVER (ORDER BY min(seq)) - 1 AS session_index, max(seq) = (SELECT max(seq) FROM fx_tools) AS current FROM fx_tools GROUP BY session_id""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    found = _streamed(fx.tool_events(spark, d), lambda s: streams.stream_sessions(s, 1_000_000), "sessions")
+    return found.groupBy("session_id", "session_index").agg(F.max("current").alias("current"))
+
+
+@query("""acts AS (SELECT id, session_id, seq, 'e' AS k FROM fx_edits UNION ALL SELECT id, session_id, seq, 'c' FROM fx_checks),
+ring AS (SELECT *, row_number() OVER (PARTITION BY session_id, k ORDER BY seq DESC) AS r FROM acts)
+SELECT session_id, coalesce(string_agg(id, ',' ORDER BY seq) FILTER (k = 'e'), '') AS edits, coalesce(string_agg(id, ',' ORDER BY seq) FILTER (k = 'c'), '') AS checks FROM ring WHERE r <= 100 GROUP BY session_id""")
+def stream_scratch(spark: SparkSession, d: str) -> DataFrame:
+    found = _streamed(fx.tool_events(spark, d), lambda s: streams.stream_scratch(s, sessions=1_000_000), "scratch")
+    last = found.groupBy("session_id").agg(F.max_by(F.struct("edits", "checks"), "at").alias("s"))
+    return last.select("session_id", F.array_join("s.edits", ",").alias("edits"), F.array_join("s.checks", ",").alias("checks"))
+
+
+@query("""SELECT id AS event_id, session_id, 'unverified' AS warning FROM fx_edits e WHERE NOT EXISTS (SELECT 1 FROM fx_checks c WHERE c.session_id = e.session_id AND c.file = e.file AND c.seq > e.seq)
+UNION ALL SELECT id, session_id, 'failing' FROM fx_checks c WHERE NOT passed AND NOT EXISTS (SELECT 1 FROM fx_edits e WHERE e.session_id = c.session_id AND e.file = c.file AND e.seq > c.seq)
+  AND NOT EXISTS (SELECT 1 FROM fx_checks p WHERE p.passed AND p.session_id = c.session_id AND p.file = c.file AND p.seq > c.seq)""")
+def stream_debt_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """The warnings that were raised and not cleared."""
+    found = _streamed(fx.tool_events(spark, d), lambda s: streams.debt_warnings(s, 1_000_000, 1_000_000), "warnings")
+    left = found.groupBy("event_id", "session_id", "warning").agg(F.sum(F.when(F.col("action") == "raise", 1).otherwise(-1)).alias("n"))
+    return left.where("n > 0").select("event_id", "session_id", "warning")
+
+
+@query("SELECT count(*) AS ingested, count(*) FILTER (tool_name <> 'read') AS tool_events, count(*) FILTER (tool_name = 'read') AS queued, CAST(0 AS BIGINT) AS late FROM fx_tools")
+def stream_backpressure_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Reading counts as prose here; one batch, so nothing is late."""
+    rows, path = fx.tool_events(spark, d).withColumn("event_kind", F.expr("CASE WHEN tool_name = 'read' THEN 'utterance' ELSE 'tool_call' END")), new_path(spark, "counted")
+    rows.write.parquet(f"{path}/in")
+    counts = streams.BatchCounts()
+    sink = counts.into(lambda batch, number: batch.write.mode("append").parquet(f"{path}/out"))
+    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in").writeStream.foreachBatch(sink)
+    stream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    names = ["ingested", "tool_events", "queued", "late"]
+    return spark.createDataFrame([tuple(counts.totals()[k] for k in names)], ", ".join(f"{k} long" for k in names))
+
+
+@query("SELECT 'node' AS kind, id FROM fx_nodes UNION ALL SELECT 'edge', id FROM fx_edges")
+def stream_upsert_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes and edges as one stream into the store, twice; edges without both ends are not among these."""
+    nodes = fx.nodes(spark, d).selectExpr("'node' AS kind", "project_id", "id", "node_type", "label", "CAST(NULL AS STRING) AS edge_type", "CAST(NULL AS STRING) AS source_node_id", "CAST(NULL AS STRING) AS target_node_id", "seq")
+    edges = fx.edges(spark, d).selectExpr("'edge' AS kind", "project_id", "id", "CAST(NULL AS STRING) AS node_type", "CAST(NULL AS STRING) AS label", "edge_type", "source_node_id", "target_node_id", "seq")
+    path = new_path(spark, "graph")
+    rows = nodes.union(edges).union(edges.withColumns({"id": F.concat("id", F.lit("?")), "target_node_id": F.lit("nowhere")}))
+    rows.write.parquet(f"{path}/in")
+    store = GraphStore(spark, f"{path}/store", buckets=8)
+    for run in range(2):
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in").writeStream.foreachBatch(streams.upsert_graph(store))
+        stream.option("checkpointLocation", f"{path}/checkpoint-{run}").trigger(availableNow=True).start().awaitTermination()
+    held = store.read()
+    return held[0].select(F.lit("node").alias("kind"), "id").union(held[1].select(F.lit("edge"), "id"))
+
+
+@query("SELECT concat('u', conv_id, '-', turn) AS id, concat('s', conv_id % 20) AS session_id, role AS agent_role, text FROM conversations WHERE text IS NOT NULL")
+def scan_event_stream_file(spark: SparkSession, d: str) -> DataFrame:
+    path = new_path(spark, "event-files")
+    fx.utterances(spark, d).select(F.to_json(F.struct("id", "session_id", "agent_role", "start_time", "end_time", "text"))).write.text(f"{path}/in")
+    out = rd.scan_event_stream_file(spark, f"{path}/in", suffix=".txt").select("id", "session_id", "agent_role", "text")
+    out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+@query("SELECT CASE node_type WHEN 'Decision' THEN 'decisions' WHEN 'OpenItem' THEN 'questions' ELSE 'assumptions' END AS section, id, label, agent_id AS who, status FROM fx_nodes WHERE label IS NOT NULL")
+def load_gold(spark: SparkSession, d: str) -> DataFrame:
+    """Gold files of a hundred conversations of a session each, written from the nodes."""
+    path = new_path(spark, "gold")
+    item = F.struct("id", "label", F.col("agent_id").alias("who"), "status")
+    lists = [F.collect_list(F.when(F.col("node_type") == kind, item)).alias(name) for kind, name in (("Decision", "decisions"), ("OpenItem", "questions"), ("Rule", "assumptions"))]
+    files = fx.nodes(spark, d).withColumn("file", F.concat_ws("-", "session_id", F.floor(F.col("seq") / 10_000))).groupBy("file").agg(*lists)
+    files.select("file", F.to_json(F.struct("decisions", "questions", "assumptions")).alias("value")).write.partitionBy("file").text(path)
+    return rd.load_gold(spark, path)[0]
+
+
 # Writes, gates and studies
 
 
