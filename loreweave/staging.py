@@ -5,9 +5,13 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. A session in one process that names none (tests) gets a temporary one; on a cluster that is an error,
@@ -22,7 +26,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What queries stage inside goes when the block ends, so that a long application does not fill the shared folder. Results must be written or
+    collected inside; a query's result reads staged tables until then."""
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
 #: While tables are staged: Spark removes the shuffle files of a query when it ends, and sends Python small batches.
@@ -72,6 +98,4 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def unstage(*staged: DataFrame) -> None:
     """Remove tables that stage() wrote and nothing reads any more, so that scratch space stays small."""
     for df in staged:
-        spark = df.sparkSession
-        found = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+        _remove(df.sparkSession, df.staged_path)

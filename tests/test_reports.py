@@ -373,6 +373,60 @@ def test_many_questions_search_at_once(spark):
         assert set(found) == want and len(found) == len(want)
 
 
+def sequential_moves(links, passes=50):
+    """Local moving, a node at a time in order, to the neighbouring community of the largest gain; until no node moves."""
+    weight, degree = {}, {}
+    for a, b, w in links:
+        weight.setdefault(a, {}).setdefault(b, 0.0)
+        weight.setdefault(b, {}).setdefault(a, 0.0)
+        weight[a][b] += w
+        weight[b][a] += w
+    m = sum(w for _, _, w in links)
+    degree = {x: sum(n.values()) for x, n in weight.items()}
+    own, total = {x: x for x in weight}, dict(degree)
+    for _ in range(passes):
+        moved = False
+        for x in sorted(weight):
+            total[own[x]] -= degree[x]
+            into = {}
+            for y, w in weight[x].items():
+                into[own[y]] = into.get(own[y], 0.0) + w
+            gain = lambda c: into.get(c, 0.0) / m - degree[x] * total[c] / (2 * m * m)
+            best = max(sorted({own[x], *into}), key=lambda c: (gain(c), c == own[x]))
+            moved |= best != own[x]
+            own[x] = best
+            total[best] += degree[x]
+        if not moved:
+            break
+    q = sum(w for a, b, w in links if own[a] == own[b]) / m
+    return q - sum((t / (2 * m)) ** 2 for t in total.values())
+
+
+@pytest.mark.parametrize("kind", ["cliques", "random", "fixture"])
+def test_louvain_is_near_a_sequential_run(spark, kind):
+    rng = random.Random(3)
+    if kind == "fixture":
+        from loreweave.sources import fixtures as fx
+
+        n, e = fx.nodes(spark, SF), fx.edges(spark, SF)
+    else:
+        pairs = [(a, b) for a in range(60) for b in range(a) if (rng.random() < (0.5 if a // 10 == b // 10 else 0.02) if kind == "cliques" else rng.random() < 0.05)]
+        n = nodes(spark, *(("p", f"n{k:02d}", "Rule", "s", [], "x") for k in range(60)))
+        e = edges(spark, *(("p", f"n{a:02d}", "RelatesTo", f"n{b:02d}") for a, b in pairs))
+    adjacency = communities.community_adjacency(e)
+    q = communities.modularity(adjacency, communities.louvain(n, e)).first().modularity
+    assert q >= 0.98 * sequential_moves([(r.a, r.b, float(r.weight)) for r in adjacency.collect()])
+
+
+def test_staged_tables_go_with_their_scope(spark, tmp_path):
+    kept = staging.stage(spark.range(3).toDF("x"), "kept")
+    with staging.scope(spark):
+        gone = staging.stage(spark.range(4).toDF("x"), "gone")
+        assert gone.count() == 4
+    place = lambda d: d.staged_path.removeprefix("file://")
+    assert os.path.isdir(place(kept)) and not os.path.exists(place(gone))
+
+
 def test_entry_without_an_import(spark, monkeypatch):
     import __spark_entry__ as entry
 
