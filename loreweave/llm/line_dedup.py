@@ -311,7 +311,7 @@ def repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     held = sets.select("node", F.explode("signs").alias("sign"))
     edges, firsts = least_by_key(held, "sign", "node", "sign-firsts")
     clusters = connected_components(edges.union(sets.select("node", F.explode("roots"))), "line-clusters")
-    unstage(signed, firsts)
+    unstage(signed, *firsts)
     members = stage(clusters.withColumnRenamed("component", "cluster").join(first, "node").select("node", "cluster", "at.doc_id", "at.line_no"), "line-members")
     unstage(clusters.staged)
     wanted = _in_blocks(members, block_lines)

@@ -325,7 +325,7 @@ def ngram_components(
     held = signed.select("doc_id", F.explode("signs").alias("sign"))
     edges, firsts = least_by_key(held, "sign", "doc_id", "sign-firsts")
     clusters = connected_components(edges.union(signed.select("doc_id", F.explode("roots"))), "clusters")
-    unstage(firsts)
+    unstage(*firsts)
     named = clusters.withColumnsRenamed({"node": "doc_id", "component": "cluster"})
     every = stage(signed.select("doc_id", "n_shingles", "digest").join(named, "doc_id", "left"), "members")
     unstage(signed, clusters.staged)

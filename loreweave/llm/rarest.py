@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import by_hot_key, least_by_key, slices, stage, unstage
+from .scratch import hot_keys, least_by_key, over_keys, slices, stage, unstage
 
 
 def _elements(num: int, den: int, halves: bool):
@@ -49,9 +49,12 @@ def split_clusters(sets: DataFrame, num: int, den: int, halves: bool = False) ->
     only; the others come after them in the order, by value. A key may stand for several sets.
     """
     rows = sets.mapInArrow(_elements(num, den, halves), "key long, name long, slack int, rest boolean, gram long")
-    shared = stage(rows.where("NOT rest").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    counted = by_hot_key(rows.where("NOT rest"), shared, "gram", "n")
-    held = rows.where("rest").withColumn("n", F.lit(0).cast("long")).unionByName(counted)
+    # A sample of whole sets, which elements of a few would not stand out of, finds the elements that most sets hold.
+    drawn = sets.sample(0.02, seed=1).mapInArrow(_elements(num, den, halves), "key long, name long, slack int, rest boolean, gram long").where("NOT rest")
+    hot = hot_keys(drawn, "gram", "split-hot")
+    counted = over_keys(rows.where("NOT rest"), "gram", F.count("*"), "n", hot).where("n > 1") if hot is not None else None
+    plain = rows.withColumn("n", F.when(F.col("rest"), 0).otherwise(F.count("*").over(Window.partitionBy("gram")))).where("rest OR n > 1")
+    held = plain if counted is None else rows.where("rest").withColumn("n", F.lit(0).cast("long")).unionByName(counted)
     listed = F.sort_array(F.collect_list(F.struct("rest", "n", "gram")))
     firsts = held.groupBy("key", "name").agg(listed.alias("held"), F.max("slack").alias("slack"), F.count_if(~F.col("rest")).alias("shared"))
     take = (F.col("slack") + F.col("shared")).cast("int")
@@ -59,7 +62,7 @@ def split_clusters(sets: DataFrame, num: int, den: int, halves: bool = False) ->
     signs = stage(signs, "split-signs")
     edges, firsts = least_by_key(signs, "gram", "key", "split-firsts")
     found = connected_components(edges, "split")
-    unstage(shared, signs, firsts)
+    unstage(signs, *firsts, *([] if hot is None else [hot]))
     named = found.withColumnsRenamed({"node": "key", "component": "cluster"})
     named.staged = found.staged
     return named

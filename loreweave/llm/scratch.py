@@ -6,12 +6,12 @@ import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import new_path, shared_dir, stage, unstage
 
-__all__ = ["by_hot_key", "least_by_key", "new_path", "shared_dir", "slices", "stage", "trim", "unstage"]
+__all__ = ["by_hot_key", "hot_keys", "least_by_key", "new_path", "over_keys", "shared_dir", "slices", "stage", "trim", "unstage"]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -46,8 +46,29 @@ def by_hot_key(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataF
     return rows.join(hot, key).unionByName(rest)
 
 
-def least_by_key(rows: DataFrame, key: str, value: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """((a: a value, b: the least value of its key) for the keys of several rows, the staged table behind it). Counted and joined rather than
-    windowed, so that a key which most rows hold is summed where it lies and joined by all tasks."""
-    firsts = stage(rows.groupBy(key).agg(F.min(value).alias("__least"), F.count("*").alias("__n")).where("__n > 1"), name)
-    return by_hot_key(rows, firsts, key, "__n").select(F.col(value).alias("a"), F.col("__least").alias("b")), firsts
+def hot_keys(rows: DataFrame, key: str, name: str) -> DataFrame | None:
+    """(key) of at most a thousand keys that most of a sample's rows have, staged; None without any. rows: the whole or a sample of it. Which keys
+    these are decides only how a key is summed, never what comes out."""
+    found = stage(rows.groupBy(key).count().where("count >= 20").orderBy(F.desc("count")).limit(1000).select(key), name)
+    if found.isEmpty():
+        unstage(found)
+        return None
+    return found
+
+
+def over_keys(rows: DataFrame, key: str, total: Column, name: str, hot: DataFrame | None) -> DataFrame:
+    """rows with an aggregate over their key as another column: a window, and for the hot keys, which would be one task each, sums where the
+    rows lie that are sent back to them."""
+    if hot is None:
+        return rows.withColumn(name, total.over(Window.partitionBy(key)))
+    hot = F.broadcast(hot)
+    few = rows.join(hot, key).groupBy(key).agg(total.alias(name))
+    rest = rows.join(hot, key, "left_anti").withColumn(name, total.over(Window.partitionBy(key)))
+    return rest.unionByName(rows.join(F.broadcast(few), key).select(*rest.columns))
+
+
+def least_by_key(rows: DataFrame, key: str, value: str, name: str) -> tuple[DataFrame, list[DataFrame]]:
+    """((a: a value, b: the least value of its key), the staged tables behind it)."""
+    hot = hot_keys(rows.sample(0.02, seed=1), key, name)
+    found = over_keys(rows.select(key, value), key, F.min(value), "__least", hot)
+    return found.select(F.col(value).alias("a"), F.col("__least").alias("b")), [] if hot is None else [hot]

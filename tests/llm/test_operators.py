@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loreweave.llm import fingerprints, language_id, line_dedup, mixing, neighbours, ngram_join, packing, pii, token_rollup, url_filter
 from loreweave.llm.queries import op6_line_dedup, vocabulary
@@ -588,6 +589,17 @@ def test_ngram_components_join_what_a_repeated_id_stands_for(spark):
         assert found == {5: 2, 2: 2, 9: 2, 7: 7}
 
 
+def test_hot_keys_do_not_change_what_comes_out(spark):
+    from loreweave.llm.scratch import hot_keys, over_keys
+
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(rng.choice([7, 7, 8, rng.randrange(500)]), k) for k in range(4000)], "key long, value long")
+    hot = hot_keys(rows, "key", "hot")
+    assert {7, 8} <= {r.key for r in hot.collect()} and hot_keys(rows.limit(10), "key", "none") is None
+    both = [sorted(map(tuple, over_keys(rows, "key", F.min("value"), "least", h).collect())) for h in (None, hot)]
+    assert both[0] == both[1] and len(both[0]) == 4000
+
+
 def test_pipeline_decisions(spark, tmp_path):
     import corpus_pipeline
 
