@@ -20,6 +20,7 @@ from ..operators import retrieval as rt
 from ..operators import scans as sc
 from ..operators import studies as st
 from ..operators import writes as wr
+from ..operators.bm25_store import Bm25Store
 from ..sources import fixtures as fx
 from ..sources import readers as rd
 from ..sources.graph_store import GraphStore
@@ -626,6 +627,16 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return rt.bm25_topk(fx.questions(spark, d), fx.nodes(spark, d), fx.edges(spark, d)).select("question_id", "id", "score", "rank")
 
 
+@query(_BM25_SQL + "SELECT question_id, id, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5")
+def bm25_stored_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same ranking from a stored index that took a first version of some nodes, then changes and removals, then the rest."""
+    nodes = fx.nodes(spark, d)
+    store = Bm25Store(spark, new_path(spark, "bm25-store"))
+    store.commit(0, nodes.where("seq % 3 <> 0").withColumn("label", F.expr("CASE WHEN seq % 5 = 0 THEN concat(label, ' of old') ELSE label END")).union(nodes.where("seq % 3 = 0").withColumn("id", F.concat(F.lit("gone-"), "id"))))
+    store.commit(1, nodes.where("seq % 5 = 0 OR seq % 3 = 0"), nodes.where("seq % 3 = 0").select("project_id", F.concat(F.lit("gone-"), "id").alias("id")))
+    return store.topk(fx.questions(spark, d), fx.edges(spark, d))[0].select("question_id", "id", "score", "rank")
+
+
 _COS_SQL = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT q.vec_id AS question_id, v.vec_id AS id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM s)
