@@ -55,7 +55,7 @@ def test_queries_equal_their_sql(spark, name):
 def test_debt_cases(spark):
     n = nodes(spark, ("a", "OpenItem", "s1", [], "Active"), ("b", "OpenItem", "s1", [], "Active"), ("c", "OpenItem", "s1", [], "Invalidated"), ("d", "Decision", "s2", [], "Active"), ("r", "Rule", "s2", ["x"], "Active"))
     items = debt.debt_items(n, edges(spark, ("d", "RelatesTo", "a")))
-    assert debt.debt_report(items).first()[1:] == (2, 6)
+    assert debt.debt_report(items).first()[1:] == (2, 6, "red")
     assert ids(debt.unresolved_open_items(n, edges(spark, ("d", "Resolves", "a")))) == [("b",)]
     edit, fail, ok = ("e", "edit", "", ["x", "y"]), ("k", "test", "1 failed", ["y"]), ("k2", "test", "ok", ["x"])
     assert ids(debt.unverified_changes(*debt.scratch(tools(spark, edit)))) == [("e",)]
