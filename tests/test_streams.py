@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import random
 import time
+import types
+
+import pandas as pd
 
 from loreweave.streaming import streams
 
@@ -147,6 +150,31 @@ def test_warnings_over_many_sessions_and_triggers(spark, tmp_path):
     assert sorted(tuple(r) for r in found) == sorted(want)
 
 
+def _held(value):
+    """A state value that starts as told, in place of Spark's."""
+    cell = [value]
+    return types.SimpleNamespace(get=lambda: cell[0], exists=lambda: cell[0] is not None, update=lambda v: cell.__setitem__(0, v))
+
+
+def test_a_project_meets_in_packed_blocks_and_sessions_leave_as_in_a_walk(spark):
+    rng = random.Random(3)
+    rows = [("p", f"e{n}", f"s{int(rng.expovariate(0.2))}", n // 2) for n in rng.sample(range(1000), 1000)]  # two of each seq
+    table = spark.createDataFrame(rows, "project_id string, id string, session_id string, seq long").repartition(3)
+    blocks = streams._packed(table).collect()
+    assert len(blocks) == 3 and sum(len(b.codes) + len(b.seqs) + len(b.ids) for b in blocks) < 9 * len(rows)
+    for most in (4, 1000):
+        last = streams._LastActive(most)
+        last.last = _held((["s1", "old"],))
+        order, gone = ["s1", "old"], {}
+        for _, i, s, seq in sorted(rows, key=lambda r: (r[3], r[1])):
+            order = [x for x in order if x != s] + [s]
+            if len(order) > most:
+                gone.setdefault(order.pop(0), []).append({"seq": seq, "id": i})
+        found = last.pushed(blocks)
+        assert last.last.get() == (order,) and {s: g for s, _, g in found if g} == gone
+        assert {s for s, *_ in found} == {r[2] for r in rows} | set(gone) and {at for _, at, _ in found} == {499}
+
+
 def test_communities_are_refreshed_now_and_then(spark):
     size, calls = [3], []
     read = lambda: (spark.range(size[0]), spark.range(0))
