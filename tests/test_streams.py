@@ -175,6 +175,21 @@ def test_a_project_meets_in_packed_blocks_and_sessions_leave_as_in_a_walk(spark)
         assert {s for s, *_ in found} == {r[2] for r in rows} | set(gone) and {at for _, at, _ in found} == {499}
 
 
+def test_tasks_send_on_what_the_log_and_the_sessions_need(spark, tmp_path):
+    rows = [tool(n, f"s{n % 3}") for n in range(3000)]
+    path = str(tmp_path / "in")
+    spark.createDataFrame(rows, TOOL).repartition(2).write.parquet(path)
+    stream = spark.readStream.schema(TOOL).parquet(path)
+    for name, df in (("short_log", streams.stream_event_log(stream, 5)), ("few_sessions", streams.stream_sessions(stream))):
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(180)
+        assert "MapInPandas" in q._jsq.explainInternal(False)
+    assert [r.ids for r in spark.table("short_log").collect()] == [[r[1] for r in rows[-5:]]]
+    assert {(r.session_id, r.session_index, r.current) for r in spark.table("few_sessions").collect()} == {("s0", 0, False), ("s1", 1, False), ("s2", 2, False), ("s2", 2, True)}
+    fold = streams._seen(pd.DataFrame([("p", f"s{n % 3}", n, f"e{n}", n, f"e{n}") for n in range(90)], columns=["project_id", "session_id", *streams._SEEN]))
+    assert sorted(fold.itertuples(index=False, name=None)) == [("p", f"s{k}", k, f"e{k}", 87 + k, f"e{87 + k}") for k in range(3)]
+
+
 def test_communities_are_refreshed_now_and_then(spark):
     size, calls = [3], []
     read = lambda: (spark.range(size[0]), spark.range(0))
