@@ -213,6 +213,28 @@ def test_relation_scores_from_a_gold_file(spark, tmp_path):
     assert (r.gold, r.n_edges, r.tp, r.fp, r.fn, r.p, r.r, r.f1) == (2, 2, 1, 1, 1, 0.5, 0.5, 0.5)
 
 
+def test_best_nodes_meet_in_rare_words_and_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    text = lambda least, most: " ".join(["we01", *(f"w{min(int(rng.exponential(12)), 60)}" for _ in range(rng.integers(least, most)))])
+    held = [(f"n{k:03d}", k // 2, text(0, 4), text(0, 12)) for k in range(150)]
+    asked = [(f"e{k}", text(0, 9)) for k in range(120)] + [("none", ""), ("far", "nothing like it")]
+    n = spark.createDataFrame(held, "id string, seq long, label string, description string")
+    ends = spark.createDataFrame(asked, "end_id string, label string")
+    for threshold in (0.5, 0.8, 1.0):
+        want = {}
+        for end, label in asked:
+            a = set(label.split())
+            scores = [(len(a & b) / min(len(a), len(b)), -seq, i) for i, seq, l, d in held for b in (set(l.split()), set(l.split()) | set(d.split())) if a]
+            if scores and max(scores)[0] >= threshold:
+                want[end] = max(scores)[2]
+        assert {r.end_id: r.id for r in evaluation.best_nodes(ends, n, threshold).collect()} == want
+    # A word that all have makes no pairs by itself.
+    sets = [x for k in range(300) for x in ((f"s{k}", k, "all", 4, 4), (f"s{k}", k, f"own{k}", 4, 1))]
+    rows = spark.createDataFrame(sets, "id string, set long, word string, m int, place int")
+    asks = rows.select(F.col("id").alias("end_id"), "word", F.col("m").alias("n"), "place")
+    assert evaluation._pairs(asks, rows, 1.0).count() == 300 and evaluation._pairs(asks, rows, 0.5).count() == 300
+
+
 @pytest.mark.parametrize("buckets", [50_000, 2])
 def test_bootstrap_is_the_resampled_mean(spark, buckets):
     deltas = [1.0] * 13 + [0.0] * 20 + [-1.0] * 7
