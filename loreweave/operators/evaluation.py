@@ -53,13 +53,21 @@ def settled(pairs: DataFrame) -> DataFrame:
     return (left if done is None else done).select("section", "gold", "found", "score")
 
 
+#: The words of a set as marks among 128 places, in two numbers.
+_MARKS = [f"aggregate(t, 0L, (x, w) -> x | if(pmod(xxhash64(w), 128) div 64 = {k}, shiftleft(1L, cast(pmod(xxhash64(w), 64) AS int)), 0L)) AS {name}" for k, name in enumerate(("low", "high"))]
+
+
 def _pairs(asked: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
-    """(end_id, id, set) of pairs that may share the words the threshold asks of the smaller set, from (end_id, word, place, n) and (id, set, word, place, m), places
-    by rarity: the smaller set then has a shared word among its rarest, all but the needed ones and one more."""
-    first = lambda size: F.col("place") <= F.col(size) - F.ceil(threshold * F.col(size) - 1e-9) + 1
-    a, b = asked.select("end_id", "word", "n", first("n").alias("a_first")), held.select("id", "set", "word", "m", first("m").alias("b_first"))
-    found = a.where("a_first").join(b, "word").where("m >= n").select("end_id", "id", "set")
-    return found.union(a.join(b.where("b_first"), "word").where("m < n").select("end_id", "id", "set")).distinct()
+    """(end_id, id, set) of pairs that may share the words the threshold asks of the smaller set, from (end_id, word, place, n, low, high) and (id, set, word,
+    place, m, low, high), places by rarity: the smaller set then has a shared word among its rarest, all but the needed ones and one more, and no more marks
+    that the other lacks than it may lack words."""
+    spare = lambda size: F.col(size) - F.ceil(threshold * F.col(size) - 1e-9)
+    first = lambda size: F.col("place") <= spare(size) + 1
+    a = asked.select("end_id", "word", "n", first("n").alias("a_first"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
+    b = held.select("id", "set", "word", "m", first("m").alias("b_first"), F.col("low").alias("b_low"), F.col("high").alias("b_high"))
+    lacks = lambda x, y: sum(F.bit_count(F.col(f"{x}_{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}_{k}")))) for k in ("low", "high"))
+    found = a.where("a_first").join(b, "word").where((F.col("m") >= F.col("n")) & (lacks("a", "b") <= spare("n"))).select("end_id", "id", "set")
+    return found.union(a.join(b.where("b_first"), "word").where((F.col("m") < F.col("n")) & (lacks("b", "a") <= spare("m"))).select("end_id", "id", "set")).distinct()
 
 
 def best_nodes(ends: DataFrame, nodes: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -70,26 +78,27 @@ def best_nodes(ends: DataFrame, nodes: DataFrame, threshold: float = 0.5) -> Dat
     higher; then the ends left, down to the threshold. Nodes of equal words are one, the first of them.
     """
     words = lambda text: F.array_sort(eval_tokens(text)).alias("t")
-    asked = stage(ends.select("end_id", words(F.col("label"))).where("size(t) > 0"), "asked")
+    asked = stage(ends.select("end_id", words(F.col("label"))).where("size(t) > 0").selectExpr("*", *_MARKS), "asked")
     found = nodes.select("id", "seq", words(F.col("label"))).union(nodes.select("id", "seq", words(F.concat_ws(" ", "label", "description"))))
     held = found.where("size(t) > 0").groupBy("t").agg(F.max(F.struct((-F.col("seq")).alias("o"), "id")).alias("first"))
-    held = stage(held.select("first.id", "first.o", F.xxhash64("t").alias("set"), "t"), "held")
+    held = stage(held.select("first.id", "first.o", F.xxhash64("t").alias("set"), "t").selectExpr("*", *_MARKS), "held")
     rare = held.select(F.explode("t").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
 
     def ranked(rows: DataFrame, key: list[str], size: str) -> DataFrame:
-        each = rows.select(*key, F.size("t").alias(size), F.explode("t").alias("word"))
+        each = rows.select(*key, "low", "high", F.size("t").alias(size), F.explode("t").alias("word"))
         place = F.row_number().over(Window.partitionBy(*key).orderBy(F.coalesce("df", F.lit(0)), "word"))
         return each.join(rare, "word", "left").withColumn("place", place)
 
     asks, has = stage(ranked(asked, ["end_id"], "n"), "asks"), stage(ranked(held, ["id", "set"], "m"), "has")
 
     def best(asks: DataFrame, least: float) -> DataFrame:
-        both = _pairs(asks, has, least).join(asked.withColumnRenamed("t", "asked_t"), "end_id").join(held, ["id", "set"])
+        both = _pairs(asks, has, least).join(asked.select("end_id", F.col("t").alias("asked_t")), "end_id").join(held.select("id", "set", "o", "t"), ["id", "set"])
         scored = both.select("end_id", "id", "o", tx.containment(F.col("asked_t"), F.col("t")).alias("score")).where(F.col("score") >= least)
         return scored.groupBy("end_id").agg(F.max(F.struct("score", "o", "id")).alias("best")).select("end_id", "best.id")
 
     whole = stage(best(asks, 1.0), "whole")
-    return whole.union(best(asks.join(whole, "end_id", "left_anti"), threshold)) if threshold < 1 else whole
+    left = stage(asks.join(whole, "end_id", "left_anti"), "asks")
+    return whole if threshold >= 1 or left.isEmpty() else whole.union(best(left, threshold))
 
 
 def relation_prf(relations: DataFrame, nodes: DataFrame, edges: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -230,8 +230,8 @@ def test_best_nodes_meet_in_rare_words_and_are_those_of_all_pairs(spark):
         assert {r.end_id: r.id for r in evaluation.best_nodes(ends, n, threshold).collect()} == want
     # A word that all have makes no pairs by itself.
     sets = [x for k in range(300) for x in ((f"s{k}", k, "all", 4, 4), (f"s{k}", k, f"own{k}", 4, 1))]
-    rows = spark.createDataFrame(sets, "id string, set long, word string, m int, place int")
-    asks = rows.select(F.col("id").alias("end_id"), "word", F.col("m").alias("n"), "place")
+    rows = spark.createDataFrame(sets, "id string, set long, word string, m int, place int").withColumns({"low": F.lit(0), "high": F.lit(0)})
+    asks = rows.select(F.col("id").alias("end_id"), "word", F.col("m").alias("n"), "place", "low", "high")
     assert evaluation._pairs(asks, rows, 1.0).count() == 300 and evaluation._pairs(asks, rows, 0.5).count() == 300
 
 
