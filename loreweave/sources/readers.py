@@ -98,12 +98,17 @@ def capture_prompts(prompts: DataFrame, prose: DataFrame, summaries: DataFrame,
 
 
 def import_markdown(docs: DataFrame) -> DataFrame:
-    """(project_id, path, content) -> nodes from list lines outside code fences, one per stable id."""
+    """(project_id, path, content) -> nodes from list lines outside code fences, one per stable id. Only lines that open or close a fence or say something
+    are put in order."""
     lines = docs.select("project_id", "path", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
-    fence = F.trim("line").startswith("```")
+    lines = lines.withColumn("fence", F.trim("line").startswith("```")).where(F.col("fence") | tx.is_listed(F.col("line")))
+    # A column that explode makes is worked out once, however often it is used.
+    once = lambda d, c, name: d.withColumn(name, F.explode(F.array(c)))
+    lines = once(lines.repartition("project_id", "path"), tx.note_text(F.col("line")), "description")
+    lines = once(lines, F.lower("description"), "low")
+    lines = once(lines, tx.note_kind(F.col("description"), F.col("low")), "node_type").where("fence OR node_type IS NOT NULL").drop("line", "low")
     own = Window.partitionBy("project_id", "path").orderBy("line_no")
-    lines = lines.withColumn("fences", F.sum(fence.cast("int")).over(own)).where((F.col("fences") % 2 == 0) & ~fence)
-    rows = lines.withColumn("node_type", tx.note_class(F.col("line"))).where("node_type IS NOT NULL").withColumn("description", tx.note_text(F.col("line")))
+    rows = lines.withColumn("fences", F.sum(F.col("fence").cast("int")).over(own)).where((F.col("fences") % 2 == 0) & ~F.col("fence"))
     rows = rows.withColumn("id", tx.stable_id(F.col("description")))
     first = F.row_number().over(Window.partitionBy("project_id", "id").orderBy("path", "line_no"))
     return rows.withColumn("copy", first).where("copy = 1").select("project_id", "id", "node_type", tx.label(F.col("description")).alias("label"), "description", "path", "line_no")

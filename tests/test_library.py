@@ -155,6 +155,12 @@ def test_markdown_import(spark):
     assert sorted((r.node_type, r.description) for r in found) == [("OpenItem", "TODO later on"), ("Rule", "You must test it")]
 
 
+def test_markdown_import_looks_at_a_line_once_and_before_the_order(spark):
+    docs = spark.createDataFrame([("p", "a.md", "- You must test it")], "project_id string, path string, content string")
+    plan = readers.import_markdown(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("^[-*+>0-9]") == 1 and plan.rindex("Window") < plan.index("^[-*+>0-9]")
+
+
 def drain(df, name, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(120)
