@@ -33,6 +33,7 @@ def bfs_nodes(seeds: DataFrame, edges: DataFrame, depth: int = 3, cap: int = 10)
     All questions search at once: a node carries a bitmap of the questions that have seen it, 64 in a row, in place of a row for each, so that a hop
     joins and shuffles at most nodes x questions / 64 rows, summed by bit_or before the shuffle. A node goes on only with bits new to it.
     """
+    seeds = stage(seeds.select(*_KEY, "id"), "first")
     steps = edges.select(P, F.col("source_node_id").alias("at"), F.col("target_node_id").alias("next"))
     steps = stage(steps.union(edges.select(P, "target_node_id", "source_node_id")).where("at <> next").distinct(), "steps")
     asked = seeds.select(*_KEY).distinct().select(P, F.col("question_id").alias("id"), F.lit(0).alias("seq"))
