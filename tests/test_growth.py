@@ -6,7 +6,10 @@ import collections
 import math
 import random
 
-from loreweave.operators import graph, retrieval
+import pyarrow as pa
+
+from loreweave.operators import bm25_store, graph, retrieval
+from loreweave.operators.bm25_store import Bm25Store
 
 NODE = "project_id string, id string, label string, description string, seq long"
 EDGE = "project_id string, id string, source_node_id string, target_node_id string"
@@ -59,3 +62,26 @@ def test_a_search_works_its_seeds_out_once(spark):
     edges = spark.createDataFrame([("p", f"e{k}", f"n{k}", f"n{k + 1}") for k in range(8)], EDGE)
     found = {tuple(r) for r in graph.bfs_nodes(seeds, edges, 2).select("question_id", "id").collect()}
     assert found == {(k, f"n{j}") for k in range(5) for j in range(max(0, k - 2), min(8, k + 2) + 1)} and made.value == 5
+
+
+def test_a_stored_search_over_parts_and_copies_ranks_as_node_by_node(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda most: " ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(most)))
+    nodes = [("p", f"n{k}", text(20), text(20), k) for k in range(300)]
+    edges = [("p", f"e{k}", f"n{rng.randrange(300)}", f"n{rng.randrange(40)}") for k in range(200)]
+    asked = [(k, "p", text(10) + " w0") for k in range(12)]
+    store = Bm25Store(spark, str(tmp_path / "index"), block=8)
+    store.commit(0, spark.createDataFrame([(p, i, "w1 old", None, k) for p, i, _, _, k in nodes[:150]], NODE))
+    store.commit(1, spark.createDataFrame(nodes, NODE))
+    found, _ = store.topk(spark.createDataFrame(asked, ASK), spark.createDataFrame(edges, EDGE), 4, part_rows=40, part_questions=4)
+    assert {tuple(r) for r in found.select("question_id", "project_id", "id", "score", "rank").collect()} == ranked(nodes, edges, asked, 4)
+
+
+def test_blocks_of_one_hash_stay_apart():
+    rows = [(7, "p", "a", 0, 1, 0), (7, "p", "b", 0, 1, 0), (7, "p", "a", 0, 1, 0), (9, "p", "c", 0, 2, 1), (9, "p", "c", 0, 2, 1)]
+    names = ["block", "project_id", "term", "class", "splits", "split"]
+    table = pa.table([*(pa.array(c) for c in zip(*rows)), pa.array([f"n{k}" for k in range(5)]), pa.array([1, 2, 3, 4, 5]), pa.array([9, 8, 7, 6, 5])], [*names, "id", "tf", "length"])
+    for size in (1, 2, 5):
+        found = [r for b in bm25_store._gathered(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        got = sorted((r["term"], r["n"], r["max_tf"], r["min_length"], sorted(e["id"] for e in r["entries"])) for r in found)
+        assert got == [("a", 2, 3, 7, ["n0", "n2"]), ("b", 1, 2, 8, ["n1"]), ("c", 2, 5, 5, ["n3", "n4"])]
