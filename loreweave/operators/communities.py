@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -39,29 +39,39 @@ def modularity(adjacency: DataFrame, assignment: DataFrame) -> DataFrame:
     return tot.join(inside, [P, "community"], "left").join(m, P).groupBy(P).agg(F.round(F.sum(part), 6).alias("modularity"))
 
 
-def _local_moves(adjacency: DataFrame, start: DataFrame, totals: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
-    """start (project_id, id, k, community) after rounds of moves to the neighbouring community of the largest gain, and whether any was made.
+def _local_moves(links: DataFrame, start: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
+    """start (n, id, k, m, community, tot) after rounds of moves to the neighbouring community of the largest gain, and whether any was made. Nodes
+    and communities go by their numbers n; links (a, b, weight) hold each pair once; tot is the sum of k in the community.
 
     A round makes the moves that are the best of both communities they touch, so that each gain is what it would be alone and modularity
-    rises with every round; among equal gains a hash that changes with the round decides.
+    rises with every round; among equal gains a hash that changes with the round decides. The largest claim of all is always made, so a round
+    without a move is one without a wish to move. A community takes part in one move at most, which gives its new total. One table is written a round.
     """
-    both = stage(adjacency.select(P, F.col("a").alias("id"), F.col("b").alias("other"), "weight").union(adjacency.select(P, "b", "a", "weight")), "neighbours")
+    both = stage(links.select(F.col("a").alias("n"), F.col("b").alias("other"), "weight").union(links.select("b", "a", "weight")), "neighbours")
     now, moved = start, False
     for i in range(rounds):
-        total = now.groupBy(P, "community").agg(F.sum("k").alias("tot"))
-        links = both.join(now.select(P, F.col("id").alias("other"), "community"), [P, "other"]).groupBy(P, "id", "community").agg(F.sum("weight").alias("w"))
-        own = now.join(total, [P, "community"]).join(links, [P, "id", "community"], "left").select(P, "id", "community", "k", F.col("tot").alias("tot_own"), F.coalesce("w", F.lit(0.0)).alias("w_own"))
-        options = links.join(total, [P, "community"]).select(P, "id", F.col("community").alias("to"), "w", "tot").join(own, [P, "id"]).where("to <> community").join(totals, P)
-        gain = (F.col("w") - F.col("w_own")) / F.col("m") + F.col("k") * (F.col("tot_own") - F.col("tot") - F.col("k")) / (2 * F.col("m") * F.col("m"))
-        best = options.withColumn("gain", gain).where("gain > 1e-12").groupBy(P, "id", "community").agg(F.max(F.struct("gain", "to")).alias("b"))
-        moves = stage(best.select(P, "id", "community", "b.to", F.struct(F.col("b.gain").alias("gain"), F.xxhash64("id", F.lit(i)).alias("draw"), F.col("id").alias("by")).alias("claim")), "moves")
-        if moves.isEmpty():
+        near = both.join(now.select(F.col("n").alias("other"), F.col("community").alias("to"), F.col("tot").alias("tot_to")), "other")
+        near = near.select("n", "to", "tot_to", "weight").repartition("n").groupBy("n", "to").agg(F.sum("weight").alias("w"), F.max("tot_to").alias("tot_to"))
+        w_own = F.max(F.when(F.col("to") == F.col("community"), F.col("w"))).over(Window.partitionBy("n"))
+        options = near.join(now, "n").withColumn("w_own", F.coalesce(w_own, F.lit(0.0))).where("to <> community")
+        gain = 2 * F.col("m") * (F.col("w") - F.col("w_own")) + F.col("k") * (F.col("tot") - F.col("tot_to") - F.col("k"))  # times 2 m^2
+        side = lambda c, tot: F.struct(F.col(c).alias("c"), tot.alias("tot"))
+        sides = F.array(side("community", F.col("tot") - F.col("k")), side("to", F.col("tot_to") + F.col("k")))
+        best = options.withColumn("gain", gain).where("gain > 0").groupBy("n").agg(F.max(F.struct("gain", "to", "id", sides.alias("sides"))).alias("b"))
+        claim = F.struct(F.col("b.gain").alias("gain"), F.xxhash64("b.id", F.lit(i)).alias("draw"), F.col("n").alias("by"))
+        claims = best.select("n", "b.to", "b.sides", claim.alias("claim"), F.explode("b.sides.c").alias("c"))
+        firsts = claims.withColumn("place", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("claim")))).where("place = 1")
+        made = firsts.groupBy("n").agg(F.count("*").alias("won"), F.max("to").alias("to"), F.max("sides").alias("sides")).where("won = 2")
+        grown = made.select(F.inline("sides").alias("community", "grown"))
+        after = now.join(made.select("n", "to"), "n", "left").select("n", "id", "k", "m", F.coalesce("to", "community").alias("community"), "tot", "to")
+        after = after.join(grown, "community", "left").select("n", "id", "k", "m", "community", F.coalesce("grown", "tot").alias("tot"), "to")
+        moves = Observation()
+        after = stage(after.observe(moves, F.count("to").alias("made")).drop("to"), "assignment")
+        if not moves.get["made"]:
+            unstage(after)
             break
-        firsts = moves.select(P, F.explode(F.array("community", "to")).alias("c"), "claim").groupBy(P, "c").agg(F.max("claim").alias("first"))
-        side = lambda c: firsts.select(P, F.col("c").alias(c), F.col("first.by").alias("id"))
-        made = moves.join(side("community"), [P, "community", "id"], "left_semi").join(side("to"), [P, "to", "id"], "left_semi").select(P, "id", "to")
-        after = stage(now.join(made, [P, "id"], "left").select(P, "id", "k", F.coalesce("to", "community").alias("community")), "assignment")
-        unstage(moves, *([now] if moved else []))
+        if moved:
+            unstage(now)
         now, moved = after, True
     unstage(both)
     return now, moved
@@ -70,28 +80,38 @@ def _local_moves(adjacency: DataFrame, start: DataFrame, totals: DataFrame, roun
 def louvain(nodes: DataFrame, edges: DataFrame, rounds: int = 60, cycles: int = 2) -> DataFrame:
     """(project_id, id, community): local moving from singletons, then of whole communities, level by level until none moves; then once more from
     the nodes. Communities are named by one of their nodes; a node without edges is its own. In rounds of moves that do not touch each other,
-    the result is at least as modular as that of a walk over the nodes one by one (a test compares them)."""
-    adjacency = stage(community_adjacency(edges), "adjacency")
-    degree = stage(weighted_degree(adjacency), "degree")
-    totals = stage(adjacency.groupBy(P).agg(F.sum("weight").alias("m")), "totals")
-    found = degree.withColumn("community", F.col("id"))
+    the result is at least as modular as that of a walk over the nodes one by one (a test compares them).
+
+    The rounds join on numbers that keep the order of the ids in all projects; ids come back at the end. Weights are whole thousandths, so that
+    sums do not depend on their order and reruns agree."""
+    adjacency = stage(community_adjacency(edges).withColumn("weight", F.round(F.col("weight") * 1000)), "adjacency")
+    degree = stage(weighted_degree(adjacency).join(adjacency.groupBy(P).agg(F.sum("weight").alias("m")), P), "degree")
+    named = stage(degree.repartitionByRange(P, "id").sortWithinPartitions(P, "id").withColumn("n", F.monotonically_increasing_id()), "named")
+    number = lambda c: named.select(P, F.col("id").alias(c), F.col("n").alias(f"n{c}"))
+    links = stage(adjacency.join(number("a"), [P, "a"]).join(number("b"), [P, "b"]).select(F.col("na").alias("a"), F.col("nb").alias("b"), "weight"), "links")
+    unstage(adjacency, degree)
+    found = named.select("n", "id", "k", "m", F.col("n").alias("community"), F.col("k").alias("tot"))
     for _ in range(cycles):
-        found, moved = _local_moves(adjacency, found, totals, rounds)
+        found, moved = _local_moves(links, found, rounds)
         if not moved:
             break
         while True:
-            side = lambda c: found.select(P, F.col("id").alias(c), F.col("community").alias(f"c{c}"))
-            pairs = adjacency.join(side("a"), [P, "a"]).join(side("b"), [P, "b"]).where("ca <> cb")
-            between = stage(pairs.groupBy(P, F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")), "between")
-            whole = stage(found.groupBy(P, "community").agg(F.sum("k").alias("k")).select(P, F.col("community").alias("id"), "k", "community"), "whole")
-            merged, moved = _local_moves(between, whole, totals, rounds)
+            side = lambda c: found.select(F.col("n").alias(c), F.col("community").alias(f"c{c}"))
+            pairs = links.join(side("a"), "a").join(side("b"), "b").where("ca <> cb")
+            between = stage(pairs.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")), "between")
+            whole = found.groupBy("community").agg(F.sum("k").alias("k"), F.max("m").alias("m")).join(named.select(F.col("n").alias("community"), "id"), "community")
+            whole = stage(whole.select(F.col("community").alias("n"), "id", "k", "m", "community", F.col("k").alias("tot")), "whole")
+            merged, moved = _local_moves(between, whole, rounds)
             if not moved:
                 unstage(between, whole)
                 break
-            up = merged.select(P, F.col("id").alias("community"), F.col("community").alias("up"))
-            found = stage(found.join(up, [P, "community"]).select(P, "id", "k", F.col("up").alias("community")), "assignment")
-            unstage(between, whole, merged)
-    rows = nodes.select(P, "id").distinct().join(found.select(P, "id", "community"), [P, "id"], "left")
+            up = merged.select(F.col("n").alias("community"), F.col("community").alias("up"), "tot")
+            lifted = stage(found.drop("tot").join(up, "community").select("n", "id", "k", "m", F.col("up").alias("community"), "tot"), "assignment")
+            unstage(between, whole, merged, found)
+            found = lifted
+    name = named.select(F.col("n").alias("community"), F.col("id").alias("name"))
+    found = found.select("n", "community").join(named.select(P, "id", "n"), "n").join(name, "community").select(P, "id", F.col("name").alias("community"))
+    rows = nodes.select(P, "id").distinct().join(found, [P, "id"], "left")
     return rows.select(P, "id", F.coalesce("community", "id").alias("community"))
 
 

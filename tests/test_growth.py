@@ -8,7 +8,7 @@ import random
 
 import pyarrow as pa
 
-from loreweave.operators import bm25_store, graph, retrieval
+from loreweave.operators import bm25_store, communities, graph, retrieval
 from loreweave.operators.bm25_store import Bm25Store
 
 NODE = "project_id string, id string, label string, description string, seq long"
@@ -85,3 +85,23 @@ def test_blocks_of_one_hash_stay_apart():
         found = [r for b in bm25_store._gathered(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
         got = sorted((r["term"], r["n"], r["max_tf"], r["min_length"], sorted(e["id"] for e in r["entries"])) for r in found)
         assert got == [("a", 2, 3, 7, ["n0", "n2"]), ("b", 1, 2, 8, ["n1"]), ("c", 2, 5, 5, ["n3", "n4"])]
+
+
+def test_communities_write_one_table_a_round_and_reruns_agree(spark, monkeypatch):
+    rng = random.Random(4)
+    kinds = ["Supersedes", "Refutes", "Resolves", "RelatesTo"]
+    edges = [(p, f"{p}{k}", rng.choice(kinds), f"n{rng.randrange(k // 6 * 6, k // 6 * 6 + 12)}", f"n{k}") for k in range(60) for p in "pq"] + [("p", "loop", "Resolves", "n1", "n1")]
+    nodes = [(p, f"n{k}") for k in range(75) for p in "pq"] + [("r", "n0")]
+    written, real = [], communities.stage
+    monkeypatch.setattr(communities, "stage", lambda df, name: written.append(name) or real(df, name))
+    runs = []
+    for parts in (1, 7):
+        rng.shuffle(edges)
+        tables = spark.createDataFrame(nodes, "project_id string, id string"), spark.createDataFrame(edges, "project_id string, id string, edge_type string, source_node_id string, target_node_id string").repartition(parts)
+        runs.append({(r.project_id, r.id): r.community for r in communities.louvain(*tables, rounds=3, cycles=1).collect()})
+    assert runs[0] == runs[1] and set(runs[0]) == set(nodes)
+    assert runs[0]["r", "n0"] == "n0" and runs[0]["p", "n74"] == "n74" and len(set(runs[0].values())) < 60
+    levels = written.count("neighbours")
+    assert "moves" not in written and written.count("assignment") <= levels * 3 + levels - 2
+    none = spark.createDataFrame([], "project_id string, id string, edge_type string, source_node_id string, target_node_id string")
+    assert {r.community for r in communities.louvain(tables[0].where("project_id = 'r'"), none).collect()} == {"n0"}
