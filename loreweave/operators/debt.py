@@ -107,8 +107,9 @@ def debt_report(items: DataFrame, projects: DataFrame | None = None) -> DataFram
 
 
 def debt_by_type(items: DataFrame) -> DataFrame:
-    """(project_id, debt_type, n). The band belongs to the whole report; see debt_report()."""
-    return items.groupBy(P, "debt_type").agg(F.count("*").alias("n"))
+    """(project_id, debt_type, n, band): the count of each type, and beside each the band of the project's total score; a project without debt has no row, see debt_report()."""
+    types = items.groupBy(P, "debt_type").agg(F.count("*").alias("n"), F.sum(severity_points(F.col("severity"))).alias("score"))
+    return types.select(P, "debt_type", "n", debt_band(F.sum("score").over(Window.partitionBy(P))).alias("band"))
 
 
 def debt_delta(current: DataFrame, prior: DataFrame) -> DataFrame:

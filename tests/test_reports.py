@@ -258,6 +258,18 @@ def test_debt_report_bands(spark):
     assert sorted((r.project_id, r.n) for r in debt.debt_by_type(items).collect()) == [("a", 2), ("b", 2)]
 
 
+def test_debt_by_type_has_the_band_of_the_whole_report(spark):
+    rows = [("a", "UnverifiedChange", "Medium"), ("a", "UnresolvedOpenItem", "Medium"), ("b", "FailedVerification", "High"), ("b", "UnverifiedChange", "Medium"), ("c", "UnresolvedOpenItem", "Low"), *[("c", "RuleViolation", "Low")] * 3]
+    items = spark.createDataFrame([(p, kind, ["x"], "d", s, 1) for p, kind, s in rows], "project_id string, debt_type string, node_ids array<string>, description string, severity string, seq long")
+    found = sorted((r.project_id, r.debt_type, r.n, r.band) for r in debt.debt_by_type(items).collect())
+    assert found == [
+        ("a", "UnresolvedOpenItem", 1, "amber"), ("a", "UnverifiedChange", 1, "amber"), ("b", "FailedVerification", 1, "red"), ("b", "UnverifiedChange", 1, "red"),
+        ("c", "RuleViolation", 3, "amber"), ("c", "UnresolvedOpenItem", 1, "amber"),
+    ]
+    assert debt.debt_by_type(items.limit(0)).collect() == []
+    assert registry.QUERIES["debt_by_type"](spark, SF).columns == ["debt_type", "n", "band"]
+
+
 def test_debt_over_sessions_by_hand(spark):
     n = nodes(spark, ("p", "o1", "OpenItem", "s0", [], "q1"), ("p", "o2", "OpenItem", "s1", [], "q2"), ("p", "d", "Decision", "s2", [], "d"), ("p", "r", "Rule", "s2", ["a"], "r"), ("q", "o", "OpenItem", "s9", [], "z"))
     e = edges(spark, ("p", "d", "Resolves", "o1"))
